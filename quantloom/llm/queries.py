@@ -23,6 +23,14 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(stored(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quantloom.llm.packing import pack
+
+    return pack(stored(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
