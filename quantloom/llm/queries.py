@@ -15,6 +15,12 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(stored(spark, sf_dir, "documents"))
 
 
+def op4_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.simhash import near_duplicates
+
+    return near_duplicates(stored(spark, sf_dir, "documents"))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
