@@ -21,6 +21,12 @@ def op4_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(stored(spark, sf_dir, "documents"))
 
 
+def op5_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.neighbours import nearest
+
+    return nearest(stored(spark, sf_dir, "embeddings"))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
