@@ -15,6 +15,19 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(stored(spark, sf_dir, "documents"))
 
 
+def op2_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.knn_quality import score, train
+
+    documents = stored(spark, sf_dir, "documents")
+    return score(documents, train(documents, stored(spark, sf_dir, "labels")))
+
+
+def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.site_lines import dedup_html
+
+    return dedup_html(stored(spark, sf_dir, "pages"))
+
+
 def op4_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.simhash import near_duplicates
 
@@ -48,4 +61,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quantloom.llm import site_lines
+
+    return {"op3_site_lines": site_lines.SQL}
