@@ -56,6 +56,12 @@ def op7_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(stored(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.licences import scan_licences
+
+    return scan_licences(stored(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
