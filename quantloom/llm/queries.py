@@ -62,6 +62,12 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(stored(spark, sf_dir, "documents"))
 
 
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.language_model import score
+
+    return score(stored(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
