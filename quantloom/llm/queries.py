@@ -68,6 +68,12 @@ def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(stored(spark, sf_dir, "documents"))
 
 
+def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.long_repeats import remove_repeats
+
+    return remove_repeats(stored(spark, sf_dir, "documents")).drop("key", "kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
