@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import arrow_map, slices, stage, texts
@@ -124,10 +124,14 @@ def mark_shard(parts: list[bytes], counts: list[int], length: int = LENGTH) -> l
     return out
 
 
+def key_of(doc_id: Column, text: Column) -> Column:
+    """A key that is the same for rows of the same id and text alone; a null text counts as an empty one."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.lit("\0"), F.coalesce(text, F.lit("")))))
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, doc_id, text): the key is the same for rows of the same id and text alone."""
     rows = texts(df, id_col, text_col)
-    return rows.withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\0"), F.col("text")))))
+    return rows.withColumn("key", key_of(F.col("doc_id"), F.col("text")))
 
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -24,7 +24,9 @@ from quantloom.llm.common import arrow_map, stage, texts
 UNIT = 64
 MAGIC = b"QLM1"
 HEADER = struct.Struct("<4sQQ")
-LEAST, MOST, CUT_BITS = 1024, 16384, 12
+LEAST, MOST, CUT_BITS = 2048, 65536, 13
+#: Chunks are kept compressed, with a dictionary made from the first SAMPLE_BYTES of SAMPLE_ROWS texts.
+SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY, LEVEL = 512, 4096, 32768, 6
 #: A digest found more often than this share of the rows is kept in SALTS copies; the MOST_HOT most frequent at most.
 HOT_SHARE, SALTS, MOST_HOT = 1e-3, 64, 4096
 
@@ -73,28 +75,48 @@ def cuts(data: bytes) -> list[int]:
     return ends
 
 
-def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
-    """Ordered chunk lists: (doc_id, seq, n_chunks, digest, media_sha256[, packed]) for every row's media file."""
+def dictionary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> bytes:
+    """A compression dictionary from a bounded sample; b'' if the sample is too small for one."""
+    rows = texts(df, id_col, text_col).orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, SAMPLE_BYTES).alias("t"))
+    sample = [r[0].encode("utf-8", "surrogatepass") for r in rows.limit(SAMPLE_ROWS).collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, sample).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _codec(words: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
+
+
+def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: bytes | None = None) -> DataFrame:
+    """Ordered chunk lists: (doc_id, media_key, seq, n_chunks, digest, media_sha256[, packed]) for every row's media file.
+
+    media_key is the start of the file's digest, which stands in full beside the first chunk alone. Chunk bytes come
+    with them if a dictionary (or b'') is given.
+    """
+    with_bytes = words is not None
 
     def make(part: pa.RecordBatch) -> dict:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        out: dict = {k: [] for k in ("doc_id", "seq", "n_chunks", "digest", "media_sha256", *(["packed"] if with_bytes else []))}
+        squeeze = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, **_codec(words or b"")).compress
+        out: dict = {k: [] for k in ("doc_id", "media_key", "seq", "n_chunks", "digest", "media_sha256", *(["packed"] if with_bytes else []))}
         for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
             media = media_of(text)
             whole, start, ends = hashlib.sha256(media).digest(), 0, cuts(media)
             for seq, end in enumerate(ends):
                 piece = media[start:end]
                 out["doc_id"].append(doc_id)
+                out["media_key"].append(int.from_bytes(whole[:8], "big", signed=True))
                 out["seq"].append(seq)
                 out["n_chunks"].append(len(ends))
                 out["digest"].append(hashlib.sha256(piece).digest())
-                out["media_sha256"].append(whole)
+                out["media_sha256"].append(None if seq else whole)
                 if with_bytes:
                     out["packed"].append(squeeze(piece))
                 start = end
         return out
 
-    schema = "doc_id long, seq int, n_chunks int, digest binary, media_sha256 binary" + ", packed binary" * with_bytes
+    schema = "doc_id long, media_key long, seq int, n_chunks int, digest binary, media_sha256 binary" + ", packed binary" * with_bytes
     return arrow_map(texts(df, id_col, text_col), make, schema, rows=128)
 
 
@@ -104,36 +126,32 @@ def hot_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Salting decides where rows meet, not what comes out, so the bound drops nothing: a digest beyond it has less than
     1/MOST_HOT of all chunks.
     """
-    counts = chunks(df, id_col, text_col, with_bytes=False).groupBy("digest").agg(F.count("*").alias("n"))
+    counts = chunks(df, id_col, text_col).groupBy("digest").agg(F.count("*").alias("n"))
     hot = counts.where(F.col("n") > F.lit(HOT_SHARE) * df.count()).where("n > 1000")
     return stage(hot.orderBy(F.desc("n"), "digest").limit(MOST_HOT).select("digest"), "digests")
 
 
-def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(ordered chunk lists, chunk store). The store has each (digest, salt) once; salt is 0 but for hot digests."""
+def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, bytes]:
+    """(ordered chunk lists, chunk store, its dictionary). The store has each (digest, salt) once; salt is 0 but for hot digests."""
     hot = hot_digests(df, id_col, text_col).withColumn("hot", F.lit(True))
-    rows = chunks(df, id_col, text_col).join(F.broadcast(hot), "digest", "left")  # MOST_HOT digests at most
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "media_sha256"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    words = dictionary(df, id_col, text_col)
+    rows = chunks(df, id_col, text_col, words).join(F.broadcast(hot), "digest", "left")  # MOST_HOT digests at most
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "media_key"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     rows = rows.withColumn("salt", salt).drop("hot")
     kept = rows.groupBy("digest", "salt").agg(F.first("packed").alias("packed"))
-    return rows.drop("packed"), kept
+    return rows.drop("packed"), kept, words
 
 
-def read_back(lists: DataFrame, kept: DataFrame) -> DataFrame:
+def read_back(lists: DataFrame, kept: DataFrame, words: bytes) -> DataFrame:
     """(doc_id, media) rebuilt from chunk lists and chunk store, every digest verified; a gap or a difference raises."""
     placed = lists.join(kept, ["digest", "salt"], "left")
-    placed = placed.repartition("doc_id", "media_sha256").sortWithinPartitions("doc_id", "media_sha256", "seq")
-    return _rebuild(placed)
-
-
-def _rebuild(placed: DataFrame) -> DataFrame:
-    """Chunks in order (sorted within partitions) to media files, streaming; holds one media file at a time."""
+    placed = placed.repartition("doc_id", "media_key").sortWithinPartitions("doc_id", "media_key", "seq")
     schema = "doc_id long, media binary"
     arrow = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        key, got, n_chunks, copies = None, [], 0, 0
+        unpack = zstandard.ZstdDecompressor(**_codec(words)).decompress
+        key, got, n_chunks, copies, digest_of_all = None, [], 0, 0, b""
         ids: list = []
         media: list[bytes] = []
 
@@ -141,7 +159,7 @@ def _rebuild(placed: DataFrame) -> DataFrame:
             if key is None:
                 return
             whole = b"".join(got)
-            if len(got) != n_chunks or hashlib.sha256(whole).digest() != key[1]:
+            if len(got) != n_chunks or hashlib.sha256(whole).digest() != digest_of_all:
                 raise ValueError(f"document {key[0]} was not rebuilt whole")
             ids.extend([key[0]] * copies)
             media.extend([whole] * copies)
@@ -153,11 +171,11 @@ def _rebuild(placed: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "seq", "n_chunks", "digest", "media_sha256", "packed")]
-            for doc_id, seq, n, digest, whole, packed in zip(*columns, strict=True):
-                if (doc_id, whole) != key:
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "media_key", "seq", "n_chunks", "digest", "media_sha256", "packed")]
+            for doc_id, own, seq, n, digest, whole, packed in zip(*columns, strict=True):
+                if (doc_id, own) != key:
                     close()
-                    key, got, n_chunks, copies = (doc_id, whole), [], n, 0
+                    key, got, n_chunks, copies, digest_of_all = (doc_id, own), [], n, 0, whole
                     if sum(map(len, media)) > 4 << 20:
                         yield full()
                 copies += seq == 0

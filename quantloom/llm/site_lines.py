@@ -37,11 +37,12 @@ def text_lines(text: Column) -> Column:
 def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> tuple[DataFrame, DataFrame]:
     """((host, lines): the boilerplate of each host that has any; (host, pages)). ``pages`` has host and lines.
 
-    Lines of a page count once. Counts are summed before the shuffle; a host's list has at most (mean distinct lines of
+    Lines are compared without the spaces around them; empty ones never count. Lines of a page count once. Counts are summed before the shuffle; a host's list has at most (mean distinct lines of
     its pages) / ratio lines, so it is safe to gather.
     """
     total = stage(pages.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
-    seen = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    trimmed = F.array_distinct(F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != ""))
+    seen = pages.select("host", F.explode(trimmed).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     often = seen.where(F.col("n") >= least_pages).join(total, "host").where(F.col("n") > F.lit(ratio) * F.col("pages"))
     return stage(often.groupBy("host").agg(F.collect_set("line").alias("common")), "boilerplate"), total
 
@@ -64,7 +65,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
         salted = pages.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64("lines"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
         copies = common.join(F.broadcast(hot), "host", "left").select("host", "common", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
         joined = salted.join(copies, ["host", "salt"], "left").drop("salt")
-    kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("common", x), F.lit(False)))
+    kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("common", F.trim(x)), F.lit(False)))
     return joined.withColumn("kept", kept).select(
         *[c for c in pages.columns if c != "lines"],
         F.size("lines").cast("long").alias("n_lines"),
@@ -79,6 +80,15 @@ def dedup_html(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return drop_boilerplate(pages, ratio).select("page_id", "host", "n_lines", "n_dropped", F.array_join("lines", "\n").alias("kept_text"))
 
 
+def dedup_texts(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO) -> DataFrame:
+    """``df`` with boilerplate lines taken out of ``text_col``, each source being a site; other texts stay as they are."""
+    whole = df.withColumns({"__host": F.col(host_col), "__lines": F.split(F.coalesce(text_col, F.lit("")), "\n")})
+    pages = whole.select(F.struct(*df.columns).alias("row"), F.col("__host").alias("host"), F.col("__lines").alias("lines"))
+    done = drop_boilerplate(pages, ratio)
+    text = F.when(F.col("n_dropped") > 0, F.array_join("lines", "\n")).otherwise(F.col("row")[text_col])
+    return done.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])
+
+
 SQL = rf"""
 WITH pages_lines AS (
   SELECT page_id, coalesce(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1), '') AS host,
