@@ -8,7 +8,6 @@ piece's rank finds its slot. Rounding up costs under a half class a piece; finer
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -22,54 +21,60 @@ from quantloom.llm.cutting_stock import plan
 CAPACITY, END_ID, CLASSES = 1024, 0, 128
 #: Parts in which the pieces of one class are ranked; a part's first rank comes from the counts of those before.
 RANK_PARTS = 256
-KEPT_WORDS = 300_000
-_LOADED: dict[str, WordIds] = {}
+#: The pre-token pattern of the byte-level vocabularies, a fixed value.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LOADED: dict[str, TextIds] = {}
 
 
-class WordIds:
-    """Ids of texts by a byte-level BPE tokenizer file. A space before other text begins a pre-token, so texts are cut
-    there; a worker keeps the stretches it has met, in two generations."""
+class TextIds:
+    """Ids of texts by a byte-level BPE tokenizer file.
+
+    Texts of Latin-1 characters go through a faster encoder of the same vocabulary, where the file's ids follow its
+    merges; the first text of each call is compared with the tokenizers library, which also encodes all other texts.
+    """
 
     def __init__(self, path: str):
+        import json
+
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.cut = re.compile(r" (?=\S)")
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
+        letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        plain = merged == sorted(merged) and len(ranks) == 256 + len(merged)
+        self.fast = tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if plain else None
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self.cut.split(t) for t in texts]
-        for p in parts:
-            p[1:] = [" " + x for x in p[1:]]
-        young, old = self.young, self.old
-        found: dict[str, bytes] = {}
-        new: set[str] = set()
-        for p in parts:
-            for x in p:
-                if x not in young and x not in found:
-                    if (got := old.get(x)) is not None:
-                        found[x] = got
-                    else:
-                        new.add(x)
-        words = list(new)
-        for x, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            found[x] = np.array(e.ids, "<u4").tobytes()
-        if len(young) + len(found) > KEPT_WORDS:
-            self.old, self.young = young, {}
-        self.young.update(found)
-        get, lookup = young.get, found.get
-        return [b"".join([get(x) or lookup(x) or b"" for x in p]) for p in parts]
-
-
-def load(path: str) -> WordIds:
+        out: list[bytes | None] = [None] * len(texts)
+        if self.fast is not None:
+            for i, text in enumerate(texts):
+                try:
+                    text.encode("latin-1")
+                except UnicodeEncodeError:
+                    continue
+                out[i] = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+            first = next((i for i, x in enumerate(out) if x is not None), None)
+            if first is not None and np.array(self.library.encode(texts[first], add_special_tokens=False).ids, "<u4").tobytes() != out[first]:
+                out = [None] * len(texts)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+
+def load(path: str) -> TextIds:
     if path not in _LOADED:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _LOADED[path] = WordIds(path)
+        _LOADED[path] = TextIds(path)
     return _LOADED[path]
 
 
