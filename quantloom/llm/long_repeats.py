@@ -109,6 +109,8 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def mark_shard(parts: list[bytes], counts: list[int], length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray]]:
     """(first, last) of the strings of each context that occur more than once in the shard."""
+    if not parts:
+        return []
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = (sizes + 1).cumsum() - 1
     text = np.zeros(int((sizes + 1).sum()), np.uint16)  # 0 parts the contexts
@@ -153,7 +155,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = "key binary, doc_id long, n_bytes long, sha256 string, place array<long>, hash array<long>"
     rows = stage(arrow_map(docs, anchors, schema), "anchors")
     places = rows.select("key", F.explode(F.arrays_zip("place", "hash")).alias("a")).select("key", F.col("a.place").alias("place"), F.col("a.hash").alias("hash"))
-    often = places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    often = stage(places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated-anchors")
     repeated = places.join(often, "hash").groupBy("key").agg(F.collect_set("place").alias("places"))  # as many as a text has
     candidates = docs.join(repeated, "key")
 
@@ -186,7 +188,13 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def index(table: pa.Table) -> pa.Table:
-        found = mark_shard(table.column("context").to_pylist(), table.column("n").to_pylist(), length)
+        count = np.array(table.column("n").to_pylist(), np.int64)
+        _, group, kinds = np.unique(table.column("hash").to_numpy(), return_inverse=True, return_counts=True)
+        alone = kinds[group] == 1  # the anchor has no other context: the count says all
+        shared = np.flatnonzero(~alone)
+        found = [(np.array([0]), np.array([len(c) - length])) for c in table.column("context").to_pylist()]
+        for i, marked in zip(shared.tolist(), mark_shard(table.column("context").take(pa.array(shared)).to_pylist(), count[shared].tolist(), length), strict=True):
+            found[i] = marked
         spans = [[{"first": a, "last": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)] for x, y in found]
         return pa.table({"name": table.column("name").combine_chunks(), "spans": pa.array(spans, span)}).filter(pa.array([bool(s) for s in spans], pa.bool_()))
 

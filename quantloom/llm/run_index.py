@@ -16,10 +16,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
-    width = max(1, 62 // max(1, int(text.max() + 1).bit_length()))
+    used = np.bincount(text) > 0
+    dense = used.cumsum()  # symbols that occur, from 1 on in their order: more of them fit a key
+    bits = int(dense[-1]).bit_length()
+    width = 62 // bits
     key = np.zeros(n, np.int64)
-    bits = int(text.max() + 1).bit_length()
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(width, np.int64)])
+    padded = np.concatenate([dense[text], np.zeros(width, np.int64)])
     for k in range(width):
         key = (key << bits) | padded[k : k + n]
     order = np.argsort(key, kind="stable")
