@@ -75,6 +75,19 @@ def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str
     return df.mapInArrow(run, schema)
 
 
+def sample_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows (all, if there are fewer) of the least hashes of ``key``, always the same ones.
+
+    Rows are first thinned to twice the wanted number over the whole table, so that what tasks send on doesn't grow
+    with their number.
+    """
+    total = df.count()
+    h = F.xxhash64(key)
+    if total > 4 * rows:
+        df = df.where(F.pmod(h, F.lit(total)) < 2 * rows)
+    return df.orderBy(h, key).limit(rows)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the smallest node reachable.
 

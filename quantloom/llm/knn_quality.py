@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import arrow_map, stage, texts
+from quantloom.llm.common import arrow_map, sample_rows, stage, texts
 
 BUCKETS, LEVELS, LATENT = 4096, 8, 48
 #: Labelled documents that the classifier is fitted on, at most (those of the smallest hash): the bound of the broadcast.
@@ -126,7 +126,8 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("double").alias("y"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.round(F.avg("y")).cast("int").alias("y"))
-    chosen = stage(known.join(documents.select(documents[id_col].cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "chosen")
+    ids = documents.select(documents[id_col].cast("long").alias("doc_id")).distinct()
+    chosen = stage(sample_rows(known.join(ids, "doc_id", "left_semi"), "doc_id", sample), "chosen")
     rows = texts(documents, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # ``sample`` rows at most
 
     def make(part: pa.RecordBatch) -> dict:

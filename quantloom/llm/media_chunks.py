@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import arrow_map, stage, texts
+from quantloom.llm.common import arrow_map, sample_rows, stage, texts
 
 UNIT = 64
 MAGIC = b"QLM1"
@@ -77,8 +77,8 @@ def cuts(data: bytes) -> list[int]:
 
 def dictionary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A compression dictionary from a bounded sample; b'' if the sample is too small for one."""
-    rows = texts(df, id_col, text_col).orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, SAMPLE_BYTES).alias("t"))
-    sample = [r[0].encode("utf-8", "surrogatepass") for r in rows.limit(SAMPLE_ROWS).collect()]
+    rows = sample_rows(texts(df, id_col, text_col), "doc_id", SAMPLE_ROWS).select(F.substring("text", 1, SAMPLE_BYTES).alias("t"))
+    sample = [r[0].encode("utf-8", "surrogatepass") for r in rows.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY, sample).as_bytes()
     except zstandard.ZstdError:

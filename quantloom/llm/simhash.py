@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import arrow_map, components, stage, texts
+from quantloom.llm.common import arrow_map, components, sample_rows, stage, texts
 from quantloom.llm.vantage import Tree, fit, link_close, route
 
 WORDS, SEED, REACH = 3, 42, 2
@@ -61,7 +61,7 @@ def fingerprint_links(points: DataFrame) -> DataFrame:
     """(a, b): links of distinct fingerprints (column ``fp``), enough that components are those of all close pairs."""
     spark = points.sparkSession
     n = points.count()
-    sample = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = sample_rows(points, "fp", SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree, shards = fit(sample, -(-n // SHARD_POINTS) if n else 1, REACH)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
