@@ -14,8 +14,9 @@ import math
 
 import numpy as np
 
-#: Bytes of context at most. A context of d bytes is packed in the low 8*d bits, the most recent byte lowest.
-DEPTH = 6
+#: Bytes of context at most. A context of d bytes is packed in the low 8*d bits, the most recent byte lowest; a class,
+#: which keeps trees apart, stands above all of them.
+DEPTH, CLASS_AT = 5, 40
 _HALF = math.log(0.5)
 
 
@@ -81,9 +82,14 @@ def context_key(depth: int | np.ndarray, context: np.ndarray) -> np.ndarray:
     return (np.asarray(depth, np.uint64) + np.uint64(1)) << np.uint64(56) | context.astype(np.uint64)
 
 
+def mask(depth: int) -> int:
+    """The bits of a context of ``depth`` bytes and of its class."""
+    return (1 << (8 * depth)) - 1 | 0xFF << CLASS_AT
+
+
 class ContextTree:
-    """A frozen tree. ``rows`` are (depth, context, next byte, count) of the kept contexts; every kept context's parent
-    is kept, and the root (depth 0, context 0) holds all counts."""
+    """Frozen trees, one for each class. ``rows`` are (depth, context, next byte, count) of the kept contexts; every kept context's parent
+    is kept, and the root of a class (depth 0) holds all its counts."""
 
     def __init__(self, depth: np.ndarray, context: np.ndarray, byte: np.ndarray, count: np.ndarray, most: int = DEPTH):
         self.most = most
@@ -96,8 +102,7 @@ class ContextTree:
         parent = np.full(len(names), -1)
         self.contexts = Table(names)
         deep = depths > 0
-        low = np.uint64(8) * np.maximum(depths - 1, 0).astype(np.uint64)
-        cut = contexts & ((np.uint64(1) << low) - np.uint64(1))
+        cut = contexts & np.array([mask(max(d - 1, 0)) for d in range(most + 1)], np.uint64)[depths]
         parent[deep] = self.contexts.find(context_key(depths[deep] - 1, cut[deep]))
         # binary nodes: key (context number, node) of 8 decisions for each (context, byte)
         bits = (byte[:, None].astype(np.int64) >> np.arange(7, -1, -1)) & 1
@@ -144,7 +149,7 @@ class ContextTree:
             going = going[length[going] >= d]
             if not len(going):
                 break
-            cut = context[going] & ((np.uint64(1) << np.uint64(8 * d)) - np.uint64(1))
+            cut = context[going] & np.uint64(mask(d))
             path[d, going] = self.contexts.find(context_key(d, cut))
             going = going[path[d, going] >= 0]
         total = np.zeros(n)
@@ -167,10 +172,11 @@ class ContextTree:
         return total
 
 
-def positions(words: list[bytes], most: int = DEPTH, end: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def positions(words: list[bytes], most: int = DEPTH, end: int = 32, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word number, context, context length, byte) of every byte of every word and of the end after it.
 
-    A context reaches back to the start of the word: the end byte of the word before it, and no further.
+    A context reaches back to the start of the word: the end byte of the word before it, and no further. ``classes`` are
+    numbers under 256, one for each word.
     """
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     e = bytes([end])
@@ -182,4 +188,6 @@ def positions(words: list[bytes], most: int = DEPTH, end: int = 32) -> tuple[np.
     for d in range(most):
         ok = length > d
         context[ok] |= raw[np.flatnonzero(ok) - d].astype(np.uint64) << np.uint64(8 * d)
+    if classes is not None:
+        context |= classes.astype(np.uint64)[who] << np.uint64(CLASS_AT)
     return who, context, length, raw[1:]
