@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quantloom import plans
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 
 def text(v):
-    return "null" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    return "null" if v is None or pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
 @pytest.fixture(scope="module")
