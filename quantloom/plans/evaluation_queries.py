@@ -172,3 +172,8 @@ def eval_cpcv_paths(spark, sf_dir):
     joined = placed.join(F.broadcast(paths), (at >= F.col("start")) & (at < F.col("stop")))  # 15 paths of 2 ranges
     one = joined.groupBy("series", "strategy_id", "path").agg(E.sortino("net_ret").alias("sortino"))
     return one.groupBy("series", "strategy_id").agg(F.percentile("sortino", F.lit(0.05)).alias("p5"), F.percentile("sortino", F.lit(0.5)).alias("median"), F.stddev_pop("sortino").alias("std"), F.min("sortino").alias("worst"), F.count("*").alias("paths"))
+
+
+@query("select_forest_importance")
+def select_forest_importance(spark, sf_dir):
+    return E.forest_importance(_labelled(spark, sf_dir), FEATURES, "y0")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from quantloom.functions import frames as W
 from quantloom.functions.frames import rounded
 from quantloom.operators import features as X
-from quantloom.plans.registry import query
+from quantloom.operators.chunks import chunked
+from quantloom.plans.registry import ORACLES, query
 from quantloom.plans.tape_queries import BARS_SQL, bars_of
 
 N = 25
@@ -55,6 +56,13 @@ def feat_standard(spark, sf_dir):
     return out(X.standard(returns(spark, sf_dir), N), ["velocity_25", "volatility_25", "trend_strength_25", "autocorr_25", "vol_asymmetry_25", "regime_trending_25", "regime_reverting_25"])
 
 
+@query("feat_chunked_windows", ORACLES["feat_standard"])
+def feat_chunked_windows(spark, sf_dir):
+    """feat_standard in chunks with a halo: its frames, the 1000-bar norm and the lags add up to less than 1060 bars."""
+    names = ["velocity_25", "volatility_25", "trend_strength_25", "autocorr_25", "vol_asymmetry_25", "regime_trending_25", "regime_reverting_25"]
+    return out(chunked(bars_of(spark, sf_dir), lambda df: X.standard(X.log_return(df), N), 1060, 1200, 50), names)
+
+
 @query("wn_bias_moments", f"WITH {RET_SQL} SELECT series, bar_id, {r(over('skewness', 'log_ret'), 'skew_25', 4)}, {r(over('kurtosis', 'log_ret'), 'kurt_25', 4)} FROM ret")
 def wn_bias_moments(spark, sf_dir):
     return out(X.standard(returns(spark, sf_dir), N), ["skew_25", "kurt_25"], 4)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quantloom.functions import frames, parsing
-from quantloom.operators import asof, bars, portfolio, recursive, signals, statistics
+from quantloom.operators import asof, bars, chunks, portfolio, recursive, signals, statistics
 from quantloom.operators.simulate import Rules, mutex, simulate
 from quantloom.streaming import live
 
@@ -161,3 +161,12 @@ def test_search_is_seeded_and_bounded():
     assert {"sl": 2.0, "tp": 1.0} not in grid and {"sl": 1.0, "tp": 3.0} in grid
     best = portfolio.best_combination({"a": np.array([1.0, -0.1, 0.5]), "b": np.array([-1.0, -1, 0]), "c": np.array([0.2, 0.1, 0.1])}, 2)
     assert set(best[0]) == {"a", "c"}
+
+
+def test_chunks_with_a_halo_change_nothing(spark):
+    rows = [("a", 3 * i + (i % 2), float(i * i % 17)) for i in range(200)] + [("b", i, float(i % 5)) for i in range(30)]
+    df = spark.createDataFrame(rows, "series string, bar_id long, x double").repartition(3)
+    make = lambda d: d.withColumns({"m": frames.rolling("avg", "x", 12), "d": frames.diff("x", 7)}).withColumn("n", frames.rolling("max", "m", 9))
+    key = lambda d: sorted(map(tuple, d.select("series", "bar_id", "x", "m", "d", "n").collect()), key=repr)
+    assert key(chunks.chunked(df, make, 20, 25, 40)) == key(make(df))
+    assert [r.idx for r in chunks.dense_index(df.where("series = 'a'"), 50).orderBy("bar_id").collect()] == list(range(200))
