@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import arrow_map, components, sample_rows, stage, texts
-from quantloom.llm.vantage import Tree, fit, link_close, route
+from quantloom.llm.vantage import fit, link_close, route
 
 WORDS, SEED, REACH = 3, 42, 2
 #: Points that a shard should hold, and fingerprints in the sample that fits the tree.
