@@ -191,3 +191,115 @@ def positions(words: list[bytes], most: int = DEPTH, end: int = 32, classes: np.
     if classes is not None:
         context |= classes.astype(np.uint64)[who] << np.uint64(CLASS_AT)
     return who, context, length, raw[1:]
+
+
+def grams(streams: list[bytes], most: int = DEPTH, end: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of every byte, first key, number of keys of each stream): a key is the ``most`` bytes before a byte and the
+    byte itself, the first highest. Before a stream stand ``most`` end bytes, so every context has its full length."""
+    pad = bytes([end]) * most
+    raw = np.frombuffer(b"".join([x for s in streams for x in (pad, s)]), np.uint8)
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+    if not len(raw):
+        return np.zeros(0, np.uint64), sizes, sizes
+    keys = np.zeros(len(raw) - most, np.uint64)
+    for d in range(most + 1):
+        keys = keys << np.uint64(8) | raw[d : d + len(keys)]
+    inside = np.ones(len(keys), bool)
+    ends = (sizes + most).cumsum() - most  # where the keys of a stream end that would read the next one's end bytes
+    for d in range(most):
+        inside[(ends + d)[ends + d < len(keys)]] = False
+    return keys[inside], sizes.cumsum() - sizes, sizes
+
+
+class Level:
+    """Binary cells of the contexts of one depth: names (context above node), counts, and what the weighting makes of
+    them. Cells without counts belong to bytes that are scored but were never met in training."""
+
+    def __init__(self, names: np.ndarray, zeros: np.ndarray, ones: np.ndarray, least: int):
+        self.names, self.zeros, self.ones = names, zeros, ones
+        whole = np.searchsorted(names, names & ~np.uint64(255) | np.uint64(1))  # node 1 holds the context's count
+        self.kept = (zeros + ones)[whole] >= least
+        self.there = self.kept & (zeros + ones > 0)
+
+    def weigh(self, child_zeros: np.ndarray, child_ones: np.ndarray, below: np.ndarray) -> None:
+        """The weighting, from what the kept contexts of one more byte hold and the log of their product."""
+        own = log_kt(self.zeros, self.ones)
+        rest = self.zeros - child_zeros, self.ones - child_ones
+        inner = child_zeros + child_ones > 0
+        both = np.logaddexp(own, below + log_kt(*rest)) + _HALF
+        self.weighted = np.where(inner, both, own)
+        self.stop = np.where(inner, np.exp(np.minimum(own + _HALF - both, 0)), 1.0)
+        self.own = (self.ones + 0.5) / (self.zeros + self.ones + 1)
+        self.rest = (rest[1] + 0.5) / (rest[0] + rest[1] + 1)
+
+    def upward(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts and logs of the kept cells, summed over the cells of one byte less (numbers ``at``)."""
+        k = self.kept
+        return tuple(np.bincount(at[k], x[k], n) for x in (self.zeros, self.ones, self.weighted))
+
+    def mix(self, before: np.ndarray, share: np.ndarray, best: np.ndarray) -> None:
+        """The mixture down to here: ``before`` what shallower contexts give and ``share`` what they leave, ``best`` the
+        mixture of the parent, which holds where this cell is not there."""
+        self.best = np.where(self.there, before + share * (self.stop * self.own + (1 - self.stop) * self.rest), best)
+        self.before, self.share = before + share * self.stop * self.own, share * (1 - self.stop)
+
+
+def shorter(names: np.ndarray, depth: int) -> np.ndarray:
+    """Cell names with their contexts cut to ``depth`` bytes."""
+    return names & np.uint64((1 << 8 * (depth + 1)) - 1)
+
+
+def _merge(names: np.ndarray, *values: np.ndarray) -> tuple:
+    names, at = np.unique(names, return_inverse=True)
+    return names, at, *(np.bincount(at, v, len(names)) for v in values)
+
+
+class Branches:
+    """The contexts of over ``stem`` bytes of all keys whose contexts end in some set of stems: a part of the tree that
+    needs nothing from other parts but what the levels up to ``stem`` bytes say."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, least: int, stem: int, most: int = DEPTH):
+        byte = keys & np.uint64(255)
+        node = np.uint64(1) << np.arange(8, dtype=np.uint64) | byte[:, None] >> np.arange(8, 0, -1).astype(np.uint64)
+        one = (byte[:, None] >> np.arange(7, -1, -1).astype(np.uint64) & np.uint64(1)).ravel().astype(np.float64)
+        self.bit, n = one, np.repeat(counts.astype(np.float64), 8)
+        names, self.at, zeros, ones = _merge((keys[:, None] & ~np.uint64(255) | node).ravel(), n * (1 - one), n * one)
+        self.levels, self.up = [Level(names, zeros, ones, least)], []
+        for d in range(most - 1, stem - 1, -1):
+            names, at, zeros, ones = _merge(shorter(names, d), zeros, ones)
+            self.up.append(at)
+            self.levels.append(Level(names, zeros, ones, least))
+        none = np.zeros(len(self.levels[0].names))
+        self.sums = none, none, none
+        for level, at, above in zip(self.levels, self.up, self.levels[1:]):
+            level.weigh(*self.sums)
+            self.sums = level.upward(at, len(above.names))
+
+    def bits(self, top: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Code length of each key, given the cells of ``stem`` bytes: names, before, share, best."""
+        where = np.searchsorted(top[0], self.levels[-1].names)
+        before, share, best = (x[where] for x in top[1:])
+        for level, at in zip(self.levels[-2::-1], self.up[::-1]):
+            level.mix(before[at], share[at], best[at])
+            before, share, best = level.before, level.share, level.best
+        p = best[self.at]
+        return -np.log2(np.where(self.bit == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+
+
+def trunk(names: np.ndarray, zeros: np.ndarray, ones: np.ndarray, sums: tuple, least: int, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, before, share, best) of the cells of ``stem`` bytes, sorted by name, from what all branches sum to."""
+    levels, ups = [Level(names, zeros, ones, least)], []
+    for d in range(stem - 1, -1, -1):
+        names, at, zeros, ones = _merge(shorter(names, d), zeros, ones)
+        ups.append(at)
+        levels.append(Level(names, zeros, ones, least if d else 0))
+    for i, level in enumerate(levels):
+        level.weigh(*sums)
+        if i < len(ups):
+            sums = level.upward(ups[i], len(levels[i + 1].names))
+    n = len(levels[-1].names)
+    before, share, best = np.zeros(n), np.ones(n), np.full(n, 0.5)  # no counts at all: a half
+    levels[-1].mix(before, share, best)
+    for level, above, at in zip(levels[-2::-1], levels[:0:-1], ups[::-1]):
+        level.mix(above.before[at], above.share[at], above.best[at])
+    return levels[0].names, levels[0].before, levels[0].share, levels[0].best

@@ -1,36 +1,37 @@
 """Operator 9: language-model scores by context-tree weighting, beside an add-one word model.
 
-A text is coded as its class (one of at most CLASSES, at a cost of log2 CLASSES bits), then the sequence of its words,
-each closed by an end byte, and one last end. The class is the nearest of a few centroids of hashed byte runs, fitted
-on a bounded sample; each class has its own trees. Words are counted by class once over the corpus; byte contexts are
-counted from the counted words, so the work on contexts follows the number of different words. The trees keep every
-context that is frequent enough (a share of all bytes, so their size has a bound that does not depend on the corpus).
-Every different word is scored once. Frequent words' scores are broadcast; the others' are joined.
+A text is coded as one stream of bytes: its lower-case words, each closed by an end byte, and one last end. The context
+of a byte is the DEPTH bytes before it, over the ends of words; DEPTH end bytes stand before a text. Every different
+(context, byte) is counted once over the corpus and scored once. The tree keeps every context that MIN_COUNT training
+bytes follow, whatever their share. It is never in one place: its branches are cut by the last STEM + 1 bytes of the
+context and weighed in shards; the contexts of at most STEM bytes are weighed on the driver and broadcast. Frequent
+keys' and words' scores are broadcast; the others' are joined.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import arrow_map, sample_rows, slices, stage, texts
-from quantloom.llm.context_tree import DEPTH, ContextTree, mask, positions
-
-#: A context is kept if at least 1/SHARE of all training bytes follow it (and MIN_COUNT bytes): at most SHARE contexts
-#: of each depth, with at most 256 next bytes each.
-SHARE, MIN_COUNT = 1 << 16, 3
-#: Words whose counts and scores are broadcast, at most; all others are joined.
-HEAD_WORDS = 1 << 18
-#: Document classes, the sample they are fitted on, and the buckets (2^10) of the hashed byte runs.
-CLASSES, CLASS_SAMPLE, BUCKETS = 12, 1024, 1024
-#: Different words that a task counts before it hands the counts on.
-FLUSH_WORDS = 250_000
+from quantloom.llm.common import slices, stage, texts
+from quantloom.llm.context_tree import DEPTH, Branches, Table, grams, trunk
+
+#: A context is kept if at least so many training bytes follow it.
+MIN_COUNT = 3
+#: Bytes of context that the driver's part of the tree has: at most 2^16 contexts with 255 binary decisions each, and no
+#: more than the corpus has different three-byte strings.
+STEM = 2
+#: Keys that a shard of the tree should hold.
+SHARD_KEYS = 150_000
+#: Words and keys whose scores are broadcast, at most; all others are joined.
+HEAD_WORDS, HEAD_GRAMS = 1 << 18, 1 << 20
+#: Different words or keys that a task counts before it hands the counts on, and bytes of text that it sorts at once.
+FLUSH_WORDS, FLUSH_GRAMS, CHUNK_BYTES = 250_000, 1_000_000, 2 << 20
 LOG10_2 = float(np.log10(2.0))
 
 
@@ -44,59 +45,28 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _shape(words: list[bytes]) -> np.ndarray:
-    """Damped counts of hashed runs of three bytes over the whole text, of unit length."""
-    raw = np.frombuffer(b" " + b" ".join(words) + b"  ", np.uint8).astype(np.uint32)
-    runs = (raw[:-2] * np.uint32(0x9E3779B1) ^ raw[1:-1] * np.uint32(0x85EBCA77) ^ raw[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(22)
-    x = np.sqrt(np.bincount(runs, minlength=BUCKETS)).astype(np.float32)
-    return x / max(float(np.linalg.norm(x)), 1e-9)
+def stream_of(words: list[bytes]) -> bytes:
+    """The coded bytes: each word and an end byte, then one last end."""
+    return b" ".join([*words, b" "])
 
 
-def train_classes(docs: DataFrame) -> np.ndarray:
-    """Centroids of hashed byte-run counts (classes x buckets), by spherical k-means on at most CLASS_SAMPLE training texts."""
-    ids = sample_rows(docs.where("not held_out and doc_id is not null").select("doc_id").distinct(), "doc_id", CLASS_SAMPLE)
-    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi")  # CLASS_SAMPLE rows at most
-    made = arrow_map(chosen, lambda part: {"doc_id": part.column("doc_id"), "x": [_shape(words_of(t)) for t in part.column("text").to_pylist()]}, "doc_id long, x array<float>")
-    got = made.orderBy("doc_id").limit(2 * CLASS_SAMPLE).toArrow().column("x").to_pylist()
-    if not got:
-        return np.zeros((1, BUCKETS), np.float32)
-    x = np.array(got, np.float32)
-    centres = [x[0]]
-    while len(centres) < min(CLASSES, len(x)):  # the farthest from those before
-        centres.append(x[int((x @ np.array(centres).T).max(axis=1).argmin())])
-    c = np.array(centres)
-    for _ in range(12):
-        own = (x @ c.T).argmax(axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
-        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    return c
-
-
-def class_of(words: list[bytes], centres: np.ndarray) -> bytes:
-    return bytes([int((centres @ _shape(words)).argmax())])
-
-
-def count_words(docs: DataFrame, centres: np.ndarray) -> DataFrame:
-    """(word, n: in all documents, c: in training documents); a class byte stands before each word, and the end of a text
-    is an empty word."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n: in all documents, c: in training documents); the end of a text is an empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[bool, bytes], Counter] = {}
+        sums: dict[bool, Counter] = {False: Counter(), True: Counter()}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (held, kind), mine in sums.items():
+            for held, mine in sums.items():
                 n = pa.array(mine.values(), pa.int64())
-                words = pa.array([kind + w for w in mine], pa.binary())
+                words = pa.array(list(mine), pa.binary())
                 mine.clear()
                 yield pa.RecordBatch.from_arrays([words, n, pa.array(np.zeros(len(n), np.int64)) if held else n], ["word", "n", "c"])
 
         for part in slices(batches, 64):
             for text, held in zip(part.column("text").to_pylist(), part.column("held_out").to_pylist(), strict=True):
-                words = words_of(text)
-                mine = sums.setdefault((held, class_of(words, centres)), Counter())
-                mine.update(words)
-                mine[b""] += 1  # the end: no word is empty
+                sums[held].update(words_of(text))
+                sums[held][b""] += 1  # the end: no word is empty
             if sum(map(len, sums.values())) > FLUSH_WORDS:
                 yield from out()
         yield from out()
@@ -104,65 +74,84 @@ def count_words(docs: DataFrame, centres: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def _positions(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    words = part.column("word").to_pylist()
-    return positions([w[1:] for w in words], DEPTH, classes=np.fromiter((w[0] for w in words), np.uint8, len(words)))
+def count_grams(docs: DataFrame) -> DataFrame:
+    """(key, n: in all documents, c: in training documents) of every byte with its context."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[bool, list[bytes]] = {False: [], True: []}
+        sums: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
 
-def context_counts(words: DataFrame) -> DataFrame:
-    """(key, n): training counts of (longest context, next byte), the context packed above the byte and its length on top."""
+        def merge(held: bool) -> int:
+            keys, at = np.unique(np.concatenate([k for k, _ in sums[held]]), return_inverse=True)
+            sums[held] = [(keys, np.bincount(at, np.concatenate([n for _, n in sums[held]]), len(keys)).astype(np.int64))]
+            return len(keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 50_000):
-            count = part.column("c").to_numpy()
-            who, context, length, byte = _positions(part)
-            # an empty word is the end of a text: its one byte is an end byte after an end byte
-            key = length.astype(np.uint64) << np.uint64(56) | context << np.uint64(8) | byte.astype(np.uint64)
-            keys, at = np.unique(key, return_inverse=True)
-            total = np.bincount(at, count[who].astype(np.float64), len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total)], ["key", "n"])
-
-    return words.where("c > 0").select("word", "c").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def train_tree(words: DataFrame) -> ContextTree:
-    """The frozen tree of a word table. Depth by depth, counts are summed over the context's last byte; the contexts
-    over the threshold come to the driver: SHARE * (DEPTH + 1) at most."""
-    longest = stage(context_counts(words), "contexts")
-    total = longest.select(F.sum("n")).first()[0] or 0
-    least = max(MIN_COUNT, -(-total // SHARE))
-    length, body = F.shiftrightunsigned("key", 56), F.col("key").bitwiseAND((1 << 56) - 1)
-    rows = longest.select(length.alias("length"), F.shiftrightunsigned(body, 8).alias("context"), body.bitwiseAND(255).alias("byte"), "n")
-    kept = deeper = None
-    for d in range(DEPTH, -1, -1):
-        # contexts of this depth: those cut down from deeper ones, and the words' beginnings that are just so long
-        here = rows.where(F.col("length") == d).select("context", "byte", "n")
-        if deeper is not None:
-            here = here.union(deeper.select(F.col("context").bitwiseAND(mask(d)), "byte", "n"))
-        # one exchange by context serves both sums, and the next depth reuses it
-        deeper = here.repartition("context").groupBy("context", "byte").agg(F.sum("n").alias("n"))
-        often = deeper.groupBy("context").agg(F.sum("n").alias("all"), F.collect_list(F.struct("byte", "n")).alias("next"))  # 256 next bytes at most
-        found = often.where((F.col("all") >= least) | F.lit(d == 0)).select(F.lit(d).alias("depth"), "context", "next")
-        kept = found if kept is None else kept.union(found)
-    got = kept.select("depth", "context", F.explode("next").alias("x")).select("depth", "context", "x.byte", "x.n").toArrow()
-    depth, context, byte, n = (got.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "byte", "n"))
-    return ContextTree(depth, context.astype(np.uint64), byte, n)
-
-
-def score_words(spark: SparkSession, words: DataFrame, tree: ContextTree) -> DataFrame:
-    """``words`` with bits: the code length of the word and of the end byte after it."""
-    shared = spark.sparkContext.broadcast(tree)
+        def sort(held: bool) -> None:
+            sums[held].append(np.unique(grams(waiting[held])[0], return_counts=True))
+            waiting[held] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 16_000):
-            who, context, length, byte = _positions(part)
-            key = length.astype(np.uint64) << np.uint64(56) | context << np.uint64(8) | byte.astype(np.uint64)
-            keys, at = np.unique(key, return_inverse=True)
-            log2 = shared.value.log2(keys >> np.uint64(8) & np.uint64((1 << 48) - 1), (keys >> np.uint64(56)).astype(np.int64), (keys & np.uint64(255)).astype(np.uint8))
-            bits = -np.bincount(who, log2[at], part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bits)], [*part.schema.names, "bits"])
+        def out(held: bool) -> Iterator[pa.RecordBatch]:
+            for keys, n in sums[held]:
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(n * 0 if held else n)], ["key", "n", "c"])
+            sums[held] = []
 
-    return words.mapInArrow(run, words.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", bits double")
+        size = {False: 0, True: 0}
+        for part in slices(batches, 64):
+            for text, held in zip(part.column("text").to_pylist(), part.column("held_out").to_pylist(), strict=True):
+                waiting[held].append(stream_of(words_of(text)))
+                size[held] += len(waiting[held][-1])
+                if size[held] > CHUNK_BYTES:
+                    size[held] = 0
+                    sort(held)
+                    if sum(len(k) for k, _ in sums[held]) > FLUSH_GRAMS and merge(held) > FLUSH_GRAMS // 2:
+                        yield from out(held)
+        for held in sums:
+            sort(held)
+            merge(held)
+            yield from out(held)
+
+    return docs.mapInArrow(run, "key long, n long, c long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+
+
+def score_grams(counts: DataFrame) -> DataFrame:
+    """(key, n, bits) for all counted keys: their code length by the frozen tree. All keys of a stem meet in one shard."""
+    shards = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // SHARD_KEYS))
+    stem = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * (STEM + 1)) - 1)
+    dealt = counts.repartition(shards, stem)
+
+    def branches(batches: Iterator[pa.RecordBatch]) -> tuple[Branches, pa.Table] | None:
+        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        return table and (Branches(table.column("key").to_numpy().view(np.uint64), table.column("c").to_numpy(), MIN_COUNT, STEM), table)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := branches(batches):
+            top = got[0].levels[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(top.names.view(np.int64)), *map(pa.array, (top.zeros, top.ones, *got[0].sums))], ["name", *columns])
+
+    columns = ["zeros", "ones", "child_zeros", "child_ones", "below"]
+    parts = dealt.mapInArrow(weigh, "name long, " + ", ".join(f"{c} double" for c in columns))
+    rows = parts.groupBy("name").agg(*(F.sum(c).alias(c) for c in columns)).orderBy("name").toArrow()
+    zeros, ones, *sums = (rows.column(c).to_numpy() for c in columns)
+    shared = counts.sparkSession.sparkContext.broadcast(trunk(rows.column("name").to_numpy().view(np.uint64), zeros, ones, tuple(sums), MIN_COUNT, STEM))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := branches(batches):
+            table = got[1].select(["key", "n"]).append_column("bits", pa.array(got[0].bits(shared.value)))
+            yield from table.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    return dealt.mapInArrow(code, "key long, n long, bits double")
+
+
+def head_of(table: DataFrame, room: int) -> DataFrame:
+    """The most frequent rows by ``n``, ``room`` at most; which rows are broadcast changes no result."""
+    level = F.floor(F.log2("n") * 4).cast("int")
+    sizes = sorted((r[0], r[1]) for r in table.groupBy(level).count().collect())  # one row for each quarter of a power of 2
+    least = sizes[-1][0] + 1 if sizes else 0
+    for k, m in reversed(sizes):
+        if m > room:
+            break
+        least, room = k, room - m
+    return table.where(level >= least)
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,74 +164,71 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """
     spark = df.sparkSession
     docs = texts(df, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))
-    centres = train_classes(docs)
-    counts = stage(count_words(docs, centres), "words")
-    plain = F.expr("substring(word, 2)")
-    totals = stage(counts.groupBy(plain.alias("plain")).agg(F.sum("c").alias("c_all")), "totals")
-    train = totals.where("c_all > 0").agg(F.coalesce(F.sum("c_all"), F.lit(0)), F.count("*")).first()
+    words = stage(count_words(docs), "words")
+    train = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = int(train[0]), int(train[1])
-    words = score_words(spark, counts, train_tree(counts)).withColumn("plain", plain).join(totals, "plain").select("word", "n", F.col("c_all").alias("c"), "bits")
-    words = stage(words, "scored-words")
-    level = F.floor(F.log2("n") * 4).cast("int")
-    sizes = sorted((r[0], r[1]) for r in words.groupBy(level).count().collect())  # one row for each quarter of a power of 2
-    least, room = sizes[-1][0] + 1 if sizes else 0, HEAD_WORDS
-    for k, m in reversed(sizes):
-        if m > room:
-            break
-        least, room = k, room - m
-    head = words.where(level >= least)  # HEAD_WORDS at most; which words are broadcast changes no result
-    top = head.select("word", "c", "bits").toArrow()
-    c = top.column("c").to_numpy()
-    shared = spark.sparkContext.broadcast((top.column("word").to_pylist(), np.stack([np.log10(c + 1.0), c > 0, top.column("bits").to_numpy()], axis=1)))
-    del top
+    coded = stage(score_grams(stage(count_grams(docs), "grams")), "scored-grams")
+    top = head_of(words, HEAD_WORDS).select("word", "c").toArrow()
+    often = head_of(coded, HEAD_GRAMS).select("key", "bits").toArrow()
+    shared = spark.sparkContext.broadcast((top.column("word").to_pylist(), top.column("c").to_numpy(), often.column("key").to_numpy(), often.column("bits").to_numpy()))
+    del top, often
     index: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, value = shared.value
+        names, c, keys, bits = shared.value
         if not index:
-            for i, name in enumerate(names):
-                index.setdefault(name[:1], {})[name[1:]] = i
-        for part in slices(batches, 256):
-            n_tokens, n_bytes, sums, rare, rare_n, sizes = [], [], [], [], [], [0]
+            index["words"] = {name: i for i, name in enumerate(names)}
+            index["grams"] = Table(keys.view(np.uint64) + np.uint64(1))
+        get, find = index["words"].get, index["grams"].find
+        value = np.stack([np.log10(c + 1.0), c > 0], axis=1)
+        for part in slices(batches, 32):
+            n_tokens, n_bytes, sums, streams, rare, rare_n, sizes = [], [], [], [], [], [], [0]
             for text in part.column("text").to_pylist():
                 found = words_of(text)
-                kind = class_of(found, centres)
+                streams.append(stream_of(found))
                 found.append(b"")
-                get = index.get(kind, {}).get
                 at = [get(w, -1) for w in found]
                 other = Counter([w for w, i in zip(found, at, strict=True) if i < 0])
                 there = np.array(at, np.int64)
                 there = there[there >= 0]
-                sums.append(value[there].sum(0) if len(value) else np.zeros(3))
-                rare += [kind + w for w in other]
+                sums.append(value[there].sum(0) if len(value) else np.zeros(2))
+                rare += other
                 rare_n += other.values()
                 sizes.append(len(rare))
                 n_tokens.append(len(found))
-                n_bytes.append(sum(map(len, found)) + len(found))
-            total3 = np.array(sums).reshape(-1, 3)
+                n_bytes.append(len(streams[-1]))
+            total2 = np.array(sums).reshape(-1, 2)
             pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(rare_n, pa.int64())], ["word", "k"])
+            key, first, _ = grams(streams)
+            at = find(key + np.uint64(1))
+            code = np.append(bits, 0.0)[at]  # 0 for those that are joined
+            new = np.flatnonzero(at < 0)
+            cut = np.searchsorted(new, np.append(first, len(key)))
+            kinds = [np.unique(key[new[a:b]], return_counts=True) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            more = pa.StructArray.from_arrays([pa.array(np.concatenate([k for k, _ in kinds]).view(np.int64)), pa.array(np.concatenate([n for _, n in kinds]).astype(np.int64))], ["key", "k"])
+            ends = np.cumsum([0, *(len(k) for k, _ in kinds)])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(part.column(c) for c in ("doc_id", "held_out")),
-                    *(pa.array(x, pa.int64()) for x in (n_tokens, n_bytes, total3[:, 1].astype(np.int64))),
-                    *(pa.array(total3[:, i]) for i in (0, 2)),
+                    *(pa.array(x, pa.int64()) for x in (n_tokens, n_bytes, total2[:, 1].astype(np.int64))),
+                    *(pa.array(x) for x in (total2[:, 0], np.add.reduceat(code, first))),
                     pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), more),
                 ],
-                ["doc_id", "held_out", "n_tokens", "n_bytes", "known", "logs", "bits", "rare"],
+                ["doc_id", "held_out", "n_tokens", "n_bytes", "known", "logs", "bits", "rare", "grams"],
             )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, logs double, bits double, rare array<struct<word: binary, k: long>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, logs double, bits double, rare array<struct<word: binary, k: long>>, grams array<struct<key: long, k: long>>"
     parts = stage(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "texts")  # the row number is written, so it stays
     rare = parts.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
-    scored = rare.join(words.select("word", "c", F.col("bits").alias("b")), "word")
     k = F.col("k")
-    more = scored.groupBy("row").agg(
-        F.sum(k * F.log10(F.col("c") + 1.0)).alias("more_logs"), F.sum(F.when(F.col("c") > 0, k).otherwise(0)).alias("more_known"), F.sum(k * F.col("b")).alias("more_bits")
-    )
+    more = rare.join(words.select("word", "c"), "word").groupBy("row").agg(F.sum(k * F.log10(F.col("c") + 1.0)).alias("more_logs"), F.sum(F.when(F.col("c") > 0, k).otherwise(0)).alias("more_known"))
+    other = parts.select("row", F.explode("grams").alias("r")).select("row", F.col("r.key").alias("key"), F.col("r.k").alias("k"))
+    joined = other.join(coded.select("key", F.col("bits").alias("b")), "key").groupBy("row").agg(F.sum(k * F.col("b")).alias("more_bits"))
     base = float(np.log10(total + kinds + 1.0))
     zero = F.lit(0.0)
-    bits = F.col("bits") + F.coalesce("more_bits", zero) + F.lit(math.log2(len(centres)))
-    return parts.drop("rare").join(more, "row", "left").select(
+    bits = F.col("bits") + F.coalesce("more_bits", zero)
+    return parts.drop("rare", "grams").join(more, "row", "left").join(joined, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -283,6 +283,37 @@ def test_language_model(documents, texts_by_row, empty):
     assert language_model.score(empty).count() == 0
 
 
+def whole_tree(streams):
+    """The tree of all byte contexts, in one place, without a bound by share."""
+    rows = Counter()
+    for s in streams:
+        s = b" " * 5 + s
+        rows.update((d, int.from_bytes(s[i - d : i], "big"), s[i]) for i in range(5, len(s)) for d in range(6))
+    often = Counter()
+    for (d, c, _), n in rows.items():
+        often[d, c] += n
+    a = np.array([(d, c, b, n) for (d, c, b), n in rows.items() if d == 0 or often[d, c] >= 3])
+    return context_tree.ContextTree(a[:, 0], a[:, 1].astype(np.uint64), a[:, 2], a[:, 3])
+
+
+def tree_score(tree, stream):
+    s = b" " * 5 + stream
+    c = np.array([int.from_bytes(s[i - 5 : i], "big") for i in range(5, len(s))], np.uint64)
+    return tree.log2(c, np.full(len(stream), 5), np.frombuffer(stream, np.uint8)).sum() * math.log10(2)
+
+
+def test_language_model_keeps_every_context(documents, texts_by_row, spark, monkeypatch):
+    rows = [*texts_by_row, *((1000 + i, "common text " * 6000) for i in range(9)), *((2000 + i, "quixotry zyx") for i in range(4))]
+    learnt = [language_model.stream_of(language_model.words_of(t)) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    tree = whole_tree(learnt)
+    monkeypatch.setattr(language_model, "HEAD_GRAMS", 200)
+    got = by_id(language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    for i, t in rows:
+        want = tree_score(tree, language_model.stream_of(language_model.words_of(t)))
+        assert any(abs(r.score - want) < 1e-4 * abs(want) for r in got[i])
+    assert got[2000][0].bits_per_byte < 3  # four among 650,000 bytes
+
+
 def test_context_tree_is_a_distribution():
     words = [b"the", b"then", b"abba", b"ab", b"the"] * 5
     who, context, length, byte = context_tree.positions(words, 3)
