@@ -314,6 +314,14 @@ def test_language_model_keeps_every_context(documents, texts_by_row, spark, monk
     assert got[2000][0].bits_per_byte < 3  # four among 650,000 bytes
 
 
+def test_language_model_reads_word_order(spark):
+    fluent = "one two three four five six seven eight nine ten eleven twelve"
+    mixed = "seven one ten four two twelve nine three eleven five eight six"
+    rows = [*((i, fluent) for i in range(40)), (100, mixed)]
+    got = by_id(language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[100][0].base_score == pytest.approx(got[0][0].base_score) and got[100][0].score < got[0][0].score - 3
+
+
 def test_context_tree_is_a_distribution():
     words = [b"the", b"then", b"abba", b"ab", b"the"] * 5
     who, context, length, byte = context_tree.positions(words, 3)
