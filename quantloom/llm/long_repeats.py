@@ -15,10 +15,12 @@ each task: nothing is capped or sampled.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ from quantloom.llm.common import arrow_map, slices, stage, texts
 from quantloom.llm.run_index import RunIndex
 
 LENGTH, GRAM = 400, 64
+#: Words of a repeated passage, at least, and bytes of a word's code.
+PASSAGE_WORDS, CODE = 51, 4
+_TOKEN = re.compile(rb"\S+")  # parted by the six ASCII white-space bytes
 #: Bytes of context that a shard should hold, and that one anchor may bring to it.
 SHARD_BYTES, ANCHOR_BYTES = 4 << 20, 8 << 20
 #: Texts are winnowed in blocks of so many strings.
@@ -136,15 +141,24 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("key", key_of(F.col("doc_id"), F.col("text")))
 
 
-def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, candidates, marks): rows (key, doc_id, n_bytes, sha256) for all rows, candidates (key, doc_id, text) for
+def _utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def word_codes(text: str) -> bytes:
+    """CODE bytes for each word, so that repeats can be counted in words."""
+    return b"".join([xxhash.xxh32_digest(w) for w in _utf8(text).split()])
+
+
+def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, encode: Callable[[str], bytes] = _utf8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Repeats in the bytes that ``encode`` makes of a text. (rows, candidates, marks): rows (key, doc_id, n_bytes, sha256) for all rows, candidates (key, doc_id, text) for
     those with a repeated anchor, marks (key, spans array<struct<first, last>>) of strings that begin at first to last."""
     docs = _keyed(df, id_col, text_col)
 
     def anchors(part: pa.RecordBatch) -> dict:
         out: dict = {"n_bytes": [], "sha256": [], "place": [], "hash": []}
         for text in part.column("text").to_pylist():
-            data = text.encode("utf-8", "surrogatepass")
+            data = encode(text)
             place, value, _, _ = winnow(data, length, gram)
             out["n_bytes"].append(len(data))
             out["sha256"].append(hashlib.sha256(data).hexdigest())
@@ -163,7 +177,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for part in slices(batches, 64):
             out: dict = {k: [] for k in ("key", "first", "hash", "name", "context")}
             for key, text, at in zip(*(part.column(c).to_pylist() for c in ("key", "text", "places")), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+                data = encode(text)
                 for h, lo, hi in contexts(data, np.array(at, np.int64), length, gram):
                     piece = data[lo : hi + length]
                     out["key"].append(key)
@@ -295,3 +309,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "kept_text",
         "key",
     )
+
+
+def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
+    """(key, kept_text) of the texts that hold a run of ``words`` words which also starts anywhere else, without all such
+    runs and the white space after them. White space between words may differ."""
+    _, candidates, marks = find_repeats(df, id_col, text_col, words * CODE, encode=word_codes)
+
+    def make(part: pa.RecordBatch) -> dict:
+        kept = []
+        for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+            data = _utf8(text)
+            # runs that begin with a word: bytes may match between words, where all but one of the words are equal
+            whole = [(a, b) for s in spans if (a := -(-s["first"] // CODE)) <= (b := s["last"] // CODE)]
+            at = [m.start() for m in _TOKEN.finditer(data)] + [len(data)] if whole else []
+            kept.append(without(data, [(at[a], at[b]) for a, b in removed_spans(whole, words)]).decode("utf-8", "replace") if whole else None)
+        return {"key": part.column("key"), "kept_text": kept}
+
+    return arrow_map(candidates.join(marks, "key"), make, "key binary, kept_text string", rows=128)
