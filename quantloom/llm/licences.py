@@ -1,13 +1,16 @@
 """Operator 8: licence scans by the Dice coefficient over word bigrams.
 
-Every line of a text, and every run of lines between empty ones, is normalised and compared with licence templates. The
-Dice coefficient of two bigram sets of sizes a and b is at most 2 min(a, b) / (a + b), so a unit is compared with those
-templates alone whose size allows the threshold; among these, templates that share no bigram are never touched.
+Every run of words of a text, over ends of lines and blocks, is a window that is compared with the licence templates. The
+Dice coefficient of two bigram sets of sizes a and b is at most 2 min(a, b) / (a + b), so a template is compared with
+windows of those sizes alone that allow the threshold, and only where enough of its bigrams lie together. A window that
+doesn't begin and end with a bigram of the template is never better than a shorter one, so it is left out. Of windows
+that overlap, the one whose shared bigrams most outnumber the others stays.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -88,6 +91,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("proprietary", "All rights reserved."),
 )
 
+#: A reservation is the licence of a text only if no grant is found.
+RESERVED = "proprietary"
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -124,36 +129,57 @@ class Scanner:
         top = max(((2 * n / (a + len(self.sets[i])), -i) for i, n in shared.items()), default=(0.0, 0))
         return (top[0], -top[1]) if top[0] >= self.threshold else None
 
-    def fits(self, unit: str) -> bool:
-        """False if the unit has too many bigrams for every template: each distinct pair of space-parted pieces that
-        hold a letter or digit brings a bigram of its own (pieces without any are left out of the count)."""
-        if len(unit) < 2 * self.most:
-            return True
-        plain = [w for w in unit.lower().split() if w.isalnum()]
-        return len(set(plain)) <= self.most
+    def windows(self, words: list[str], template: int, hits: list[int]) -> list[tuple[int, int, int, float, float]]:
+        """(start, end, template, Dice, margin) of the best window from each start; ``hits`` are the places of the
+        template's bigrams, that of the first word's mark being its own."""
+        own, size = self.sets[template], len(self.sets[template])
+        most, least = int(size * (2 - self.threshold) / self.threshold), size * self.threshold / (2 - self.threshold)
+        out = []
+        for i in hits:
+            if bisect_left(hits, i + most) - bisect_left(hits, i) < least - 2:  # the marks may be the two others
+                continue
+            seen, shared, best = {("", words[i])}, int(("", words[i]) in own), None
+            for j in range(i, min(len(words), i + most)):
+                if j > i and (pair := (words[j - 1], words[j])) not in seen:
+                    seen.add(pair)
+                    shared += pair in own
+                n = shared + ((words[j], "") in own)
+                dice = 2 * n / (len(seen) + 1 + size)
+                if dice >= self.threshold and (best is None or dice > best[3]):
+                    best = (i, j + 1, template, dice, 3 * n - len(seen) - 1 - size)
+            if best:
+                out.append(best)
+        return out
 
     def scan(self, text: str) -> list[tuple[int, int, int, float]]:
-        """(start line, end line, template, Dice) of matching lines, and of blocks whose lines don't match alone."""
-        found: list[tuple[int, int, int, float]] = []
-        block: list[str] = []
-        lines = text.split("\n")
-        for i, line in enumerate([*lines, ""]):
-            if line.strip():
-                block.append(line)
-                if self.fits(line) and (got := self.best(line)):
-                    found.append((i, i + 1, got[1], got[0]))
-            else:
-                joined = " ".join(block)
-                if len(block) > 1 and not any(s >= i - len(block) for s, _, _, _ in found) and self.fits(joined) and (got := self.best(joined)):
-                    found.append((i - len(block), i, got[1], got[0]))
-                block = []
-        return found
+        """(first word, end, template, Dice) of matching windows that don't overlap."""
+        words = _WORD.findall(text.lower())
+        if not words:
+            return []
+        known = self.by_bigram
+        shared: Counter[int] = Counter()
+        for pair in set(zip(words, words[1:])) & known.keys():
+            shared.update(known[pair])
+        for i, s in enumerate(self.sets):
+            if len(s) <= 3:  # a template of one or two words may match by its marks
+                shared[i] += 2
+        found = []
+        for i, n in shared.items():
+            own = self.sets[i]
+            if n >= len(own) * self.threshold / (2 - self.threshold) - 2:
+                hits = [k for k, pair in enumerate(zip(words, [*words[1:], ""])) if pair in own or ("", pair[0]) in own]
+                found += self.windows(words, i, hits)
+        chosen: list[tuple[int, int, int, float]] = []
+        for start, end, i, dice, _ in sorted(found, key=lambda f: (-f[4], -f[3], f[0], f[2])):
+            if all(end <= a or b <= start for a, b, _, _ in chosen):
+                chosen.append((start, end, i, dice))
+        return sorted(chosen)
 
 
 def scan_licences(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """One row for each row of ``df``: doc_id, licence (of the best match, ties to the first; null if none), dice,
+    """One row for each row of ``df``: doc_id, licence (of the best match, ties to the first, grants before reservations; null if none), dice,
     n_matches, licences (distinct, sorted).
 
     Whole texts; null, empty and wordless texts match nothing. Repeated rows give equal rows; an empty table none.
@@ -164,7 +190,7 @@ def scan_licences(
         out: dict = {"licence": [], "dice": [], "n_matches": [], "licences": []}
         for text in part.column("text").to_pylist():
             found = scanner.scan(text)
-            top = max(found, key=lambda f: (f[3], -f[0]), default=None)
+            top = max(found, key=lambda f: (scanner.names[f[2]] != RESERVED, f[3], -f[0]), default=None)
             out["licence"].append(scanner.names[top[2]] if top else None)
             out["dice"].append(top[3] if top else 0.0)
             out["n_matches"].append(len(found))

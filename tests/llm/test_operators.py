@@ -283,6 +283,19 @@ def test_language_model(documents, texts_by_row, empty):
     assert language_model.score(empty).count() == 0
 
 
+def test_licences_inside_lines_and_over_blocks():
+    scanner = licences.Scanner()
+    names = lambda t: [scanner.names[f[2]] for f in scanner.scan(t)]
+    bsd3 = next(t for n, t in licences.TEMPLATES if n == "BSD-3-Clause")
+    bsd2 = next(t for n, t in licences.TEMPLATES if n == "BSD-2-Clause")
+    blocks = "Copyright 2020 Foo Inc. All rights reserved.\n\n" + bsd3.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ").replace("the copyright holder nor", "Foo Inc nor")
+    assert names(blocks) == ["proprietary", "BSD-3-Clause"]
+    assert names("some words " + bsd2 + " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS") == ["BSD-2-Clause"]
+    assert names("Copyright 2020 Foo Inc. All rights reserved.") == ["proprietary"]
+    assert names("Licensed under the Apache License, Version 2.0. See LICENSE for details.") == ["Apache-2.0"]
+    assert names("As said, this work is licensed under the GNU General Public License, version 3. Thus it may be shared.") == ["GPL-3.0"]
+
+
 def whole_tree(streams):
     """The tree of all byte contexts, in one place, without a bound by share."""
     rows = Counter()
