@@ -1,4 +1,4 @@
-"""Evaluation statistics, splits and feature selection (EV01-EV17, FS01-FS09)."""
+"""Evaluation statistics, splits and feature selection (EV01-EV17 without EV10 and EV14, FS01-FS09)."""
 
 from __future__ import annotations
 
