@@ -22,8 +22,7 @@ def log_return(df: DataFrame) -> DataFrame:
 
 def standard(df: DataFrame, w: int, norm: int = 1000, norm_least: int = 100) -> DataFrame:
     """F002-F008 for one window: velocity, volatility, trend strength, skew, kurt, autocorrelation, asymmetry, regimes."""
-    h, lo, c, o = (F.col(x) for x in ("high", "low", "close", "open"))
-    range2, body2 = F.pow(positive_log(h / lo), 2), F.pow(positive_log(c / o), 2)
+    range2, body2 = F.pow(positive_log(ratio("high", "low")), 2), F.pow(positive_log(ratio("close", "open")), 2)
     gk = 0.5 * range2 - (2 * math.log(2) - 1) * body2
     path = F.abs(diff("close"))
     one = df.withColumns({"_gk": gk, "_path": path, "_mean": rolling("avg", "log_ret", w), "_up": F.when(F.col("log_ret") > 0, F.col("log_ret")), "_down": F.when(F.col("log_ret") < 0, F.col("log_ret"))})
@@ -223,8 +222,8 @@ def fractional_difference(df: DataFrame, d: float = 0.2, cut: float = 1e-4) -> D
 
 def yang_zhang(df: DataFrame, w: int) -> DataFrame:
     """Yang-Zhang volatility (F056)."""
-    o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    one = df.withColumns({"_on": positive_log(o / lag("close")), "_oc": positive_log(c / o), "_rs": positive_log(h / o) * positive_log(h / c) + positive_log(lo / o) * positive_log(lo / c)})
+    part = lambda a, b: positive_log(ratio(a, b))
+    one = df.withColumns({"_on": part("open", lag("close")), "_oc": part("close", "open"), "_rs": part("high", "open") * part("high", "close") + part("low", "open") * part("low", "close")})
     k = 0.34 / (1.34 + (w + 1) / (w - 1))
     return one.withColumn(f"yang_zhang_{w}", F.sqrt(rolling("var_samp", "_on", w) + k * rolling("var_samp", "_oc", w) + (1 - k) * rolling("avg", "_rs", w))).drop("_on", "_oc", "_rs")
 

@@ -29,6 +29,11 @@ def r(x: str, name: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0.0 AS {name}"
 
 
+def ln(a: str, b: str) -> str:
+    """Logarithm of a / b where that is above zero."""
+    return f"CASE WHEN {a} / nullif({b}, 0) > 0 THEN ln({a} / nullif({b}, 0)) END"
+
+
 RET_SQL = f"{BARS_SQL}, ret AS (SELECT *, CASE WHEN close / nullif({lagged('close')}, 0) > 0 THEN ln(close / nullif({lagged('close')}, 0)) END AS log_ret FROM bars)"
 
 
@@ -42,7 +47,7 @@ def out(df, names, digits=6):
 
 @query(
     "feat_standard",
-    f"""WITH {RET_SQL}, s1 AS (SELECT *, 0.5 * pow(ln(high / low), 2) - {2 * math.log(2) - 1} * pow(ln(close / open), 2) AS gk, abs(close - {lagged('close')}) AS path,
+    f"""WITH {RET_SQL}, s1 AS (SELECT *, 0.5 * pow(CASE WHEN high / nullif(low, 0) > 0 THEN ln(high / nullif(low, 0)) END, 2) - {2 * math.log(2) - 1} * pow(CASE WHEN close / nullif(open, 0) > 0 THEN ln(close / nullif(open, 0)) END, 2) AS gk, abs(close - {lagged('close')}) AS path,
     {over('avg', 'log_ret')} AS m, CASE WHEN log_ret > 0 THEN log_ret END AS up, CASE WHEN log_ret < 0 THEN log_ret END AS down FROM ret),
     s2 AS (SELECT *, sqrt(greatest({over('avg', 'gk')}, 0)) AS vol, CASE WHEN {over('sum', 'path')} = 0 THEN 0 ELSE abs(close - {lagged('close', N)}) / ({over('sum', 'path')}) END AS eff,
     coalesce({over('stddev_samp', 'up', N, 2)}, 0) AS su, coalesce({over('stddev_samp', 'down', N, 2)}, 0) AS sd, log_ret - m AS c FROM s1),
@@ -193,7 +198,7 @@ def feat_fractional_difference(spark, sf_dir):
 
 @query(
     "feat_yang_zhang",
-    f"""WITH {BARS_SQL}, s AS (SELECT *, ln(open / {lagged('close')}) AS a, ln(close / open) AS b, ln(high / open) * ln(high / close) + ln(low / open) * ln(low / close) AS c FROM bars)
+    f"""WITH {BARS_SQL}, s AS (SELECT *, {ln('open', lagged('close'))} AS a, {ln('close', 'open')} AS b, {ln('high', 'open')} * {ln('high', 'close')} + {ln('low', 'open')} * {ln('low', 'close')} AS c FROM bars)
     SELECT series, bar_id, {r(f"sqrt(({over('var_samp', 'a')}) + {0.34 / (1.34 + 26 / 24)!r} * ({over('var_samp', 'b')}) + {1 - 0.34 / (1.34 + 26 / 24)!r} * ({over('avg', 'c')}))", 'yang_zhang_25')} FROM s""",
 )
 def feat_yang_zhang(spark, sf_dir):
