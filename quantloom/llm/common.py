@@ -7,20 +7,31 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one slice that an Arrow function turns into Python objects at once; bounds a worker's memory.
 SLICE_ROWS = 512
 
 
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    A local session that names none gets a folder of its own; on a cluster that would be a folder which other machines
+    don't see, so the setting is required there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quantloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="quantloom-"))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +60,16 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
 
 
+def key_of(doc_id: Column, text: Column) -> Column:
+    """A key that is the same for rows of the same id and text alone; a null text counts as an empty one."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.lit("\0"), F.coalesce(text, F.lit("")))))
+
+
+def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, row): each row whole in a struct, so that none of its columns can clash, beside its ``key_of``."""
+    return df.select(key_of(df[id_col], df[text_col]).alias("key"), F.struct(*[df[c] for c in df.columns]).alias("row"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of at most ``rows`` rows."""
     for batch in batches:
@@ -56,20 +77,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str | StructType, rows: int = SLICE_ROWS) -> DataFrame:
     """``mapInArrow`` of a function from a slice to columns (lists or arrays by name)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, rows):
             columns = make(part)
-            yield pa.RecordBatch.from_arrays(
-                [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in arrow],
-                schema=arrow,
-            )
+            arrays = [x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
 
     return df.mapInArrow(run, schema)
 

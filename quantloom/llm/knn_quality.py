@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quantloom.llm.common import arrow_map, sample_rows, stage, texts
 
@@ -138,23 +139,24 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return fit([(np.asarray(a, np.int64), np.asarray(w, np.float32)) for a, w in zip(got["at"], got["w"], strict=True)], got["y"].to_numpy(np.int64))
 
 
-def score(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row, and the columns named in ``keep``.
+def score(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row; with ``whole`` also the row itself, in a struct ``row``.
 
     The score depends on the text alone: equal texts score equally; null texts count as empty ones, which have a score
-    like any other (their shapes vote). Repeated rows give equal rows; an empty table none.
+    like any other (their shapes vote). Rows of a null id are scored too and are not held out. Other columns, whatever
+    their names, are left out or stay in ``row``. Repeated rows give equal rows; an empty table none.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)  # SAMPLE * LATENT + DIMENSIONS * LATENT numbers
+    rows = documents.select(documents[id_col].cast("long").alias("doc_id"), F.coalesce(documents[text_col], F.lit("")).alias("text"), *([F.struct(*[documents[c] for c in documents.columns]).alias("row")] if whole else []))
+    rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
+    keep = [c for c in rows.columns if c != "text"]
 
     def make(part: pa.RecordBatch) -> dict:
         m = shared.value
         made = [sparse(t) for t in part.column("text").to_pylist()]
         latent = np.stack([_latent(a, w, m["idf"], m["axes"]) for a, w in made]) if made else np.zeros((0, 1), np.float32)
-        return {c: part.column(c) for c in ("doc_id", "held_out", *keep)} | {"score": vote(m, latent)}
+        return {c: part.column(c) for c in keep} | {"score": vote(m, latent)}
 
-    rows = texts(documents, id_col, text_col) if not keep else documents.withColumns({"doc_id": documents[id_col].cast("long"), "text": F.coalesce(documents[text_col], F.lit(""))})
-    rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", "held_out", *keep)) + ", score double"
+    schema = StructType([rows.schema[c] for c in keep]).add("score", "double")
     return arrow_map(rows, make, schema).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))

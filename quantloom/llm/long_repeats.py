@@ -21,10 +21,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import arrow_map, slices, stage, texts
+from quantloom.llm.common import arrow_map, key_of, slices, stage, texts
 from quantloom.llm.run_index import RunIndex
 
 LENGTH, GRAM = 400, 64
@@ -131,11 +131,6 @@ def mark_shard(parts: list[bytes], counts: list[int], length: int = LENGTH) -> l
     return out
 
 
-def key_of(doc_id: Column, text: Column) -> Column:
-    """A key that is the same for rows of the same id and text alone; a null text counts as an empty one."""
-    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.lit("\0"), F.coalesce(text, F.lit("")))))
-
-
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = texts(df, id_col, text_col)
     return rows.withColumn("key", key_of(F.col("doc_id"), F.col("text")))

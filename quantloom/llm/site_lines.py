@@ -82,8 +82,7 @@ def dedup_html(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 def dedup_texts(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO) -> DataFrame:
     """``df`` with boilerplate lines taken out of ``text_col``, each source being a site; other texts stay as they are."""
-    whole = df.withColumns({"__host": F.col(host_col), "__lines": F.split(F.coalesce(text_col, F.lit("")), "\n")})
-    pages = whole.select(F.struct(*df.columns).alias("row"), F.col("__host").alias("host"), F.col("__lines").alias("lines"))
+    pages = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[host_col].alias("host"), F.split(F.coalesce(df[text_col], F.lit("")), "\n").alias("lines"))
     done = drop_boilerplate(pages, ratio)
     text = F.when(F.col("n_dropped") > 0, F.array_join("lines", "\n")).otherwise(F.col("row")[text_col])
     return done.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])
