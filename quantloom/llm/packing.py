@@ -9,6 +9,7 @@ piece's rank finds its slot. Rounding up costs under a half class a piece; finer
 from __future__ import annotations
 
 import zlib
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -18,64 +19,33 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import arrow_map, stage, texts
 from quantloom.llm.cutting_stock import plan
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY, END_ID, CLASSES = 1024, 0, 128
 #: Parts in which the pieces of one class are ranked; a part's first rank comes from the counts of those before.
 RANK_PARTS = 256
-#: The pre-token pattern of the byte-level vocabularies, a fixed value.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_LOADED: dict[str, TextIds] = {}
-
-
-class TextIds:
-    """Ids of texts by a byte-level BPE tokenizer file.
+_LOADED: dict[str, Tokenizer] = {}
 
-    Texts of Latin-1 characters go through a faster encoder of the same vocabulary, where the file's ids follow its
-    merges; the first text of each call is compared with the tokenizers library, which also encodes all other texts.
-    """
 
-    def __init__(self, path: str):
-        import json
+def load(path: str) -> Tokenizer:
+    """The tokenizers library's object of a file, as it is; one for each worker."""
+    if path not in _LOADED:
+        import os
 
-        import tiktoken
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
-        letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
-        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-        plain = merged == sorted(merged) and len(ranks) == 256 + len(merged)
-        self.fast = tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if plain else None
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        if self.fast is not None:
-            for i, text in enumerate(texts):
-                try:
-                    text.encode("latin-1")
-                except UnicodeEncodeError:
-                    continue
-                out[i] = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-            first = next((i for i, x in enumerate(out) if x is not None), None)
-            if first is not None and np.array(self.library.encode(texts[first], add_special_tokens=False).ids, "<u4").tobytes() != out[first]:
-                out = [None] * len(texts)
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        _LOADED[path] = Tokenizer.from_file(path)
+    return _LOADED[path]
 
-def load(path: str) -> TextIds:
-    if path not in _LOADED:
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _LOADED[path] = TextIds(path)
-    return _LOADED[path]
+def ids_of(library: Tokenizer, texts: list[str]) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers; texts that come again are encoded once."""
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    own = sorted(first.values())
+    made = {texts[i]: np.array(e.ids, "<u4").tobytes() for i, e in zip(own, library.encode_batch_fast([texts[i] for i in own], add_special_tokens=False), strict=True)}
+    return [made[t] for t in texts]
 
 
 def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -84,7 +54,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def make(part: pa.RecordBatch) -> dict:
         out: dict = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
         end = END_ID.to_bytes(4, "little")
-        whole = load(tokenizer_path).ids(part.column("text").to_pylist())
+        whole = ids_of(load(tokenizer_path), part.column("text").to_pylist())
         for doc_id, packed in zip(part.column("doc_id").to_pylist(), whole, strict=True):
             packed += end
             n = len(packed) // 4
@@ -97,7 +67,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 out["doc_tokens"].append(n)
         return out
 
-    return arrow_map(texts(df, id_col, text_col), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return arrow_map(texts(df, id_col, text_col), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", rows=128)
 
 
 def slots(histogram: dict[int, int], classes: int = CLASSES) -> list[tuple[int, int, int, int, int, int]]:
