@@ -8,8 +8,9 @@
    sampled run ends, streams the matching statistics and marks matches of LENGTH bytes or more.
 4. Marks come back to their documents, overlap there, and go.
 
-An anchor with more bytes of context than a task should hold is counted by its strings' hashes instead, pre-summed in
-each task: nothing is capped or sampled.
+Of an anchor with more bytes of context than a task should hold, the strings that stand alone are first left out, by
+their hashes, pre-summed in each task; what is left of its contexts goes to the index like any other. Should even that be
+more than a task should hold, the 64-bit hashes decide. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ LENGTH, GRAM = 400, 64
 #: Words of a repeated passage, at least, and bytes of a word's code.
 PASSAGE_WORDS, CODE = 51, 4
 _TOKEN = re.compile(rb"\S+")  # parted by the six ASCII white-space bytes
-#: Bytes of context that a shard should hold, and that one anchor may bring to it.
-SHARD_BYTES, ANCHOR_BYTES = 4 << 20, 8 << 20
+#: Bytes of context that a shard should hold, that one anchor may bring to it, and that the repeated parts of one may.
+SHARD_BYTES, ANCHOR_BYTES, PART_BYTES = 4 << 20, 8 << 20, 16 << 20
 #: Texts are winnowed in blocks of so many strings.
 BLOCK = 1 << 19
 _PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -113,7 +114,11 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mark_shard(parts: list[bytes], counts: list[int], length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(first, last) of the strings of each context that occur more than once in the shard."""
+    """(first, last) of the strings of each context that occur more than once in the shard.
+
+    Equal contexts stand in the index once, with their number: a suffix of a context that occurs again matches its twin
+    to the context's end.
+    """
     if not parts:
         return []
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -124,11 +129,9 @@ def mark_shard(parts: list[bytes], counts: list[int], length: int = LENGTH) -> l
     text += 1
     text[ends] = 0
     match = RunIndex(text).matching_statistics()
-    out = []
-    for end, size, n in zip(ends.tolist(), sizes.tolist(), counts, strict=True):
-        last = size - length
-        out.append((np.array([0]), np.array([last])) if n > 1 else _runs(np.flatnonzero(match[end - size : end - size + last + 1] >= length)))
-    return out
+    twice = np.repeat(np.asarray(counts) > 1, sizes + 1)
+    match = np.where(twice, np.repeat(ends, sizes + 1) - np.arange(len(text)), match)
+    return [_runs(np.flatnonzero(match[end - size : end - length + 1] >= length)) for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -188,53 +191,75 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = pieces.groupBy("hash", "name").agg(F.first("context").alias("context"), F.count("*").alias("n"))
     distinct = stage(distinct, "distinct-contexts")
     size = F.sum(F.octet_length("context") + 1)
-    total = distinct.select(size).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
     hot = stage(distinct.groupBy("hash").agg(size.alias("bytes")).where(F.col("bytes") > ANCHOR_BYTES).select("hash"), "hot-anchors")
-    some_hot = not hot.isEmpty()
-    cold = distinct.join(hot, "hash", "left_anti") if some_hot else distinct
-    schema = "name binary, spans array<struct<first: long, last: long>>"
+    parts = distinct.select("hash", F.col("name").alias("part"), "context", F.lit(0).cast("long").alias("at"), "n")
+    cuts = None
+    if not hot.isEmpty():
+        cuts = stage(_repeated_parts(distinct.join(hot, "hash", "left_semi"), length), "hot-parts")
+        once = cuts.groupBy("hash", "part").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
+        once = stage(once.withColumn("at", F.lit(0).cast("long")), "hot-parts-once")
+        too_many = stage(once.groupBy("hash").agg(size.alias("bytes")).where(F.col("bytes") > PART_BYTES).select("hash"), "hottest-anchors")
+        whole = once.join(too_many, "hash", "left_semi").select("part", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("context") - length).cast("long").alias("last"))).alias("spans"))
+        parts = parts.join(hot, "hash", "left_anti").unionByName(once.join(too_many, "hash", "left_anti"))
+    total = parts.select(size).first()[0] or 0
+    shards = max(1, -(-total // SHARD_BYTES))
     span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def index(table: pa.Table) -> pa.Table:
-        count = np.array(table.column("n").to_pylist(), np.int64)
-        _, group, kinds = np.unique(table.column("hash").to_numpy(), return_inverse=True, return_counts=True)
-        alone = kinds[group] == 1  # the anchor has no other context: the count says all
-        shared = np.flatnonzero(~alone)
-        found = [(np.array([0]), np.array([len(c) - length])) for c in table.column("context").to_pylist()]
-        for i, marked in zip(shared.tolist(), mark_shard(table.column("context").take(pa.array(shared)).to_pylist(), count[shared].tolist(), length), strict=True):
-            found[i] = marked
+        found = mark_shard(table.column("context").to_pylist(), table.column("n").to_pylist(), length)
         spans = [[{"first": a, "last": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)] for x, y in found]
-        return pa.table({"name": table.column("name").combine_chunks(), "spans": pa.array(spans, span)}).filter(pa.array([bool(s) for s in spans], pa.bool_()))
+        return pa.table({"part": table.column("part").combine_chunks(), "spans": pa.array(spans, span)}).filter(pa.array([bool(s) for s in spans], pa.bool_()))
 
     shard = F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int")
-    marks = cold.withColumn("shard", shard).groupBy("shard").applyInArrow(index, schema)
-    if some_hot:
-        marks = marks.union(_count_strings(distinct.join(hot, "hash", "left_semi"), length))
+    marks = parts.select(shard.alias("shard"), "part", "context", "n").groupBy("shard").applyInArrow(index, "part binary, spans array<struct<first: long, last: long>>")
+    if cuts is None:
+        marks = marks.withColumnRenamed("part", "name")
+    else:  # a part's marks count from where it was cut; whole contexts are cut at their start
+        marks = stage(marks.unionByName(whole), "part-marks")
+        moved = F.transform("spans", lambda s: F.struct((s.first + F.col("at")).alias("first"), (s.last + F.col("at")).alias("last")))
+        inner = cuts.select("name", "part", "at").join(marks, "part").select("name", moved.alias("spans")).groupBy("name").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        marks = marks.join(cuts.select("part").distinct(), "part", "left_anti").withColumnRenamed("part", "name").unionByName(inner)
     marks = pieces.select("name", "key", "first").join(marks, "name").select("key", F.explode(F.transform("spans", lambda s: F.struct((s.first + F.col("first")).alias("first"), (s.last + F.col("first")).alias("last")))).alias("span"))
     return rows.select("key", "doc_id", "n_bytes", "sha256"), candidates.select("key", "doc_id", "text"), marks.groupBy("key").agg(F.collect_list("span").alias("spans"))
 
 
-def _count_strings(contexts_: DataFrame, length: int) -> DataFrame:
-    """(name, spans) of contexts under an anchor too frequent for one task: strings counted by two 64-bit hashes."""
+def _repeated_parts(contexts_: DataFrame, length: int) -> DataFrame:
+    """(hash, name, part, at, context, n): the parts of the contexts of a frequent anchor in which every string may be
+    repeated.
+
+    A string whose hash no other string shares is not repeated: it is left out, and with it nearly all that tells the
+    contexts of a common passage apart, so that their parts are few different ones. The index then decides.
+    """
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            names, firsts, a, b, weight = [], [], [], [], []
-            for name, piece, n in zip(*(part.column(c).to_pylist() for c in ("name", "context", "n")), strict=True):
-                raw = np.frombuffer(piece, np.uint8)
-                a.append(rolling(raw, length, 0).view(np.int64))
-                b.append(rolling(raw, length, 1).view(np.int64))
-                names += [name] * len(a[-1])
-                weight += [n] * len(a[-1])
-                firsts.append(np.arange(len(a[-1])))
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(weight, pa.int64())], ["name", "first", "a", "b", "n"])
-
-    rows = contexts_.select("name", "context", "n").mapInArrow(strings, "name binary, first long, a long, b long, n long")
-    more = rows.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
-    found = rows.join(more, ["a", "b"]).groupBy("name").agg(F.collect_list("first").alias("firsts"))
-    return found.select("name", F.transform("firsts", lambda x: F.struct(x.alias("first"), x.alias("last"))).alias("spans"))
+            a = [rolling(np.frombuffer(piece, np.uint8), length).view(np.int64) for piece in part.column("context").to_pylist()]
+            n = np.repeat(part.column("n").to_numpy(), [len(x) for x in a])
+            if a:
+                values, place = np.unique(np.concatenate(a), return_inverse=True)  # pre-summed
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.bincount(place, n).astype(np.int64))], ["string", "n"])
+
+    seen = contexts_.select("context", "n").mapInArrow(strings, "string long, n long").groupBy("string").agg(F.sum("n").alias("n"))
+    seen = stage(seen.where("n > 1").select("string"), "repeated-strings")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            a = [rolling(np.frombuffer(piece, np.uint8), length).view(np.int64) for piece in part.column("context").to_pylist()]
+            many = np.array([len(x) for x in a], np.int64)
+            if a:
+                names = part.column("name").take(pa.array(np.repeat(np.arange(len(a)), many)))
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([np.arange(k) for k in many])), pa.array(np.concatenate(a))], ["name", "first", "string"])
+
+    kept = contexts_.select("name", "context").mapInArrow(places, "name binary, first long, string long").join(seen, "string").groupBy("name").agg(F.collect_list("first").alias("firsts"))
+
+    def cut(part: pa.RecordBatch) -> dict:
+        spans, contexts = [], part.column("context").to_pylist()
+        for firsts in part.column("firsts").to_pylist():
+            spans.append(list(zip(*(x.tolist() for x in _runs(np.sort(np.array(firsts, np.int64)))), strict=True)))
+        return {c: part.column(c) for c in ("hash", "name", "n")} | {"cuts": [[{"at": a, "context": c[a : b + length], "part": hashlib.sha256(c[a : b + length]).digest()[:16]} for a, b in at] for c, at in zip(contexts, spans, strict=True)]}
+
+    done = arrow_map(contexts_.join(kept, "name"), cut, "hash long, name binary, n long, cuts array<struct<at: long, context: binary, part: binary>>", rows=256)
+    return done.select("hash", "name", "n", F.explode("cuts").alias("c")).select("hash", "name", F.col("c.part").alias("part"), F.col("c.at").alias("at"), F.col("c.context").alias("context"), "n")
 
 
 def removed_spans(spans: list[tuple[int, int]], length: int = LENGTH) -> list[tuple[int, int]]:

@@ -95,6 +95,16 @@ class RunIndex:
         self.last_at = np.append(order[down], order[-1])
         self.last_match = np.append(match_lengths(text, order[down], order[down + 1]), 0)
 
+    def text(self) -> np.ndarray:
+        """The indexed text again, from the runs alone (the transform loses nothing); it ends in 0."""
+        left = np.repeat(self.heads, self.lengths)
+        after = np.argsort(left, kind="stable")  # the row of the suffix one to the right
+        out, row = np.zeros(self.n, np.int64), int(after[0])
+        for i in range(self.n - 1):
+            row = int(after[row])
+            out[i] = left[row]
+        return out
+
     def matching_statistics(self) -> np.ndarray:
         """For each text position the longest match of the suffix there with any other suffix, from the samples alone.
 

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from quantloom.llm import (
     common,
@@ -208,7 +209,7 @@ def test_piece_codec(documents, texts_by_row, empty):
 
 
 def test_packing(documents, texts_by_row, empty):
-    library = packing.load(BYTES).library
+    library = Tokenizer.from_file(BYTES)
     rows = packing.pack(documents, BYTES).collect()
     ids = [(i, [*library.encode(t, add_special_tokens=False).ids, 0]) for i, t in texts_by_row]
     total = Counter()
@@ -229,14 +230,15 @@ def test_packing(documents, texts_by_row, empty):
     assert packing.pack(empty, BYTES).count() == 0
 
 
-def test_fast_ids_are_the_librarys():
+def test_ids_are_the_librarys():
     import random
 
-    r, ids = random.Random(2), packing.load(BYTES)
-    alphabet = [chr(i) for i in range(256)] + list("  \n'sll1.<|endoftext|>")
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 80))) for _ in range(3000)] + ["日本 é", ""]
-    want = [np.array(e.ids, "<u4").tobytes() for e in ids.library.encode_batch(texts, add_special_tokens=False)]
-    assert ids.fast is not None and ids.ids(texts) == want
+    r, library = random.Random(2), Tokenizer.from_file(BYTES)
+    alphabet = [chr(i) for i in range(256)] + list("  \n'sll1.<|endoftext|>") + ["<|endoftext|>"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 80))) for _ in range(2000)] + ["日本 é", "", "a <|endoftext|> b", ""]
+    got = packing.ids_of(packing.load(BYTES), texts)
+    assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert np.frombuffer(got[-2], "<u4").tolist() == [64, 220, 50256, 275]
 
 
 def test_cutting_stock():
@@ -362,7 +364,8 @@ def test_run_index():
         assert run_index.suffix_array(t).tolist() == order
         match = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
         want = [max((match(suffix[i], suffix[j]) for j in range(n) if j != i), default=0) for i in range(n)]
-        assert run_index.RunIndex(t).matching_statistics().tolist() == want
+        index = run_index.RunIndex(t)
+        assert index.matching_statistics().tolist() == want and index.text().tolist() == t.tolist() and len(index.heads) <= n
 
 
 def brute_repeats(texts, length):
@@ -378,9 +381,10 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [8 << 20, 2000])
-def test_long_repeats(documents, texts_by_row, empty, monkeypatch, most):
+@pytest.mark.parametrize("most, left", [(8 << 20, 8 << 20), (2000, 8 << 20), (2000, 500)])
+def test_long_repeats(documents, texts_by_row, empty, monkeypatch, most, left):
     monkeypatch.setattr(long_repeats, "ANCHOR_BYTES", most)
+    monkeypatch.setattr(long_repeats, "PART_BYTES", left)
     got = by_id(long_repeats.remove_repeats(documents).collect())
     for (i, t), want in zip(texts_by_row, brute_repeats(texts_by_row, 400)):
         assert any((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t.encode()), *want) for r in got[i])
