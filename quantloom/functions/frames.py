@@ -51,6 +51,11 @@ def frame(n: int, by: str = SERIES, order: str = ORDER) -> WindowSpec:
     return ordered(by, order).rowsBetween(-(n - 1), 0)
 
 
+def time_frame(seconds: float, by: str = SERIES, time: str = "time_end") -> WindowSpec:
+    """The rows of the last ``seconds`` up to this one's time (WN25)."""
+    return Window.partitionBy(by).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-int(seconds * 1e6), 0)
+
+
 def upto(by: str = SERIES, order: str = ORDER) -> WindowSpec:
     return ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)
 

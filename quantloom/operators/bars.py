@@ -8,18 +8,39 @@ from pyspark.sql import functions as F
 from quantloom.functions.frames import ratio
 
 
-def volume_bars(ticks: DataFrame, threshold: float) -> DataFrame:
+#: Optional tick columns, and what a bar holds of them: fixed names of the surveyed bars.
+OPTIONAL = {
+    "ofi": ("tick_ofi", F.sum), "spread": ("tick_spread", F.avg), "bid_size": ("avg_bid_size", F.avg), "ask_size": ("avg_ask_size", F.avg), "bid": ("avg_bid_price", F.avg), "ask": ("avg_ask_price", F.avg),
+}
+
+
+def bar_numbers(ticks: DataFrame, threshold: float, span: str = "1 hour") -> DataFrame:
+    """``ticks`` with bar_id and signed volume, without ordering a whole series in one task.
+
+    A two-pass prefix sum: volume and last price of each time range of ``span`` (one small row a range), carried over the
+    ranges; then every range is numbered by itself.
+    """
+    ranged = ticks.withColumn("_range", F.window(F.col("ts").cast("timestamp"), span)["start"])
+    ends = ranged.groupBy("series", "_range").agg(F.sum("vol").alias("_vol"), F.max_by("mid", F.struct("ts", "seq")).alias("_mid"))
+    past = Window.partitionBy("series").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("series", "_range", F.coalesce(F.sum("_vol").over(past), F.lit(0.0)).alias("_base"), F.last("_mid").over(past).alias("_before"))
+    w = Window.partitionBy("series", "_range").orderBy("ts", "seq")
+    step = F.col("mid") - F.coalesce(F.lag("mid").over(w), "_before")
+    cumulative = F.col("_base") + F.coalesce(F.sum("vol").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    marked = ranged.join(carried, ["series", "_range"]).withColumns({"signed": F.coalesce(F.signum(step), F.lit(0.0)) * F.col("vol"), "bar_id": F.floor(cumulative / F.lit(float(threshold))).cast("long")})
+    return marked.drop("_range", "_base", "_before")
+
+
+def volume_bars(ticks: DataFrame, threshold: float, span: str = "1 hour") -> DataFrame:
     """Volume-clock bars (BAR01-BAR05): bar_id = floor(cumulative volume / threshold) by series.
 
     The tick that crosses a threshold opens the next bar, and ids can be skipped. The signed volume takes the price
-    step across bar edges; the first tick of a series has none.
+    step across bar edges; the first tick of a series has none. Of the columns in OPTIONAL those that exist are aggregated
+    too (BAR04).
     """
-    w = Window.partitionBy("series").orderBy("ts", "seq")
-    step = F.coalesce(F.signum(F.col("mid") - F.lag("mid").over(w)), F.lit(0.0)) * F.col("vol")
-    cumulative = F.sum("vol").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = ticks.withColumns({"signed": step, "bar_id": F.floor(cumulative / F.lit(float(threshold))).cast("long")})
     place = F.struct("ts", "seq")
-    bars = marked.groupBy("series", "bar_id").agg(
+    more = [how(c).alias(name) for c, (name, how) in OPTIONAL.items() if c in ticks.columns]
+    bars = bar_numbers(ticks, threshold, span).groupBy("series", "bar_id").agg(
         F.min("ts").alias("time_start"),
         F.max("ts").alias("time_end"),
         F.min_by("mid", place).alias("open"),
@@ -29,6 +50,7 @@ def volume_bars(ticks: DataFrame, threshold: float) -> DataFrame:
         F.sum("vol").alias("volume"),
         F.sum("signed").alias("net_aggressor_vol"),
         F.count("*").alias("tick_count"),
+        *more,
     )
     return bars.withColumn("ticket_imbalance", F.when(F.col("volume") == 0, 0.0).otherwise(F.col("net_aggressor_vol") / F.nullif("volume", F.lit(0.0))))
 

@@ -38,3 +38,18 @@ def chunked(df: DataFrame, make: Callable[[DataFrame], DataFrame], halo: int, ro
     spread = spread.withColumn("series", F.concat_ws("#", F.col("series").cast("string"), F.col("_chunk").cast("string")))
     done = make(spread).where("_keep").withColumn("series", F.col("_series"))
     return done.drop("_series", "_keep", "_chunk", "idx")
+
+
+#: A table up to this size (Spark's own estimate, no action) is ordered by series in whole; a larger one in chunks.
+WHOLE_BYTES = 256 << 20
+CHUNK_ROWS, CHUNK_SPAN = 200_000, 200_000
+
+
+def windowed(df: DataFrame, make: Callable[[DataFrame], DataFrame], halo: int, most: int | None = None, rows: int | None = None, span: int | None = None) -> DataFrame:
+    """``make(df)`` for frames that reach back at most ``halo`` rows in all: by series where the table is small, else in
+    chunks of ``rows``. Both give the same rows."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= (WHOLE_BYTES if most is None else most):
+        return make(df)
+    rows = max(halo, CHUNK_ROWS if rows is None else rows)
+    return chunked(df, make, halo, rows, CHUNK_SPAN if span is None else span)

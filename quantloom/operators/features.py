@@ -88,32 +88,41 @@ def fractional_weights(d: float, cut: float = 1e-4) -> list[float]:
 
 
 def physics(df: DataFrame, w: int) -> DataFrame:
-    """Entropy, price impact, energies, action and power (F052-F054)."""
+    """Entropy, price impact, energies, action, power and force, with their steps (F052-F054, F056)."""
     v, r, c = F.col("volume"), F.col("log_ret"), F.col("close")
     mean = rolling("avg", "close", w)
-    one = df.withColumns({"_k": 0.5 * v * r * r, "_u": 0.5 * v * F.pow((c - mean) / F.nullif(mean, F.lit(0.0)), 2), "_kyle": ratio(F.abs(r), v * c), "_pow": v * diff("log_ret") * r})
+    one = df.withColumns({"_k": 0.5 * v * r * r, "_u": 0.5 * v * F.pow((c - mean) / F.nullif(mean, F.lit(0.0)), 2), "_kyle": ratio(F.abs(r), v * c), "_force": v * diff("log_ret")})
     var = rolling("var_samp", "log_ret", w)
     two = one.withColumns(
         {
             f"entropy_{w}": F.when(var > 0, 0.5 * F.ln(2 * math.pi * math.e * var)),
             f"kyle_lambda_{w}": rolling("avg", "_kyle", w),
-            f"lagrangian_{w}": F.col("_k") - F.col("_u"),
-            f"hamiltonian_{w}": F.col("_k") + F.col("_u"),
             f"market_energy_{w}": rolling("avg", "_k", w),
-            f"market_power_{w}": rolling("avg", "_pow", w),
+            f"potential_energy_{w}": rolling("avg", "_u", w),
+            f"market_power_{w}": rolling("avg", F.col("_force") * r, w),
+            f"market_force_{w}": rolling("avg", "_force", w),
         }
     )
-    return two.withColumns({f"market_action_{w}": rolling("sum", f"lagrangian_{w}", w), f"kyle_roc_{w}": W.pct_change(f"kyle_lambda_{w}", 5)}).drop("_k", "_u", "_kyle", "_pow")
+    k, u = F.col(f"market_energy_{w}"), F.col(f"potential_energy_{w}")
+    three = two.withColumns({f"lagrangian_{w}": k - u, f"hamiltonian_{w}": k + u, f"entropy_roc_{w}": diff(f"entropy_{w}"), f"kyle_lambda_roc_{w}": W.pct_change(f"kyle_lambda_{w}")})
+    return three.withColumn(f"market_action_{w}", rolling("sum", f"lagrangian_{w}", w)).drop("_k", "_u", "_kyle", "_force")
+
+
+def efficiency_ratio(df: DataFrame, w: int) -> DataFrame:
+    """Displacement over path of close (F056)."""
+    one = df.withColumn("_step", F.abs(diff("close")))
+    return one.withColumn(f"efficiency_ratio_{w}", ratio(F.abs(diff("close", w)), rolling("sum", "_step", w))).drop("_step")
 
 
 def hurst(df: DataFrame, w: int, lags: tuple[int, ...] = (2, 4, 8, 16, 32, 64)) -> DataFrame:
-    """Slope of ln std_W(close - close lagged) on ln lag (F051)."""
+    """Slope of ln std_W(close - close lagged) on ln lag, and its step (F051)."""
     one = df.withColumns({f"_d{k}": diff("close", k) for k in lags})
     two = one.withColumns({f"_s{k}": positive_log(rolling("stddev_samp", f"_d{k}", w)) for k in lags})
     xs = [math.log(k) for k in lags]
     mean = sum(xs) / len(xs)
     slope = sum((F.col(f"_s{k}") * F.lit((x - mean) / sum((y - mean) ** 2 for y in xs)) for k, x in zip(lags, xs, strict=True)), F.lit(0.0))
-    return two.withColumn(f"hurst_{w}", slope).drop(*[f"_d{k}" for k in lags], *[f"_s{k}" for k in lags])
+    three = two.withColumn(f"hurst_{w}", slope).drop(*[f"_d{k}" for k in lags], *[f"_s{k}" for k in lags])
+    return three.withColumn(f"hurst_roc_{w}", diff(f"hurst_{w}"))
 
 
 def fractal_dimension(df: DataFrame, w: int) -> DataFrame:
@@ -125,47 +134,62 @@ def fractal_dimension(df: DataFrame, w: int) -> DataFrame:
     steps = F.zip_with(F.slice(scaled, 2, w - 1), F.slice(scaled, 1, w - 1), lambda a, b: F.sqrt((a - b) * (a - b) + F.lit((1.0 / (w - 1)) ** 2)))
     length = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
     value = F.when(span > 0, 1 + (F.ln(length) + math.log(2)) / math.log(2 * (w - 1))).otherwise(1.0)
-    return one.withColumn(f"fdi_{w}", F.when(F.size("_x") == w, value)).drop("_x")
+    return one.withColumn(f"fdi_{w}", F.when(F.size("_x") == w, value)).drop("_x").withColumn(f"fdi_roc_{w}", diff(f"fdi_{w}"))
 
 
 def interactions(df: DataFrame, w: int) -> DataFrame:
     """Products and ratios of other families, only where their columns exist (F057)."""
     have = set(df.columns)
-    made: dict[str, Column] = {}
     vwap = ratio(rolling("sum", F.col("close") * F.col("volume"), w), rolling("sum", "volume", w))
-    made[f"vwap_diff_{w}"] = ratio("close", vwap) - 1
-    for name, (a, b, op) in {
-        f"hurst_trend_{w}": (f"hurst_{w}", f"trend_strength_{w}", "*"),
-        f"fdi_vol_{w}": (f"fdi_{w}", f"volatility_{w}", "*"),
-        f"energy_flow_{w}": (f"market_energy_{w}", f"flow_trend_{w}", "*"),
-        f"clean_trend_{w}": (f"trend_strength_{w}", f"entropy_{w}", "/"),
-        f"market_temperature_{w}": (f"market_energy_{w}", f"entropy_{w}", "/"),
-    }.items():
-        if {a, b} <= have:
-            made[name] = F.col(a) * F.col(b) if op == "*" else ratio(a, b)
+    made: dict[str, Column] = {f"vwap_diff_{w}": ratio("close", vwap) - 1}
+    x = lambda name: F.col(f"{name}_{w}")
+    for name, reads, value in (
+        ("hurst_trend", ("hurst", "trend_strength"), lambda: (x("hurst") - 0.5) * x("trend_strength")),
+        ("fdi_vol", ("fdi", "volatility"), lambda: (x("fdi") - 1.5) * x("volatility")),
+        ("energy_flow", ("market_energy", "flow_trend"), lambda: x("market_energy") * x("flow_trend")),
+        ("clean_trend", ("velocity", "entropy"), lambda: x("velocity") / F.when(x("entropy") == 0, 1.0).otherwise(x("entropy"))),
+        ("market_temperature", ("market_energy", "entropy"), lambda: ratio(x("market_energy"), x("entropy"))),
+    ):
+        if {f"{c}_{w}" for c in reads} <= have:
+            made[f"{name}_{w}"] = value()
     return df.withColumns(made)
 
 
+def _volume() -> Column:
+    return F.when(F.col("volume") == 0, 1.0).otherwise(F.col("volume"))
+
+
 def microstructure(df: DataFrame, w: int) -> DataFrame:
-    """Flow trend and shock, flow correlation, duration and VPIN (F060-F065)."""
+    """Flow trend and shock, flow correlation, duration and VPIN (F060, F061, F063, F065)."""
     seconds = F.unix_micros(F.col("time_end").cast("timestamp")) / 1e6 - F.unix_micros(F.col("time_start").cast("timestamp")) / 1e6
-    one = df.withColumns({"bar_duration": seconds, "_abs": F.abs("net_aggressor_vol")})
+    one = df.withColumns({"bar_duration": seconds, "_abs": F.abs("net_aggressor_vol"), "_v": _volume()})
     return one.withColumns(
         {
             f"flow_trend_{w}": rolling("avg", "ticket_imbalance", w),
             f"flow_shock_{w}": rolling_z("ticket_imbalance", w),
             f"price_flow_corr_{w}": rolling_corr("log_ret", "ticket_imbalance", w),
             f"duration_trend_{w}": rolling("avg", "bar_duration", w),
-            f"vpin_{w}": ratio(rolling("sum", "_abs", w), rolling("sum", "volume", w)),
+            f"vpin_{w}": ratio(rolling("sum", "_abs", w), rolling("sum", "_v", w)),
         }
-    ).drop("_abs")
+    ).drop("_abs", "_v")
 
 
 def book(df: DataFrame, w: int) -> DataFrame:
-    """Order-book features of bars with ofi, spread and sizes (F062, F064, F065)."""
-    one = df.withColumns({"_ofi": ratio("tick_ofi", "volume"), "pres_imbalance": ratio(F.col("avg_bid_size") - F.col("avg_ask_size"), F.col("avg_bid_size") + F.col("avg_ask_size"))})
-    two = one.withColumns({f"ofi_trend_{w}": rolling("avg", "_ofi", w), f"ofi_shock_{w}": rolling_z("_ofi", w), f"pres_trend_{w}": rolling("avg", "pres_imbalance", w)})
-    return two.withColumns({f"order_book_alignment_{w}": F.col(f"ofi_trend_{w}") * F.col(f"pres_trend_{w}"), f"liquidity_friction_{w}": rolling("avg", "tick_spread", w) * F.col(f"vpin_{w}") if f"vpin_{w}" in df.columns else F.lit(None).cast("double")}).drop("_ofi")
+    """Order-book features of bars with the optional columns (F061, F062, F064, F065): order flow, pressure, alignment,
+    spread and friction (mean spread times VPIN, where ``microstructure`` came before)."""
+    total, mid = F.col("avg_bid_size") + F.col("avg_ask_size"), (F.col("avg_ask_price") + F.col("avg_bid_price")) / 2
+    unit = lambda c: F.when(c == 0, 1.0).otherwise(c)
+    one = df.withColumns({"_ofi": F.col("tick_ofi") / _volume(), "pres_imbalance": (F.col("avg_bid_size") - F.col("avg_ask_size")) / unit(total), "avg_spread": (F.col("avg_ask_price") - F.col("avg_bid_price")) / unit(mid)})
+    made = {
+        f"ofi_trend_{w}": rolling("avg", "_ofi", w),
+        f"ofi_shock_{w}": rolling_z("_ofi", w),
+        f"pres_trend_{w}": rolling("avg", "pres_imbalance", w),
+        f"price_pressure_corr_{w}": rolling_corr("log_ret", "pres_imbalance", w),
+        f"order_book_alignment_{w}": rolling("avg", F.col("ticket_imbalance") * F.col("pres_imbalance"), w),
+    }
+    if f"vpin_{w}" in df.columns:
+        made[f"liquidity_friction_{w}"] = rolling("avg", "avg_spread", w) * F.col(f"vpin_{w}")
+    return one.withColumns(made).drop("_ofi")
 
 
 def deltas(df: DataFrame, columns: list[str], spans: tuple[int, ...] = (25, 50, 100)) -> DataFrame:
@@ -221,10 +245,10 @@ def fractional_difference(df: DataFrame, d: float = 0.2, cut: float = 1e-4) -> D
 
 
 def yang_zhang(df: DataFrame, w: int) -> DataFrame:
-    """Yang-Zhang volatility (F056)."""
+    """Yang-Zhang volatility with the common weight of 0.34 (F056)."""
     part = lambda a, b: positive_log(ratio(a, b))
     one = df.withColumns({"_on": part("open", lag("close")), "_oc": part("close", "open"), "_rs": part("high", "open") * part("high", "close") + part("low", "open") * part("low", "close")})
-    k = 0.34 / (1.34 + (w + 1) / (w - 1))
+    k = 0.34
     return one.withColumn(f"yang_zhang_{w}", F.sqrt(rolling("var_samp", "_on", w) + k * rolling("var_samp", "_oc", w) + (1 - k) * rolling("avg", "_rs", w))).drop("_on", "_oc", "_rs")
 
 

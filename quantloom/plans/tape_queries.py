@@ -20,6 +20,11 @@ def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.volume_bars(ticks(spark, sf_dir), BAR)
 
 
+def book_bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume bars of quotes, the bid size as volume, with all optional columns."""
+    return B.volume_bars(B.order_flow(quotes(spark, sf_dir).drop("bar_id")).withColumn("vol", F.col("bid_size")), BAR)
+
+
 @query("bar_volume_ohlc", f"WITH {BARS_SQL} SELECT * FROM bars")
 def bar_volume_ohlc(spark, sf_dir):
     return bars_of(spark, sf_dir)
@@ -51,6 +56,18 @@ def quotes(spark, sf_dir):
     return t.select("series", "ts", "seq", level.alias("bid"), (level + 10 + F.col("vol") % 3).alias("ask"), F.col("vol").alias("bid_size"), (100 - F.col("vol")).alias("ask_size"), F.floor(F.col("seq") / 50).cast("long").alias("bar_id"))
 
 
+BOOK_SQL = f"""{QUOTES_SQL}, bs AS (SELECT *, bid_size AS vol, coalesce(sign(mid - lag(mid) OVER (PARTITION BY series ORDER BY ts, seq)), 0) * bid_size AS signed,
+  CAST(floor(sum(bid_size) OVER (PARTITION BY series ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) / {BAR}) AS BIGINT) AS vb FROM flow),
+book AS (SELECT series, vb AS bar_id, min(ts) AS time_start, max(ts) AS time_end, arg_min(mid, (ts, seq)) AS open, max(mid) AS high, min(mid) AS low, arg_max(mid, (ts, seq)) AS close, sum(vol) AS volume,
+  sum(signed) AS net_aggressor_vol, count(*) AS tick_count, sum(ofi) AS tick_ofi, avg(spread) AS tick_spread, avg(bid_size) AS avg_bid_size, avg(ask_size) AS avg_ask_size, avg(bid) AS avg_bid_price, avg(ask) AS avg_ask_price,
+  CASE WHEN sum(vol) = 0 THEN 0.0 ELSE sum(signed) / sum(vol) END AS ticket_imbalance FROM bs GROUP BY series, vb)"""
+
+
+@query("bar_optional_columns", f"WITH {BOOK_SQL} SELECT series, bar_id, close, volume, net_aggressor_vol, tick_ofi, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("tick_spread", "avg_bid_size", "avg_ask_size", "avg_bid_price", "avg_ask_price")) + " FROM book")
+def bar_optional_columns(spark, sf_dir):
+    return book_bars_of(spark, sf_dir).select("series", "bar_id", "close", "volume", "net_aggressor_vol", "tick_ofi", *[F.round(c, 6).alias(c) for c in ("tick_spread", "avg_bid_size", "avg_ask_size", "avg_bid_price", "avg_ask_price")])
+
+
 @query("bar_order_flow", f"WITH {QUOTES_SQL} SELECT series, seq, mid, spread, ofi FROM flow")
 def bar_order_flow(spark, sf_dir):
     return B.order_flow(quotes(spark, sf_dir)).select("series", "seq", "mid", "spread", "ofi")
