@@ -230,6 +230,16 @@ def signals(df: DataFrame, strategies: list[dict]) -> DataFrame:
     return voted.select("series", "bar_id", F.explode(rows).alias("r")).select("series", "bar_id", "r.strategy_id", "r.signal")
 
 
+def raw_votes(df: DataFrame, strategy: dict) -> DataFrame:
+    """series, bar_id, long_votes, short_votes and net: the votes' difference over the longer side's genes (EV17)."""
+    sides = [strategy.get(s, []) for s in ("long_genes", "short_genes")]
+    wide = with_context(df, [k for genes in sides for g in genes for k in needed(g)])
+    have = set(wide.columns)
+    up, down = (sum((predicate(g, have).cast("double") for g in genes), F.lit(0.0)) for genes in sides)
+    most = max(1, *map(len, sides))
+    return wide.select("series", "bar_id", up.alias("long_votes"), down.alias("short_votes"), ((up - down) / most).alias("net"))
+
+
 def market_hours(df: DataFrame, horizon: int, minutes: float = 1.5) -> Column:
     """8 to 22 h on weekdays, and early enough for the horizon to end by 22 h (ST3)."""
     t = F.col("time_start").cast("timestamp")

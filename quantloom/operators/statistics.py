@@ -1,8 +1,9 @@
-"""Evaluation statistics, splits and feature selection (EV01-EV17 without EV10 and EV14, FS01-FS09)."""
+"""Evaluation statistics, purged splits and feature selection (EV01-EV09, EV13, EV15, FS01-FS09)."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -41,11 +42,29 @@ def metrics(returns: DataFrame, by: list[str], annual: float = 1.0) -> DataFrame
     return made.withColumn("adjusted", F.col("sortino") * F.col("_f")).drop("_f")
 
 
-def hamming(signals: DataFrame) -> DataFrame:
-    """Bars on which two strategies' signals differ (EV15), for pairs a < b, from one self-join on the bar."""
-    a = signals.select("series", "bar_id", F.col("strategy_id").alias("a"), F.col("signal").alias("sa"))
-    b = signals.select("series", "bar_id", F.col("strategy_id").alias("b"), F.col("signal").alias("sb"))
-    return a.join(b, ["series", "bar_id"]).where("a < b").groupBy("a", "b").agg(F.count_if(F.col("sa") != F.col("sb")).alias("differ"), F.count("*").alias("bars"))
+def hamming(signals: DataFrame, names: list[str]) -> DataFrame:
+    """Bars on which two strategies' signals differ (EV15), for pairs a < b of ``names``: strategies side by side, then one
+    wide aggregate; no pair of rows is made."""
+    wide = signals.groupBy("series", "bar_id").agg(*[F.max(F.when(F.col("strategy_id") == s, F.col("signal"))).alias(f"s{i}") for i, s in enumerate(names)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(len(names)) if names[i] < names[j]]
+    both = {(i, j): F.col(f"s{i}").isNotNull() & F.col(f"s{j}").isNotNull() for i, j in pairs}
+    made = wide.agg(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.count_if(F.col(f"s{i}") != F.col(f"s{j}")).alias("differ"), F.count_if(both[i, j]).alias("bars")).alias(f"p{k}") for k, (i, j) in enumerate(pairs)])
+    return made.select(F.explode(F.array(*[F.col(f"p{k}") for k in range(len(pairs))])).alias("r")).select("r.*")
+
+
+def normal_quantile(p: float) -> float:
+    """The x of which ``normal_cdf`` is p (SC02), by bisection and Newton steps."""
+    if not 0 < p < 1:
+        return math.copysign(math.inf, p - 0.5)
+    low, high = -40.0, 40.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if normal_cdf(mid) < p else (low, mid)
+    x = (low + high) / 2
+    for _ in range(3):
+        slope = math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        x -= (normal_cdf(x) - p) / slope if slope > 1e-300 else 0.0
+    return x
 
 
 def normal_cdf(x: float) -> float:
@@ -156,6 +175,34 @@ def greedy_redundancy(order: list[str], pairs: dict[tuple[str, str], float], mos
     return kept
 
 
+def seeded_sample(df: DataFrame, keys: list[str], rows: int, seed: int = 42) -> DataFrame:
+    """``rows`` rows of the least hashes of ``keys`` and ``seed`` (SL05): the same ones on any cluster."""
+    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(rows)
+
+
+def without_redundant(df: DataFrame, strength: DataFrame, features: list[str], keys: list[str], most: float = 0.85, sample: int = 50_000) -> DataFrame:
+    """(feature, place) of the features that stay (FS05): by |ic| falling, none correlated over ``most`` with one before it.
+
+    ``strength`` has feature and ic. Correlations come from one aggregate over at most ``sample`` rows; the choice itself
+    is made from one row a feature and one a pair.
+    """
+    from quantloom.operators.cleaning import correlation_matrix
+
+    matrix = correlation_matrix(seeded_sample(df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]), keys, sample), features)
+    pairs = {(min(r.a, r.b), max(r.a, r.b)): r.corr or 0.0 for r in matrix.collect()}  # a few thousand rows at most
+    order = [r.feature for r in strength.orderBy(F.desc_nulls_last(F.abs("ic")), "feature").collect()]
+    return df.sparkSession.createDataFrame(list(enumerate(greedy_redundancy(order, pairs, most))), "place long, feature string").select("feature", "place")
+
+
+def across_horizons(kept: dict[int, DataFrame], names: list[str]) -> DataFrame:
+    """(feature, horizons, useful): in how many horizons' lists each name is (FS06); useless ones are in none."""
+    spark = next(iter(kept.values())).sparkSession
+    long = reduce(lambda a, b: a.union(b), [d.select("feature").withColumn("horizon", F.lit(h)) for h, d in kept.items()])
+    counts = long.groupBy("feature").agg(F.countDistinct("horizon").alias("horizons"))
+    known = spark.createDataFrame([(n,) for n in names], "feature string")
+    return known.join(counts, "feature", "left").select("feature", F.coalesce("horizons", F.lit(0)).alias("horizons"), F.col("horizons").isNotNull().alias("useful"))
+
+
 def decile_ic(df: DataFrame, features: list[str], target: str, bins: int = 10) -> DataFrame:
     """(feature, ic): correlation of decile number with mean target (FS09, WN24). Edges are linear quantiles, equal ones
     merge, ties stay together."""
@@ -200,7 +247,22 @@ def forest_importance(df: DataFrame, features: list[str], target: str, trees: in
     from pyspark.ml.regression import RandomForestRegressor
 
     rows = df.select("series", "bar_id", F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).dropna()
-    rows = rows.orderBy(F.xxhash64("series", "bar_id", F.lit(seed)), "series", "bar_id").limit(sample)
+    rows = seeded_sample(rows, ["series", "bar_id"], sample, seed)
     data = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
     model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(data)
     return df.sparkSession.createDataFrame(list(zip(features, map(float, model.featureImportances.toArray()), strict=True)), "feature string, importance double")
+
+
+def cluster_signals(signals: DataFrame, names: list[str], scores: dict[str, float], cut: float = 0.3) -> DataFrame:
+    """(strategy_id, cluster, best) by complete linkage on 1 - |correlation| of signals (EV13). The correlations are one
+    wide aggregate; the linkage takes one row a pair of ``names`` (some hundred names). Constant signals correlate 0."""
+    from quantloom.operators.cleaning import correlation_matrix
+
+    wide = signals.groupBy("series", "bar_id").agg(*[F.max(F.when(F.col("strategy_id") == s, F.col("signal"))).cast("double").alias(f"s{i}") for i, s in enumerate(names)])
+    distance = np.ones((len(names), len(names))) - np.eye(len(names))
+    for r in correlation_matrix(wide, [f"s{i}" for i in range(len(names))]).collect() if len(names) > 1 else []:
+        i, j = int(r.a[1:]), int(r.b[1:])
+        distance[i, j] = distance[j, i] = min(1.0, max(0.0, 1 - abs(r.corr or 0.0)))
+    groups = complete_linkage(distance, cut)
+    best = {g: max((n for n, h in zip(names, groups, strict=True) if h == g), key=lambda n: (scores.get(n, -math.inf), n)) for g in set(groups)}
+    return signals.sparkSession.createDataFrame([(n, g, best[g] == n) for n, g in zip(names, groups, strict=True)], "strategy_id string, cluster int, best boolean")

@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 from quantloom.functions import parsing as P
 from quantloom.functions.frames import rounded
 from quantloom.operators import cross as X
-from quantloom.plans.feature_queries import BARS_SQL, lagged, over, r
+from quantloom.operators.asof import DAY, asof_columns
+from quantloom.operators.chunks import windowed
+from quantloom.plans.feature_queries import BARS_SQL, lagged, ln, over, r
 from quantloom.plans.registry import query
 from quantloom.plans.tape_queries import bars_of
 from quantloom.sources.tape import table, ticks
 
 PRICED_SQL = f"""{BARS_SQL}, vw AS (SELECT ts, seq, mid AS price FROM ticks WHERE series = 'purchase'),
-  priced AS (SELECT b.*, vw.price FROM bars b ASOF LEFT JOIN vw ON b.time_end >= vw.ts)"""
+  priced0 AS (SELECT b.*, vw.price FROM bars b ASOF LEFT JOIN vw ON b.time_end >= vw.ts),
+  priced AS (SELECT p.*, vw.price AS price0 FROM priced0 p ASOF LEFT JOIN vw ON p.time_start >= vw.ts)"""
+
+
+def tape_of(spark, sf_dir, series):
+    return ticks(spark, sf_dir).where(F.col("series") == series).select("ts", "seq", F.col("mid").alias("price"))
 
 
 def priced(spark, sf_dir):
-    tape = ticks(spark, sf_dir).where("series = 'purchase'").select("ts", F.col("mid").alias("price"))
-    return X.correlator_price(bars_of(spark, sf_dir), tape, "p")
+    return X.correlator_price(bars_of(spark, sf_dir), tape_of(spark, sf_dir, "purchase"), "p")
 
 
 @query("feat_correlator_price", f"WITH {PRICED_SQL} SELECT series, bar_id, price AS price_p FROM priced")
@@ -34,11 +40,31 @@ def cov(a: str, b: str, n: int) -> str:
 
 @query(
     "feat_residual",
-    f"""WITH {PRICED_SQL}, a AS (SELECT *, ln(close / open) AS own, ln(price / {lagged('price')}) AS other FROM priced), b AS (SELECT *, {cov('own', 'other', 25)} AS raw FROM a),
-    c AS (SELECT *, coalesce({lagged('raw')}, 0) AS beta FROM b) SELECT series, bar_id, {r('beta', 'beta_p')}, {r('coalesce(own - beta * other, 0)', 'residual_p')} FROM c""",
+    f"""WITH {PRICED_SQL}, a AS (SELECT *, {ln('close', 'open')} AS own, {ln('price', 'price0')} AS other FROM priced), b AS (SELECT *, {cov('own', 'other', 25)} AS raw FROM a),
+    c AS (SELECT *, {lagged('raw')} AS beta FROM b) SELECT series, bar_id, {r('coalesce(beta, 0)', 'beta_p')}, {r('coalesce(own - beta * other, 0)', 'residual_p')} FROM c""",
 )
 def feat_residual(spark, sf_dir):
-    return X.residual(priced(spark, sf_dir), "p", 25).select("series", "bar_id", rounded("beta_p").alias("beta_p"), rounded("residual_p").alias("residual_p"))
+    df = X.correlator_interval(bars_of(spark, sf_dir), tape_of(spark, sf_dir, "purchase"), "p")
+    return windowed(df, lambda d: X.residual(d, "p", 25), 30).select("series", "bar_id", rounded("beta_p").alias("beta_p"), rounded("residual_p").alias("residual_p"))
+
+
+@query(
+    "feat_lead_lag",
+    f"""WITH {BARS_SQL}, o0 AS (SELECT series, date_trunc('minute', time_end) AS m, arg_max(close, (time_end, bar_id)) AS v FROM bars GROUP BY 1, 2), oe AS (SELECT series, min(m) AS a, max(m) AS b FROM o0 GROUP BY 1),
+    os AS (SELECT series, unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS m FROM oe), og AS (SELECT os.series, os.m, last_value(v IGNORE NULLS) OVER (PARTITION BY os.series ORDER BY os.m ROWS UNBOUNDED PRECEDING) AS close FROM os LEFT JOIN o0 ON os.series = o0.series AND os.m = o0.m),
+    l0 AS (SELECT date_trunc('minute', ts) AS m, arg_max(mid, (ts, seq)) AS v FROM ticks WHERE series = 'purchase' GROUP BY 1), ls AS (SELECT unnest(generate_series(min(m), max(m), INTERVAL 1 MINUTE)) AS m FROM l0),
+    lg AS (SELECT ls.m, last_value(v IGNORE NULLS) OVER (ORDER BY ls.m ROWS UNBOUNDED PRECEDING) AS price FROM ls LEFT JOIN l0 ON ls.m = l0.m),
+    g AS (SELECT series, og.m AS bar_id, close, price FROM og JOIN lg ON og.m = lg.m),
+    a AS (SELECT *, {ln('close', lagged('close'))} AS rr, {ln('price', lagged('price'))} AS o, close / nullif({lagged('close', 30)}, 0) - 1 AS t, price / nullif({lagged('price', 30)}, 0) - 1 AS trend_30m FROM g),
+    b AS (SELECT *, CASE WHEN o IS NOT NULL THEN rr END AS x, CASE WHEN rr IS NOT NULL THEN o END AS y, {over('stddev_samp', 'rr', 30)} AS sr, {over('stddev_samp', 'o', 30)} AS so FROM a),
+    c AS (SELECT series, bar_id AS m, trend_30m, CASE WHEN count(x) OVER w >= 60 THEN covar_samp(x, y) OVER w / nullif(stddev_samp(x) OVER w * stddev_samp(y) OVER w, 0) END AS corr_regime_60m,
+    CASE WHEN count(x) OVER w >= 60 THEN covar_samp(x, y) OVER w / nullif(var_samp(y) OVER w, 0) END AS beta_60m, sr / nullif(so, 0) AS vol_ratio_30m, t / nullif(sr, 0) - trend_30m / nullif(so, 0) AS divergence_30m
+    FROM b WINDOW w AS (PARTITION BY series ORDER BY bar_id ROWS 59 PRECEDING))
+    SELECT bars.series, bars.bar_id, {', '.join(r(f'coalesce({n}, 0)', n, 4) for n in X.LEAD)} FROM bars ASOF LEFT JOIN c ON bars.series = c.series AND bars.time_end >= c.m""",
+)
+def feat_lead_lag(spark, sf_dir):
+    df = X.lead_lag(bars_of(spark, sf_dir), tape_of(spark, sf_dir, "purchase"))
+    return df.select("series", "bar_id", *[rounded(c, 4).alias(c) for c in X.LEAD])
 
 
 def z(x: str, n: int, least: int | None = None) -> str:
@@ -74,6 +100,49 @@ def feat_spread_family(spark, sf_dir):
     return df.select("series", "bar_id", *[rounded(c).alias(c) for c in ("spread", "spread_z", "spread_delta_10", "spread_delta_20", "spread_accel_10")])
 
 
+FOUR = ("purchase", "click", "view", "error")
+FOUR_SQL = f"""{BARS_SQL}, """ + ", ".join(f"t_{x} AS (SELECT ts, mid FROM ticks WHERE series = '{x}'), j_{x} AS (SELECT b.*, t_{x}.mid AS price_{x} FROM {'bars' if i == 0 else 'j_' + FOUR[i - 1]} b ASOF LEFT JOIN t_{x} ON b.time_end >= t_{x}.ts)" for i, x in enumerate(FOUR)) + ", four AS (SELECT * FROM j_error)"
+
+
+def four(spark, sf_dir):
+    """Bars with the latest prices of four correlators, from one scan."""
+    tape = ticks(spark, sf_dir).select(F.col("ts").alias("_ts"), F.col("series").alias("_s"), "mid")
+    return asof_columns(bars_of(spark, sf_dir), tape, "time_end", "_ts", [], {f"price_{x}": F.when(F.col("_s") == x, F.col("mid")) for x in FOUR}, DAY)
+
+
+def _corr_sql(price: str) -> str:
+    w = "OVER (PARTITION BY series ORDER BY bar_id ROWS 24 PRECEDING)"
+    a, b = f"CASE WHEN {price} IS NOT NULL THEN rr END", f"CASE WHEN rr IS NOT NULL THEN {price} END"
+    return f"coalesce(CASE WHEN count({a}) {w} >= 25 THEN covar_samp({a}, {b}) {w} / nullif(stddev_samp({a}) {w} * stddev_samp({b}) {w}, 0) END, 0)"
+
+
+@query("join_snapshot", f"WITH {FOUR_SQL} SELECT series, bar_id, {', '.join(f'price_{x}' for x in FOUR)} FROM four")
+def join_snapshot(spark, sf_dir):
+    """State of all correlators at each bar's close (J14, J08)."""
+    return four(spark, sf_dir).select("series", "bar_id", *[f"price_{x}" for x in FOUR])
+
+
+@query(
+    "feat_rates",
+    f"""WITH {FOUR_SQL}, a AS (SELECT *, {ln('close', lagged('close'))} AS rr, {ln('price_purchase', lagged('price_purchase'))} AS o1, {ln('price_click', lagged('price_click'))} AS o2, price_purchase - price_click AS c1, price_view - price_error AS c2,
+    {ln('price_purchase', lagged('price_purchase', 10))} AS m1, {ln('price_click', lagged('price_click', 10))} AS m2,
+    coalesce(last_value(price_view IGNORE NULLS) OVER u, first_value(price_view IGNORE NULLS) OVER f, 0) AS lo, coalesce(last_value(price_error IGNORE NULLS) OVER u, first_value(price_error IGNORE NULLS) OVER f, 0) AS sh,
+    coalesce(last_value(price_purchase IGNORE NULLS) OVER u, first_value(price_purchase IGNORE NULLS) OVER f, 0) AS ot FROM four
+    WINDOW u AS (PARTITION BY series ORDER BY bar_id ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY series ORDER BY bar_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    b AS (SELECT *, ot - lo AS sp FROM a)
+    SELECT series, bar_id, {r(f"(({_corr_sql('o1')}) - ({_corr_sql('o2')})) / 2", 'usd_coherence_25', 5)}, CAST(sign(m1) - sign(m2) AS DOUBLE) AS risk_on_momentum,
+    {r(f"(c1 - {lagged('c1', 10)}) - (c2 - {lagged('c2', 10)})", 'diff_delta_10')}, {r(f"(c1 - {lagged('c1', 20)}) - (c2 - {lagged('c2', 20)})", 'diff_delta_20')}, {r('lo - sh', 'de_curve')},
+    {r(f"(sp - ({over('avg', 'sp', 40)})) / CASE WHEN ({over('stddev_samp', 'sp', 40)}) = 0 THEN 1 ELSE ({over('stddev_samp', 'sp', 40)}) END", 'spread_z_40')} FROM b""",
+)
+def feat_rates(spark, sf_dir):
+    df = X.intermarket(X.intermarket(four(spark, sf_dir), "purchase", 25), "click", 25)
+    df = X.risk_on(X.dollar_coherence(df, "purchase", "click", 25), "purchase", "click", 10)
+    df = X.spread_family(X.spread_family(df, "price_purchase", "price_click", "c1", 40, 10), "price_view", "price_error", "c2", 40, 10)
+    df = X.yield_curves(X.curve_difference(df, "c1", "c2", "diff", 10), "view", "error", "purchase", 40)
+    digits = {"usd_coherence_25": 5, "diff_delta_10": 6, "diff_delta_20": 6, "de_curve": 6, "spread_z_40": 6}
+    return df.select("series", "bar_id", F.col("risk_on_momentum").cast("double").alias("risk_on_momentum"), *[rounded(c, d).alias(c) for c, d in digits.items()])
+
+
 @query(
     "feat_news",
     f"""WITH {BARS_SQL}, a AS (SELECT *, ticket_imbalance * tick_count AS tv, ({over('avg', 'tick_count', 10, 1)}) / CASE WHEN ({over('avg', 'tick_count', 60, 1)}) = 0 THEN 1 ELSE ({over('avg', 'tick_count', 60, 1)}) END AS rvol FROM bars),
@@ -81,23 +150,52 @@ def feat_spread_family(spark, sf_dir):
     SELECT series, bar_id, {r('rvol', 'news_rvol')}, {r('trend', 'news_sentiment_trend')}, {r('trend * rvol', 'news_sentiment_impact')} FROM b""",
 )
 def feat_news(spark, sf_dir):
-    df = X.news(bars_of(spark, sf_dir), "tick_count", "ticket_imbalance", 10, 60)
+    df = windowed(bars_of(spark, sf_dir), lambda d: X.news(d, "tick_count", "ticket_imbalance", 10, 60), 70)
     return df.select("series", "bar_id", *[rounded(c).alias(c) for c in ("news_rvol", "news_sentiment_trend", "news_sentiment_impact")])
 
 
+_MASKS = {"eur": ("lang", "^(de|fr)$"), "usd": ("lang", "^en$"), "local": ("lang", "^de$"), "conflict": ("text", "the|und"), "epu": ("text", "[0-9]"), "inflation": ("text", "ing"), "bank": ("text", "icen"), "energy": ("text", "on")}
+
+
+def _mask_sql(k: str) -> str:
+    return f"coalesce(regexp_matches({_MASKS[k][0]}, '{_MASKS[k][1]}'), false)"
+
+
+@query(
+    "feat_news_table",
+    f"""WITH n AS (SELECT DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS date_utc, CAST(n_chars % 41 - 20 AS DOUBLE) AS tone, CAST(n_chars % 7 AS DOUBLE) AS polarity, {', '.join(f'{_mask_sql(k)} AS {k}' for k in _MASKS)} FROM documents),
+    g AS (SELECT date_utc, count(*) FILTER (eur) AS news_vol_eur, coalesce(sum(tone) FILTER (eur), 0) / CASE WHEN count(*) FILTER (eur) = 0 THEN 1 ELSE count(*) FILTER (eur) END AS news_tone_eur, count(*) FILTER (usd) AS news_vol_usd,
+    coalesce(sum(tone) FILTER (usd), 0) / CASE WHEN count(*) FILTER (usd) = 0 THEN 1 ELSE count(*) FILTER (usd) END AS news_tone_usd, sum(tone) / count(*) AS global_tone, sum(polarity) / count(*) AS global_polarity,
+    count(*) FILTER (conflict) AS conflict_intensity, count(*) FILTER (epu) AS epu_total, count(*) FILTER (epu AND usd) AS epu_usd, count(*) FILTER (epu AND local) AS epu_eur, count(*) FILTER (inflation) AS inflation_vol,
+    coalesce(sum(tone) FILTER (bank), 0) / CASE WHEN count(*) FILTER (bank) = 0 THEN 1 ELSE count(*) FILTER (bank) END AS central_bank_tone, count(*) FILTER (energy AND eur) AS energy_crisis_eur FROM n GROUP BY 1),
+    h AS (SELECT *, CASE WHEN count(*) OVER p >= 5 THEN avg(global_tone) OVER p END AS m, CASE WHEN count(*) OVER p >= 5 THEN stddev_samp(global_tone) OVER p END AS s FROM g WINDOW p AS (ORDER BY date_utc ROWS UNBOUNDED PRECEDING)),
+    i AS (SELECT *, (global_tone - coalesce(first_value(m IGNORE NULLS) OVER q, 0)) / nullif(coalesce(first_value(s IGNORE NULLS) OVER q, 1), 0) AS zs FROM h WINDOW q AS (ORDER BY date_utc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT CAST(date_utc AS VARCHAR) AS day, news_vol_eur, {r('news_tone_eur', 'news_tone_eur')}, news_vol_usd, {r('news_tone_usd', 'news_tone_usd')}, {r('global_tone', 'global_tone')}, {r('global_polarity', 'global_polarity')},
+    {r('CASE WHEN zs < -1.5 THEN -global_polarity ELSE 0 END', 'panic_score')}, conflict_intensity, epu_total, epu_usd, epu_eur, epu_usd - epu_eur AS epu_diff, inflation_vol, {r('central_bank_tone', 'central_bank_tone')}, energy_crisis_eur,
+    news_vol_eur + news_vol_usd AS total_vol FROM i""",
+)
+def feat_news_table(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("date_utc"), (F.col("n_chars") % 41 - 20).cast("double").alias("tone"), (F.col("n_chars") % 7).cast("double").alias("polarity"), *[F.col(c).rlike(p).alias(k) for k, (c, p) in _MASKS.items()])
+    t = X.news_table(rows, "date_utc", {k: F.col(k) for k in _MASKS}, panic=-1.5)
+    kinds = dict(t.dtypes)
+    return t.select(F.col("date_utc").cast("string").alias("day"), *[rounded(c).alias(c) if kinds[c] == "double" else F.col(c) for c in X.NEWS])
+
+
 @query(
     "feat_calendar",
     f"""WITH {BARS_SQL}, e AS (SELECT ts, CAST(1 + seq % 4 AS INT) AS kind FROM ticks WHERE seq % 97 = 0),
     n AS (SELECT b.*, e.ts AS nxt, e.kind FROM bars b ASOF LEFT JOIN e ON b.time_end <= e.ts), p AS (SELECT n.*, e.ts AS prv FROM n ASOF LEFT JOIN e ON n.time_end >= e.ts),
-    d AS (SELECT *, (epoch_us(nxt) - epoch_us(time_end)) / 6e7 AS t, (epoch_us(time_end) - epoch_us(prv)) / 6e7 AS s FROM p)
-    SELECT series, bar_id, {r('coalesce(least(t, 500), 500)', 'minutes_to_shock', 8)}, {r('1 / (1 + abs(coalesce(least(t, s), 500)) / 10)', 'shock_decay')}, {r('coalesce(least(t / 1.5, 180), 180)', 'bars_to_event')},
-    {r('coalesce(least(s / 1.5, 180), 180)', 'bars_since_event')}, {r('CASE WHEN t <= 120 THEN 1 - t / 120 ELSE 0 END', 'pre_event_tension')}, CASE WHEN t <= 240 THEN kind ELSE 0 END AS pending_event_type FROM d""",
+    d AS (SELECT *, (epoch_us(nxt) - epoch_us(time_end)) / 6e7 AS t, (epoch_us(time_end) - epoch_us(prv)) / 6e7 AS s FROM p),
+    m AS (SELECT *, greatest(least(CASE WHEN coalesce(s, 9999) < coalesce(t, 9999) THEN coalesce(s, 9999) ELSE -coalesce(t, 9999) END, 180), -180) AS near FROM d)
+    SELECT series, bar_id, {r('near', 'minutes_to_shock', 8)}, {r('1 / (1 + abs(near) / 10)', 'shock_decay')}, CAST(trunc(greatest(least(coalesce(t / 1.5, 9999), 500), 0)) AS INT) AS bars_to_event,
+    CAST(trunc(greatest(least(coalesce(s / 1.5, 9999), 500), 0)) AS INT) AS bars_since_event, {r('CASE WHEN t IS NULL THEN 0 ELSE greatest(least(1 - t / 120, 1), 0) END', 'pre_event_tension')}, CAST(coalesce(s / 1.5, 9999) <= 30 AS INT) AS post_event_phase,
+    CASE WHEN t <= 240 THEN kind ELSE 0 END AS pending_event_type FROM m""",
 )
 def feat_calendar(spark, sf_dir):
     e = ticks(spark, sf_dir).where("seq % 97 = 0").select("ts", (1 + F.col("seq") % 4).cast("int").alias("kind"))
     df = X.calendar(bars_of(spark, sf_dir).select("series", "bar_id", "time_end"), e)
-    names = ("shock_decay", "bars_to_event", "bars_since_event", "pre_event_tension")
-    return df.select("series", "bar_id", rounded("minutes_to_shock", 8).alias("minutes_to_shock"), *[rounded(c).alias(c) for c in names], "pending_event_type")
+    return df.select("series", "bar_id", rounded("minutes_to_shock", 8).alias("minutes_to_shock"), rounded("shock_decay").alias("shock_decay"), "bars_to_event", "bars_since_event", rounded("pre_event_tension").alias("pre_event_tension"), "post_event_phase", "pending_event_type")
 
 
 @query(
@@ -112,6 +210,23 @@ def feat_surprises(spark, sf_dir):
     return X.surprises(e).select("event_id", rounded("surprise").alias("surprise"), rounded("surprise_z").alias("surprise_z"))
 
 
+_KEYS = {"click": "usd_nfp", "view": "usd_cpi", "error": "eur_ecb_rate"}
+
+
+@query(
+    "feat_surprise_columns",
+    f"""WITH {BARS_SQL}, e AS (SELECT *, mid - vol AS surprise FROM ticks WHERE seq % 7 = 0), p AS (SELECT *, CASE WHEN count(surprise) OVER w >= 2 THEN stddev_pop(surprise) OVER w END AS prior FROM e
+    WINDOW w AS (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), q AS (SELECT series AS k, ts, CASE WHEN surprise / nullif(prior, 0) IS NULL THEN 0 ELSE greatest(least(surprise / prior, 5), -5) END AS z FROM p),
+    {', '.join(f"q_{k} AS (SELECT ts, z FROM q WHERE k = '{k}')" for k in _KEYS)}, b1 AS (SELECT b.*, coalesce(q_click.z, 0) AS z1 FROM bars b ASOF LEFT JOIN q_click ON b.time_end >= q_click.ts),
+    b2 AS (SELECT b.*, coalesce(q_view.z, 0) AS z2 FROM b1 b ASOF LEFT JOIN q_view ON b.time_end >= q_view.ts), b3 AS (SELECT b.*, coalesce(q_error.z, 0) AS z3 FROM b2 b ASOF LEFT JOIN q_error ON b.time_end >= q_error.ts)
+    SELECT series, bar_id, {r('z1', 'usd_nfp_surprise_z')}, {r('z2', 'usd_cpi_surprise_z')}, {r('z3', 'eur_ecb_rate_surprise_z')}, {r('(abs(z1) + abs(z2) + abs(z3)) / 3', 'econ_surprise_magnitude')}, {r('(z1 + z2) / 2 - z3', 'usd_eur_surprise_diff')} FROM b3""",
+)
+def feat_surprise_columns(spark, sf_dir):
+    e = ticks(spark, sf_dir).where("seq % 7 = 0").select(F.col("series").alias("event_key"), "ts", F.col("mid").alias("actual"), F.col("vol").alias("forecast"))
+    df = X.surprise_features(bars_of(spark, sf_dir), X.surprises(e), _KEYS)
+    return df.select("series", "bar_id", *[rounded(c).alias(c) for c in (*[f"{n}_surprise_z" for n in _KEYS.values()], "econ_surprise_magnitude", "usd_eur_surprise_diff")])
+
+
 DAY_SQL = """day AS (SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) - DATE '1990-01-01' AS bar_id, sum(l_quantity) AS value, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS longs,
   sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END) AS shorts, avg(l_discount) AS btc, avg(l_tax) AS tail FROM lineitem GROUP BY 1, 2)"""
 
@@ -157,3 +272,64 @@ def parse_fields(spark, sf_dir):
     size = F.col("p_size")
     text = F.when(size % 4 == 0, F.concat((size / 10).cast("string"), F.lit("%"))).when(size % 4 == 1, F.concat(F.lit("-"), size.cast("string"), F.lit("K"))).when(size % 4 == 2, F.concat(size.cast("string"), F.lit("M|3"))).otherwise("Tentative")
     return p.select("p_partkey", P.event_key(F.col("p_name")).alias("event_key"), P.parse_value(text).alias("parsed"))
+
+
+WIDE_SQL = """wide AS (SELECT 'all' AS series, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) - DATE '1990-01-01' AS bar_id, sum(o_totalprice) / 1000 - count(*) * 10 - max(o_totalprice) / 1000 AS net_liquidity_bil, avg(o_totalprice) / 1e4 AS credit_spread,
+  min(o_totalprice) / 1e3 AS inflation_breakeven, max(o_totalprice) / 1e4 AS vix, count(*) / 10.0 AS financial_conditions, count(*) FILTER (o_orderstatus = 'F') - count(*) FILTER (o_orderstatus = 'O') AS usd_eur_rate_diff FROM orders GROUP BY 2)"""
+
+
+def wide_daily(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    p, day = F.col("o_totalprice"), F.to_date("o_orderdate")
+    count = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    return o.groupBy(day.alias("day")).agg(
+        X.net_liquidity(F.sum(p), F.count("*") * 10, F.max(p) / 1000).alias("net_liquidity_bil"), (F.avg(p) / 1e4).alias("credit_spread"), (F.min(p) / 1e3).alias("inflation_breakeven"), (F.max(p) / 1e4).alias("vix"),
+        (F.count("*") / 10.0).alias("financial_conditions"), X.rate_differential(count("F"), count("O")).alias("usd_eur_rate_diff"),
+    ).withColumns({"series": F.lit("all"), "bar_id": F.datediff("day", F.lit("1990-01-01").cast("date")).cast("long")})
+
+
+def _macro_sql(n: str) -> str:
+    c, kind, k = X.MACRO[n]
+    return c if kind == "level" else f"{c} - {lagged(c, k)}" if kind == "d" else f"({c} - ({over('avg', c, k)})) / nullif({over('stddev_samp', c, k)}, 0)"
+
+
+@query("feat_macro_columns", f"WITH {WIDE_SQL} SELECT CAST(day AS VARCHAR) AS day, {', '.join(r(_macro_sql(n), n, 3) for n in X.MACRO)} FROM wide")
+def feat_macro_columns(spark, sf_dir):
+    return X.macro_features(wide_daily(spark, sf_dir)).select(F.col("day").cast("string").alias("day"), *[rounded(n, 3).alias(n) for n in X.MACRO])
+
+
+@query(
+    "feat_macro_on_bars",
+    f"""WITH {BARS_SQL}, {WIDE_SQL}, k AS (SELECT DATE '2024-01-01' + CAST(row_number() OVER (ORDER BY day) * 2 AS INT) AS day, vix, credit_spread FROM wide),
+    j AS (SELECT b.series, b.bar_id, k.vix, k.credit_spread FROM bars b LEFT JOIN k ON CAST(b.time_start AS DATE) = k.day + 1)
+    SELECT series, bar_id, {', '.join(r(f'last_value({c} IGNORE NULLS) OVER (PARTITION BY series ORDER BY bar_id ROWS UNBOUNDED PRECEDING)', c) for c in ('vix', 'credit_spread'))} FROM j""",
+)
+def feat_macro_on_bars(spark, sf_dir):
+    from pyspark.sql import Window
+
+    days = wide_daily(spark, sf_dir).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.row_number().over(Window.partitionBy("series").orderBy("day")) * 2))  # one row a day
+    return X.attach_daily(bars_of(spark, sf_dir), days, ["vix", "credit_spread"]).select("series", "bar_id", rounded("vix").alias("vix"), rounded("credit_spread").alias("credit_spread"))
+
+
+_TENOR = {"2y": "click", "5y": "view", "10y": "error", "30y": "signup"}
+
+
+@query(
+    "feat_auction_columns",
+    f"""WITH {BARS_SQL}, au AS (SELECT series, seq AS bar_id, ts, vol AS btc, mid AS tail FROM ticks WHERE seq % 5 = 0), zz AS (SELECT series, ts, coalesce({z('btc', 20, 5)}, 0) AS bz, coalesce({z('tail', 20, 5)}, 0) AS tz FROM au),
+    {', '.join(f"z_{t} AS (SELECT ts, bz, tz FROM zz WHERE series = '{s}'), c_{t} AS (SELECT b.*, coalesce(z_{t}.bz, 0) AS auction_btc_zscore_{t}, coalesce(z_{t}.tz, 0) AS auction_tail_zscore_{t} FROM {'bars' if i == 0 else 'c_' + X.TENORS[i - 1]} b ASOF LEFT JOIN z_{t} ON b.time_end >= z_{t}.ts)" for i, (t, s) in enumerate(_TENOR.items()))}
+    SELECT series, bar_id, {', '.join(r(f'auction_{k}_zscore_{t}', f'auction_{k}_zscore_{t}', 4) for t in X.TENORS for k in ('btc', 'tail'))},
+    {r('(' + ' + '.join(f'auction_tail_zscore_{t}' for t in X.TENORS) + ') / 4', 'auction_stress_aggregate', 4)}, {r('(' + ' + '.join(f'auction_btc_zscore_{t}' for t in X.TENORS) + ') / 4', 'auction_demand_aggregate', 4)} FROM c_30y""",
+)
+def feat_auction_columns(spark, sf_dir):
+    t = ticks(spark, sf_dir).where("seq % 5 = 0").select("series", F.col("seq").alias("bar_id"), "ts", F.col("vol").alias("btc"), F.col("mid").alias("tail"))
+    tenor = F.create_map(*[F.lit(x) for k, v in _TENOR.items() for x in (v, k)])[F.col("series")]
+    df = X.auction_features(bars_of(spark, sf_dir), X.auctions(t).withColumn("tenor", tenor).where("tenor is not null"))
+    names = [*[f"auction_{k}_zscore_{t}" for t in X.TENORS for k in ("btc", "tail")], "auction_stress_aggregate", "auction_demand_aggregate"]
+    return df.select("series", "bar_id", *[rounded(c, 4).alias(c) for c in names])
+
+
+@query("feat_vix", f"WITH {BARS_SQL} SELECT series, bar_id, {r(f'close / nullif({lagged(chr(99) + chr(108) + chr(111) + chr(115) + chr(101), 400)}, 0) - 1', 'vix_trend_400')}, {r(z('close', 2000, 200), 'vix_zscore_2000')} FROM bars")
+def feat_vix(spark, sf_dir):
+    df = windowed(bars_of(spark, sf_dir), X.vix_features, 2001)
+    return df.select("series", "bar_id", rounded("vix_trend_400").alias("vix_trend_400"), rounded("vix_zscore_2000").alias("vix_zscore_2000"))

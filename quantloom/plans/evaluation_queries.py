@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from quantloom.functions.frames import lag, ratio, rounded
@@ -9,10 +11,11 @@ from quantloom.operators import features as X
 from quantloom.operators import labels as L
 from quantloom.operators import signals as S
 from quantloom.operators import simulate as M
+from quantloom.operators import evaluation as V
 from quantloom.operators import statistics as E
 from quantloom.plans.feature_queries import BARS_SQL, lagged, over, r, returns
-from quantloom.plans.registry import query
-from quantloom.plans.signal_queries import SIGNALS_SQL, STRATEGIES
+from quantloom.plans.registry import ORACLES, query
+from quantloom.plans.signal_queries import _ALL, SIGNALS_SQL, STRATEGIES
 from quantloom.plans.tape_queries import bars_of
 
 H = 10
@@ -80,7 +83,7 @@ def eval_metrics(spark, sf_dir):
     FROM signals a JOIN signals b ON a.series = b.series AND a.bar_id = b.bar_id AND a.strategy_id < b.strategy_id GROUP BY 1, 2""",
 )
 def eval_hamming(spark, sf_dir):
-    return E.hamming(S.signals(returns(spark, sf_dir), STRATEGIES))
+    return E.hamming(S.signals(returns(spark, sf_dir), STRATEGIES), [x["name"] for x in STRATEGIES])
 
 
 FEATURES = ["ticket_imbalance", "volume", "open", "high", "low"]
@@ -104,9 +107,19 @@ def select_rank_ic(spark, sf_dir):
     return E.rank_ic(_labelled(spark, sf_dir), FEATURES, "y0").select("feature", "n", rounded("ic").alias("ic"), rounded("stability", 4).alias("stability"))
 
 
-@query("select_gates")
+#: Two-sided p-value of Student's t by Simpson's rule over the density from 0 to |t|.
+_T_SQL = """1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * t / 3 / 4000 * list_sum(list_transform(range(0, 4001), lambda i:
+  (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2)))"""
+
+
+@query(
+    "select_gates",
+    f"""WITH i AS ({ORACLES['select_rank_ic']}), t AS (SELECT *, abs(ic) * sqrt((n - 2) / greatest(1 - ic * ic, 1e-12)) AS t, CAST(n - 2 AS DOUBLE) AS df FROM i), p AS (SELECT *, {_T_SQL} AS p FROM t)
+    SELECT feature, n, round(ic, 5) + 0.0 AS ic, round(greatest(p, 0), 3) + 0.0 AS p, CASE WHEN coalesce(abs(ic), 0) < 0.005 THEN 'ic' WHEN coalesce(p, 1) > 0.05 THEN 'p' WHEN coalesce(stability, 0) < 0.25 THEN 'stability' ELSE 'keep' END AS verdict FROM p""",
+)
 def select_gates(spark, sf_dir):
-    return E.gates(E.rank_ic(_labelled(spark, sf_dir), FEATURES, "y0"))
+    g = E.gates(E.rank_ic(_labelled(spark, sf_dir), FEATURES, "y0"))
+    return g.select("feature", "n", rounded("ic", 5).alias("ic"), rounded("p", 3).alias("p"), "verdict")
 
 
 @query(
@@ -130,24 +143,128 @@ def select_best_horizon(spark, sf_dir):
     return E.best_horizon(df, FEATURES, ["fwd_1", "fwd_5", "fwd_10"], 100).select("feature", "horizon", rounded("corr").alias("corr"))
 
 
-def _orders(spark, sf_dir):
+def _raw_orders(spark, sf_dir):
+    """Orders of the demonstration strategies; signals act on the bar they come from."""
     bars = S.with_context(X.log_return(bars_of(spark, sf_dir)), ["atr_base", "hour", "weekday"])
     bars = bars.withColumn("atr", F.coalesce(lag("atr_base"), F.col("atr_base"))).withColumn("price", F.col("open"))
-    s, _ = _acting(spark, sf_dir)
-    return s.join(bars.select("series", "bar_id", "price", "high", "low", "atr", "hour", "weekday"), ["series", "bar_id"])
+    s = S.signals(returns(spark, sf_dir), STRATEGIES)
+    return s.join(bars.select("series", "bar_id", "price", "high", "low", "close", "atr", "hour", "weekday"), ["series", "bar_id"])
 
 
-RULES = M.Rules(sl_long=0.5, sl_short=0.5, tp_long=1.0, tp_short=1.0, horizon=10, cooldown=3, lot=1.0, account=1000.0)
+def _orders(spark, sf_dir):
+    return V.shifted(_raw_orders(spark, sf_dir), V.KEYS)
 
 
-@query("sim_barrier_returns")
+RULES = M.Rules(sl_long=0.5, sl_short=0.5, tp_long=1.0, tp_short=1.0, horizon=10, cooldown=3, lot=1.0, account=1000.0)
+ORDERS_SQL = f"""{SIGNALS_SQL}, orders0 AS (SELECT s.series, s.strategy_id, s.bar_id, CAST(s.signal AS DOUBLE) AS signal, c.open AS price, c.high, c.low, c.close,
+  coalesce(lag(c.atr_base) OVER (PARTITION BY s.series, s.strategy_id ORDER BY s.bar_id), c.atr_base) AS atr, c.hr AS hour, c.wd AS weekday,
+  row_number() OVER (PARTITION BY s.series, s.strategy_id ORDER BY s.bar_id) - 1 AS k, count(*) OVER (PARTITION BY s.series, s.strategy_id) AS n FROM signals s JOIN ctx c ON s.series = c.series AND s.bar_id = c.bar_id),
+acting AS (SELECT * REPLACE (coalesce(lag(signal) OVER (PARTITION BY series, strategy_id ORDER BY bar_id), 0) AS signal) FROM orders0)"""
+
+
+def slice_sql(view: str, source: str, keys: list[str], shift: bool = False) -> str:
+    """``view``: ``source`` with i, the place in its slice, and the signal shifted within it if wished."""
+    w = f"(PARTITION BY {', '.join(keys)} ORDER BY bar_id)"
+    signal = f"coalesce(lag(signal) OVER {w}, 0)" if shift else "signal"
+    return f"{view} AS (SELECT * REPLACE ({signal} AS signal), CAST(row_number() OVER {w} - 1 AS BIGINT) AS i FROM {source})"
+
+
+def sim_sql(view: str, source: str, keys: list[str], detailed: bool = False) -> str:
+    """The simulation under RULES as a recursion over the bars of each group of ``source``: {view}_s has the state after
+    each bar, {view} the net returns."""
+    k, ks = ", ".join(keys), lambda t: ", ".join(f"{t}.{c}" for c in keys)
+    first = "NOT closed AND NOT late AND " if detailed else ""
+    before_time = "" if detailed else "NOT hs AND NOT hg AND "
+    R = RULES
+    return f"""{view}_d AS (SELECT *, lag(high) OVER g AS h1, lag(low) OVER g AS l1, lag(atr) OVER g AS a1, hour >= {R.close_hour} OR weekday >= 5 AS closed FROM {source} WINDOW g AS (PARTITION BY {k} ORDER BY i)),
+{view}_s AS (SELECT {k}, bar_id, i, CASE WHEN closed THEN 0 ELSE sign(signal) END AS pos, price AS ep, atr AS ea, CAST(0 AS BIGINT) AS ei, CAST(0 AS BIGINT) AS cd, CAST(0 AS DOUBLE) AS ex,
+  CASE WHEN closed OR signal = 0 THEN 0 ELSE price END AS fill, '' AS reason FROM {view}_d WHERE i = 0
+  UNION ALL
+  SELECT {k}, bar_id, i, CASE WHEN gone THEN 0 WHEN turn OR enter THEN sign(signal) ELSE p END, CASE WHEN turn OR enter THEN price ELSE ep END, CASE WHEN turn OR enter THEN atr ELSE ea END, CASE WHEN turn OR enter THEN i ELSE ei END,
+    CASE WHEN hs THEN {R.cooldown} ELSE cd END, CASE WHEN hs THEN ep - p * ea * tight WHEN hg THEN ep + p * ea * goal ELSE 0 END, CASE WHEN turn OR enter THEN price ELSE 0 END,
+    CASE WHEN hs THEN 'stop' WHEN hg THEN 'target' WHEN gone AND closed THEN 'close' WHEN gone THEN 'time' WHEN turn THEN 'reverse' ELSE '' END
+  FROM (SELECT *, p <> 0 AND NOT gone AND signal <> 0 AND sign(signal) <> p AS turn, p = 0 AND NOT closed AND signal <> 0 AND cd = 0 AS enter
+    FROM (SELECT *, p <> 0 AND (hs OR hg OR closed OR late) AS gone
+      FROM (SELECT *, {first}hs0 AS hs, {first}NOT hs0 AND hg0 AS hg FROM (SELECT *, p <> 0 AND i - ei >= {R.horizon} AS late,
+        p <> 0 AND tight > 0 AND CASE WHEN p > 0 THEN l1 <= ep - ea * tight ELSE h1 >= ep + ea * tight END AS hs0, p <> 0 AND goal > 0 AND CASE WHEN p > 0 THEN h1 >= ep + ea * goal ELSE l1 <= ep - ea * goal END AS hg0
+        FROM (SELECT d.*, s.pos AS p, s.ep, s.ea, s.ei, greatest(s.cd - 1, 0) AS cd, CASE WHEN d.a1 > 0 AND s.ea > 0 AND d.a1 > {R.tighten_over} * s.ea THEN {R.tighten} ELSE 1.0 END * {R.sl_long} AS tight, {R.tp_long} AS goal
+          FROM {view}_s s JOIN {view}_d d ON {' AND '.join(f's.{c} = d.{c}' for c in keys)} AND d.i = s.i + 1))))) q),
+{view} AS (SELECT *, (before * {R.lot} * (xp - last) - CASE WHEN abs(pos - before) < 1e-6 THEN 0 ELSE abs(pos - before) * {R.lot} * xp * 0.5 * {R.spread} + greatest({R.least_commission}, abs(pos - before) * {R.lot} * xp * {R.commission})
+  + {R.slippage} * atr * {R.lot} * abs(pos - before) END) / {R.account} AS net_ret, before = 0 AND pos <> 0 AS entered FROM (SELECT {ks('s')}, s.bar_id, s.i, s.pos, s.fill, s.reason, s.ex, d.price, d.atr, coalesce(lag(s.pos) OVER g, 0) AS before,
+  CASE WHEN s.ex <> 0 THEN s.ex ELSE d.price END AS xp, coalesce({"lag(d.price) OVER g" if detailed else "CASE WHEN lag(s.fill) OVER g <> 0 THEN lag(s.fill) OVER g ELSE lag(d.price) OVER g END"}, d.price) AS last
+  FROM {view}_s s JOIN {view}_d d ON {' AND '.join(f's.{c} = d.{c}' for c in keys)} AND s.i = d.i WINDOW g AS (PARTITION BY {ks('s')} ORDER BY s.i)))"""
+
+
+SK = ["series", "strategy_id"]
+_W = "WITH RECURSIVE "
+
+
+@query("sim_barrier_returns", f"{_W}{ORDERS_SQL}, {slice_sql('whole', 'acting', SK)}, {sim_sql('sim', 'whole', SK)} SELECT series, strategy_id, bar_id, round(net_ret, 6) + 0.0 AS net_ret, CAST(pos AS DOUBLE) AS position FROM sim")
 def sim_barrier_returns(spark, sf_dir):
-    return M.net_returns(_orders(spark, sf_dir), RULES)
+    return M.net_returns(_orders(spark, sf_dir), RULES).select("series", "strategy_id", "bar_id", rounded("net_ret").alias("net_ret"), "position")
 
 
-@query("sim_trades")
+_TRADES_SQL = """e AS (SELECT *, row_number() OVER (PARTITION BY series, strategy_id ORDER BY i) AS m FROM sim WHERE fill <> 0), x AS (SELECT *, row_number() OVER (PARTITION BY series, strategy_id ORDER BY i) AS m FROM sim WHERE reason <> ''),
+  z AS (SELECT series, strategy_id, max(bar_id) AS bar_id, arg_max(price, i) AS price FROM sim GROUP BY 1, 2)"""
+
+
+@query(
+    "sim_trades",
+    f"""{_W}{ORDERS_SQL}, {slice_sql('whole', 'acting', SK)}, {sim_sql('sim', 'whole', SK, True)}, {_TRADES_SQL},
+    t AS (SELECT e.series, e.strategy_id, e.bar_id AS entry_bar, coalesce(x.bar_id, z.bar_id) AS exit_bar, CAST(e.pos AS DOUBLE) AS side, coalesce(x.reason, 'open') AS reason, e.fill AS entry_price, coalesce(x.xp, z.price) AS exit_price
+    FROM e LEFT JOIN x ON e.series = x.series AND e.strategy_id = x.strategy_id AND e.m = x.m JOIN z ON e.series = z.series AND e.strategy_id = z.strategy_id)
+    SELECT series, strategy_id, entry_bar, exit_bar, side, reason, entry_price, round(exit_price, 6) AS exit_price, round(side * (exit_price - entry_price), 6) + 0.0 AS gross FROM t""",
+)
 def sim_trades(spark, sf_dir):
-    return M.trades(_orders(spark, sf_dir), RULES)
+    t = M.trades(_orders(spark, sf_dir), RULES)
+    return t.select("series", "strategy_id", "entry_bar", "exit_bar", "side", "reason", "entry_price", F.round("exit_price", 6).alias("exit_price"), rounded("gross").alias("gross"))
+
+
+@query("sim_equity", f"{_W}{ORDERS_SQL}, {slice_sql('whole', 'acting', SK)}, {sim_sql('sim', 'whole', SK, True)} SELECT series, strategy_id, bar_id, round(1000.0 + 1000.0 * sum(net_ret) OVER (PARTITION BY series, strategy_id ORDER BY i ROWS UNBOUNDED PRECEDING), 4) AS equity FROM sim")
+def sim_equity(spark, sf_dir):
+    return M.equity(_orders(spark, sf_dir), RULES, RULES.account).withColumn("equity", F.round("equity", 4))
+
+
+def mutex_sql() -> str:
+    """The shared account under RULES for the strategies trend (first) and revert."""
+    R = RULES
+    price = lambda x: f"{R.lot} * {x} * 0.5 * {R.spread} + greatest({R.least_commission}, {R.lot} * {x} * {R.commission}) + {R.slippage} * atr * {R.lot}"
+    return f"""md0 AS (SELECT series, bar_id, price, high, low, atr, hour, weekday, max(CASE WHEN strategy_id = 'trend' THEN signal END) AS g0, max(CASE WHEN strategy_id = 'revert' THEN signal END) AS g1 FROM acting GROUP BY ALL),
+md AS (SELECT *, row_number() OVER g - 1 AS i, lag(high) OVER g AS h1, lag(low) OVER g AS l1, lag(atr) OVER g AS a1, lag(price) OVER g AS p1, hour >= {R.close_hour} OR weekday >= 5 AS closed FROM md0 WINDOW g AS (PARTITION BY series ORDER BY bar_id)),
+ms AS (SELECT series, bar_id, CAST(i AS BIGINT) AS i, -1 AS own, CAST(0 AS DOUBLE) AS pos, price AS ep, atr AS ea, CAST(0 AS BIGINT) AS ei, CAST(0 AS BIGINT) AS c0, CAST(0 AS BIGINT) AS c1, CAST(0 AS DOUBLE) AS net, -1 AS who FROM md WHERE i = 0
+  UNION ALL
+  SELECT series, bar_id, i, CASE WHEN gone THEN -1 WHEN e0 THEN 0 WHEN e1 THEN 1 ELSE own END, CASE WHEN gone THEN 0 WHEN e0 THEN sign(g0) WHEN e1 THEN sign(g1) ELSE p END, CASE WHEN e0 OR e1 THEN price ELSE ep END, CASE WHEN e0 OR e1 THEN atr ELSE ea END,
+    CASE WHEN e0 OR e1 THEN i ELSE ei END, CASE WHEN stopped AND own = 0 THEN {R.cooldown} WHEN p = 0 OR own = 0 THEN greatest(c0 - 1, 0) ELSE c0 END,
+    CASE WHEN stopped AND own = 1 THEN {R.cooldown} WHEN own = 1 OR (p = 0 AND NOT e0) THEN greatest(c1 - 1, 0) ELSE c1 END,
+    (p * {R.lot} * (xp - p1) - CASE WHEN gone OR e0 OR e1 THEN {price('xp')} ELSE 0 END) / {R.account}, CASE WHEN p <> 0 THEN own WHEN e0 THEN 0 WHEN e1 THEN 1 ELSE -1 END
+  FROM (SELECT *, CASE WHEN stopped THEN ep - p * ea * {R.sl_long} WHEN hg AND NOT closed THEN ep + p * ea * {R.tp_long} ELSE price END AS xp, p = 0 AND NOT closed AND g1 <> 0 AND c1 <= 1 AND NOT e0 AS e1
+    FROM (SELECT *, p <> 0 AND (late OR hs OR hg OR closed) AS gone, hs AND NOT closed AS stopped, p = 0 AND NOT closed AND g0 <> 0 AND c0 <= 1 AS e0
+      FROM (SELECT *, NOT late AND hs0 AS hs, NOT late AND NOT hs0 AND hg0 AS hg FROM (SELECT *, p <> 0 AND i - ei >= {R.horizon} AS late,
+        p <> 0 AND CASE WHEN p > 0 THEN l1 <= ep - ea * tight ELSE h1 >= ep + ea * tight END AS hs0, p <> 0 AND CASE WHEN p > 0 THEN h1 >= ep + ea * {R.tp_long} ELSE l1 <= ep - ea * {R.tp_long} END AS hg0
+        FROM (SELECT d.*, s.own, s.pos AS p, s.ep, s.ea, s.ei, s.c0, s.c1, CASE WHEN d.a1 > 0 AND s.ea > 0 AND d.a1 > {R.tighten_over} * s.ea THEN {R.tighten} ELSE 1.0 END * {R.sl_long} AS tight FROM ms s JOIN md d ON s.series = d.series AND d.i = s.i + 1))))) q)"""
+
+
+@query("sim_mutex", f"{_W}{ORDERS_SQL}, {mutex_sql()} SELECT series, bar_id, who AS owner, round(net, 8) + 0.0 AS net_ret FROM ms")
+def sim_mutex(spark, sf_dir):
+    m = M.mutex_returns(_orders(spark, sf_dir), ["trend", "revert"], {"trend": RULES, "revert": RULES})
+    owner = F.coalesce(F.max(F.when(F.col("owns"), F.when(F.col("strategy_id") == "trend", 0).otherwise(1))), F.lit(-1))
+    return m.groupBy("series", "bar_id").agg(owner.alias("owner"), rounded(F.sum("net_ret"), 8).alias("net_ret"))
+
+
+_RUNS_SQL = """r0 AS (SELECT *, row_number() OVER w - 1 AS i, signal <> 0 AS on_, coalesce(lag(signal) OVER w <> 0, false) AS was FROM signals WINDOW w AS (PARTITION BY series, strategy_id ORDER BY bar_id)),
+  r1 AS (SELECT *, lead(bar_id) OVER w AS exit_bar, lead(i) OVER w AS j FROM r0 WHERE on_ <> was WINDOW w AS (PARTITION BY series, strategy_id ORDER BY bar_id)),
+  runs AS (SELECT series, strategy_id, bar_id AS entry_bar, exit_bar, least(j - i, 5) AS duration FROM r1 WHERE on_ AND j IS NOT NULL)"""
+
+
+@query("sim_durations", f"WITH {SIGNALS_SQL}, {_RUNS_SQL} SELECT * FROM runs")
+def sim_durations(spark, sf_dir):
+    return M.signal_runs(S.signals(returns(spark, sf_dir), STRATEGIES), 5)
+
+
+@query("eval_durations", f"WITH {SIGNALS_SQL}, {_RUNS_SQL} SELECT strategy_id, round(avg(duration), 6) AS mean, quantile_cont(duration, 0.5) AS median, max(duration) AS longest, count(*) AS n FROM runs GROUP BY 1")
+def eval_durations(spark, sf_dir):
+    d = M.signal_runs(S.signals(returns(spark, sf_dir), STRATEGIES), 5)
+    return d.groupBy("strategy_id").agg(F.round(F.avg("duration"), 6).alias("mean"), F.percentile("duration", F.lit(0.5)).alias("median"), F.max("duration").alias("longest"), F.count("*").alias("n"))
 
 
 @query(
@@ -159,19 +276,184 @@ def sim_costs(spark, sf_dir):
     return b.select("series", "bar_id", rounded(M.cost(F.col("tick_count").cast("double"), F.col("close"), F.col("high") - F.col("low"), RULES), 8).alias("cost"))
 
 
-@query("eval_cpcv_paths")
+_DOWN = "sqrt(avg(pow(least(net_ret, 0), 2)))"
+_SPLIT = "CASE WHEN k < floor(n * 0.6) THEN 'train' WHEN k < floor(n * 0.8) THEN 'val' ELSE 'test' END"
+POPULATION_SQL = f"""{ORDERS_SQL}, sp AS (SELECT *, {_SPLIT} AS split FROM orders0), {slice_sql('cut', 'sp', [*SK, 'split'], True)}, {sim_sql('sim', 'cut', [*SK, 'split'])},
+  pt AS (SELECT series, strategy_id, split, sum(net_ret) AS total_return, avg(net_ret) / (stddev_pop(net_ret) + 1e-9) AS sharpe, max(net_ret) / (abs(sum(net_ret)) + 1e-9) AS stability, CAST(sum(entered::INT) AS BIGINT) AS trades,
+  avg(net_ret) / greatest({_DOWN}, 1e-9) * CASE WHEN max(net_ret) / (abs(sum(net_ret)) + 1e-9) > 0.6 THEN 0.6 ELSE 1.0 END AS sortino FROM sim GROUP BY 1, 2, 3)"""
+
+
+@query("eval_population", f"{_W}{POPULATION_SQL} SELECT series, strategy_id, split, trades, {', '.join(r(c, c, 5) for c in ('total_return', 'sharpe', 'sortino', 'stability'))} FROM pt")
+def eval_population(spark, sf_dir):
+    t = V.population_table(_raw_orders(spark, sf_dir), RULES)
+    return t.select("series", "strategy_id", "split", "trades", *[rounded(c, 5).alias(c) for c in ("total_return", "sharpe", "sortino", "stability")])
+
+
+@query(
+    "eval_walk_forward",
+    f"""{_W}{ORDERS_SQL}, dv AS (SELECT *, floor(n * 0.8) AS dev FROM orders0), st AS (SELECT *, floor(dev * 0.11) AS step, floor(dev * 0.55) AS win FROM dv), fo AS (SELECT *, unnest(range(0, 5)) AS fold FROM st),
+    fr AS (SELECT *, least(fold * step + win + step, dev) AS stop FROM fo), fi AS (SELECT * FROM fr WHERE k >= stop - step AND k < stop), {slice_sql('cut', 'fi', [*SK, 'fold'], True)}, {sim_sql('sim', 'cut', [*SK, 'fold'])},
+    f AS (SELECT series, strategy_id, fold, avg(net_ret) / greatest({_DOWN}, 1e-9) * CASE WHEN sum(net_ret) > 0 AND max(net_ret) / (sum(net_ret) + 1e-9) > 0.6 THEN 0.6 ELSE 1.0 END AS s, sum(entered::INT) AS t FROM sim GROUP BY 1, 2, 3)
+    SELECT series, strategy_id, {r('avg(s) - stddev_pop(s) * 0.5', 'score', 5)}, {r('avg(s)', 'avg_sortino', 5)}, {r('min(s)', 'min_sortino', 5)}, {r('stddev_pop(s)', 'fold_std', 5)}, {r('avg(t)', 'avg_trades')} FROM f GROUP BY 1, 2""",
+)
+def eval_walk_forward(spark, sf_dir):
+    t = V.walk_forward_scores(_raw_orders(spark, sf_dir), RULES)
+    return t.select("series", "strategy_id", *[rounded(c, 5).alias(c) for c in ("score", "avg_sortino", "min_sortino", "fold_std")], rounded("avg_trades").alias("avg_trades"))
+
+
+_PATHS = [(p, f) for p, c in enumerate(combinations(range(6), 2)) for f in c]
+PATHS_SQL = f"""pf AS (SELECT * FROM (VALUES {', '.join(map(str, _PATHS))}) v(path, fold)), ap AS (SELECT a.*, path FROM acting a JOIN pf ON pf.fold = least(floor(k / greatest(floor(n / 6), 1)), 5)),
+  {slice_sql('stitched', 'ap', [*SK, 'path'])}, {sim_sql('psim', 'stitched', [*SK, 'path'])}, each_path AS (SELECT series, strategy_id, path, avg(net_ret) / ({_DOWN} + 1e-9) AS s FROM psim GROUP BY 1, 2, 3),
+  cp AS (SELECT series, strategy_id, quantile_cont(s, 0.05) AS cpcv_p5, quantile_cont(s, 0.5) AS cpcv_median, stddev_pop(s) AS cpcv_std, min(s) AS cpcv_min, count(*) AS paths FROM each_path GROUP BY 1, 2)"""
+
+
+@query("eval_cpcv_paths", f"{_W}{ORDERS_SQL}, {PATHS_SQL} SELECT series, strategy_id, {', '.join(r(c, c, 5) for c in ('cpcv_p5', 'cpcv_median', 'cpcv_std', 'cpcv_min'))}, paths FROM cp")
 def eval_cpcv_paths(spark, sf_dir):
-    """Median, worst and 5th percentile over 15 combinatorial paths of the barrier simulation's returns (EV07, AG12)."""
-    from pyspark.sql import Window
-
-    returns_ = M.net_returns(_orders(spark, sf_dir), RULES)
-    w = Window.partitionBy("series", "strategy_id")
-    placed = returns_.withColumns({"k": F.row_number().over(w.orderBy("bar_id")) - 1, "n": F.count("*").over(w)})
-    paths = E.path_table(spark, 6000)  # ranges of a common length, scaled to each series
-    at = F.floor(F.col("k") * 6000 / F.col("n"))
-    joined = placed.join(F.broadcast(paths), (at >= F.col("start")) & (at < F.col("stop")))  # 15 paths of 2 ranges
-    one = joined.groupBy("series", "strategy_id", "path").agg(E.sortino("net_ret").alias("sortino"))
-    return one.groupBy("series", "strategy_id").agg(F.percentile("sortino", F.lit(0.05)).alias("p5"), F.percentile("sortino", F.lit(0.5)).alias("median"), F.stddev_pop("sortino").alias("std"), F.min("sortino").alias("worst"), F.count("*").alias("paths"))
+    t = V.path_scores(_raw_orders(spark, sf_dir), RULES)
+    return t.select("series", "strategy_id", *[rounded(c, 5).alias(c) for c in ("cpcv_p5", "cpcv_median", "cpcv_std", "cpcv_min")], "paths")
+
+
+AUDIT_SQL = f"""{ORDERS_SQL}, sides AS (SELECT * REPLACE (CASE side WHEN 'long' THEN greatest(signal, 0) WHEN 'short' THEN least(signal, 0) ELSE signal END AS signal), {_SPLIT} AS split FROM (SELECT *, unnest(['total', 'long', 'short']) AS side FROM acting)),
+  {slice_sql('cut', 'sides', [*SK, 'split', 'side'])}, {sim_sql('sim', 'cut', [*SK, 'split', 'side'])},
+  cum AS (SELECT *, sum(net_ret) OVER w AS c FROM sim WINDOW w AS (PARTITION BY series, strategy_id, split, side ORDER BY i ROWS UNBOUNDED PRECEDING)), top AS (SELECT *, c - max(c) OVER (PARTITION BY series, strategy_id, split, side ORDER BY i ROWS UNBOUNDED PRECEDING) AS dd FROM cum),
+  au AS (SELECT series, strategy_id, split, side, CAST(sum(entered::INT) AS BIGINT) AS trades, sum(net_ret) AS total_return, avg(net_ret) * 252 AS ann_return, CASE WHEN {_DOWN} < 1e-9 THEN 0 ELSE avg(net_ret) * sqrt(252) / {_DOWN} END AS sortino, min(dd) AS max_drawdown FROM top GROUP BY 1, 2, 3, 4)"""
+
+
+@query("eval_sides", f"{_W}{AUDIT_SQL} SELECT series, strategy_id, split, side, trades, {', '.join(r(c, c, 4) for c in ('total_return', 'ann_return', 'sortino', 'max_drawdown'))} FROM au")
+def eval_sides(spark, sf_dir):
+    t = V.side_audit(_raw_orders(spark, sf_dir), RULES, 252)
+    return t.select("series", "strategy_id", "split", "side", "trades", *[rounded(c, 4).alias(c) for c in ("total_return", "ann_return", "sortino", "max_drawdown")])
+
+
+def _cell(side: str, split: str, c: str) -> str:
+    return f"coalesce(max({c}) FILTER (side = '{side}' AND split = '{split}'), 0)"
+
+
+@query(
+    "eval_direction",
+    f"""{_W}{AUDIT_SQL}, d AS (SELECT series, strategy_id, {', '.join(f"{_cell(s, t, c)} AS {s}_{t}_{n}" for s in ('long', 'short') for t in ('train', 'test') for n, c in (('ret', 'total_return'), ('trades', 'trades')))} FROM au GROUP BY 1, 2),
+    f AS (SELECT *, {', '.join(f"{s}_train_trades >= 3 AND {s}_test_trades >= 3 AND sign({s}_train_ret) * sign({s}_test_ret) < 0 AS {s}_flipped" for s in ('long', 'short'))} FROM d)
+    SELECT series, strategy_id, {r('long_train_ret', 'long_train_ret', 5)}, {r('short_test_ret', 'short_test_ret', 5)}, long_train_trades, short_test_trades, long_flipped, short_flipped, NOT (long_flipped OR short_flipped) AS consistent FROM f""",
+)
+def eval_direction(spark, sf_dir):
+    d = V.direction_consistency(V.side_audit(_raw_orders(spark, sf_dir), RULES), 3)
+    return d.select("series", "strategy_id", rounded("long_train_ret", 5).alias("long_train_ret"), rounded("short_test_ret", 5).alias("short_test_ret"), "long_train_trades", "short_test_trades", "long_flipped", "short_flipped", "consistent")
+
+
+def _at(split: str, c: str) -> str:
+    return f"max({c}) FILTER (split = '{split}')"
+
+
+@query(
+    "eval_refresh",
+    f"""{_W}{POPULATION_SQL}, {PATHS_SQL}, w AS (SELECT series, strategy_id, {', '.join(f"{_at(s, c)} AS {s}_{n}" for s in ('train', 'val', 'test') for n, c in (('return', 'total_return'), ('sortino', 'sortino'), ('trades', 'trades')))} FROM pt GROUP BY 1, 2)
+    SELECT w.series, w.strategy_id, train_trades, {r('(train_return + val_return + test_return) / 3', 'robust_return', 5)}, {r('(train_sortino + val_sortino + test_sortino) / 3', 'avg_sortino', 5)}, {r('least(train_sortino, val_sortino, test_sortino)', 'min_sortino', 5)},
+    {r('cpcv_p5', 'cpcv_p5', 5)}, {r('cpcv_min', 'cpcv_min', 5)} FROM w JOIN cp ON w.series = cp.series AND w.strategy_id = cp.strategy_id ORDER BY (train_sortino + val_sortino + test_sortino) / 3 DESC LIMIT 6""",
+)
+def eval_refresh(spark, sf_dir):
+    o = _raw_orders(spark, sf_dir)
+    t = V.top_by(V.refreshed(V.population_table(o, RULES), V.path_scores(o, RULES)), "avg_sortino", 6)
+    return t.select("series", "strategy_id", "train_trades", *[rounded(c, 5).alias(c) for c in ("robust_return", "avg_sortino", "min_sortino", "cpcv_p5", "cpcv_min")])
+
+
+@query("eval_curves", f"{_W}{ORDERS_SQL}, {slice_sql('whole', 'acting', SK)}, {sim_sql('sim', 'whole', SK)} SELECT series, strategy_id, bar_id, round(sum(net_ret) OVER (PARTITION BY series, strategy_id ORDER BY i ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS cumulative FROM sim")
+def eval_curves(spark, sf_dir):
+    return V.curves(M.net_returns(_orders(spark, sf_dir), RULES)).withColumn("cumulative", rounded("cumulative"))
+
+
+_DECAY = (1, 2, 5, 10, 20)
+DECAY_SQL = f"""{SIGNALS_SQL}, dr AS (SELECT strategy_id, CAST(signal AS DOUBLE) AS s, {', '.join(f'lead(close, {k}) OVER w / nullif(close, 0) - 1 AS f{k}' for k in _DECAY)} FROM signals WINDOW w AS (PARTITION BY series, strategy_id ORDER BY bar_id)),
+  dl AS ({' UNION ALL '.join(f"SELECT strategy_id, {k} AS lag, s, f{k} AS f FROM dr WHERE s <> 0 AND f{k} IS NOT NULL" for k in _DECAY)}),
+  dc AS (SELECT strategy_id, lag, count(*) AS n, CASE WHEN count(*) >= 20 THEN covar_samp(s, f) / nullif(stddev_samp(s) * stddev_samp(f), 0) END AS corr FROM dl GROUP BY 1, 2)"""
+
+
+def _decayed(spark, sf_dir):
+    bars = returns(spark, sf_dir)
+    return V.signal_decay(S.signals(bars, STRATEGIES).join(bars.select("series", "bar_id", "close"), ["series", "bar_id"]), _DECAY, 20)
+
+
+@query("eval_decay", f"WITH {DECAY_SQL} SELECT strategy_id, lag, n, {r('corr', 'corr')} FROM dc")
+def eval_decay(spark, sf_dir):
+    return _decayed(spark, sf_dir).withColumn("corr", rounded("corr"))
+
+
+@query(
+    "eval_half_life",
+    f"""WITH {DECAY_SQL}, pk AS (SELECT strategy_id, max(abs(corr)) AS peak, max(lag) AS longest FROM dc WHERE corr IS NOT NULL GROUP BY 1), ha AS (SELECT dc.strategy_id, min(lag) AS lag FROM dc JOIN pk USING (strategy_id) WHERE abs(corr) <= peak / 2 GROUP BY 1)
+    SELECT pk.strategy_id, {r('peak', 'peak')}, CAST(CASE WHEN peak < 0.01 THEN 0 ELSE coalesce(ha.lag, longest) END AS INT) AS half_life FROM pk LEFT JOIN ha USING (strategy_id)""",
+)
+def eval_half_life(spark, sf_dir):
+    return V.half_life(_decayed(spark, sf_dir)).withColumn("peak", rounded("peak"))
+
+
+@query(
+    "eval_return_correlation",
+    f"""WITH {RETURNS_SQL}, w AS (SELECT strategy_id, bar_id, max(net_ret) FILTER (series = 'click') AS click, max(net_ret) FILTER (series = 'purchase') AS purchase, max(net_ret) FILTER (series = 'view') AS view FROM act GROUP BY 1, 2),
+    m AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, covar_samp({a}, {b}) / nullif(stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END), 0) AS corr FROM w" for a, b in (('click', 'purchase'), ('click', 'view'), ('purchase', 'view')))})
+    SELECT a, b, {r('corr', 'corr')} FROM m WHERE abs(corr) > 0.001""",
+)
+def eval_return_correlation(spark, sf_dir):
+    from quantloom.operators.cleaning import correlation_matrix
+
+    names = ["click", "purchase", "view"]
+    wide = _predicted(spark, sf_dir).groupBy("strategy_id", "bar_id").agg(*[F.max(F.when(F.col("series") == n, F.col("net_ret"))).alias(n) for n in names])
+    return V.strong_pairs(correlation_matrix(wide, names), 0.001).withColumn("corr", rounded("corr"))
+
+
+@query(
+    "eval_raw_votes",
+    f"""WITH {SIGNALS_SQL} SELECT c.series, c.bar_id, round(({_ALL['delta']} + {_ALL['relational']} + {_ALL['consecutive']} - {_ALL['flux']} - {_ALL['squeeze']}) / 3.0, 6) + 0.0 AS net FROM ctx c""",
+)
+def eval_raw_votes(spark, sf_dir):
+    return S.raw_votes(returns(spark, sf_dir), STRATEGIES[0]).select("series", "bar_id", rounded("net").alias("net"))
+
+
+@query(
+    "eval_clusters",
+    f"""WITH {SIGNALS_SQL}, w AS (SELECT series, bar_id, max(signal) FILTER (strategy_id = 'trend') AS a, max(signal) FILTER (strategy_id = 'revert') AS b FROM signals GROUP BY 1, 2), c AS (SELECT coalesce(covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0), 0) AS c FROM w)
+    SELECT strategy_id, CAST(CASE WHEN 1 - abs(c) <= 0.3 THEN 0 ELSE place END AS INT) AS cluster, CASE WHEN 1 - abs(c) <= 0.3 THEN strategy_id = 'revert' ELSE true END AS best FROM c, (VALUES ('trend', 0), ('revert', 1)) v(strategy_id, place)""",
+)
+def eval_clusters(spark, sf_dir):
+    return E.cluster_signals(S.signals(returns(spark, sf_dir), STRATEGIES), ["trend", "revert"], {"trend": 0.1, "revert": 0.2})
+
+
+_STRONG = f"WITH i AS ({ORACLES['select_rank_ic']}), "
+
+
+@query(
+    "select_redundancy",
+    f"""{_STRONG}{BARS_SQL}, m AS (SELECT {', '.join(f"covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0) AS {a}_{b}" for j, a in enumerate(FEATURES) for b in FEATURES[j + 1 :])} FROM bars),
+    p AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, abs({a}_{b}) AS c FROM m UNION ALL SELECT '{b}', '{a}', abs({a}_{b}) FROM m" for j, a in enumerate(FEATURES) for b in FEATURES[j + 1 :])}),
+    o AS (SELECT feature, row_number() OVER (ORDER BY abs(ic) DESC, feature) AS k FROM i), rec AS (SELECT feature, k, [feature] AS kept FROM o WHERE k = 1 UNION ALL
+    SELECT o.feature, o.k, CASE WHEN coalesce((SELECT max(c) FROM p WHERE p.a = o.feature AND list_contains(rec.kept, p.b)), 0) <= 0.85 THEN list_append(rec.kept, o.feature) ELSE rec.kept END FROM rec JOIN o ON o.k = rec.k + 1)
+    SELECT unnest(kept) AS feature, unnest(range(0, len(kept))) AS place FROM rec WHERE k = 5""".replace("WITH i AS", "WITH RECURSIVE i AS", 1),
+)
+def select_redundancy(spark, sf_dir):
+    df = _labelled(spark, sf_dir)
+    ic = E.rank_ic(df, FEATURES, "y0").withColumn("ic", rounded("ic"))
+    return E.without_redundant(df, ic, FEATURES, ["series", "bar_id"])
+
+
+@query(
+    "select_horizons",
+    f"""WITH {BARS_SQL}, fw AS (SELECT *, {', '.join(f'lead(close, {h}) OVER (PARTITION BY series ORDER BY bar_id) / nullif(close, 0) - 1 AS fwd_{h}' for h in (1, 5, 10))} FROM bars),
+    c AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {h} AS horizon, abs(covar_samp({f}, fwd_{h}) / nullif(stddev_samp(CASE WHEN fwd_{h} IS NOT NULL THEN {f} END) * stddev_samp(fwd_{h}), 0)) AS c FROM fw" for f in FEATURES for h in (1, 5, 10))})
+    SELECT feature, count(*) FILTER (c > 0.05) AS horizons, count(*) FILTER (c > 0.05) > 0 AS useful FROM c GROUP BY 1""",
+)
+def select_horizons(spark, sf_dir):
+    """Features that correlate over 0.05 with the return of a horizon, by horizon, and those that are useful in none (FS06)."""
+    from quantloom.operators.cleaning import correlations_to
+
+    df = L.forward_returns(bars_of(spark, sf_dir), (1, 5, 10))
+    kept = {h: correlations_to(df, f"fwd_{h}", FEATURES).where(F.abs("corr") > 0.05).select(F.col("column").alias("feature")) for h in (1, 5, 10)}
+    return E.across_horizons(kept, FEATURES)
+
+
+@query("select_horizon_counts", f"WITH b AS ({ORACLES['select_best_horizon']}) SELECT horizon, count(*) AS n FROM b GROUP BY 1")
+def select_horizon_counts(spark, sf_dir):
+    """How many features have each best horizon (AG08)."""
+    df = L.forward_returns(bars_of(spark, sf_dir), (1, 5, 10))
+    return E.best_horizon(df, FEATURES, ["fwd_1", "fwd_5", "fwd_10"], 100).groupBy("horizon").agg(F.count("*").alias("n"))
 
 
 @query("select_forest_importance")
