@@ -8,8 +8,9 @@ piece's rank finds its slot. Rounding up costs under a half class a piece; finer
 
 from __future__ import annotations
 
+import re
 import zlib
-from typing import TYPE_CHECKING
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,33 +20,84 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import arrow_map, stage, texts
 from quantloom.llm.cutting_stock import plan
 
-if TYPE_CHECKING:
-    from tokenizers import Tokenizer
-
 CAPACITY, END_ID, CLASSES = 1024, 0, 128
 #: Parts in which the pieces of one class are ranked; a part's first rank comes from the counts of those before.
 RANK_PARTS = 256
-_LOADED: dict[str, Tokenizer] = {}
+#: Words whose ids a worker keeps, and that the library encodes at once.
+KEPT_WORDS, WORDS_AT_ONCE = 500_000, 4096
+_LOADED: dict[str, TextIds] = {}
 
 
-def load(path: str) -> Tokenizer:
-    """The tokenizers library's object of a file, as it is; one for each worker."""
-    if path not in _LOADED:
+class TextIds:
+    """Ids of whole texts by the tokenizers library's object of a file, as it is.
+
+    A byte-level pre-tokenizer puts a space only at the front of a piece, and white space joins nothing but white space.
+    So a piece always ends between a word and a single space after it, and the ids of a text are those of its
+    space-led words, one after the other: every different word is encoded once by the library. Where that does not hold
+    the library encodes the whole text: texts with a space after other white space, texts that hold an added token, and
+    all texts if the file has a normalizer, a post-processor or another pre-tokenizer.
+    """
+
+    def __init__(self, path: str):
+        import json
         import os
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _LOADED[path] = Tokenizer.from_file(path)
-    return _LOADED[path]
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        front = made.get("pre_tokenizer") or {}
+        self.by_word = front.get("type") == "ByteLevel" and front.get("use_regex", True) and not front.get("add_prefix_space", True) and not made.get("normalizer") and not made.get("post_processor")
+        whole = [re.escape(t["content"]) for t in made.get("added_tokens") or []]
+        self.whole = re.compile("|".join([r"\s ", *whole]))
+        self.words: dict[str, bytes] = {}
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.led = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)], bool)  # ids that begin with a space
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it. Words that end in white space, or are empty, are encoded alone; others
+        in a row, parted where a space begins."""
+        odd = [w for w in words if not w or w[-1].isspace()]
+        alone = dict(zip(odd, self._encoded([" " + w for w in odd]), strict=True))
+        plain = [w for w in words if w not in alone]
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            part = plain[at : at + WORDS_AT_ONCE]
+            row = np.array(self.library.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            starts = np.flatnonzero(self.led[row])
+            if len(starts) != len(part):
+                raise AssertionError("a word holds a space")
+            raw, edges = row.tobytes(), [*(4 * starts).tolist(), 4 * len(row)]
+            alone |= {w: raw[a:b] for w, a, b in zip(part, edges, edges[1:], strict=False)}
+        return [alone[w] for w in words]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [None if not self.by_word or t[:1] == " " or self.whole.search(t) else t.split(" ") for t in texts]
+        firsts = [i for i, words in enumerate(cut) if words]
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+        known = self.words
+        new = [w for w in set(chain.from_iterable(cut[i][1:] for i in firsts)) if w not in known]
+        known.update(zip(new, self._of_words(new), strict=True))
+        out: list[bytes] = [b""] * len(texts)
+        for i, head in zip(firsts, self._encoded([cut[i][0] for i in firsts]), strict=True):
+            out[i] = head + b"".join(map(known.__getitem__, cut[i][1:]))
+        rest = [i for i, words in enumerate(cut) if words is None]
+        for i, made in zip(rest, self._encoded([texts[i] for i in rest]), strict=True):
+            out[i] = made
+        return out
 
 
-def ids_of(library: Tokenizer, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers; texts that come again are encoded once."""
-    first = {t: i for i, t in reversed(list(enumerate(texts)))}
-    own = sorted(first.values())
-    made = {texts[i]: np.array(e.ids, "<u4").tobytes() for i, e in zip(own, library.encode_batch_fast([texts[i] for i in own], add_special_tokens=False), strict=True)}
-    return [made[t] for t in texts]
+def load(path: str) -> TextIds:
+    """One for each worker."""
+    if path not in _LOADED:
+        _LOADED[path] = TextIds(path)
+    return _LOADED[path]
 
 
 def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -54,7 +106,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def make(part: pa.RecordBatch) -> dict:
         out: dict = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
         end = END_ID.to_bytes(4, "little")
-        whole = ids_of(load(tokenizer_path), part.column("text").to_pylist())
+        whole = load(tokenizer_path).ids(part.column("text").to_pylist())
         for doc_id, packed in zip(part.column("doc_id").to_pylist(), whole, strict=True):
             packed += end
             n = len(packed) // 4
@@ -67,7 +119,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 out["doc_tokens"].append(n)
         return out
 
-    return arrow_map(texts(df, id_col, text_col), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", rows=128)
+    return arrow_map(texts(df, id_col, text_col), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", rows=256)
 
 
 def slots(histogram: dict[int, int], classes: int = CLASSES) -> list[tuple[int, int, int, int, int, int]]:

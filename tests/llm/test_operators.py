@@ -235,8 +235,11 @@ def test_ids_are_the_librarys():
 
     r, library = random.Random(2), Tokenizer.from_file(BYTES)
     alphabet = [chr(i) for i in range(256)] + list("  \n'sll1.<|endoftext|>") + ["<|endoftext|>"]
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 80))) for _ in range(2000)] + ["日本 é", "", "a <|endoftext|> b", ""]
-    got = packing.ids_of(packing.load(BYTES), texts)
+    spaces = [" ", " ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "'s", "'", "a", "Zé", "1", "٣", "!", "。", "\u200b", "\U0001f600"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 80))) for _ in range(2000)]
+    texts += ["".join(r.choice(spaces) for _ in range(r.randint(0, 30))) for _ in range(6000)]
+    texts += ["日本 é", "", " ", "  ", "a ", " a", "a  b", "a\n b", "a <|endoftext|> b", ""]
+    got = packing.load(BYTES).ids(texts)
     assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert np.frombuffer(got[-2], "<u4").tolist() == [64, 220, 50256, 275]
 
