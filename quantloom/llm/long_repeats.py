@@ -128,7 +128,7 @@ def mark_shard(parts: list[bytes], counts: list[int], length: int = LENGTH) -> l
     text[:] = raw
     text += 1
     text[ends] = 0
-    match = RunIndex(text).matching_statistics()
+    match = RunIndex(text, length).matching_statistics()
     twice = np.repeat(np.asarray(counts) > 1, sizes + 1)
     match = np.where(twice, np.repeat(ends, sizes + 1) - np.arange(len(text)), match)
     return [_runs(np.flatnonzero(match[end - size : end - length + 1] >= length)) for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]

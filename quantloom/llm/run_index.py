@@ -13,9 +13,14 @@ import numpy as np
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling; only suffixes that are still tied are sorted again. ``text``: integers >= 0."""
+    return sorted_suffixes(text)[0]
+
+
+def sorted_suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(suffix array, whether each suffix begins with the same ``width`` symbols as the one before it, width)."""
     n = len(text)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool), 1
     used = np.bincount(text) > 0
     dense = used.cumsum()  # symbols that occur, from 1 on in their order: more of them fit a key
     bits = int(dense[-1]).bit_length()
@@ -29,6 +34,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     new[0] = True
     new[1:] = key[order][1:] != key[order][:-1]
     del key, padded
+    close = ~new
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n + 1, np.int32)
     rank[n] = -1
@@ -39,7 +45,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         last[:-1], last[-1] = new[1:], True
         tied = np.flatnonzero(~(new & last))
         if not len(tied):
-            return order
+            return order, close, width
         who = order[tied]
         second = rank[np.minimum(who + h, n)]
         both = rank[who].astype(np.int64) << 32 | (second.astype(np.int64) + 1)
@@ -55,13 +61,15 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         h *= 2
 
 
-def match_lengths(text: np.ndarray, a: np.ndarray, b: np.ndarray, stride: int = 64) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and at b; the text ends in a symbol of its own."""
+def match_lengths(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: int = 0) -> np.ndarray:
+    """Length of the common prefix of the suffixes at a and at b, of which the first ``known`` symbols are the same; the
+    text ends in a symbol of its own."""
     n = len(text)
-    out = np.zeros(len(a), np.int64)
+    out = np.full(len(a), known, np.int64)
     going = np.arange(len(a))
-    steps = np.arange(stride)
+    stride = 16  # most matches are short
     while len(going):
+        steps = np.arange(stride)
         for i in range(0, len(going), 1 << 15):
             g = going[i : i + (1 << 15)]
             x, y = a[g] + out[g], b[g] + out[g]
@@ -70,15 +78,19 @@ def match_lengths(text: np.ndarray, a: np.ndarray, b: np.ndarray, stride: int =
             out[g] += np.where(same.all(1), stride, same.argmin(1))
             going[i : i + (1 << 15)] = np.where(same.all(1), g, -1)
         going = going[going >= 0]
+        stride = 64
     return out
 
 
 class RunIndex:
     """Runs of the transform (``heads``, ``lengths``) with samples at run ends: for the first suffix of each run its text
-    position and match with the suffix before it, for the last one its position and match with the suffix after it."""
+    position and match with the suffix before it, for the last one its position and match with the suffix after it.
+
+    Matches under ``least`` symbols may be sampled as shorter ones: they are not measured where the first symbols differ.
+    """
 
-    def __init__(self, text: np.ndarray):
-        order = suffix_array(text)
+    def __init__(self, text: np.ndarray, least: int = 0):
+        order, close, width = sorted_suffixes(text)
         n = len(order)
         self.n = n
         left = text[order - 1].astype(np.int32)  # the symbol before each suffix
@@ -87,13 +99,13 @@ class RunIndex:
         edge[0] = True
         edge[1:] = left[1:] != left[:-1]
         starts = np.flatnonzero(edge)
-        ends = np.append(starts[1:], n) - 1
-        self.heads, self.lengths = left[starts], ends - starts + 1
-        up, down = starts[starts > 0], ends[ends < n - 1]
-        self.first_at = np.append(order[up], order[0])
-        self.first_match = np.append(match_lengths(text, order[up], order[up - 1]), 0)
-        self.last_at = np.append(order[down], order[-1])
-        self.last_match = np.append(match_lengths(text, order[down], order[down + 1]), 0)
+        self.heads, self.lengths = left[starts], np.diff(np.append(starts, n))
+        bounds = starts[1:]  # between two runs: the last suffix of one, the first of the next
+        match = np.zeros(len(bounds), np.int64)
+        measured = np.flatnonzero(close[bounds]) if least >= width else np.arange(len(bounds))
+        match[measured] = match_lengths(text, order[bounds[measured] - 1], order[bounds[measured]], width if least >= width else 0)
+        self.first_at, self.first_match = np.append(order[bounds], order[0]), np.append(match, 0)
+        self.last_at, self.last_match = np.append(order[bounds - 1], order[-1]), np.append(match, 0)
 
     def text(self) -> np.ndarray:
         """The indexed text again, from the runs alone (the transform loses nothing); it ends in 0."""
