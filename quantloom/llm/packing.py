@@ -8,9 +8,7 @@ piece's rank finds its slot. Rounding up costs under a half class a piece; finer
 
 from __future__ import annotations
 
-import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +21,8 @@ from quantloom.llm.cutting_stock import plan
 CAPACITY, END_ID, CLASSES = 1024, 0, 128
 #: Parts in which the pieces of one class are ranked; a part's first rank comes from the counts of those before.
 RANK_PARTS = 256
-#: Words whose ids a worker keeps, and that the library encodes at once.
-KEPT_WORDS, WORDS_AT_ONCE = 500_000, 4096
+#: Words of an age whose ids a worker keeps, and that the library encodes at once.
+KEPT_WORDS, WORDS_AT_ONCE = 400_000, 4096
 _LOADED: dict[str, TextIds] = {}
 
 
@@ -50,21 +48,19 @@ class TextIds:
             made = json.load(f)
         front = made.get("pre_tokenizer") or {}
         self.by_word = front.get("type") == "ByteLevel" and front.get("use_regex", True) and not front.get("add_prefix_space", True) and not made.get("normalizer") and not made.get("post_processor")
-        whole = [re.escape(t["content"]) for t in made.get("added_tokens") or []]
-        self.whole = re.compile("|".join([r"\s ", *whole]))
-        self.words: dict[str, bytes] = {}
+        self.added = [t["content"] for t in made.get("added_tokens") or []]
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.led = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)], bool)  # ids that begin with a space
+        self.words: dict[str, bytes] = {}  # ids of space-led words, in two ages
+        self.older: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it. Words that end in white space, or are empty, are encoded alone; others
-        in a row, parted where a space begins."""
-        odd = [w for w in words if not w or w[-1].isspace()]
-        alone = dict(zip(odd, self._encoded([" " + w for w in odd]), strict=True))
-        plain = [w for w in words if w not in alone]
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, encoded in a row and parted where a space begins. An empty word, or one that ends in white
+        space, has none: b'' marks that its text must be encoded whole."""
+        plain = [w for w in words if w and not w[-1].isspace()]
         for at in range(0, len(plain), WORDS_AT_ONCE):
             part = plain[at : at + WORDS_AT_ONCE]
             row = np.array(self.library.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
@@ -72,25 +68,26 @@ class TextIds:
             if len(starts) != len(part):
                 raise AssertionError("a word holds a space")
             raw, edges = row.tobytes(), [*(4 * starts).tolist(), 4 * len(row)]
-            alone |= {w: raw[a:b] for w, a, b in zip(part, edges, edges[1:], strict=False)}
-        return [alone[w] for w in words]
+            self.words.update(zip(part, [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+        if len(plain) < len(words):
+            self.words.update(dict.fromkeys([w for w in words if not w or w[-1].isspace()], b""))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if not self.by_word or t[:1] == " " or self.whole.search(t) else t.split(" ") for t in texts]
-        firsts = [i for i, words in enumerate(cut) if words]
         if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        known = self.words
-        new = [w for w in set(chain.from_iterable(cut[i][1:] for i in firsts)) if w not in known]
-        known.update(zip(new, self._of_words(new), strict=True))
-        out: list[bytes] = [b""] * len(texts)
-        for i, head in zip(firsts, self._encoded([cut[i][0] for i in firsts]), strict=True):
-            out[i] = head + b"".join(map(known.__getitem__, cut[i][1:]))
-        rest = [i for i, words in enumerate(cut) if words is None]
-        for i, made in zip(rest, self._encoded([texts[i] for i in rest]), strict=True):
-            out[i] = made
-        return out
+            self.words, self.older = {}, self.words
+        cut = [t.split(" ") if self.by_word and not any(a in t for a in self.added) else [""] for t in texts]
+        get = self.words.get
+        held = [list(map(get, words[1:])) for words in cut]
+        missing = dict.fromkeys(w for words, found in zip(cut, held, strict=True) if None in found for w, x in zip(words[1:], found, strict=True) if x is None)
+        again = {w: x for w in missing if (x := self.older.get(w)) is not None}
+        self.words.update(again)
+        self._learn([w for w in missing if w not in again])
+        held = [list(map(self.words.__getitem__, words[1:])) if None in found else found for words, found in zip(cut, held, strict=True)]
+        whole = [i for i, (words, found) in enumerate(zip(cut, held, strict=True)) if not words[0] or (found and words[0][-1].isspace()) or b"" in found]
+        alone = dict(zip(whole, self._encoded([texts[i] for i in whole]), strict=True))
+        heads = self._encoded(["" if i in alone else words[0] for i, words in enumerate(cut)])
+        return [alone[i] if i in alone else head + b"".join(found) for i, (head, found) in enumerate(zip(heads, held, strict=True))]
 
 
 def load(path: str) -> TextIds:
