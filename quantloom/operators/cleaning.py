@@ -33,6 +33,43 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The last row of each key in ``order`` (OP05): ``order`` is given ascending, nulls first."""
+    return keep_one(df, keys, [c.desc_nulls_last() for c in order])
+
+
+def trading_bars(bars: DataFrame, start: str | None = None, timed: bool = True) -> DataFrame:
+    """Bars from a date on (OP06), without those of no duration (OP07)."""
+    kept = bars.where(F.col("time_start") >= F.lit(start).cast("timestamp_ntz")) if start else bars
+    return kept.where(F.col("time_start") != F.col("time_end")) if timed else kept
+
+
+#: Columns that stay whatever the list says: fixed names of the surveyed bars.
+META = ("series", "bar_id", "time_start", "time_end", "open", "high", "low", "close", "volume")
+
+
+def keep_columns(df: DataFrame, survivors: list[str]) -> DataFrame:
+    """META columns and the survivors that exist (OP08)."""
+    return df.select(*[c for c in df.columns if c in META], *[c for c in dict.fromkeys(survivors) if c in df.columns and c not in META])
+
+
+def leak_audit(df: DataFrame, columns: list[str], ret: str = "log_ret", known: tuple[str, ...] = (), ahead: float = 0.2, same: float = 0.95) -> DataFrame:
+    """(column, next_corr, current_corr, leaks, proxy) (OP15): whether a column correlates over ``ahead`` with the next
+    bar's return, unless it is ``known`` to, and over ``same`` with the current one."""
+    nxt = df.withColumn("_next", F.lead(ret).over(Window.partitionBy("series").orderBy("bar_id"))).where("_next is not null")
+    next_, now = correlations_to(nxt, "_next", columns), correlations_to(nxt, ret, [c for c in columns if c != ret])
+    both = next_.withColumnRenamed("corr", "next_corr").join(now.withColumnRenamed("corr", "current_corr"), "column", "left")
+    listed = F.col("column").isin(list(known)) if known else F.lit(False)
+    over = lambda c, most: F.coalesce(F.abs(c) > most, F.lit(False))
+    return both.withColumns({"leaks": over("next_corr", ahead) & ~listed, "proxy": over("current_corr", same)})
+
+
+def drop_constant(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` without those of ``columns`` that hold one value at most, or no deviation (OP16): one aggregate decides."""
+    made = df.agg(*[F.struct(F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias("one"), F.coalesce(F.stddev_samp(F.col(c).cast("double")), F.lit(0.0)).alias("std")).alias(c) for c in columns]).first()
+    return df.drop(*[c for c in columns if made[c]["one"] or made[c]["std"] == 0])
+
+
 def gaps(ticks: DataFrame, start: str, end: str, inner: str = "30 minutes", tail: str = "4 hours") -> DataFrame:
     """Holes in a tape between two times (OP09): head and inner ones longer than ``inner``, the tail one than ``tail``."""
     w = Window.partitionBy("series").orderBy("ts", "seq")

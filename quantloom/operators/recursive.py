@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.frames import ffill, ratio
+
 
 def ewm(x: np.ndarray, alpha: float) -> np.ndarray:
     """Exponentially weighted mean with finite-history weights: sum (1-a)^k x / sum (1-a)^k over what is there (WN13)."""
@@ -36,17 +38,34 @@ def fisher(high: np.ndarray, low: np.ndarray, w: int) -> tuple[np.ndarray, np.nd
     return out, np.append(0.0, out[:-1]) if len(out) else out
 
 
+def _rs(d: np.ndarray) -> np.ndarray:
+    """Rescaled-range exponents of rows of steps, within [0, 1]; 0.5 for rows without spread."""
+    std = d.std(axis=1)
+    c = (d - d.mean(axis=1, keepdims=True)).cumsum(axis=1)
+    spread = c.max(axis=1) - c.min(axis=1)
+    fine = (std > 0) & (spread > 0)
+    out = np.full(len(d), 0.5)
+    out[fine] = np.clip(np.log(spread[fine] / std[fine]) / math.log(d.shape[1]), 0.0, 1.0)
+    return out
+
+
 def rs_hurst(x: np.ndarray, w: int, least: int = 20) -> np.ndarray:
     """Rescaled-range exponent of the steps in each window, within [0, 1]; 0.5 where there are too few (F027)."""
     step = np.diff(x, prepend=np.nan)
     out = np.full(len(x), 0.5)
-    for i in range(len(x)):
+    whole = ~np.isnan(step)
+    if len(x) > w:
+        views = np.lib.stride_tricks.sliding_window_view(step, w)
+        full = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(whole, w).all(axis=1))
+        for at in range(0, len(full), 4096):
+            out[full[at : at + 4096] + w - 1] = _rs(views[full[at : at + 4096]])
+    else:
+        full = np.zeros(0, np.int64)
+    for i in np.setdiff1d(np.arange(len(x)), full + w - 1):  # windows that are short, or hold a gap
         d = step[max(0, i - w + 1) : i + 1]
         d = d[~np.isnan(d)]
-        if len(d) >= least and (s := d.std()) > 0:
-            c = (d - d.mean()).cumsum()
-            spread = c.max() - c.min()
-            out[i] = min(max(math.log(spread / s) / math.log(len(d)), 0.0), 1.0) if spread > 0 else 0.5
+        if len(d) >= least:
+            out[i] = _rs(d[None, :])[0]
     return out
 
 
@@ -99,48 +118,96 @@ def news_decay(df: DataFrame, impact: str, hours: tuple[int, ...] = (2, 4, 8), p
     return by_series(df, {"x": impact}, lambda x: {k: ewm(x, a) for k, a in alphas.items()}, ", ".join(f"{k} double" for k in alphas))
 
 
-def spread_hurst(df: DataFrame, column: str, w: int) -> DataFrame:
-    return by_series(df, {"x": column}, lambda x: {"hurst": rs_hurst(x, w)}, "hurst double")
+def spread_hurst(df: DataFrame, column: str, w: int, delta: int = 50) -> DataFrame:
+    """hurst of a spread and its change over ``delta`` bars, 0.5 where there is none (F027)."""
+    def make(x):
+        h = rs_hurst(x, w)
+        change = np.full(len(h), 0.5)
+        change[delta:] = h[delta:] - h[:-delta] if len(h) > delta else change[delta:]
+        return {"hurst": h, "hurst_delta": change}
+    return by_series(df, {"x": column}, make, "hurst double, hurst_delta double")
 
 
-PROFILE = "series string, day date, vpoc double, val double, vah double, day_vol double, centres array<double>, volumes array<double>"
+PROFILE = "series string, day date, vpoc double, val double, vah double, day_vol double, day_low double, day_high double, volumes array<double>"
 
 
 def daily_profiles(bars: DataFrame, bins: int = 200) -> DataFrame:
     """Volume profile of each series and day (F070): a day's bars are one group."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, v = histogram(pdf["close"].to_numpy(float), pdf["volume"].to_numpy(float), bins)
+        p = pdf["close"].to_numpy(float)
+        c, v = histogram(p, pdf["volume"].to_numpy(float), bins)
         poc, low, high = value_area(c, v)
-        return pd.DataFrame([(pdf["series"].iat[0], pdf["day"].iat[0], poc, low, high, v.sum(), c.tolist(), v.tolist())], columns=[x.split()[0] for x in PROFILE.split(", ")])
+        return pd.DataFrame([(pdf["series"].iat[0], pdf["day"].iat[0], poc, low, high, v.sum(), p.min(), p.max(), v.tolist())], columns=[x.split()[0] for x in PROFILE.split(", ")])
     return bars.select("series", F.to_date("time_start").alias("day"), "close", "volume").groupBy("series", "day").applyInPandas(run, PROFILE)
 
 
 def composite_profiles(profiles: DataFrame, days: int, bins: int = 100) -> DataFrame:
-    """Value area of the ``days`` profiles before each day, re-binned by bin centre (F073)."""
+    """Value area of the ``days`` profiles before each day (F073): volumes go to the bin of the common range that holds
+    their own bin's centre. Days without so many before them have none; a series' days are one group (a row a day)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day")
+        lows, highs, volumes = pdf["day_low"].to_numpy(), pdf["day_high"].to_numpy(), pdf["volumes"].to_numpy()
         rows = []
-        for i in range(1, len(pdf)):
-            part = pdf.iloc[max(0, i - days) : i]
-            c, v = histogram(np.concatenate(part["centres"].to_numpy()), np.concatenate(part["volumes"].to_numpy()), bins)
-            rows.append((pdf["series"].iat[0], pdf["day"].iat[i], *value_area(c, v)))
+        for i in range(days, len(pdf)):
+            low, high = lows[i - days : i].min(), highs[i - days : i].max()
+            if high <= low:
+                continue
+            width, total = (high - low) / bins, np.zeros(bins)
+            for k in range(i - days, i):
+                v = np.asarray(volumes[k], float)
+                if highs[k] > lows[k]:
+                    centres = lows[k] + (np.arange(len(v)) + 0.5) * (highs[k] - lows[k]) / len(v)
+                    np.add.at(total, np.clip(((centres - low) / width).astype(int), 0, bins - 1), v)
+            if total.sum() > 0:
+                rows.append((pdf["series"].iat[0], pdf["day"].iat[i], *value_area(low + (np.arange(bins) + 0.5) * width, total)))
         return pd.DataFrame(rows, columns=["series", "day", "vpoc", "val", "vah"])
     return profiles.groupBy("series").applyInPandas(run, "series string, day date, vpoc double, val double, vah double")
 
 
+def composite_context(bars: DataFrame, composites: DataFrame, name: str) -> DataFrame:
+    """{name}_vpoc, _val, _vah of the bar's day, filled from before, else the close; whether the close is inside, and its
+    distance to the control price as a share (F073)."""
+    known = composites.select("series", "day", *[F.col(c).alias(f"{name}_{c}") for c in ("vpoc", "val", "vah")])
+    joined = bars.withColumn("day", F.to_date("time_start")).join(known, ["series", "day"], "left").drop("day")
+    joined = joined.withColumns({f"{name}_{c}": F.coalesce(ffill(f"{name}_{c}"), "close") for c in ("vpoc", "val", "vah")})
+    inside = F.col("close").between(F.col(f"{name}_val"), F.col(f"{name}_vah"))
+    return joined.withColumns({f"{name}_in_value": inside.cast("double"), f"dist_to_{name}_vpoc": ratio(F.col("close") - F.col(f"{name}_vpoc"), f"{name}_vpoc")})
+
+
+def developing_areas(p: np.ndarray, v: np.ndarray, bins: int = 50) -> list[tuple[float, float, float]]:
+    """The value area after each bar of a day. The histogram is made anew only where the day's range grows."""
+    out, low, high, held = [], math.inf, -math.inf, np.zeros(1)
+    for i in range(len(p)):
+        if p[i] < low or p[i] > high:
+            low, high = min(low, p[i]), max(high, p[i])
+            centres, held = histogram(p[: i + 1], v[: i + 1], bins)
+        elif high > low:
+            held[min(int((p[i] - low) / (high - low) * bins), bins - 1)] += v[i]
+        else:
+            held[0] += v[i]
+        out.append(value_area(centres, held))
+    return out
+
+
 def developing_profile(bars: DataFrame, bins: int = 50) -> DataFrame:
-    """The value area of each day so far, at every bar (F072)."""
+    """The value area of each day so far, at every bar, with its width, the close's distance to its control price, both as
+    shares, and whether the close is inside (F072)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_id")
-        p, v = pdf["close"].to_numpy(float), pdf["volume"].to_numpy(float)
-        areas = [value_area(*histogram(p[: i + 1], v[: i + 1], bins)) for i in range(len(p))]
-        return pdf[["series", "bar_id"]].assign(**{n: [a[k] for a in areas] for k, n in enumerate(("dev_vpoc", "dev_val", "dev_vah"))})
+        areas = developing_areas(pdf["close"].to_numpy(float), pdf["volume"].to_numpy(float), bins)
+        return pdf[["series", "bar_id", "close"]].assign(**{n: [a[k] for a in areas] for k, n in enumerate(("dev_vpoc", "dev_val", "dev_vah"))})
     keyed = bars.select("series", F.to_date("time_start").alias("day"), "bar_id", "close", "volume")
-    return keyed.groupBy("series", "day").applyInPandas(run, "series string, bar_id long, dev_vpoc double, dev_val double, dev_vah double")
+    made = keyed.groupBy("series", "day").applyInPandas(run, "series string, bar_id long, close double, dev_vpoc double, dev_val double, dev_vah double")
+    return made.select(
+        *("series", "bar_id", "dev_vpoc", "dev_val", "dev_vah"),
+        ratio(F.col("dev_vah") - F.col("dev_val"), "close").alias("dev_va_width"),
+        ratio(F.col("close") - F.col("dev_vpoc"), "dev_vpoc").alias("price_vs_dev_vpoc"),
+        F.col("close").between(F.col("dev_val"), F.col("dev_vah")).cast("double").alias("in_dev_value"),
+    )
 
 
 def profile_context(bars: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Distances and zones against the profile of the trading day before (F071)."""
+    """Zones and distances (as shares) against the profile of the trading day before (F071)."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("series").orderBy("day")
@@ -148,7 +215,8 @@ def profile_context(bars: DataFrame, profiles: DataFrame) -> DataFrame:
     day = Window.partitionBy("series", "day").orderBy("bar_id").rowsBetween(Window.unboundedPreceding, 0)
     df = bars.withColumn("day", F.to_date("time_start")).join(before, ["series", "day"], "left")
     df = df.withColumns({f"prev_{c}": F.coalesce(f"prev_{c}", "close") for c in ("vpoc", "val", "vah")}).withColumn("day_open", F.first("open").over(day))
-    inside = F.col("close").between(F.col("prev_val"), F.col("prev_vah"))
     zone = F.when(F.col("day_open") > F.col("prev_vah"), 1).when(F.col("day_open") < F.col("prev_val"), -1).otherwise(0)
-    df = df.withColumns({"in_value_area": inside, "open_zone": zone})
-    return df.withColumns({"reentered_value": F.bool_or(F.col("in_value_area") & (F.col("open_zone") != 0)).over(day), **{f"dist_to_{c}": F.col("close") - F.col(f"prev_{c}") for c in ("vpoc", "val", "vah")}, "dist_to_day_open": F.col("close") - F.col("day_open")})
+    df = df.withColumns({"in_value_area": F.col("close").between(F.col("prev_val"), F.col("prev_vah")).cast("double"), "open_zone": zone})
+    back = ((F.col("open_zone") == 1) & (F.col("low") <= F.col("prev_vah"))) | ((F.col("open_zone") == -1) & (F.col("high") >= F.col("prev_val")))
+    far = lambda c: ratio(F.col("close") - F.col(c), c)
+    return df.withColumns({"reentered_value": F.bool_or(back).over(day).cast("int"), **{f"dist_to_{c}": far(f"prev_{c}") for c in ("vpoc", "val", "vah")}, "dist_to_day_open": far("day_open")})

@@ -203,9 +203,10 @@ def unique_genes(genes: list[dict]) -> list[dict]:
 
 
 def strategy_hash(strategy: dict) -> str:
-    """The same for strategies of the same genes in any order."""
+    """The same for strategies of the same genes, in any order, and the same stops, targets, horizon and limit."""
     sides = [sorted(json.dumps(g, sort_keys=True) for g in strategy.get(s, [])) for s in ("long_genes", "short_genes")]
-    return hashlib.sha256(json.dumps(sides).encode()).hexdigest()[:16]
+    rest = [effective(strategy, "long"), effective(strategy, "short"), strategy.get("horizon"), strategy.get("limit", 0.0)]
+    return hashlib.sha256(json.dumps([sides, rest]).encode()).hexdigest()[:16]
 
 
 def vote(strategy: dict, columns: set[str]) -> Column:
@@ -251,10 +252,20 @@ def next_open(signal: str = "signal", by: tuple[str, ...] = ("series", "strategy
     return F.coalesce(F.lag(signal).over(Window.partitionBy(*by).orderBy("bar_id")), F.lit(0))
 
 
+def parse_strategies(text: str) -> list[dict]:
+    """Strategies of a JSON text: a list, or one object; none if it can't be read."""
+    try:
+        found = json.loads(text)
+    except json.JSONDecodeError:
+        return []
+    return [s for s in (found if isinstance(found, list) else [found]) if isinstance(s, dict)]
+
+
 def read_strategies(spark: SparkSession, path: str) -> list[dict]:
     """Strategies of JSON files, lists or single objects (SRC16); a driver-side configuration, not data."""
-    rows = spark.read.text(path, wholetext=True).collect()
-    found = [json.loads(r[0]) for r in rows]
-    return [s for x in found for s in (x if isinstance(x, list) else [x])]
+    return [s for r in spark.read.text(path, wholetext=True).collect() for s in parse_strategies(r[0])]
 
 
+def effective(strategy: dict, direction: str) -> tuple[float, float]:
+    """(stop, target) of a side: its own, else the common one (ST2)."""
+    return tuple(strategy[k] if strategy.get(k) is not None else strategy.get(c, 0.0) for k, c in ((f"sl_{direction}", "sl"), (f"tp_{direction}", "tp")))

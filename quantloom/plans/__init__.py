@@ -2,7 +2,7 @@
 
 from quantloom.plans.registry import ORACLES, QUERIES
 
-MODULES = ("tape_queries", "feature_queries", "signal_queries", "evaluation_queries", "cross_queries", "stateful_queries")
+MODULES = ("tape_queries", "feature_queries", "signal_queries", "evaluation_queries", "cross_queries", "stateful_queries", "source_queries", "search_queries")
 
 
 def _load() -> None:

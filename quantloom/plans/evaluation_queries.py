@@ -169,7 +169,7 @@ def slice_sql(view: str, source: str, keys: list[str], shift: bool = False) -> s
     return f"{view} AS (SELECT * REPLACE ({signal} AS signal), CAST(row_number() OVER {w} - 1 AS BIGINT) AS i FROM {source})"
 
 
-def sim_sql(view: str, source: str, keys: list[str], detailed: bool = False) -> str:
+def sim_sql(view: str, source: str, keys: list[str], detailed: bool = False, sl: str | float | None = None, tp: str | float | None = None) -> str:
     """The simulation under RULES as a recursion over the bars of each group of ``source``: {view}_s has the state after
     each bar, {view} the net returns."""
     k, ks = ", ".join(keys), lambda t: ", ".join(f"{t}.{c}" for c in keys)
@@ -187,7 +187,7 @@ def sim_sql(view: str, source: str, keys: list[str], detailed: bool = False) ->
     FROM (SELECT *, p <> 0 AND (hs OR hg OR closed OR late) AS gone
       FROM (SELECT *, {first}hs0 AS hs, {first}NOT hs0 AND hg0 AS hg FROM (SELECT *, p <> 0 AND i - ei >= {R.horizon} AS late,
         p <> 0 AND tight > 0 AND CASE WHEN p > 0 THEN l1 <= ep - ea * tight ELSE h1 >= ep + ea * tight END AS hs0, p <> 0 AND goal > 0 AND CASE WHEN p > 0 THEN h1 >= ep + ea * goal ELSE l1 <= ep - ea * goal END AS hg0
-        FROM (SELECT d.*, s.pos AS p, s.ep, s.ea, s.ei, greatest(s.cd - 1, 0) AS cd, CASE WHEN d.a1 > 0 AND s.ea > 0 AND d.a1 > {R.tighten_over} * s.ea THEN {R.tighten} ELSE 1.0 END * {R.sl_long} AS tight, {R.tp_long} AS goal
+        FROM (SELECT d.*, s.pos AS p, s.ep, s.ea, s.ei, greatest(s.cd - 1, 0) AS cd, CASE WHEN d.a1 > 0 AND s.ea > 0 AND d.a1 > {R.tighten_over} * s.ea THEN {R.tighten} ELSE 1.0 END * {R.sl_long if sl is None else sl} AS tight, {R.tp_long if tp is None else tp} AS goal
           FROM {view}_s s JOIN {view}_d d ON {' AND '.join(f's.{c} = d.{c}' for c in keys)} AND d.i = s.i + 1))))) q),
 {view} AS (SELECT *, (before * {R.lot} * (xp - last) - CASE WHEN abs(pos - before) < 1e-6 THEN 0 ELSE abs(pos - before) * {R.lot} * xp * 0.5 * {R.spread} + greatest({R.least_commission}, abs(pos - before) * {R.lot} * xp * {R.commission})
   + {R.slippage} * atr * {R.lot} * abs(pos - before) END) / {R.account} AS net_ret, before = 0 AND pos <> 0 AS entered FROM (SELECT {ks('s')}, s.bar_id, s.i, s.pos, s.fill, s.reason, s.ex, d.price, d.atr, coalesce(lag(s.pos) OVER g, 0) AS before,
@@ -225,15 +225,16 @@ def sim_equity(spark, sf_dir):
     return M.equity(_orders(spark, sf_dir), RULES, RULES.account).withColumn("equity", F.round("equity", 4))
 
 
-def mutex_sql() -> str:
-    """The shared account under RULES for the strategies trend (first) and revert."""
+def mutex_sql(source: str = "acting", keys: tuple[str, ...] = ("series",)) -> str:
+    """The shared account under RULES for the strategies trend (first) and revert, by group of ``keys``."""
+    k = ", ".join(keys)
     R = RULES
     price = lambda x: f"{R.lot} * {x} * 0.5 * {R.spread} + greatest({R.least_commission}, {R.lot} * {x} * {R.commission}) + {R.slippage} * atr * {R.lot}"
-    return f"""md0 AS (SELECT series, bar_id, price, high, low, atr, hour, weekday, max(CASE WHEN strategy_id = 'trend' THEN signal END) AS g0, max(CASE WHEN strategy_id = 'revert' THEN signal END) AS g1 FROM acting GROUP BY ALL),
-md AS (SELECT *, row_number() OVER g - 1 AS i, lag(high) OVER g AS h1, lag(low) OVER g AS l1, lag(atr) OVER g AS a1, lag(price) OVER g AS p1, hour >= {R.close_hour} OR weekday >= 5 AS closed FROM md0 WINDOW g AS (PARTITION BY series ORDER BY bar_id)),
-ms AS (SELECT series, bar_id, CAST(i AS BIGINT) AS i, -1 AS own, CAST(0 AS DOUBLE) AS pos, price AS ep, atr AS ea, CAST(0 AS BIGINT) AS ei, CAST(0 AS BIGINT) AS c0, CAST(0 AS BIGINT) AS c1, CAST(0 AS DOUBLE) AS net, -1 AS who FROM md WHERE i = 0
+    return f"""md0 AS (SELECT {k}, bar_id, price, high, low, atr, hour, weekday, max(CASE WHEN strategy_id = 'trend' THEN signal END) AS g0, max(CASE WHEN strategy_id = 'revert' THEN signal END) AS g1 FROM {source} GROUP BY ALL),
+md AS (SELECT *, row_number() OVER g - 1 AS i, lag(high) OVER g AS h1, lag(low) OVER g AS l1, lag(atr) OVER g AS a1, lag(price) OVER g AS p1, hour >= {R.close_hour} OR weekday >= 5 AS closed FROM md0 WINDOW g AS (PARTITION BY {k} ORDER BY bar_id)),
+ms AS (SELECT {k}, bar_id, CAST(i AS BIGINT) AS i, -1 AS own, CAST(0 AS DOUBLE) AS pos, price AS ep, atr AS ea, CAST(0 AS BIGINT) AS ei, CAST(0 AS BIGINT) AS c0, CAST(0 AS BIGINT) AS c1, CAST(0 AS DOUBLE) AS net, -1 AS who FROM md WHERE i = 0
   UNION ALL
-  SELECT series, bar_id, i, CASE WHEN gone THEN -1 WHEN e0 THEN 0 WHEN e1 THEN 1 ELSE own END, CASE WHEN gone THEN 0 WHEN e0 THEN sign(g0) WHEN e1 THEN sign(g1) ELSE p END, CASE WHEN e0 OR e1 THEN price ELSE ep END, CASE WHEN e0 OR e1 THEN atr ELSE ea END,
+  SELECT {k}, bar_id, i, CASE WHEN gone THEN -1 WHEN e0 THEN 0 WHEN e1 THEN 1 ELSE own END, CASE WHEN gone THEN 0 WHEN e0 THEN sign(g0) WHEN e1 THEN sign(g1) ELSE p END, CASE WHEN e0 OR e1 THEN price ELSE ep END, CASE WHEN e0 OR e1 THEN atr ELSE ea END,
     CASE WHEN e0 OR e1 THEN i ELSE ei END, CASE WHEN stopped AND own = 0 THEN {R.cooldown} WHEN p = 0 OR own = 0 THEN greatest(c0 - 1, 0) ELSE c0 END,
     CASE WHEN stopped AND own = 1 THEN {R.cooldown} WHEN own = 1 OR (p = 0 AND NOT e0) THEN greatest(c1 - 1, 0) ELSE c1 END,
     (p * {R.lot} * (xp - p1) - CASE WHEN gone OR e0 OR e1 THEN {price('xp')} ELSE 0 END) / {R.account}, CASE WHEN p <> 0 THEN own WHEN e0 THEN 0 WHEN e1 THEN 1 ELSE -1 END
@@ -241,7 +242,7 @@ ms AS (SELECT series, bar_id, CAST(i AS BIGINT) AS i, -1 AS own, CAST(0 AS DOUBL
     FROM (SELECT *, p <> 0 AND (late OR hs OR hg OR closed) AS gone, hs AND NOT closed AS stopped, p = 0 AND NOT closed AND g0 <> 0 AND c0 <= 1 AS e0
       FROM (SELECT *, NOT late AND hs0 AS hs, NOT late AND NOT hs0 AND hg0 AS hg FROM (SELECT *, p <> 0 AND i - ei >= {R.horizon} AS late,
         p <> 0 AND CASE WHEN p > 0 THEN l1 <= ep - ea * tight ELSE h1 >= ep + ea * tight END AS hs0, p <> 0 AND CASE WHEN p > 0 THEN h1 >= ep + ea * {R.tp_long} ELSE l1 <= ep - ea * {R.tp_long} END AS hg0
-        FROM (SELECT d.*, s.own, s.pos AS p, s.ep, s.ea, s.ei, s.c0, s.c1, CASE WHEN d.a1 > 0 AND s.ea > 0 AND d.a1 > {R.tighten_over} * s.ea THEN {R.tighten} ELSE 1.0 END * {R.sl_long} AS tight FROM ms s JOIN md d ON s.series = d.series AND d.i = s.i + 1))))) q)"""
+        FROM (SELECT d.*, s.own, s.pos AS p, s.ep, s.ea, s.ei, s.c0, s.c1, CASE WHEN d.a1 > 0 AND s.ea > 0 AND d.a1 > {R.tighten_over} * s.ea THEN {R.tighten} ELSE 1.0 END * {R.sl_long} AS tight FROM ms s JOIN md d ON {' AND '.join(f's.{c} = d.{c}' for c in keys)} AND d.i = s.i + 1))))) q)"""
 
 
 @query("sim_mutex", f"{_W}{ORDERS_SQL}, {mutex_sql()} SELECT series, bar_id, who AS owner, round(net, 8) + 0.0 AS net_ret FROM ms")

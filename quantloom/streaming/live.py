@@ -1,7 +1,8 @@
-"""Structured Streaming forms of the live path (SS01-SS08): bars on a clock and on volume, snapshots, positions."""
+"""Structured Streaming forms of the live path (SS01-SS09): bars on a clock and on volume, snapshots, positions."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,9 +16,21 @@ BAR_SCHEMA = "series string, bar_no long, time_start timestamp, time_end timesta
 _STATE = "bar_no long, start timestamp, end timestamp, open double, high double, low double, last double, volume double, net double, ticks long"
 
 
-def tick_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """Ticks from landed files (SS01, SS08): each file is listed once, exactly, by the checkpoint."""
-    raw = spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of tables and checkpoints that all executors share: ``spark.checkpoint.dir``. A local session that names
+    none gets a folder of its own; on a cluster the setting is required."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or tempfile.mkdtemp(prefix="quantloom-")).rstrip("/")
+
+
+def tick_stream(spark: SparkSession, path: str, files: int = 1, newest_days: int | None = None) -> DataFrame:
+    """Ticks from landed files (SS01, SS08): each file is listed once, exactly, by the checkpoint; ``files`` bounds a batch
+    as a buffer's count does, the trigger of the query bounds it in time. With ``newest_days``, files older than so many
+    days before the newest one are left out."""
+    reader = spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", files)
+    raw = (reader.option("maxFileAge", f"{newest_days}d") if newest_days else reader).parquet(path)
     return raw.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("mid"), F.get_json_object("props", "$.k").cast("double").alias("vol"))
 
 
@@ -86,15 +99,45 @@ def positions(signals: DataFrame, stop: float, target: float, cooldown: int) ->
     return signals.groupBy("series").applyInPandasWithState(run, schema, "side double, entry double, since timestamp, wait long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None, each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def on_history(make: Callable[[DataFrame], DataFrame], keep: int = 4000) -> Callable[[DataFrame, int, str], DataFrame]:
+    """A batch step that computes ``make`` anew on the last ``keep`` bars of each series, this batch's included, and returns
+    the rows of the newest bar of each series that the batch has (SS05). Bars are kept by batch number, so a batch that is
+    run again replaces itself."""
+    def each(batch: DataFrame, number: int, place: str) -> DataFrame:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{place}/bars/batch={number}")
+        held = spark.read.schema(f"{_ddl(batch)}, batch long").parquet(f"{place}/bars").where(F.col("batch") <= number).drop("batch")
+        newest = Window.partitionBy("series").orderBy(F.desc("bar_id"))
+        last = held.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= keep).drop("_n")
+        touched = spark.read.schema(_ddl(batch)).parquet(f"{place}/bars/batch={number}").groupBy("series").agg(F.max("bar_id").alias("bar_id"))
+        return make(last).join(touched, ["series", "bar_id"], "left_semi")
+    return each
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def first_signal(signals: DataFrame, names: list[str], cooling: DataFrame | None = None) -> DataFrame:
+    """Of each series' bar the first strategy in the order of ``names`` that has a signal (SS06), without those that
+    ``cooling`` (series, strategy_id) names: one row a series at most."""
+    open_ = signals.where("signal <> 0")
+    open_ = open_.join(cooling, ["series", "strategy_id"], "left_anti") if cooling is not None else open_
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("strategy_id"))
+    best = open_.groupBy("series", "bar_id").agg(F.min_by(F.struct("strategy_id", "signal"), place).alias("b"))
+    return best.select("series", "bar_id", "b.strategy_id", "b.signal")
+
+
+def run_once(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None, each: Callable[[DataFrame, int, str], DataFrame] | None = None, name: str | None = None) -> DataFrame:
     """Run a stream over what is there and return its table. In update mode the last version of each key stays.
 
-    ``each`` may replace a batch before it is written (SS05, SS06: recompute on history, newest signal). Batches are
-    written under their number, so a batch that is run again overwrites itself.
+    ``each`` may replace a batch before it is written. Batches are written under their number, so a batch that is run
+    again overwrites itself. With a ``name`` the stream goes on where its last run ended (SS09): state, files seen and
+    tables are those of that name.
     """
-    spark, place = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
+    spark, place = stream.sparkSession, f"{folder}/stream-{name or uuid.uuid4().hex}"
     def write(batch: DataFrame, number: int) -> None:
-        (each(batch, number) if each else batch).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+        (each(batch, number, place) if each else batch).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out")
     if not keys:

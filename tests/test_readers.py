@@ -36,3 +36,23 @@ def test_tape_log_and_upsert(spark, tmp_path):
     assert sorted(map(tuple, readers.upsert(old, new, ["k"], F.col("at")).collect())) == [(1, "b", 2), (2, "c", 1)]
     readers.write_by_day(spark.sql("select 'x' series, timestamp'2024-01-05 10:00:00' ts, 1 v"), f"{tmp_path}/days")
     assert spark.read.parquet(f"{tmp_path}/days").where("day = '2024-01-05'").count() == 1
+
+
+def test_strategy_files_and_state(spark, tmp_path):
+    (tmp_path / "strategies_60.json").write_text('[{"name": "raw", "test_return": 0.2}]')
+    (tmp_path / "strategies_60_top10.json").write_text('{"name": "ten", "horizon": 5}')
+    (tmp_path / "broken.json").write_text("{")
+    assert [(s["name"], s["horizon"]) for s in readers.strategy_file(spark, str(tmp_path), 60)] == [("ten", 5)]
+    found = readers.find_strategy(spark, [f"{tmp_path}/none_*.json", f"{tmp_path}/broken.json", f"{tmp_path}/strategies_*.json"], "raw")
+    assert found["horizon"] == 60 and found["metrics"]["robust_return"] == 0.2 and found["metrics"]["sortino_oos"] == -999
+    assert readers.find_strategy(spark, [f"{tmp_path}/strategies_*.json"], "nobody") is None and readers.strategy_file(spark, str(tmp_path), 7) == []
+    assert readers.load_state(spark, f"{tmp_path}/state") is None
+    for v in (1, 12, 2):
+        readers.save_state(spark.createDataFrame([(v,)], "v int"), f"{tmp_path}/state", v)
+    (tmp_path / "state" / "version=13").mkdir()  # a write that did not end
+    assert readers.load_state(spark, f"{tmp_path}/state").first().v == 12
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    for _ in range(2):
+        assert readers.cached(spark, f"{tmp_path}/cache", f"{tmp_path}/strategies_60.json", make).count() == 3
+    assert len(made) == 1

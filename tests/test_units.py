@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quantloom.functions import frames, parsing
-from quantloom.operators import asof, bars, chunks, portfolio, recursive, signals, statistics
-from quantloom.operators.simulate import Rules, mutex, simulate
+from quantloom.operators import asof, bars, chunks, features, portfolio, recursive, search, signals, statistics
+from quantloom.operators.simulate import Rules, mutex, play, simulate
 from quantloom.streaming import live
 
 FREE = Rules(spread=0, commission=0, least_commission=0, slippage=0, lot=1, account=1, horizon=0, sl_long=1, sl_short=1, tp_long=2, tp_short=2)
@@ -71,6 +71,7 @@ def test_distributions():
     assert abs(statistics.normal_cdf(1.96) - 0.9750021) < 1e-6
     assert abs(statistics.student_t_tail(2.228, 10) - 0.05) < 1e-4 and abs(statistics.student_t_tail(0.5, 3) - 0.651) < 1e-3
     assert statistics.student_t_tail(0, 5) == 1.0
+    assert all(abs(statistics.normal_cdf(statistics.normal_quantile(p)) - p) < 1e-12 for p in (1e-6, 0.05, 0.5, 0.975)) and statistics.normal_quantile(1.0) == math.inf
     assert statistics.deflated_sharpe(0.2, 500, 0, 3, 100) > statistics.deflated_sharpe(0.05, 500, 0, 3, 100)
 
 
@@ -148,19 +149,98 @@ def test_strategy_helpers():
     assert signals.strategy_hash({"long_genes": [g, {"type": "time"}]}) == signals.strategy_hash({"long_genes": [{"type": "time"}, g]})
 
 
-def test_search_is_seeded_and_bounded():
-    a, b = portfolio.sample_strategy(portfolio.rng(5), ["x", "y"], 60), portfolio.sample_strategy(portfolio.rng(5), ["x", "y"], 60)
-    assert a == b and a["long_genes"]
-    child = portfolio.crossover(portfolio.rng(1), a, portfolio.sample_strategy(portfolio.rng(6), ["x", "y"], 60))
-    assert child["horizon"] == 60
-    assert portfolio.mutate(portfolio.rng(2), a) != a
+POOLS = portfolio.Pools(("ticket_imbalance", "vol_100", "vol_200"), ("regime_premium", "vol_400"), {"vol_100": (1.0, 2.0)})
+
+
+def test_strategies_are_seeded_and_keep_to_the_grids():
+    a, b = (portfolio.sample_strategy(portfolio.rng(5), POOLS, 60) for _ in range(2))
+    assert a == b and a["long_genes"] + a["short_genes"]
+    made = [portfolio.sample_strategy(portfolio.rng(i), POOLS, 60) for i in range(300)]
+    genes = [g for s in made for side in portfolio.SIDES for g in s[side]]
+    assert {g["type"] for g in genes} == {k for k, _ in portfolio.SHARES}
+    for g in genes:
+        for key, grid in portfolio.GRIDS.get(g["type"], {}).items():
+            assert g["type"] in ("flux", "proximity") and key == "threshold" or g[key] in grid
+    assert all(s["sl"] in portfolio.STOPS and 1 <= max(len(s["long_genes"]), len(s["short_genes"])) <= 4 for s in made)
+    child = portfolio.crossover(portfolio.rng(1), made[0], made[1])
+    assert child["horizon"] == 60 and portfolio.mutate(portfolio.rng(2), made[3], POOLS)["name"] != made[3]["name"]
+    assert portfolio.kin("vol_100", POOLS.triggers) == ["vol_200"]
+    assert len(portfolio.variants(made[3], portfolio.rng(3), POOLS)) > 10
     assert portfolio.jaccard({1, 2}, {2, 3}) == 1 / 3
-    kept = portfolio.hall_of_fame([{"name": "a", "hash": 1, "score": 1.0}, {"name": "b", "hash": 1, "score": 2.0}, {"name": "c", "hash": 2, "score": 0.5}], 1)
-    assert [k["name"] for k in kept] == ["b"]
     grid = portfolio.stop_grid([1.0, 2.0], [1.0, 3.0], 1.0)
     assert {"sl": 2.0, "tp": 1.0} not in grid and {"sl": 1.0, "tp": 3.0} in grid
-    best = portfolio.best_combination({"a": np.array([1.0, -0.1, 0.5]), "b": np.array([-1.0, -1, 0]), "c": np.array([0.2, 0.1, 0.1])}, 2)
-    assert set(best[0]) == {"a", "c"}
+    assert signals.effective({"sl": 2.0, "tp": 3.0, "sl_long": 1.0}, "long") == (1.0, 3.0)
+
+
+def test_hall_of_fame_and_penalties():
+    s = lambda n, f: {"name": n, "hash": n, "fitness": f, "long_genes": [{"type": "zscore", "feature": n}], "short_genes": []}
+    fame = search.admitted([], [s("a", 1.0), s("b", -20.0), s("c", 2.0)], 0, 10)
+    assert [m["name"] for m in fame] == ["c", "a"] and search.admitted(fame, [s("a", 9.0)], 0, 10) == fame
+    assert len(search.admitted(fame, [s("d", 0.0)], 9, 10)) == 2 and len(search.admitted(fame, [s("d", 3.0)], 9, 10, cap=1)) == 1
+    p = search.penalties([s("a", 0), s("a", 0) | {"name": "e"}, s("c", 0)])
+    assert abs(p["c"] - 0.05) < 1e-12 and abs(p["a"] - (0.05 + 2 / 3 - 0.4)) < 1e-12
+    both = {"name": "x", "long_genes": [{"type": "zscore"}], "short_genes": [{"type": "time"}]}
+    assert [m["name"] for m in search.one_sided([both])] == ["x", "x_long", "x_short"]
+    dead = search.repaired(both, [{"side": "long", "split": "train", "trades": 0, "total_return": 0.0}, {"side": "short", "split": "train", "trades": 5, "total_return": 1.0}])
+    assert dead["long_genes"] == [] and dead["short_genes"]
+    listed = portfolio.Candidates([{"name": "a", "test_return": 1.0, "test_sortino": 1.0, "cpcv_min": -1.0}, {"name": "b", "test_return": 1.0, "test_sortino": 1.0, "cpcv_p5": 2.0}])
+    assert listed.clean() == 1 and [r["name"] for r in listed.listed()] == ["b"]
+
+
+def test_detailed_simulation_has_its_own_order():
+    rules = Rules(**{**FREE.__dict__, "horizon": 2})
+    x = ([1, 0, 0, 0], [10, 10, 10, 10])
+    low = [10, 8, 10, 10]
+    assert run(*x, rules, low=low)[1][0]["reason"] == "stop"
+    args = [np.array(v, float) for v in (x[0], x[1], x[1], low, [1] * 4, [10] * 4, [1] * 4)]
+    assert play(*args, rules, True)[1][0]["reason"] == "time"
+    short = Rules(**{**FREE.__dict__, "sl_short": 5.0})
+    args[0], args[2] = np.array([-1.0, 0, 0, 0]), np.array([10, 11.5, 10, 10.0])
+    assert play(*args, short)[1][0]["reason"] == "open" and play(*args, short, True)[1][0]["reason"] == "stop"
+
+
+def test_features_stand_a_zero_price(spark):
+    rows = [("s", i, dt.datetime(2024, 1, 1, 0, i), dt.datetime(2024, 1, 1, 0, i, 30), *([0.0] * 4 if i in (5, 6) else [10.0 + i, 12.0 + i, 9.0 + i, 11.0 + i]), 5.0, 1.0, 0.2, 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "series string, bar_id long, time_start timestamp_ntz, time_end timestamp_ntz, open double, high double, low double, close double, volume double, net_aggressor_vol double, ticket_imbalance double, tick_count long")
+    df = features.log_return(df)
+    for make in (features.standard, features.yang_zhang, features.physics, features.oscillators, features.hurst, features.fractal_dimension, features.microstructure, features.interactions):
+        df = make(df, 5)
+    assert df.count() == 40 and df.where("bar_id = 39").first()["volatility_5"] is not None
+
+
+def test_windows_are_the_same_in_chunks(spark):
+    rows = [("a", i, float(i * i % 17)) for i in range(300)]
+    df = spark.createDataFrame(rows, "series string, bar_id long, x double")
+    make = lambda d: d.withColumn("m", frames.rolling("avg", "x", 12))
+    key = lambda d: sorted(map(tuple, d.select("series", "bar_id", "m").collect()), key=repr)
+    assert key(chunks.windowed(df, make, 12)) == key(chunks.windowed(df, make, 12, most=0, rows=40, span=30))
+
+
+def test_asof_by_ranges_is_the_same(spark):
+    r = np.random.default_rng(3)
+    left = spark.createDataFrame([(int(t), i) for i, t in enumerate(r.integers(0, 1000, 200))], "t long, i long")
+    right = spark.createDataFrame([(int(t), float(i)) for i, t in enumerate(r.integers(0, 1000, 60))], "u long, v double")
+    for f in (asof.asof_backward, asof.asof_forward):
+        got = [sorted((x.i, x.asof_key, x.v) for x in f(left, right, "t", "u", [], ["v"], span=s).collect()) for s in (None, 50, 7)]
+        assert got[0] == got[1] == got[2]
+    pair = {"a": F.when(F.col("v") % 2 == 0, F.col("v")), "b": F.when(F.col("v") % 2 == 1, F.col("v"))}
+    got = [sorted((x.i, repr(x.a), repr(x.b)) for x in asof.asof_columns(left, right, "t", "u", [], pair, s).collect()) for s in (None, 50)]
+    assert got[0] == got[1]
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    row = lambda i: (i, dt.datetime(2024, 1, 1, 0, 0, i), 1, "a", float(10 + i), '{"k": 6}')
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame([row(i) for i in range(3)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/one")
+    bars_ = lambda: live.volume_bars(live.tick_stream(spark, f"{tmp_path}/in/*"), 10.0)
+    assert live.run_once(bars_(), str(tmp_path), name="kept").count() == 1
+    spark.createDataFrame([row(i) for i in range(3, 6)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/two")
+    got = live.run_once(bars_(), str(tmp_path), name="kept").orderBy("bar_no").collect()
+    assert [(x.bar_no, x.open, x.close) for x in got] == [(0, 10.0, 11.0), (1, 12.0, 13.0), (2, 14.0, 15.0)]
+    votes = spark.createDataFrame([("s", 9, "x", 0), ("s", 9, "y", -1), ("s", 9, "z", 1)], "series string, bar_id long, strategy_id string, signal int")
+    assert live.first_signal(votes, ["x", "z", "y"]).first().strategy_id == "z"
+    cooling = spark.createDataFrame([("s", "z")], "series string, strategy_id string")
+    assert live.first_signal(votes, ["x", "z", "y"], cooling).first().strategy_id == "y"
 
 
 def test_chunks_with_a_halo_change_nothing(spark):
