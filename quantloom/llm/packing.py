@@ -63,12 +63,12 @@ class TextIds:
         plain = [w for w in words if w and not w[-1].isspace()]
         for at in range(0, len(plain), WORDS_AT_ONCE):
             part = plain[at : at + WORDS_AT_ONCE]
-            row = np.array(self.library.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            row = np.frombuffer(self._encoded([" " + " ".join(part)])[0], "<u4")
             starts = np.flatnonzero(self.led[row])
             if len(starts) != len(part):
                 raise AssertionError("a word holds a space")
             raw, edges = row.tobytes(), [*(4 * starts).tolist(), 4 * len(row)]
-            self.words.update(zip(part, [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+            self.words.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:])), strict=True))
         if len(plain) < len(words):
             self.words.update(dict.fromkeys([w for w in words if not w or w[-1].isspace()], b""))
 
