@@ -16,16 +16,19 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import stage
 from quantloom.llm.pruned_graph import SEARCH_BEAM, beam_search, build, lifted
 
-#: Vectors in a shard at most (about), shards at least, and queries in a block (about).
-SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 50_000, 6, 4096
+#: Vectors in a shard at most (about), shards at least, and queries in a block (about). Recall falls as shards grow under
+#: the same beam: the README has what was measured at this size.
+SHARD_ROWS, LEAST_SHARDS, QUERY_BLOCK = 12_500, 6, 16_384
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<float>): vectors that are not null, not zero, of finite components and of the commonest length.
+    """(vec_id, v): vectors that are not null, not zero, of finite components and of the commonest length (products of
+    others are not defined). Single-precision vectors stay so, all others are double.
 
     Ids that are null take no part. Of the lengths that occur equally often the smaller counts as the commonest.
     """
-    v = df.select(df[id_col].cast("long").alias("vec_id"), df[vec_col].cast("array<float>").alias("v")).where("vec_id is not null and v is not null")
+    kind = "float" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    v = df.select(df[id_col].cast("long").alias("vec_id"), df[vec_col].cast(f"array<{kind}>").alias("v")).where("vec_id is not null and v is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     v = v.where(F.coalesce(fine, F.lit(False)))
     length = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).select("d")
@@ -60,20 +63,20 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
         return out
 
     made = classes.select(shard.alias("shard"), "class", "v").groupBy("shard")
-    made = stage(made.applyInPandas(index, "shard int, class long, v array<float>, near array<int>, start boolean, place int"), "graph")
+    made = stage(made.applyInPandas(index, f"shard int, class long, v {classes.schema['v'].dataType.simpleString()}, near array<int>, start boolean, place int"), "graph")
 
     def search(graph: pa.Table, asked: pa.Table) -> pa.Table:
         g, q = graph.to_pandas().sort_values("place"), asked.to_pandas()
         out = {"query_id": [], "class": [], "score": []}
         if len(g) and len(q):
-            raw = np.stack(g["v"].to_numpy()).astype(np.float32)
-            x, near, names = lifted(raw, bound), np.stack(g["near"].to_numpy()).astype(np.int64), g["class"].to_numpy()
+            raw = np.stack(g["v"].to_numpy())
+            x, near, names = lifted(raw.astype(np.float32), bound), np.stack(g["near"].to_numpy()).astype(np.int64), g["class"].to_numpy()
             start = int(np.flatnonzero(g["start"].to_numpy())[0])
-            ask = np.stack(q["v"].to_numpy()).astype(np.float32)
+            ask = np.stack(q["v"].to_numpy())
             width = min(beam, len(x))
             for at in range(0, len(ask), 256):
                 block = ask[at : at + 256]
-                ids, _ = beam_search(x, near, start, np.pad(block, ((0, 0), (0, 1))), max(width, 2))
+                ids, _ = beam_search(x, near, start, np.pad(block.astype(np.float32), ((0, 0), (0, 1))), max(width, 2))
                 score = np.einsum("qkd,qd->qk", raw[ids].astype(np.float64), block.astype(np.float64))
                 score[ids < 0] = -np.inf
                 best = np.lexsort((names[ids], -score), axis=1)[:, : k + 1]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, BLOCK = 24, 48, 200, 1.2, 256
+DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, BLOCK = 32, 64, 200, 1.2, 256
 
 
 def lifted(x: np.ndarray, bound: float) -> np.ndarray:
