@@ -193,6 +193,25 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(i, [1.0 + i * 1e-12, 1.0]) for i in range(30)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 20").orderBy("rank").collect()
+    order = sorted((i for i in range(30) if i != 20), key=lambda i: (-((1 + i * 1e-12) * (1 + 20 * 1e-12) + 1), i))
+    assert [r.vec_id for r in got] == order[:20]
+
+
+def test_graph_recall_where_the_beam_is_a_small_part():
+    from quantloom.llm import pruned_graph
+
+    rng = np.random.default_rng(4)
+    x = (rng.standard_normal((40, 48))[rng.integers(0, 40, 3000)] + 0.5 * rng.standard_normal((3000, 48))).astype(np.float32)
+    y = pruned_graph.lifted(x, float(np.linalg.norm(x.astype(float), axis=1).max()))
+    graph, start = pruned_graph.build(y)
+    ids, _ = pruned_graph.beam_search(y, graph, start, np.pad(x[:200], ((0, 0), (0, 1))), 100)
+    best = np.argsort(-(x[:200].astype(float) @ x.T.astype(float)), axis=1)[:, :21]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(best.tolist(), ids.tolist())]) > 0.95 * 21
+
+
 def test_piece_codec(documents, texts_by_row, empty):
     import sentencepiece
 
@@ -301,6 +320,75 @@ def test_licences_inside_lines_and_over_blocks():
     assert names("As said, this work is licensed under the GNU General Public License, version 3. Thus it may be shared.") == ["GPL-3.0"]
 
 
+def test_whole_licence_texts():
+    scanner = licences.Scanner()
+    names = lambda t: [scanner.names[f[2]] for f in scanner.scan(t)]
+    whole = {n: max((t for m, t in licences.TEMPLATES if m == n), key=len) for n in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "Zlib")}
+    for n, t in whole.items():
+        assert names("Some words before.\n\n" + t.replace(". ", ".\n") + "\nand some after") == [n], n
+
+
+def test_licence_windows_against_brute_force():
+    """A text holds a template if any of its runs of words reaches the threshold."""
+    import random
+
+    r = random.Random(11)
+    picked = [(n, t) for n, t in licences.TEMPLATES if len(t) < 330]
+    for trial in range(60):
+        name, t = r.choice(picked)
+        words = licences._WORD.findall(t.lower())
+        for _ in range(r.randint(0, max(1, len(words) // 4))):
+            words[r.randrange(len(words))] = r.choice(["alpha", "beta", "the", "of"])
+        noise = lambda: [r.choice(["the", "of", "license", "software", "x", "y"]) for _ in range(r.randint(0, 8))]
+        text = " ".join(noise() + words + noise()).split()
+        own = licences.bigrams(t)
+        dice = lambda w: 2 * len((b := licences.bigrams(" ".join(w))) & own) / (len(b) + len(own))
+        best = max(dice(text[i:j]) for i in range(len(text)) for j in range(i + 1, len(text) + 1))
+        found = licences.Scanner(((name, t),)).scan(" ".join(text))
+        assert bool(found) == (best >= 0.8) and (not found or len(found) > 1 or found[0][3] <= best + 1e-12), (trial, name, best)
+
+
+def plain_tree_bits(learnt, context, byte, depth=5, least=3):
+    """Context-tree weighting by its definition: the ratio of the root's weighted probability with and without the bit."""
+    counts = {}
+    for s in learnt:
+        s = b" " * depth + s
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                counts.setdefault(s[i - d : i], Counter())[s[i]] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def at(c, k):
+        node, zeros, ones = byte >> (k + 1), 0, 0
+        for x, n in counts.get(c, {}).items():
+            if x >> (k + 1) == node:
+                zeros, ones = (zeros, ones + n) if x >> k & 1 else (zeros + n, ones)
+        return zeros, ones
+
+    def weighted(c, k, new):
+        here = new if context.endswith(c) else (0, 0)
+        a, b = (x + y for x, y in zip(at(c, k), here))
+        kids = [] if len(c) == depth else [x for x in (bytes([y]) + c for y in range(256)) if sum(counts.get(x, Counter()).values()) >= least and sum(at(x, k))]
+        if not kids:
+            return kt(a, b)
+        on_path = any(context.endswith(x) for x in kids)
+        held = [sum(at(x, k)[i] for x in kids) + (here[i] if on_path else 0) for i in (0, 1)]
+        under = sum(weighted(x, k, new) for x in kids) + kt(a - held[0], b - held[1])
+        return math.log(0.5) + np.logaddexp(kt(a, b), under)
+
+    return -sum(weighted(b"", k, (0, 1) if byte >> k & 1 else (1, 0)) - weighted(b"", k, (0, 0)) for k in range(8)) / math.log(2)
+
+
+def test_language_model_is_plain_context_tree_weighting(spark):
+    rows = [(i, t) for i, t in enumerate(["abab ab", "abba abab", "ab", "baab", "b a b ab", "abab abab aba", "abaz"])]
+    learnt = [language_model.stream_of(language_model.words_of(t)) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    got = {r.doc_id: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in (rows[0], rows[4], rows[6]):
+        s = b" " * 5 + language_model.stream_of(language_model.words_of(t))
+        want = sum(plain_tree_bits(learnt, s[j - 5 : j], s[j]) for j in range(5, len(s)))
+        assert abs(got[i].score + want * math.log10(2)) < 1e-6 * want
+
+
 def whole_tree(streams):
     """The tree of all byte contexts, in one place, without a bound by share."""
     rows = Counter()
