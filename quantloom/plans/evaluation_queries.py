@@ -245,11 +245,11 @@ ms AS (SELECT {k}, bar_id, CAST(i AS BIGINT) AS i, -1 AS own, CAST(0 AS DOUBLE)
         FROM (SELECT d.*, s.own, s.pos AS p, s.ep, s.ea, s.ei, s.c0, s.c1, CASE WHEN d.a1 > 0 AND s.ea > 0 AND d.a1 > {R.tighten_over} * s.ea THEN {R.tighten} ELSE 1.0 END * {R.sl_long} AS tight FROM ms s JOIN md d ON {' AND '.join(f's.{c} = d.{c}' for c in keys)} AND d.i = s.i + 1))))) q)"""
 
 
-@query("sim_mutex", f"{_W}{ORDERS_SQL}, {mutex_sql()} SELECT series, bar_id, who AS owner, round(net, 8) + 0.0 AS net_ret FROM ms")
+@query("sim_mutex", f"{_W}{ORDERS_SQL}, {mutex_sql()} SELECT series, bar_id, who AS owner, round(net, 6) + 0.0 AS net_ret FROM ms")
 def sim_mutex(spark, sf_dir):
     m = M.mutex_returns(_orders(spark, sf_dir), ["trend", "revert"], {"trend": RULES, "revert": RULES})
     owner = F.coalesce(F.max(F.when(F.col("owns"), F.when(F.col("strategy_id") == "trend", 0).otherwise(1))), F.lit(-1))
-    return m.groupBy("series", "bar_id").agg(owner.alias("owner"), rounded(F.sum("net_ret"), 8).alias("net_ret"))
+    return m.groupBy("series", "bar_id").agg(owner.alias("owner"), rounded(F.sum("net_ret")).alias("net_ret"))
 
 
 _RUNS_SQL = """r0 AS (SELECT *, row_number() OVER w - 1 AS i, signal <> 0 AS on_, coalesce(lag(signal) OVER w <> 0, false) AS was FROM signals WINDOW w AS (PARTITION BY series, strategy_id ORDER BY bar_id)),

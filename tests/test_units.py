@@ -195,7 +195,7 @@ def test_detailed_simulation_has_its_own_order():
     args = [np.array(v, float) for v in (x[0], x[1], x[1], low, [1] * 4, [10] * 4, [1] * 4)]
     assert play(*args, rules, True)[1][0]["reason"] == "time"
     short = Rules(**{**FREE.__dict__, "sl_short": 5.0})
-    args[0], args[2] = np.array([-1.0, 0, 0, 0]), np.array([10, 11.5, 10, 10.0])
+    args[0], args[2], args[3] = np.array([-1.0, 0, 0, 0]), np.array([10, 11.5, 10, 10.0]), np.full(4, 10.0)
     assert play(*args, short)[1][0]["reason"] == "open" and play(*args, short, True)[1][0]["reason"] == "stop"
 
 
