@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,37 @@ def chunked(df: DataFrame, make: Callable[[DataFrame], DataFrame], halo: int, ro
     return done.drop("_series", "_keep", "_chunk", "idx")
 
 
+def numbered(df: DataFrame, by: list[str], ranges: list[Column], order: list[str], name: str) -> DataFrame:
+    """``name``: the row's place from 0 among those of ``by``, in the order of ``ranges`` and, within a range, of ``order``.
+    Ranges are numbered in parallel; their sizes, one small row a range, are summed before."""
+    ranged = df.withColumn("_range", F.struct(*[c.alias(f"r{i}") for i, c in enumerate(ranges)]))
+    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    past = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select(*by, "_range", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) - 1
+    return ranged.withColumn("_place", place).join(firsts, [*by, "_range"]).withColumn(name, F.col("_first") + F.col("_place")).drop("_range", "_place", "_first")
+
+
+def average_ranks(df: DataFrame, x: str, by: str, name: str, parts: int = 64) -> DataFrame:
+    """``name``: rank of x from 1 with ties averaged within ``by``, without ordering a group in one task.
+
+    Approximate quantiles, one row a group, cut each group into ``parts`` ranges of values; equal values share a range, so
+    the ranks are exact whatever the cuts are. ``x`` has no nulls.
+    """
+    cuts = df.groupBy(by).agg(F.percentile_approx(x, F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000).alias("_cuts"))
+    ranged = df.join(F.broadcast(cuts), by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
+    sizes = ranged.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    past = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select(by, "_range", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_first"))
+    here = F.rank().over(Window.partitionBy(by, "_range").orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(by, "_range", x)) - 1) / 2
+    return ranged.withColumn("_rank", here).join(firsts, [by, "_range"]).withColumn(name, F.col("_first") + F.col("_rank")).drop("_range", "_rank", "_first")
+
+
+def size_of(df: DataFrame) -> int:
+    """Spark's own estimate of a table's bytes: no action."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 #: A table up to this size (Spark's own estimate, no action) is ordered by series in whole; a larger one in chunks.
 WHOLE_BYTES = 256 << 20
 CHUNK_ROWS, CHUNK_SPAN = 200_000, 200_000
@@ -48,8 +79,7 @@ CHUNK_ROWS, CHUNK_SPAN = 200_000, 200_000
 def windowed(df: DataFrame, make: Callable[[DataFrame], DataFrame], halo: int, most: int | None = None, rows: int | None = None, span: int | None = None) -> DataFrame:
     """``make(df)`` for frames that reach back at most ``halo`` rows in all: by series where the table is small, else in
     chunks of ``rows``. Both give the same rows."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= (WHOLE_BYTES if most is None else most):
+    if size_of(df) <= (WHOLE_BYTES if most is None else most):
         return make(df)
     rows = max(halo, CHUNK_ROWS if rows is None else rows)
     return chunked(df, make, halo, rows, CHUNK_SPAN if span is None else span)

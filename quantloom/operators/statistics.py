@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.frames import average_rank, ratio
+from quantloom.operators.chunks import WHOLE_BYTES, average_ranks, numbered, size_of
 
 EPS = 1e-9
 
@@ -145,14 +146,22 @@ def _corr(a: str, b: str) -> Column:
     return ratio(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
 
 
-def rank_ic(df: DataFrame, features: list[str], target: str, folds: int = 5) -> DataFrame:
+def rank_ic(df: DataFrame, features: list[str], target: str, folds: int = 5, most: int = WHOLE_BYTES, span: int = 200_000) -> DataFrame:
     """(feature, n, ic, stability) (FS01, FS03): Pearson of global average ranks, and |mean| / (std + 1e-6) of the folds'
-    correlations of the same ranks. Needs bar_id for the order; one window for each feature."""
+    correlations of the same ranks. Needs bar_id for the order.
+
+    A table of up to ``most`` bytes is ranked feature by feature; a larger one by ranges of values and of ``span`` bars.
+    """
     long = long_features(df, features, target, ["series", "bar_id"])
-    ranked = long.withColumns({"rx": average_rank("value", "feature"), "ry": average_rank("y", "feature")})
-    place = F.row_number().over(Window.partitionBy("feature").orderBy("series", "bar_id")) - 1
-    size = F.count("*").over(Window.partitionBy("feature"))
-    ranked = ranked.withColumn("fold", F.least(F.floor(place / F.greatest(F.floor(size / folds), F.lit(1))), F.lit(folds - 1)))
+    if size_of(df) <= most:
+        ranked = long.withColumns({"rx": average_rank("value", "feature"), "ry": average_rank("y", "feature")})
+        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("feature").orderBy("series", "bar_id")) - 1)
+    else:
+        ranked = average_ranks(average_ranks(long, "value", "feature", "rx"), "y", "feature", "ry")
+        ranked = numbered(ranked, ["feature"], [F.col("series"), F.floor(F.col("bar_id") / span)], ["bar_id"], "place")
+    sizes = long.groupBy("feature").agg(F.count("*").alias("size"))
+    ranked = ranked.join(F.broadcast(sizes), "feature")  # one row a feature
+    ranked = ranked.withColumn("fold", F.least(F.floor(F.col("place") / F.greatest(F.floor(F.col("size") / folds), F.lit(1))), F.lit(folds - 1)))
     by_fold = ranked.groupBy("feature", "fold").agg(_corr("rx", "ry").alias("c")).groupBy("feature").agg((F.abs(F.avg("c")) / (F.stddev_pop("c") + 1e-6)).alias("stability"))
     return ranked.groupBy("feature").agg(F.count("*").alias("n"), _corr("rx", "ry").alias("ic")).join(by_fold, "feature")
 

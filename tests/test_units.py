@@ -216,6 +216,14 @@ def test_windows_are_the_same_in_chunks(spark):
     assert key(chunks.windowed(df, make, 12)) == key(chunks.windowed(df, make, 12, most=0, rows=40, span=30))
 
 
+def test_ranks_by_ranges_are_the_same(spark):
+    r = np.random.default_rng(5)
+    rows = [("s" if i < 300 else "t", i, float(r.integers(0, 40)), float(r.normal()), float(r.normal())) for i in range(700)]
+    df = spark.createDataFrame(rows, "series string, bar_id long, a double, b double, y double")
+    key = lambda d: sorted((x.feature, x.n, round(x.ic, 9), round(x.stability, 6)) for x in d.collect())
+    assert key(statistics.rank_ic(df, ["a", "b"], "y")) == key(statistics.rank_ic(df, ["a", "b"], "y", most=0, span=64))
+
+
 def test_asof_by_ranges_is_the_same(spark):
     r = np.random.default_rng(3)
     left = spark.createDataFrame([(int(t), i) for i, t in enumerate(r.integers(0, 1000, 200))], "t long, i long")
