@@ -135,11 +135,10 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     """(ordered chunk lists, chunk store, its dictionary). The store has each (digest, salt) once; salt is 0 but for hot digests."""
     hot = hot_digests(df, id_col, text_col).withColumn("hot", F.lit(True))
     words = dictionary(df, id_col, text_col)
-    rows = chunks(df, id_col, text_col, words).join(F.broadcast(hot), "digest", "left")  # MOST_HOT digests at most
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "media_key"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    rows = rows.withColumn("salt", salt).drop("hot")
-    kept = rows.groupBy("digest", "salt").agg(F.first("packed").alias("packed"))
-    return rows.drop("packed"), kept, words
+    salted = lambda rows: rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", salt).drop("hot")  # noqa: E731  MOST_HOT digests at most
+    kept = salted(chunks(df, id_col, text_col, words)).groupBy("digest", "salt").agg(F.first("packed").alias("packed"))
+    return salted(chunks(df, id_col, text_col)), kept, words  # the lists are cut without bytes: nothing is packed for them
 
 
 def read_back(lists: DataFrame, kept: DataFrame, words: bytes) -> DataFrame:
@@ -206,7 +205,7 @@ def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
     Null texts count as empty ones (64 zero samples). Repeated rows give equal rows, as many as they
-    are; a null id is kept. Texts of any length: one media file is held at a time.
+    are; a null id is kept. Other columns, whatever their names, are left out; an empty table gives no rows. Texts of any length: one media file is held at a time.
     """
 
     def make(part: pa.RecordBatch) -> dict:
