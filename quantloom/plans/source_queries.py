@@ -281,3 +281,45 @@ def parse_texts(spark, sf_dir):
     sign = F.when(F.col("p_size") > 25, ">").otherwise("<")
     tag = P.strategy_tag(F.array(F.lit("hurst_100"), F.lit("eff_20"), F.lit("hurst_200")))
     return p.select("p_partkey", P.feature_words(F.split("p_name", " ")[0]).alias("words0"), P.gene_sentence(F.lit("ret_20"), sign, F.lit("1.5")).alias("sentence"), tag.alias("tag"))
+
+
+_PLACES = "CASE doc_id % 4 WHEN 0 THEN 'Germany#x' WHEN 1 THEN 'New York' WHEN 2 THEN 'Lima' ELSE NULL END"
+_THEMES = "CASE doc_id % 5 WHEN 0 THEN 'EPU_POLICY;ENV_OIL' WHEN 1 THEN 'ECON_INFLATION' WHEN 2 THEN 'CENTRAL_BANK' WHEN 3 THEN 'UNREST' ELSE NULL END"
+
+
+def news_sql(time: str, least: int, name: str) -> str:
+    """The news table over records with tone, polarity, pl (places) and th (themes)."""
+    some = lambda c: f"CASE WHEN {c} = 0 THEN 1 ELSE {c} END"
+    mean = lambda m: f"coalesce(sum(tone) FILTER ({m}), 0) / {some(f'count(*) FILTER ({m})')}"
+    return f"""WITH n0 AS (SELECT {time} AS t, CAST(n_chars % 31 - 15 AS DOUBLE) AS tone, CAST(doc_id % 5 AS DOUBLE) AS polarity, upper(coalesce({_PLACES}, '')) AS pl, coalesce({_THEMES}, '') AS th FROM documents),
+    n AS (SELECT *, regexp_matches(pl, '{"|".join(S.EUR_PLACES)}') AS eur, regexp_matches(pl, '{"|".join(S.USD_PLACES)}') AS usd, regexp_matches(pl, '{"|".join(S.LOCAL_PLACES)}') AS loc, {', '.join(f"regexp_matches(th, '{v}') AS {k}" for k, v in S.THEMES.items())} FROM n0),
+    g AS (SELECT t, count(*) FILTER (eur) AS news_vol_eur, {mean('eur')} AS news_tone_eur, count(*) FILTER (usd) AS news_vol_usd, {mean('usd')} AS news_tone_usd, sum(tone) / count(*) AS global_tone, sum(polarity) / count(*) AS global_polarity, count(*) FILTER (conflict) AS conflict_intensity,
+    count(*) FILTER (epu) AS epu_total, count(*) FILTER (epu AND usd) AS epu_usd, count(*) FILTER (epu AND loc) AS epu_eur, count(*) FILTER (inflation) AS inflation_vol, {mean('bank')} AS central_bank_tone, count(*) FILTER (energy AND eur) AS energy_crisis_eur FROM n GROUP BY 1),
+    h AS (SELECT *, CASE WHEN count(*) OVER p >= {least} THEN avg(global_tone) OVER p END AS m, CASE WHEN count(*) OVER p >= {least} THEN stddev_samp(global_tone) OVER p END AS s FROM g WINDOW p AS (ORDER BY t ROWS UNBOUNDED PRECEDING)),
+    i AS (SELECT *, (global_tone - coalesce(first_value(m IGNORE NULLS) OVER q, 0)) / nullif(coalesce(first_value(s IGNORE NULLS) OVER q, 1), 0) AS zs FROM h WINDOW q AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT {name}, news_vol_eur, {r('news_tone_eur', 'news_tone_eur')}, news_vol_usd, {r('news_tone_usd', 'news_tone_usd')}, {r('global_tone', 'global_tone')}, {r('global_polarity', 'global_polarity')}, {r('CASE WHEN zs < -2 THEN -global_polarity ELSE 0 END', 'panic_score')}, conflict_intensity, epu_total, epu_usd, epu_eur,
+    epu_usd - epu_eur AS epu_diff, inflation_vol, {r('central_bank_tone', 'central_bank_tone')}, energy_crisis_eur, news_vol_eur + news_vol_usd AS total_vol FROM i"""
+
+
+def _news(t, key, name):
+    kinds = dict(t.dtypes)
+    return t.select(key.alias(name), *[rounded(c).alias(c) if kinds[c] == "double" else F.col(c) for c in t.columns[1:]])
+
+
+_TONE = F.concat_ws(",", F.col("n_chars") % 31 - 15, F.lit("1"), F.lit("2"), F.col("doc_id") % 5, F.lit("0"), F.lit("9"))
+
+
+@query("src_news_daily", news_sql("DATE '2024-01-01' + CAST(doc_id % 40 AS INT)", 5, "CAST(t AS VARCHAR) AS day"))
+def src_news_daily(spark, sf_dir):
+    d, path = table(spark, sf_dir, "documents"), _place(spark, "gkg")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 40).cast("int")), "yyyyMMdd")
+    d.select(day.alias("date_str"), _TONE.alias("tone_raw"), F.expr(_PLACES).alias("LOCATIONS"), F.expr(_THEMES).alias("THEMES"), F.col("text").alias("other")).write.parquet(path)
+    return _news(S.daily_news_table(spark, path), F.col("date_utc").cast("string"), "day")
+
+
+@query("src_news_quarters", news_sql("TIMESTAMP '2024-01-01' + to_minutes(15 * CAST(doc_id % 70 AS INT))", 10, "t AS time_start"))
+def src_news_quarters(spark, sf_dir):
+    d, path = table(spark, sf_dir, "documents"), _place(spark, "gkg15")
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.col("doc_id") % 70) * 900_000_000)
+    d.select(at.alias("date_utc"), _TONE.alias("V2Tone"), F.expr(_PLACES).alias("Locations"), F.expr(_THEMES).alias("Themes")).write.parquet(path)
+    return _news(S.quarter_news_table(spark, path), F.col("time_start").cast("timestamp_ntz"), "time_start")

@@ -29,6 +29,11 @@ MENTIONS = {
     "Actor1CharOffset": 9, "Actor2CharOffset": 10, "ActionCharOffset": 11, "InRawText": 12, "Confidence": 13,
 }
 EVENT_WIDTH, MENTION_WIDTH = 61, 14
+#: What places and themes of news records are counted by.
+EUR_PLACES = ("EUROPE", "BRUSSELS", "GERMANY", "FRANCE", "ITALY", "SPAIN", "EUR", "EURO")
+USD_PLACES = ("UNITED STATES", "US", "WASHINGTON", "NEW YORK", "AMERICA", "FED")
+LOCAL_PLACES = ("GERMANY", "BERLIN", "DE")
+THEMES = {"conflict": "ARMEDCONFLICT|CRISISLEX|UNREST", "epu": "EPU", "inflation": "ECON_INFLATION|TAX_FNCACT", "bank": "CENTRAL_BANK", "energy": "ENV_OIL|ECON_ENERGY_PRICES"}
 
 
 def quote_tape(spark: SparkSession, pattern: str, series: str) -> DataFrame:
@@ -54,6 +59,35 @@ def daily_news(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.expr("try_to_date(DATE, 'yyyyMMdd')").alias("date_utc"), F.col("NUMARTS").try_cast("long").alias("num_articles"), "THEMES", "LOCATIONS", *[t.alias(n) for n, t in zip(names, tone_parts(F.col("TONE")), strict=True)])
 
 
+def news_masks(places: Column, themes: Column) -> dict[str, Column]:
+    """The masks of ``cross.news_table``: substrings of upper-case places, patterns of themes."""
+    where = F.upper(F.coalesce(places, F.lit("")))
+    what = F.coalesce(themes, F.lit(""))
+    return {"eur": where.rlike("|".join(EUR_PLACES)), "usd": where.rlike("|".join(USD_PLACES)), "local": where.rlike("|".join(LOCAL_PLACES))} | {k: what.rlike(v) for k, v in THEMES.items()}
+
+
+def daily_news_table(spark: SparkSession, pattern: str) -> DataFrame:
+    """``cross.NEWS`` columns by day from raw parquet records (SRC02): four columns are read; records without a day go."""
+    from quantloom.operators.cross import news_table
+
+    raw = spark.read.schema("date_str string, tone_raw string, LOCATIONS string, THEMES string").parquet(pattern)
+    tone = tone_parts(F.col("tone_raw"))
+    rows = raw.select(F.expr("try_to_date(date_str, 'yyyyMMdd')").alias("date_utc"), tone[0].alias("tone"), tone[3].alias("polarity"), "LOCATIONS", "THEMES").where("date_utc is not null")
+    masks = news_masks(F.col("LOCATIONS"), F.col("THEMES"))
+    return news_table(rows.select("date_utc", "tone", "polarity", *[m.alias(k) for k, m in masks.items()]), "date_utc", {k: F.col(k) for k in masks})
+
+
+def quarter_news_table(spark: SparkSession, pattern: str) -> DataFrame:
+    """``cross.NEWS`` columns by time_start from 15-minute parquet records (SRC03), the tone from V2Tone."""
+    from quantloom.operators.cross import news_table
+
+    raw = spark.read.schema("date_utc timestamp, V2Tone string, Locations string, Themes string").parquet(pattern)
+    tone = tone_parts(F.col("V2Tone"))
+    masks = news_masks(F.col("Locations"), F.col("Themes"))
+    rows = raw.where("date_utc is not null").select(F.col("date_utc").alias("time_start"), tone[0].alias("tone"), tone[3].alias("polarity"), *[m.alias(k) for k, m in masks.items()])
+    return news_table(rows, "time_start", {k: F.col(k) for k in masks}, least=10)
+
+
 def headerless_tsv(spark: SparkSession, path: str, columns: dict[str, int], width: int) -> DataFrame:
     """Chosen columns (name: position) of a headerless, unquoted, all-string TSV of ``width`` columns (SRC08-SRC10), with
     the 14-digit stamp of the file name as batch_ts."""
