@@ -235,7 +235,7 @@ class Level:
     def upward(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts and logs of the kept cells, summed over the cells of one byte less (numbers ``at``)."""
         k = self.kept
-        return tuple(np.bincount(at[k], x[k], n).astype(np.float64) for x in (self.zeros, self.ones, self.weighted))  # of nothing: integers
+        return tuple(np.bincount(at[k], x[k], n).astype(np.float64, copy=False) for x in (self.zeros, self.ones, self.weighted))  # of nothing: integers
 
     def mix(self, before: np.ndarray, share: np.ndarray, best: np.ndarray) -> None:
         """The mixture down to here: ``before`` what shallower contexts give and ``share`` what they leave, ``best`` the
@@ -251,7 +251,7 @@ def shorter(names: np.ndarray, depth: int) -> np.ndarray:
 
 def _merge(names: np.ndarray, *values: np.ndarray) -> tuple:
     names, at = np.unique(names, return_inverse=True)
-    return names, at, *(np.bincount(at, v, len(names)).astype(np.float64) for v in values)
+    return names, at, *(np.bincount(at, v, len(names)).astype(np.float64, copy=False) for v in values)
 
 
 class Branches:

@@ -29,7 +29,7 @@ STEM = 2
 #: Keys that a shard of the tree should hold.
 SHARD_KEYS = 150_000
 #: Words and keys whose scores are broadcast, at most; all others are joined.
-HEAD_WORDS, HEAD_GRAMS = 1 << 18, 1 << 20
+HEAD_WORDS, HEAD_GRAMS = 1 << 16, 1 << 19
 #: Different words or keys that a task counts before it hands the counts on, and bytes of text that it sorts at once.
 FLUSH_WORDS, FLUSH_GRAMS, CHUNK_BYTES = 250_000, 1_000_000, 2 << 20
 LOG10_2 = float(np.log10(2.0))
