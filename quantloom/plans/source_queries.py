@@ -306,14 +306,15 @@ def _news(t, key, name):
     return t.select(key.alias(name), *[rounded(c).alias(c) if kinds[c] == "double" else F.col(c) for c in t.columns[1:]])
 
 
-_TONE = F.concat_ws(",", F.col("n_chars") % 31 - 15, F.lit("1"), F.lit("2"), F.col("doc_id") % 5, F.lit("0"), F.lit("9"))
+def _tone():
+    return F.concat_ws(",", F.col("n_chars") % 31 - 15, F.lit("1"), F.lit("2"), F.col("doc_id") % 5, F.lit("0"), F.lit("9"))
 
 
 @query("src_news_daily", news_sql("DATE '2024-01-01' + CAST(doc_id % 40 AS INT)", 5, "CAST(t AS VARCHAR) AS day"))
 def src_news_daily(spark, sf_dir):
     d, path = table(spark, sf_dir, "documents"), _place(spark, "gkg")
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 40).cast("int")), "yyyyMMdd")
-    d.select(day.alias("date_str"), _TONE.alias("tone_raw"), F.expr(_PLACES).alias("LOCATIONS"), F.expr(_THEMES).alias("THEMES"), F.col("text").alias("other")).write.parquet(path)
+    d.select(day.alias("date_str"), _tone().alias("tone_raw"), F.expr(_PLACES).alias("LOCATIONS"), F.expr(_THEMES).alias("THEMES"), F.col("text").alias("other")).write.parquet(path)
     return _news(S.daily_news_table(spark, path), F.col("date_utc").cast("string"), "day")
 
 
@@ -321,5 +322,5 @@ def src_news_daily(spark, sf_dir):
 def src_news_quarters(spark, sf_dir):
     d, path = table(spark, sf_dir, "documents"), _place(spark, "gkg15")
     at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.col("doc_id") % 70) * 900_000_000)
-    d.select(at.alias("date_utc"), _TONE.alias("V2Tone"), F.expr(_PLACES).alias("Locations"), F.expr(_THEMES).alias("Themes")).write.parquet(path)
+    d.select(at.alias("date_utc"), _tone().alias("V2Tone"), F.expr(_PLACES).alias("Locations"), F.expr(_THEMES).alias("Themes")).write.parquet(path)
     return _news(S.quarter_news_table(spark, path), F.col("time_start").cast("timestamp_ntz"), "time_start")
