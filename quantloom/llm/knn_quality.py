@@ -22,6 +22,7 @@ BUCKETS, LEVELS, LATENT = 4096, 8, 48
 #: Labelled documents that the classifier is fitted on, at most (those of the smallest hash): the bound of the broadcast.
 SAMPLE = 3072
 NEIGHBOURS, SHARPNESS, SHAPE_WEIGHT = 25, 6.0, 1.5
+BLOCK = 64
 ACCEPT = 0.7
 _SHAPES = 9
 DIMENSIONS = BUCKETS + _SHAPES * LEVELS
@@ -114,7 +115,14 @@ def vote(model: dict, latent: np.ndarray) -> np.ndarray:
     prior = float(labels.mean()) if len(labels) else 0.5
     if not len(known):
         return np.full(len(latent), prior)
-    cosine = _unit(latent) @ known.T
+    # in blocks of one shape and in double precision: a row's products then don't depend on the rows beside it
+    unit, turned = _unit(latent.astype(np.float64)), known.T.astype(np.float64)
+    block, cosine = np.zeros((BLOCK, latent.shape[1])), np.empty((len(latent), len(known)))
+    for at in range(0, len(latent), BLOCK):
+        part = unit[at : at + BLOCK]
+        block[: len(part)] = part
+        cosine[at : at + BLOCK] = (block @ turned)[: len(part)]
+    cosine = np.round(cosine, 9)
     k = min(NEIGHBOURS, len(known))
     at = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
     weight = np.maximum(np.take_along_axis(cosine, at, 1), 0).astype(np.float64) ** SHARPNESS + 1e-9
