@@ -22,7 +22,7 @@ CAPACITY, END_ID, CLASSES = 1024, 0, 128
 #: Parts in which the pieces of one class are ranked; a part's first rank comes from the counts of those before.
 RANK_PARTS = 256
 #: Words of an age whose ids a worker keeps, and that the library encodes at once.
-KEPT_WORDS, WORDS_AT_ONCE = 400_000, 4096
+KEPT_WORDS, WORDS_AT_ONCE = 700_000, 4096
 _LOADED: dict[str, TextIds] = {}
 
 
