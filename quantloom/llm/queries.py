@@ -74,11 +74,17 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(stored(spark, sf_dir, "documents")).drop("key", "kept_text")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.merkle import manifest
+
+    return manifest(stored(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from quantloom.llm import site_lines
+    from quantloom.llm import merkle, site_lines
 
-    return {"op3_site_lines": site_lines.SQL}
+    return {"op3_site_lines": site_lines.SQL, "op13_merkle_manifest": merkle.SQL}
