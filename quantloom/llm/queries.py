@@ -74,6 +74,12 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(stored(spark, sf_dir, "documents")).drop("key", "kept_text")
 
 
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.decontaminate import contaminated
+
+    return contaminated(stored(spark, sf_dir, "documents"), stored(spark, sf_dir, "benchmark")).drop("hit_spans")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.merkle import manifest
 
@@ -85,6 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quantloom.llm import merkle, site_lines
+    from quantloom.llm import decontaminate, merkle, site_lines
 
-    return {"op3_site_lines": site_lines.SQL, "op13_merkle_manifest": merkle.SQL}
+    return {"op3_site_lines": site_lines.SQL, "op12_winnowing": decontaminate.SQL, "op13_merkle_manifest": merkle.SQL}
