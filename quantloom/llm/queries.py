@@ -74,6 +74,12 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(stored(spark, sf_dir, "documents")).drop("key", "kept_text")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.llm.phrases import collocations
+
+    return collocations(stored(spark, sf_dir, "documents")).drop("pointer")
+
+
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.llm.decontaminate import contaminated
 
@@ -91,6 +97,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quantloom.llm import decontaminate, merkle, site_lines
+    from quantloom.llm import decontaminate, merkle, phrases, site_lines
 
-    return {"op3_site_lines": site_lines.SQL, "op12_winnowing": decontaminate.SQL, "op13_merkle_manifest": merkle.SQL}
+    return {"op3_site_lines": site_lines.SQL, "op11_phrases": phrases.SQL, "op12_winnowing": decontaminate.SQL, "op13_merkle_manifest": merkle.SQL}
