@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ from quantloom.operators import signals as S
 from quantloom.plans.feature_queries import BARS_SQL, lagged, over, r
 from quantloom.plans.registry import query
 from quantloom.plans.tape_queries import TICKS_SQL, bars_of
+from quantloom.sources.tape import ticks as tape_ticks
 from quantloom.streaming import live as V
+from quantloom.streaming import resume as RS
 
 _REC = "WITH RECURSIVE "
 
@@ -162,11 +165,15 @@ def stream_latest(spark, sf_dir):
     return V.run_once(last, V.shared_folder(spark), "update", ["series"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-#: sb: volume bars that close with the tick that reaches the threshold, by recursion over the ticks.
-STREAM_BARS_SQL = f"""{TICKS_SQL}, tk AS (SELECT *, CASE WHEN vol > 0 THEN vol ELSE 1 END AS v1, coalesce(sign(mid - lag(mid) OVER w), 0) AS way, row_number() OVER w AS i FROM ticks WINDOW w AS (PARTITION BY series ORDER BY ts, seq)),
-  st AS (SELECT series, i, CAST(0 AS BIGINT) AS no, v1 AS total FROM tk WHERE i = 1 UNION ALL SELECT tk.series, tk.i, CASE WHEN st.total >= 500 THEN st.no + 1 ELSE st.no END, CASE WHEN st.total >= 500 THEN tk.v1 ELSE st.total + tk.v1 END FROM st JOIN tk ON st.series = tk.series AND tk.i = st.i + 1),
-  sk AS (SELECT tk.*, st.no, row_number() OVER (PARTITION BY tk.series, st.no ORDER BY tk.i) AS j FROM tk JOIN st ON tk.series = st.series AND tk.i = st.i),
-  sb AS (SELECT series, no AS bar_no, min(ts) AS time_start, max(ts) AS time_end, arg_min(mid, i) AS open, max(mid) AS high, min(mid) AS low, arg_max(mid, i) AS close, sum(v1) AS volume, sum(CASE WHEN j > 1 THEN v1 * way ELSE 0 END) AS net_vol, count(*) AS ticks FROM sk GROUP BY 1, 2 HAVING sum(v1) >= 500)"""
+def stream_bars_sql(ticks: str = "ticks", p: str = "") -> str:
+    """{p}sb: volume bars that close with the tick that reaches the threshold, by recursion over ``ticks``."""
+    return f"""{p}tk AS (SELECT *, CASE WHEN vol > 0 THEN vol ELSE 1 END AS v1, coalesce(sign(mid - lag(mid) OVER w), 0) AS way, row_number() OVER w AS i FROM {ticks} WINDOW w AS (PARTITION BY series ORDER BY ts, seq)),
+  {p}st AS (SELECT series, i, CAST(0 AS BIGINT) AS no, v1 AS total FROM {p}tk WHERE i = 1 UNION ALL SELECT k.series, k.i, CASE WHEN s.total >= 500 THEN s.no + 1 ELSE s.no END, CASE WHEN s.total >= 500 THEN k.v1 ELSE s.total + k.v1 END FROM {p}st s JOIN {p}tk k ON s.series = k.series AND k.i = s.i + 1),
+  {p}sk AS (SELECT k.*, s.no, row_number() OVER (PARTITION BY k.series, s.no ORDER BY k.i) AS j FROM {p}tk k JOIN {p}st s ON k.series = s.series AND k.i = s.i),
+  {p}sb AS (SELECT series, no AS bar_no, min(ts) AS time_start, max(ts) AS time_end, arg_min(mid, i) AS open, max(mid) AS high, min(mid) AS low, arg_max(mid, i) AS close, sum(v1) AS volume, sum(CASE WHEN j > 1 THEN v1 * way ELSE 0 END) AS net_vol, count(*) AS ticks FROM {p}sk GROUP BY 1, 2 HAVING sum(v1) >= 500)"""
+
+
+STREAM_BARS_SQL = f"{TICKS_SQL}, {stream_bars_sql()}"
 
 
 @query("stream_volume_bars", f"{_REC}{STREAM_BARS_SQL} SELECT * FROM sb")
@@ -186,8 +193,8 @@ def _live_features(df):
 )
 def stream_features(spark, sf_dir):
     """Features of the newest bar of each series, computed anew on the last 4000 bars with every batch (SS05)."""
-    bars = V.volume_bars(V.tick_stream(spark, f"{sf_dir}/events.parque[t]"), 500.0).withColumnRenamed("bar_no", "bar_id")
-    out = V.run_once(bars, V.shared_folder(spark), keys=["series"], each=V.on_history(_live_features))
+    bars = RS.live_bars(V.tick_stream(spark, f"{sf_dir}/events.parque[t]"), 500.0, window=True)
+    out = V.run_once(bars, V.shared_folder(spark), keys=["series"], each=V.on_window(_live_features), rocks=True)
     return out.select("series", "bar_id", "close", rounded("vwap_diff_20").alias("vwap_diff_20"))
 
 
@@ -204,8 +211,8 @@ LIVE = [
 )
 def stream_signals(spark, sf_dir):
     """The first strategy with a signal on the newest bar (SS06)."""
-    bars = V.volume_bars(V.tick_stream(spark, f"{sf_dir}/events.parque[t]"), 500.0).withColumnRenamed("bar_no", "bar_id")
-    return V.run_once(bars, V.shared_folder(spark), each=V.on_history(lambda df: V.first_signal(S.signals(df, LIVE), [s["name"] for s in LIVE])))
+    bars = RS.live_bars(V.tick_stream(spark, f"{sf_dir}/events.parque[t]"), 500.0, window=True)
+    return V.run_once(bars, V.shared_folder(spark), each=V.on_window(lambda df: V.first_signal(S.signals(df, LIVE), [s["name"] for s in LIVE])), rocks=True)
 
 
 @query(
@@ -221,3 +228,44 @@ def stream_positions(spark, sf_dir):
     ticks = V.tick_stream(spark, f"{sf_dir}/events.parque[t]").where("mid <> 0").withColumn("signal", F.when(F.col("vol") > 90, 1.0).when(F.col("vol") < 5, -1.0).otherwise(0.0))
     p = V.run_once(V.positions(ticks, 0.5, 1.0, 10), V.shared_folder(spark))
     return p.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened", "closed")})
+
+
+#: Where the restart queries cut the tape, and when they start again.
+CUT, AGAIN = "2024-01-17 05:00:00", "2024-01-17 12:30:00"
+_LIVE = ["series", "bar_no", "time_start", "time_end", "open", "high", "low", "close", "volume", "net_vol", "ticks"]
+
+
+def _restarted(spark, sf_dir, **limits):
+    """Bars of a stream that stopped at CUT, without its state, and was started anew at AGAIN over the whole tape."""
+    folder = V.shared_folder(spark)
+    first = V.run_once(RS.live_bars(V.tick_stream(spark, f"{sf_dir}/events.parque[t]").where(F.col("ts") < CUT), 500.0), folder, rocks=True)
+    history = tape_ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    gap = RS.missing_ticks(history, first, AGAIN, **limits)
+    place = f"{folder}/state-{uuid.uuid4().hex}"
+    RS.warm_state(first, gap, 500.0).write.parquet(place)
+    start = spark.read.schema(RS.STATE_SCHEMA).parquet(place)
+    rest = V.tick_stream(spark, f"{sf_dir}/events.parque[t]")
+    if limits.get("most", RS.MOST_GAP) is not None:  # a stream that comes live later has not the ticks of the gap
+        rest = rest.where(F.col("ts") >= F.lit(AGAIN).cast("timestamp") - F.expr(f"INTERVAL {RS.TAIL}"))
+    again = V.run_once(RS.live_bars(rest, 500.0, start=start), folder, rocks=True)
+    out = first.select(_LIVE).unionByName(start.where("kind = 'gap'").select(_LIVE)).unionByName(again.select(_LIVE))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("time_start", "time_end")})
+
+
+@query("stream_restart", f"{_REC}{STREAM_BARS_SQL} SELECT * FROM sb")
+def stream_restart(spark, sf_dir):
+    """A stream cut in the middle and started again with state from its bars and the ticks since (SS09): one run's bars.
+    The second run is given the whole tape again; what has been taken is dropped."""
+    return _restarted(spark, sf_dir, most=None)
+
+
+@query(
+    "stream_gap_fill",
+    f"""{_REC}{TICKS_SQL}, early AS (SELECT * FROM ticks WHERE ts < TIMESTAMP '{CUT}'), {stream_bars_sql('early', 'e')},
+    ends AS (SELECT esk.series, max({{'ts': ts, 'seq': seq}}) AS last FROM esk JOIN esb ON esk.series = esb.series AND esk.no = esb.bar_no GROUP BY 1),
+    kept AS (SELECT ticks.* FROM ticks LEFT JOIN ends ON ticks.series = ends.series WHERE last IS NULL OR {{'ts': ts, 'seq': seq}} <= last OR ts >= TIMESTAMP '{AGAIN}' - INTERVAL 2 HOUR),
+    {stream_bars_sql('kept')} SELECT * FROM sb""",
+)
+def stream_gap_fill(spark, sf_dir):
+    """The same where the gap is longer than two hours, of which the last two alone are filled."""
+    return _restarted(spark, sf_dir)

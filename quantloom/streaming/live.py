@@ -99,25 +99,17 @@ def positions(signals: DataFrame, stop: float, target: float, cooldown: int) ->
     return signals.groupBy("series").applyInPandasWithState(run, schema, "side double, entry double, since timestamp, wait long", "append", GroupStateTimeout.NoTimeout)
 
 
-def on_history(make: Callable[[DataFrame], DataFrame], keep: int = 4000) -> Callable[[DataFrame, int, str], DataFrame]:
-    """A batch step that computes ``make`` anew on the last ``keep`` bars of each series, this batch's included, and returns
-    the rows of the newest bar of each series that the batch has (SS05). Bars are kept by batch number, so a batch that is
-    run again replaces itself."""
+def on_window(make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int, str], DataFrame]:
+    """A batch step that computes ``make`` on the bars that a batch brings, which are the last ones of each series that
+    closed one (``resume.live_bars`` with ``window``), and returns the rows of the newest bar of each series (SS05). It
+    reads nothing but the batch."""
     def each(batch: DataFrame, number: int, place: str) -> DataFrame:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{place}/bars/batch={number}")
-        held = spark.read.schema(f"{_ddl(batch)}, batch long").parquet(f"{place}/bars").where(F.col("batch") <= number).drop("batch")
-        newest = Window.partitionBy("series").orderBy(F.desc("bar_id"))
-        last = held.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= keep).drop("_n")
-        touched = spark.read.schema(_ddl(batch)).parquet(f"{place}/bars/batch={number}").groupBy("series").agg(F.max("bar_id").alias("bar_id"))
-        return make(last).join(touched, ["series", "bar_id"], "left_semi")
+        held = batch.drop("fresh").withColumnRenamed("bar_no", "bar_id")
+        newest = held.groupBy("series").agg(F.max("bar_id").alias("bar_id"))
+        return make(held).join(newest, ["series", "bar_id"], "left_semi")
     return each
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 def first_signal(signals: DataFrame, names: list[str], cooling: DataFrame | None = None) -> DataFrame:
     """Of each series' bar the first strategy in the order of ``names`` that has a signal (SS06), without those that
     ``cooling`` (series, strategy_id) names: one row a series at most."""
@@ -128,8 +120,13 @@ def first_signal(signals: DataFrame, names: list[str], cooling: DataFrame | None
     return best.select("series", "bar_id", "b.strategy_id", "b.signal")
 
 
-def run_once(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None, each: Callable[[DataFrame, int, str], DataFrame] | None = None, name: str | None = None) -> DataFrame:
-    """Run a stream over what is there and return its table. In update mode the last version of each key stays.
+#: The state store that keyed state with collections needs.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_once(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None, each: Callable[[DataFrame, int, str], DataFrame] | None = None, name: str | None = None, rocks: bool = False) -> DataFrame:
+    """Run a stream over what is there and return its table. In update mode the last version of each key stays. ``rocks``:
+    its state is held in RocksDB, whatever the session's other streams use.
 
     ``each`` may replace a batch before it is written. Batches are written under their number, so a batch that is run
     again overwrites itself. With a ``name`` the stream goes on where its last run ended (SS09): state, files seen and
@@ -138,7 +135,15 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append", keys: list[st
     spark, place = stream.sparkSession, f"{folder}/stream-{name or uuid.uuid4().hex}"
     def write(batch: DataFrame, number: int) -> None:
         (each(batch, number, place) if each else batch).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(ROCKS[0], None)
+    try:
+        if rocks:
+            spark.conf.set(*ROCKS)
+        running = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    finally:  # a query keeps the setting that it was started with
+        if rocks:
+            spark.conf.set(ROCKS[0], before) if before is not None else spark.conf.unset(ROCKS[0])
+    running.awaitTermination()
     out = spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out")
     if not keys:
         return out.drop("batch")
