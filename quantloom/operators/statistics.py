@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.distributions import normal_cdf, student_t_tail
 from quantloom.functions.frames import average_rank, ratio
 from quantloom.operators.chunks import WHOLE_BYTES, average_ranks, numbered, size_of
 
@@ -53,81 +54,83 @@ def hamming(signals: DataFrame, names: list[str]) -> DataFrame:
     return made.select(F.explode(F.array(*[F.col(f"p{k}") for k in range(len(pairs))])).alias("r")).select("r.*")
 
 
-def normal_quantile(p: float) -> float:
-    """The x of which ``normal_cdf`` is p (SC02), by bisection and Newton steps."""
-    if not 0 < p < 1:
-        return math.copysign(math.inf, p - 0.5)
-    low, high = -40.0, 40.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if normal_cdf(mid) < p else (low, mid)
-    x = (low + high) / 2
-    for _ in range(3):
-        slope = math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-        x -= (normal_cdf(x) - p) / slope if slope > 1e-300 else 0.0
-    return x
-
-
-def normal_cdf(x: float) -> float:
-    return 0.5 * math.erfc(-x / math.sqrt(2))
-
-
-def student_t_tail(t: float, df: float) -> float:
-    """Two-sided p-value of Student's t, by the continued fraction of the incomplete beta function (FS02)."""
-    if df <= 0 or math.isnan(t):
-        return math.nan
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-    if x >= 1:
-        return 1.0
-    flip = x > (a + 1) / (a + b + 2)
-    p, q, y = (b, a, 1 - x) if flip else (a, b, x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * math.log(y) + q * math.log1p(-y)) / p
-    f, c, d = 1.0, 1.0, 0.0
-    for k in range(400):
-        m = k // 2
-        term = 1.0 if k == 0 else m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)) if k % 2 == 0 else -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
-        d = 1 / (1 + term * d or 1e-300)
-        c = 1 + term / c or 1e-300
-        f *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    value = front * (f - 1)
-    return 1 - value if flip else value
-
+def deflated_sharpe(sr: Column, n: Column, skew: Column, kurtosis: Column, trials: Column, annual: float = 1.0) -> Column:
+    """Probability that a Sharpe ratio over ``n`` returns beats the best of ``trials`` null ones (EV08).
 
-def deflated_sharpe(sr: float, n: int, skew: float, kurtosis: float, trials: int, spread: float = 1.0) -> float:
-    """Probability that a Sharpe ratio beats the best of ``trials`` null ones (EV08); kurtosis is the raw one."""
-    hurdle = spread * math.sqrt(2 * math.log(max(trials, 2))) / math.sqrt(max(n, 2))
-    scale = 1 - skew * sr + (kurtosis - 1) / 4 * sr * sr
-    return normal_cdf((sr - hurdle) * math.sqrt(max(n - 1, 1)) / math.sqrt(max(scale, 1e-12)))
+    ``sr`` is annualised by sqrt(``annual``), ``kurtosis`` the raw one. The estimator's deviation follows from skew and
+    kurtosis; the hurdle is that deviation times sqrt(2 ln trials), none under two trials. 0 under two returns, NULL where
+    the variance would be negative.
+    """
+    raw = sr / math.sqrt(annual)
+    variance = (1 - skew * raw + (kurtosis - 1) / 4 * raw * raw) / (n - 1) * annual
+    s = F.sqrt(F.when(variance > 0, variance))
+    hurdle = F.when(trials < 2, 0.0).otherwise(F.sqrt(2 * F.log(F.greatest(trials, F.lit(2)).cast("double"))))
+    return F.when(n < 2, 0.0).otherwise(normal_cdf(sr / s - hurdle))
+
+
+def deflated_table(returns: DataFrame, by: list[str], trials: int | Column, annual: float = 1.0) -> DataFrame:
+    """(by, bars, sharpe, skew, kurtosis, deflated) of ``net_ret`` by group (EV08): population moments, raw kurtosis. A
+    Sharpe ratio of constant returns is 0."""
+    made = returns.groupBy(*by).agg(
+        F.count("net_ret").alias("bars"), F.avg("net_ret").alias("_m"), F.stddev_pop("net_ret").alias("_s"), F.skewness("net_ret").alias("skew"), (F.kurtosis("net_ret") + 3).alias("kurtosis")
+    )
+    made = made.withColumn("sharpe", F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * math.sqrt(annual)).otherwise(0.0))
+    moments = [F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), F.lit(d)) for c, d in (("skew", 0.0), ("kurtosis", 3.0))]
+    made = made.withColumn("deflated", deflated_sharpe(F.col("sharpe"), F.col("bars"), *moments, trials if isinstance(trials, Column) else F.lit(trials), annual))
+    return made.drop("_m", "_s")
 
 
-def purged_splits(n: int, folds: int = 6, tests: int = 2, embargo: float = 0.01) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
-    """Combinatorial purged splits (EV06) as half-open row ranges (train, test), C(folds, tests) of them.
+def purged_ranges(sizes: DataFrame, folds: int = 6, tests: int = 2, embargo: float = 0.01) -> DataFrame:
+    """Combinatorial purged splits (EV06) as rows: by, split, fold, role (`train`, `test`), start, stop (half open).
 
-    A training fold next to a test fold loses the embargo at that side.
+    ``sizes`` has the keys and n, the rows of each. Each of the C(folds, tests) splits tests on that many of equal folds (the
+    last takes the rest). A training fold loses the embargo, a share of n, behind a test fold that ends within it, and
+    before one that starts within it; folds without rows left go.
     """
-    size, gap = n // folds, int(n * embargo)
-    bounds = [(i * size, (i + 1) * size if i < folds - 1 else n) for i in range(folds)]
-    out = []
-    for chosen in combinations(range(folds), tests):
-        train = []
-        for i in set(range(folds)) - set(chosen):
-            a, b = bounds[i]
-            after = any(0 < a - (bounds[t][1] - 1) <= gap + 1 for t in chosen)
-            before = any(0 < bounds[t][0] - (b - 1) <= gap + 1 for t in chosen)
-            a, b = a + gap * after, b - gap * before
-            if a < b:
-                train.append((a, b))
-        out.append((sorted(train), [bounds[t] for t in chosen]))
-    return out
-
-
-def path_table(spark, n: int, **how) -> DataFrame:
-    """(path, start, stop): the stitched test ranges of each split, for a range join with row numbers (EV07)."""
-    rows = [(k, a, b) for k, (_, test) in enumerate(purged_splits(n, **how)) for a, b in test]
-    return spark.createDataFrame(rows, "path int, start long, stop long")
+    by = [c for c in sizes.columns if c != "n"]
+    chosen = [list(c) for c in combinations(range(folds), tests)]
+    splits = F.explode(F.array(*[F.struct(F.lit(i).alias("split"), F.array(*[F.lit(t) for t in c]).alias("tested")) for i, c in enumerate(chosen)]))
+    base = sizes.withColumns({"_size": F.floor(F.col("n") / folds), "_gap": F.floor(F.col("n") * embargo)}).select("*", splits.alias("s")).select("*", "s.*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    first = lambda k: k * F.col("_size")
+    last = lambda k: F.when(k < folds - 1, (k + 1) * F.col("_size")).otherwise(F.col("n")) - 1
+    a, b = first(F.col("fold")), last(F.col("fold"))
+    after = F.exists("tested", lambda t: (a > last(t)) & (a - last(t) <= F.col("_gap") + 1))
+    before = F.exists("tested", lambda t: (b < first(t)) & (first(t) - b <= F.col("_gap") + 1))
+    is_test = F.array_contains("tested", F.col("fold"))
+    cut = lambda side: F.when(is_test | ~side, 0).otherwise(F.col("_gap"))
+    made = base.select(*by, "split", "fold", F.when(is_test, "test").otherwise("train").alias("role"), (a + cut(after)).cast("long").alias("start"), (b + 1 - cut(before)).cast("long").alias("stop"))
+    return made.where("start < stop")
+
+
+def in_purged_splits(rows: DataFrame, by: list[str], folds: int = 6, tests: int = 2, embargo: float = 0.01, horizon: int = 0, span: int = 200_000) -> DataFrame:
+    """``rows`` (by, bar_id, ...) once for each split and role that it belongs to (EV06), with split, role and k, its place.
+
+    A range lies within one fold, so that rows and ranges meet by an equality of (by, fold). With a ``horizon`` a row's label
+    covers its next so many rows: training rows whose labels reach into a test range of the split are taken out by an
+    anti-join of intervals within (by, split).
+    """
+    placed = numbered(rows, by, [F.floor(F.col("bar_id") / span)], ["bar_id"], "k")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    ranges = purged_ranges(sizes, folds, tests, embargo)
+    fold = F.least(F.floor(F.col("k") / F.greatest(F.floor(F.col("n") / folds), F.lit(1))), F.lit(folds - 1)).cast("int")
+    here = placed.join(sizes, by).withColumn("fold", fold).drop("n")
+    cases = here.join(ranges, [*by, "fold"]).where("k >= start and k < stop").drop("start", "stop", "fold")
+    if not horizon:
+        return cases
+    tested = ranges.where("role = 'test'").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("split").alias("_split"), F.col("start").alias("_start"), F.col("stop").alias("_stop"))
+    touches = (F.col("role") == "train") & (F.col("split") == F.col("_split")) & (F.col("k") < F.col("_stop")) & (F.col("k") + horizon >= F.col("_start"))
+    for c in by:
+        touches = touches & (F.col(c) == F.col(f"_{c}"))
+    return cases.join(tested, touches, "left_anti")
+
+
+def purged_scores(returns: DataFrame, by: list[str], annual: float = 1.0, **how) -> DataFrame:
+    """(by, split, train_rows, test_rows, train_sharpe, test_sharpe) of ``net_ret`` on every purged split."""
+    cases = in_purged_splits(returns, by, **how)
+    role = lambda name: F.when(F.col("role") == name, F.col("net_ret"))
+    ratio_of = lambda name: F.coalesce(F.avg(role(name)) / F.nullif(F.stddev_pop(role(name)), F.lit(0.0)) * math.sqrt(annual), F.lit(0.0))
+    made = [f(n).alias(f"{n}_{what}") for n in ("train", "test") for what, f in (("rows", lambda n: F.count_if(F.col("role") == n)), ("sharpe", ratio_of))]
+    return cases.groupBy(*by, "split").agg(*made)
 
 
 def walk_forward(n: int, folds: int = 5) -> list[tuple[int, int]]:
@@ -167,12 +170,11 @@ def rank_ic(df: DataFrame, features: list[str], target: str, folds: int = 5, mos
 
 
 def gates(ic: DataFrame, least_ic: float = 0.005, most_p: float = 0.05, least_stability: float = 0.25) -> DataFrame:
-    """``verdict``: the first gate a feature fails, or keep (FS04); p-values by t of each row's n, on a few hundred rows."""
-    spark = ic.sparkSession
-    rows = [(r.feature, student_t_tail(abs(r.ic) * math.sqrt((r.n - 2) / max(1 - r.ic**2, 1e-12)), r.n - 2) if r.ic is not None and r.n > 2 else None) for r in ic.collect()]
-    p = spark.createDataFrame(rows, "feature string, p double")
+    """``verdict``: the first gate a feature fails, or keep (FS04); ``p``: two-sided, by t of each row's n."""
+    t = F.abs("ic") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("ic") * F.col("ic"), F.lit(1e-12)))
+    p = F.when(F.col("n") > 2, student_t_tail(t, F.col("n") - 2))
     verdict = F.when(F.coalesce(F.abs("ic"), F.lit(0.0)) < least_ic, "ic").when(F.coalesce("p", F.lit(1.0)) > most_p, "p").when(F.coalesce("stability", F.lit(0.0)) < least_stability, "stability").otherwise("keep")
-    return ic.join(p, "feature", "left").withColumn("verdict", verdict)
+    return ic.withColumn("p", p).withColumn("verdict", verdict)
 
 
 def greedy_redundancy(order: list[str], pairs: dict[tuple[str, str], float], most: float = 0.85) -> list[str]:

@@ -95,13 +95,16 @@ def _labelled(spark, sf_dir):
     return L.forward_returns(bars_of(spark, sf_dir), (5,)).withColumnRenamed("fwd_5", "y0")
 
 
+_IC = "covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0)"
+
+
 @query(
     "select_rank_ic",
     f"""WITH {LONG_SQL}, k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rx,
     rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2 AS ry, row_number() OVER (PARTITION BY feature ORDER BY series, bar_id) - 1 AS place, count(*) OVER (PARTITION BY feature) AS size FROM long),
     f AS (SELECT feature, least(floor(place / greatest(floor(size / 5), 1)), 4) AS fold, covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) AS c FROM k GROUP BY 1, 2),
     s AS (SELECT feature, abs(avg(c)) / (stddev_pop(c) + 1e-6) AS stability FROM f GROUP BY 1)
-    SELECT feature, count(*) AS n, {r('covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0)', 'ic')}, {r('max(stability)', 'stability', 4)} FROM k JOIN s USING (feature) GROUP BY feature""",
+    SELECT feature, count(*) AS n, {r(_IC, 'ic')}, {r('max(stability)', 'stability', 4)} FROM k JOIN s USING (feature) GROUP BY feature""",
 )
 def select_rank_ic(spark, sf_dir):
     return E.rank_ic(_labelled(spark, sf_dir), FEATURES, "y0").select("feature", "n", rounded("ic").alias("ic"), rounded("stability", 4).alias("stability"))
@@ -114,12 +117,62 @@ _T_SQL = """1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())
 
 @query(
     "select_gates",
-    f"""WITH i AS ({ORACLES['select_rank_ic']}), t AS (SELECT *, abs(ic) * sqrt((n - 2) / greatest(1 - ic * ic, 1e-12)) AS t, CAST(n - 2 AS DOUBLE) AS df FROM i), p AS (SELECT *, {_T_SQL} AS p FROM t)
-    SELECT feature, n, round(ic, 5) + 0.0 AS ic, round(greatest(p, 0), 3) + 0.0 AS p, CASE WHEN coalesce(abs(ic), 0) < 0.005 THEN 'ic' WHEN coalesce(p, 1) > 0.05 THEN 'p' WHEN coalesce(stability, 0) < 0.25 THEN 'stability' ELSE 'keep' END AS verdict FROM p""",
+    f"""WITH i AS ({ORACLES['select_rank_ic'].replace(r(_IC, 'ic'), _IC + ' AS ic')}), t AS (SELECT *, abs(ic) * sqrt((n - 2) / greatest(1 - ic * ic, 1e-12)) AS t, CAST(n - 2 AS DOUBLE) AS df FROM i), p AS (SELECT *, {_T_SQL} AS p FROM t)
+    SELECT feature, n, round(ic, 5) + 0.0 AS ic, round(greatest(p, 0), 9) + 0.0 AS p, CASE WHEN coalesce(abs(ic), 0) < 0.005 THEN 'ic' WHEN coalesce(p, 1) > 0.05 THEN 'p' WHEN coalesce(stability, 0) < 0.25 THEN 'stability' ELSE 'keep' END AS verdict FROM p""",
 )
 def select_gates(spark, sf_dir):
     g = E.gates(E.rank_ic(_labelled(spark, sf_dir), FEATURES, "y0"))
-    return g.select("feature", "n", rounded("ic", 5).alias("ic"), rounded("p", 3).alias("p"), "verdict")
+    return g.select("feature", "n", rounded("ic", 5).alias("ic"), rounded("p", 9).alias("p"), "verdict")
+
+
+#: The normal law below z by Simpson's rule over its density from 0 to |z|.
+_CDF_SQL = """0.5 + sign(z) * least(abs(z), 40) / 3 / 4000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 4001), lambda i:
+  (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(least(abs(z), 40) * i / 4000, 2) / 2)))"""
+
+
+@query(
+    "eval_deflated_sharpe",
+    f"""WITH {RETURNS_SQL}, m AS (SELECT series, strategy_id, count(net_ret) AS bars, avg(net_ret) AS m, stddev_pop(net_ret) AS s FROM act GROUP BY 1, 2),
+    c AS (SELECT series, strategy_id, any_value(bars) AS bars, any_value(m) AS m, any_value(s) AS s, avg(pow(net_ret - m, 3)) / nullif(pow(any_value(s), 3), 0) AS skew, avg(pow(net_ret - m, 4)) / nullif(pow(any_value(s), 4), 0) AS kurtosis FROM act JOIN m USING (series, strategy_id) GROUP BY 1, 2),
+    d AS (SELECT *, CASE WHEN s > 0 THEN m / s * sqrt(252) ELSE 0 END AS sharpe, (SELECT count(DISTINCT strategy_id) FROM act) AS trials FROM c),
+    z AS (SELECT *, sharpe / sqrt((1 - coalesce(skew, 0) * sharpe / sqrt(252) + (coalesce(kurtosis, 3) - 1) / 4 * sharpe * sharpe / 252) / (bars - 1) * 252) - CASE WHEN trials < 2 THEN 0 ELSE sqrt(2 * ln(trials)) END AS z FROM d)
+    SELECT series, strategy_id, bars, {r('sharpe', 'sharpe')}, {r('skew', 'skew', 5)}, {r('kurtosis', 'kurtosis', 4)}, {r(_CDF_SQL, 'deflated', 9)} FROM z""",
+)
+def eval_deflated_sharpe(spark, sf_dir):
+    """Sharpe ratios deflated by the number of strategies tried (EV08)."""
+    t = E.deflated_table(_predicted(spark, sf_dir), ["series", "strategy_id"], len(STRATEGIES), 252)
+    return t.select("series", "strategy_id", "bars", *[rounded(c, d).alias(c) for c, d in (("sharpe", 6), ("skew", 5), ("kurtosis", 4), ("deflated", 9))])
+
+
+def purged_sql(horizon: int) -> str:
+    """Scores on purged splits: bars by bar, against the test folds of each split."""
+    return f"""WITH {RETURNS_SQL}, k AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY series, strategy_id) AS n FROM act WINDOW w AS (PARTITION BY series, strategy_id ORDER BY bar_id)),
+    pairs AS (SELECT row_number() OVER (ORDER BY x, y) - 1 AS split, x, y FROM range(6) AS p(x), range(6) AS q(y) WHERE x < y),
+    j AS (SELECT k.*, split, x, y, n // 6 AS size, CAST(floor(n * 0.02) AS BIGINT) AS gap, least(k // greatest(n // 6, 1), 5) AS fold FROM k, pairs),
+    e AS (SELECT *, fold IN (x, y) AS tested, fold * size AS a, CASE WHEN fold < 5 THEN (fold + 1) * size ELSE n END - 1 AS b FROM j),
+    t AS (SELECT *, [x * size, y * size] AS ta, [(x + 1) * size - 1, CASE WHEN y < 5 THEN (y + 1) * size ELSE n END - 1] AS tb FROM e),
+    v AS (SELECT *, len(list_filter(tb, lambda u: a > u AND a - u <= gap + 1)) > 0 AS after, len(list_filter(ta, lambda u: b < u AND u - b <= gap + 1)) > 0 AS before,
+      {horizon} > 0 AND len(list_filter([1, 2], lambda u: k < tb[u] + 1 AND k + {horizon} >= ta[u])) > 0 AS reaches FROM t),
+    c AS (SELECT *, CASE WHEN tested THEN 'test' WHEN k >= a + CASE WHEN after THEN gap ELSE 0 END AND k <= b - CASE WHEN before THEN gap ELSE 0 END AND NOT reaches THEN 'train' END AS role FROM v)
+    SELECT series, strategy_id, split, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'test') AS test_rows,
+    {', '.join(r(f"coalesce(avg(net_ret) FILTER (role = '{s}') / nullif(stddev_pop(net_ret) FILTER (role = '{s}'), 0), 0)", f'{s}_sharpe') for s in ('train', 'test'))} FROM c GROUP BY ALL"""
+
+
+def _purged(spark, sf_dir, horizon):
+    t = E.purged_scores(_predicted(spark, sf_dir), ["series", "strategy_id"], embargo=0.02, horizon=horizon)
+    return t.select("series", "strategy_id", "split", "train_rows", "test_rows", rounded("train_sharpe").alias("train_sharpe"), rounded("test_sharpe").alias("test_sharpe"))
+
+
+@query("eval_purged_splits", purged_sql(0))
+def eval_purged_splits(spark, sf_dir):
+    """Train and test scores on the fifteen purged splits, an embargo of 2 % at test folds (EV06)."""
+    return _purged(spark, sf_dir, 0)
+
+
+@query("eval_purged_labels", purged_sql(10))
+def eval_purged_labels(spark, sf_dir):
+    """The same without training bars whose labels, ten bars long, reach into a test fold."""
+    return _purged(spark, sf_dir, 10)
 
 
 @query(

@@ -2,9 +2,11 @@
 
 import datetime as dt
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import frames, parsing
@@ -60,19 +62,35 @@ def test_mutex_holds_one_position():
     assert owner.tolist() == [-1, 1, 1, 1, 0, 0]
 
 
-def test_purged_splits():
-    made = statistics.purged_splits(60, 6, 2, 0.02)
-    assert len(made) == 15
-    train, test = made[0]
-    assert test == [(0, 10), (10, 20)] and train == [(21, 30), (30, 40), (40, 50), (50, 60)]
-
-
-def test_distributions():
-    assert abs(statistics.normal_cdf(1.96) - 0.9750021) < 1e-6
-    assert abs(statistics.student_t_tail(2.228, 10) - 0.05) < 1e-4 and abs(statistics.student_t_tail(0.5, 3) - 0.651) < 1e-3
-    assert statistics.student_t_tail(0, 5) == 1.0
-    assert all(abs(statistics.normal_cdf(statistics.normal_quantile(p)) - p) < 1e-12 for p in (1e-6, 0.05, 0.5, 0.975)) and statistics.normal_quantile(1.0) == math.inf
-    assert statistics.deflated_sharpe(0.2, 500, 0, 3, 100) > statistics.deflated_sharpe(0.05, 500, 0, 3, 100)
+def plain_purged_splits(n, folds, tests, embargo):
+    """Row sets of each split: a fold after a test fold starts an embargo later, one before it ends an embargo sooner."""
+    size, gap = n // folds, int(n * embargo)
+    rows = [list(range(i * size, (i + 1) * size if i < folds - 1 else n)) for i in range(folds)]
+    for chosen in combinations(range(folds), tests):
+        train = []
+        for i in sorted(set(range(folds)) - set(chosen)):
+            part = rows[i]
+            late = any(part[0] > rows[t][-1] and part[0] - rows[t][-1] <= gap + 1 for t in chosen)
+            early = any(part[-1] < rows[t][0] and rows[t][0] - part[-1] <= gap + 1 for t in chosen)
+            train += part[gap if late else 0 : len(part) - (gap if early else 0)]
+        yield train, sorted(x for t in chosen for x in rows[t])
+
+
+@pytest.mark.parametrize("n, folds, tests, embargo", [(60, 6, 2, 0.02), (103, 6, 2, 0.01), (50, 5, 2, 0.15), (40, 4, 1, 0.3), (31, 6, 3, 0.1)])
+def test_purged_splits(spark, n, folds, tests, embargo):
+    rows = statistics.purged_ranges(spark.createDataFrame([("a", n), ("b", n + 7)], "series string, n long"), folds, tests, embargo).where("series = 'a'").collect()
+    for k, want in enumerate(plain_purged_splits(n, folds, tests, embargo)):
+        for role, w in zip(("train", "test"), want):
+            assert sorted(x for r in rows if (r.split, r.role) == (k, role) for x in range(r.start, r.stop)) == w
+
+
+def test_labels_that_reach_into_a_test_fold_are_purged(spark):
+    bars = spark.createDataFrame([("a", i, i * 3) for i in range(60)] + [("b", i, i) for i in range(7)], "series string, k0 long, bar_id long")
+    got = statistics.in_purged_splits(bars, ["series"], 6, 2, 0.0, 4, span=50).where("series = 'a'").collect()
+    for k, (train, test) in enumerate(plain_purged_splits(60, 6, 2, 0.0)):
+        held = {x for x in train if not any(x < b and x + 4 >= b for b in test)}
+        assert {r.k0 for r in got if r.split == k and r.role == "train"} == held and all(r.k == r.k0 for r in got)
+        assert sorted(r.k0 for r in got if r.split == k and r.role == "test") == test
 
 
 def test_selection_helpers():
