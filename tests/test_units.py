@@ -72,7 +72,7 @@ def plain_purged_splits(n, folds, tests, embargo):
             part = rows[i]
             late = any(part[0] > rows[t][-1] and part[0] - rows[t][-1] <= gap + 1 for t in chosen)
             early = any(part[-1] < rows[t][0] and rows[t][0] - part[-1] <= gap + 1 for t in chosen)
-            train += part[gap if late else 0 : len(part) - (gap if early else 0)]
+            train += part[gap if late else 0 : max(0, len(part) - (gap if early else 0))]
         yield train, sorted(x for t in chosen for x in rows[t])
 
 
