@@ -1,36 +1,45 @@
 """Operator 11: phrase collocation mining by Rabin-Karp fingerprints.
 
-Prefix polynomials over the codes of the words give every run of words a fingerprint. Tasks sum fingerprints before the
-shuffle, which adds them up; those of at least LEAST occurrences go on. A phrase is frequent only if its parts are, so
-single words are counted first, then pairs of frequent words, then runs of three to five whose pairs are all frequent. What
-is known to be frequent goes to the tasks as a sieve of bounded size, which never drops a frequent fingerprint; what it
-lets pass besides is sorted out by the counts.
-
-Fingerprints decide nothing by themselves. In the last reading of the texts each task points every occurrence of a frequent
-fingerprint at the first one, compares the two by their text, and sets those that differ apart. Only the phrases found so
-are made as text; the shuffle sums them, with pointers to an occurrence, and their exact counts decide.
+1. Prefix polynomials over the codes of the words give every run of words a fingerprint. Tasks sum fingerprints before the
+   shuffle, which adds them up and keeps a pointer to an occurrence of each, a hash of its document.
+2. A phrase is frequent only if its parts are, so single words are counted first, then pairs of frequent words, then runs
+   of three to five whose pairs are all frequent. What is known to be frequent goes to the tasks as a sieve of bounded size,
+   which never drops a frequent fingerprint; what it lets pass besides is sorted out by the counts.
+3. Only where a pointer of a frequent fingerprint leads is a phrase made as text.
+4. Collisions: every occurrence of a frequent fingerprint is held against the phrase at its pointer, by a second code of its
+   text. Those that differ leave their task as text, are counted as the phrases they are, and are taken off.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import stage
-from quantloom.llm.word_hash import LOWER, Sieve, equal_ranges, mixed, run_codes, sieve_of, summed, text_bytes, text_slices, word_codes, word_places
+from quantloom.llm.word_hash import LOWER, Sieve, mixed, run_codes, sieve_of, summed, text_bytes, text_slices, word_codes, word_places
 
 #: Words of a phrase at most, its occurrences at least, phrases of a language, and the percentage of a phrase's
 #: occurrences that a longer one must have to replace it.
 WORDS, LEAST, TOP, SHARE = 5, 100, 2000, 100
-#: Different fingerprints, or phrases, that a task holds before it sends them on.
-HELD, HELD_PHRASES, PENDING = 1 << 21, 1 << 18, 1 << 22
 #: Groups of a language's phrases that are ranked on their own first.
 GROUPS = 32
+#: Joins the hash of a document to a fingerprint; a product with 31 bits stays in a long.
+_SPREAD = 1481765933
+
+
+class Task(NamedTuple):
+    """What a task holds before it sums up, and before it sends on; bits of a fingerprint (fewer ones collide)."""
+
+    pending: int = 1 << 22
+    held: int = 1 << 21
+    bits: int = 64
+
 
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -41,174 +50,214 @@ _WORD[[9, 32]] = False
 class Words:
     """The words of a slice: places, codes that hold the language too, and whether each goes on with the next one."""
 
-    def __init__(self, part: pa.RecordBatch) -> None:
-        raw, cut = text_bytes(part.column("text"))
-        self.start, self.end = word_places(raw, cut, _WORD)
-        self.data = LOWER[raw]
+    def __init__(self, part: pa.RecordBatch, bits: int = 64) -> None:
+        self.raw, self.cut = text_bytes(part.column("text"))
+        self.start, self.end = word_places(self.raw, self.cut, _WORD)
         langs = part.column("lang").to_pylist()
-        names = sorted(set(langs))
-        number = {x: k for k, x in enumerate(names)}
-        many = np.diff(np.searchsorted(self.start, cut))
-        self.doc = np.repeat(np.arange(part.num_rows), many)
-        self.langs, self.lang = names, np.array([number[x] for x in langs], np.int64)[self.doc]
-        seed = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in names], np.uint64)
-        self.codes = mixed(word_codes(raw, self.start, self.end) ^ seed[self.lang]) if len(names) else np.zeros(0, np.uint64)
+        self.langs = sorted(set(langs))
+        number = {x: k for k, x in enumerate(self.langs)}
+        self.doc = np.repeat(np.arange(part.num_rows), np.diff(np.searchsorted(self.start, self.cut)))
+        self.lang = np.array([number[x] for x in langs], np.int64)[self.doc]
+        self.at = part.column("at").to_numpy().astype(np.uint64)[self.doc]
+        self.seed = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in self.langs], np.uint64)
+        self.shift = np.uint64(64 - bits)
+        self.codes = self._codes(0)
         n = len(self.start)
         self.joined = np.zeros(n, bool)
         if n > 1:
-            parted = np.logical_or.reduceat(_BREAK[raw], self.start)
+            parted = np.logical_or.reduceat(_BREAK[self.raw], self.start)
             self.joined[:-1] = ~parted[:-1] & (self.doc[1:] == self.doc[:-1])
 
-    def pairs(self, frequent: Sieve) -> tuple[np.ndarray, np.ndarray]:
-        """(place, fingerprint) of the pairs of frequent words."""
-        known = frequent.has(self.codes)
+    def _codes(self, base: int) -> np.ndarray:
+        return mixed(word_codes(self.raw, self.start, self.end, base) ^ self.seed[self.lang]) if len(self.start) else np.zeros(0, np.uint64)
+
+    def prints(self, size: int, at: np.ndarray) -> np.ndarray:
+        """Fingerprints of the runs of ``size`` words at these places."""
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        return (self.codes if size == 1 else run_codes(self.codes, size))[at] >> self.shift
+
+    def singles(self) -> tuple[int, np.ndarray, np.ndarray]:
+        at = np.arange(len(self.codes))
+        return 1, at, self.prints(1, at)
+
+    def pairs(self, frequent: Sieve) -> tuple[int, np.ndarray, np.ndarray]:
+        """(2, place, fingerprint) of the pairs of frequent words."""
+        known = frequent.has(self.codes >> self.shift)
         at = np.flatnonzero(self.joined[:-1] & known[:-1] & known[1:]) if len(known) else np.zeros(0, np.int64)
-        return at, run_codes(self.codes, 2)[at]
+        return 2, at, self.prints(2, at)
 
     def longer(self, words: Sieve, pairs: Sieve, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(size, place, fingerprint) of the runs of three words and more whose pairs are all frequent."""
-        at, codes = self.pairs(words)
+        _, at, codes = self.pairs(words)
         good = np.zeros(len(self.codes) + most, bool)
         good[at[pairs.has(codes)]] = True
         whole = good[: len(self.codes)].copy()
         for size in range(3, most + 1):
             whole &= good[size - 2 : size - 2 + len(self.codes)]
             at = np.flatnonzero(whole)
-            yield size, at, run_codes(self.codes, size)[at] if len(at) else np.zeros(0, np.uint64)
-
-
-def verified(keys: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """For each occurrence a pointer to the first one that is equal to it; keys say which may be equal, ``equal`` decides."""
-    pointer, left = np.empty(len(keys), np.int64), np.arange(len(keys))
-    while len(left):
-        _, first, group = np.unique(keys[left], return_index=True, return_inverse=True)
-        to = left[first][group]
-        same = equal(left, to)
-        pointer[left[same]] = to[same]
-        left = left[~same]
-    return pointer
-
-
-def occurrences(words: Words, single: Sieve, pairs: Sieve, longer: Sieve, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(size, pointer, n): the frequent fingerprints' phrases, each at one of its occurrences, and how many there are."""
-    at = np.flatnonzero(single.has(words.codes))
-    start, size = words.start, words.end - words.start
-
-    def same_word(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        a, b = at[a], at[b]
-        alike = (size[a] == size[b]) & (words.lang[a] == words.lang[b])
-        alike[alike] = equal_ranges(words.data, start[a[alike]], start[b[alike]], size[a[alike]])
-        return alike
-
-    word = np.full(len(start), -1, np.int64)
-    word[at] = at[verified(words.codes[at], same_word)]
-    yield 1, *np.unique(word[at], return_counts=True)
-    found = [(2, *words.pairs(single)), *words.longer(single, pairs, most)]
-    for length, places, codes in found:
-        here = (pairs if length == 2 else longer).has(codes)
-        places, codes = places[here], codes[here]
-        same = lambda a, b: np.all([word[places[a] + j] == word[places[b] + j] for j in range(length)], axis=0)  # noqa: B023, E731
-        yield length, *np.unique(places[verified(codes, same)], return_counts=True)
-
-
-def _counted(docs: DataFrame, fingerprints: Callable[[Words], list[np.ndarray]], totals: bool = False) -> DataFrame:
-    """(hash, n, lang): occurrences of each fingerprint, summed within the tasks; with ``totals`` the words of each
-    language too, in rows without hash."""
+            yield size, at, self.prints(size, at)
+
+    def frequent(self, single: Sieve, pairs: Sieve, longer: Sieve, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, place, fingerprint, second code) of all runs whose fingerprints may be frequent."""
+        checks = self._codes(1)
+        for size, at, codes in (self.singles(), self.pairs(single), *self.longer(single, pairs, most)):
+            known = (single, pairs, longer)[min(size, 3) - 1].has(codes)
+            at, codes = at[known], codes[known]
+            yield size, at, codes, (checks if size == 1 else run_codes(checks, size))[at] if len(at) else codes
+
+    def text(self, data: bytes, size: int, i: int) -> bytes:
+        """The run of ``size`` words at place ``i``, joined by single spaces; ``data``: the slice in lower case."""
+        return b" ".join([data[a:b] for a, b in zip(self.start[i : i + size].tolist(), self.end[i : i + size].tolist(), strict=True)])
+
+    def where(self, size: int, i: int) -> tuple[int, int, int]:
+        """Row, and bytes of its text from and to, of the run at place ``i``."""
+        d = int(self.doc[i])
+        return d, int(self.start[i] - self.cut[d]), int(self.end[i + size - 1] - self.cut[d])
+
+
+def _pointed(codes: Column, at: Column) -> Column:
+    return codes.bitwiseXOR(at.cast("long") * F.lit(_SPREAD).cast("long"))
+
+
+def _counted(docs: DataFrame, runs: Callable[[Words], list[tuple[int, np.ndarray, np.ndarray]]], task: Task, totals: bool = False) -> DataFrame:
+    """(hash, n, at, lang): occurrences of each fingerprint and a document that has it, summed within the tasks; with
+    ``totals`` the words of each language too, in rows without hash."""
+    names = ["hash", "n", "at", "lang"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         pending, by_lang = 0, {}
 
-        def send() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(hashes[0]) if hashes else 0, 1 << 17):
-                h, n = hashes[0][at : at + (1 << 17)], counts[0][at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.nulls(len(h), pa.string())], ["hash", "n", "lang"])
+        def sums() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return summed(*(list(x) for x in zip(*held, strict=True)))
+
+        def send(h: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(h), 1 << 17):
+                part = slice(k, k + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(n[part]), pa.array(at[part]), pa.nulls(len(h[part]), pa.string())], names)
 
         for part in text_slices(batches):
-            words = Words(part)
+            words = Words(part, task.bits)
             if totals:
                 for k, n in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist()):
                     by_lang[words.langs[k]] = by_lang.get(words.langs[k], 0) + n
-            for h in fingerprints(words):
-                hashes.append(h)
-                counts.append(np.ones(len(h), np.int64))
+            for _, at, h in runs(words):
+                held.append((h, np.ones(len(h), np.int64), words.at[at].astype(np.int32)))
                 pending += len(h)
-            if pending > PENDING:
-                h, n = summed(hashes, counts)
-                hashes, counts, pending = [h], [n], len(h)
-                if len(h) > HELD:
-                    yield from send()
-                    hashes, counts, pending = [], [], 0
-        if hashes:
-            h, n = summed(hashes, counts)
-            hashes, counts = [h], [n]
-            yield from send()
+            if pending > task.pending:
+                held = [sums()]
+                pending = len(held[0][0])
+                if pending > task.held:
+                    yield from send(*held[0])
+                    held, pending = [], 0
+        if held:
+            yield from send(*sums())
         if by_lang:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(by_lang), pa.int64()), pa.array(list(by_lang.values()), pa.int64()), pa.array(list(by_lang))], ["hash", "n", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(by_lang), pa.int64()), pa.array(list(by_lang.values()), pa.int64()), pa.nulls(len(by_lang), pa.int32()), pa.array(list(by_lang))], names)
 
-    return docs.select("text", "lang").mapInArrow(run, "hash long, n long, lang string").groupBy("hash", "lang").agg(F.sum("n").alias("n"))
+    counted = docs.select("text", "lang", "at").mapInArrow(run, "hash long, n long, at int, lang string")
+    return counted.groupBy("hash", "lang").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
 
 
-def _materialised(docs: DataFrame, share: Callable[[], tuple[Sieve, Sieve, Sieve]], most: int) -> DataFrame:
-    """(lang, phrase, n, pointer struct<doc_id, start, end>): the phrases of frequent fingerprints, summed within the tasks."""
-    kind = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_PLACE = "pointer struct<doc_id: long, start: long, end: long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, pairs, longer = share()
-        held: dict[tuple[str, bytes], list] = {}
 
-        def send() -> pa.RecordBatch:
-            names = ([k[0] for k in held], [k[1].decode("utf-8", "replace") for k in held])
-            where = [dict(zip(("doc_id", "start", "end"), v[1:], strict=True)) for v in held.values()]
-            return pa.RecordBatch.from_arrays([pa.array(names[0], pa.string()), pa.array(names[1], pa.string()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array(where, kind)], ["lang", "phrase", "n", "pointer"])
+def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), schema, strict=True)], [name for name, _ in schema])
 
-        for part in text_slices(batches):
-            words = Words(part)
-            _, cut = text_bytes(part.column("text"))
-            ids, data = part.column("doc_id").to_pylist(), words.data.tobytes()
-            start, end, doc, lang = words.start.tolist(), words.end.tolist(), words.doc, words.lang
-            for size, pointers, counts in occurrences(words, single, pairs, longer, most):
-                for i, n, d, k in zip(pointers.tolist(), counts.tolist(), doc[pointers].tolist(), lang[pointers].tolist(), strict=True):
-                    key = (words.langs[k], b" ".join([data[start[j] : end[j]] for j in range(i, i + size)]))
-                    if (old := held.get(key)) is None:
-                        base = int(cut[d])
-                        held[key] = [n, ids[d], start[i] - base, end[i + size - 1] - base]
-                    else:
-                        old[0] += n
-            if len(held) > HELD_PHRASES:
-                yield send()
-                held.clear()
-        if held:
-            yield send()
 
-    return docs.mapInArrow(run, "lang string, phrase string, n long, pointer struct<doc_id: long, start: long, end: long>")
+_POINTER = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+
 
+def _materialised(docs: DataFrame, sieves: Callable[[], tuple[Sieve, Sieve, Sieve]], pointers: Callable[[], Sieve], most: int, task: Task) -> DataFrame:
+    """(level, hash, at, code, lang, phrase, pointer): the phrase of each frequent fingerprint in the document that it points
+    to. Levels are single words, pairs, and longer runs, which were counted apart."""
+    schema = [("level", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("code", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("pointer", _POINTER)]
 
-def frequent_phrases(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pointed = sieves(), pointers()
+        for part in text_slices(batches):
+            words, rows = Words(part, task.bits), []
+            data, ids = LOWER[words.raw].tobytes(), part.column("doc_id").to_pylist()
+            for size, at, codes, checks in words.frequent(*known, most):
+                ends = codes ^ (words.at[at] * np.uint64(_SPREAD))
+                here = np.flatnonzero(pointed.has(ends))
+                here = here[np.unique(ends[here], return_index=True)[1]]
+                for k in here.tolist():
+                    i = int(at[k])
+                    d, a, b = words.where(size, i)
+                    place = {"doc_id": ids[d], "start": a, "end": b}
+                    rows.append((min(size, 3), int(codes[k].view(np.int64)), int(words.at[i]), int(checks[k].view(np.int64)), words.langs[words.lang[i]], words.text(data, size, i).decode("utf-8", "replace"), place))
+            if rows:
+                yield _batch(rows, schema)
+
+    return docs.mapInArrow(run, f"level int, hash long, at int, code long, lang string, phrase string, {_PLACE}")
+
+
+def _collisions(docs: DataFrame, sieves: Callable[[], tuple[Sieve, Sieve, Sieve]], verified: Callable[[], Sieve], most: int, task: Task) -> DataFrame:
+    """(level, hash, lang, phrase, n, pointer): occurrences of frequent fingerprints whose text is not that of the phrase found for
+    them, as text, summed within the tasks."""
+    schema = [("level", pa.int32()), ("hash", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("pointer", _POINTER)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, same = sieves(), verified()
+        for part in text_slices(batches):
+            words, found = Words(part, task.bits), {}
+            data, ids = LOWER[words.raw].tobytes(), part.column("doc_id").to_pylist()
+            for size, at, codes, checks in words.frequent(*known, most):
+                for k in np.flatnonzero(~same.has(codes ^ checks)).tolist():
+                    i = int(at[k])
+                    key = (min(size, 3), int(codes[k].view(np.int64)), words.langs[words.lang[i]], words.text(data, size, i))
+                    if key not in found:
+                        d, a, b = words.where(size, i)
+                        found[key] = [0, {"doc_id": ids[d], "start": a, "end": b}]
+                    found[key][0] += 1
+            if found:
+                yield _batch([(level, h, lang, text.decode("utf-8", "replace"), *v) for (level, h, lang, text), v in found.items()], schema)
+
+    return docs.mapInArrow(run, f"level int, hash long, lang string, phrase string, n long, {_PLACE}")
+
+
+def frequent_phrases(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = WORDS, least: int = LEAST, task: Task = Task()
+) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): lang, phrase, n and a pointer to an occurrence (doc_id and bytes of its text) of each phrase of up
     to ``most`` words that occurs ``least`` times or more in its language; lang and the number of its words."""
     spark = df.sparkSession
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"), F.coalesce(df[lang_col].cast("string"), F.lit("und")).alias("lang"))
-    seen = stage(_counted(docs, lambda w: [w.codes], totals=True).where((F.col("n") >= least) | F.col("hash").isNull()), "words")
-    totals = seen.where("hash is null").select("lang", F.col("n").alias("n_lang"))
-
-    def sieve(found: DataFrame):
-        made = sieve_of(found, "hash", found.count())
-        return spark.sparkContext.broadcast(made.bits)
-
-    single = sieve(seen.where("hash is not null"))
-    found = stage(_counted(docs, lambda w: [w.pairs(Sieve(single.value))[1]]).where(F.col("n") >= least), "word-pairs")
-    pairs = sieve(found)
-    found = stage(_counted(docs, lambda w: [x[2] for x in w.longer(Sieve(single.value), Sieve(pairs.value), most)]).where(F.col("n") >= least), "word-runs")
-    longer = sieve(found)
-    rows = _materialised(docs, lambda: (Sieve(single.value), Sieve(pairs.value), Sieve(longer.value)), most)
-    counted = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer")).where(F.col("n") >= least)
-    return stage(counted, "phrases"), totals
+    text, doc_id = F.coalesce(df[text_col], F.lit("")), df[id_col].cast("long")
+    at = F.xxhash64(doc_id, text).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    docs = df.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(df[lang_col].cast("string"), F.lit("und")).alias("lang"), at.alias("at"))
+
+    def sieve(found: DataFrame, column: Column) -> Callable[[], Sieve]:
+        shared = spark.sparkContext.broadcast(sieve_of(found.select(column.alias("h")), "h", found.count()).bits)
+        return lambda: Sieve(shared.value)
+
+    often = F.col("n") >= least
+    seen = stage(_counted(docs, lambda w: [w.singles()], task, totals=True).where(often | F.col("hash").isNull()), "words")
+    totals, one = seen.where("hash is null").select("lang", F.col("n").alias("n_lang")), seen.where("hash is not null")
+    single = sieve(one, F.col("hash"))
+    two = stage(_counted(docs, lambda w: [w.pairs(single())], task).where(often), "word-pairs")
+    pairs = sieve(two, F.col("hash"))
+    more = stage(_counted(docs, lambda w: list(w.longer(single(), pairs(), most)), task).where(often), "word-runs")
+    longer = sieve(more, F.col("hash"))
+    known = lambda: (single(), pairs(), longer())
+
+    found = one.withColumn("level", F.lit(1)).unionByName(two.withColumn("level", F.lit(2))).unionByName(more.withColumn("level", F.lit(3))).drop("lang")
+    pointers = sieve(found, _pointed(F.col("hash"), F.col("at")))
+    texts = _materialised(docs, known, pointers, most, task).join(found, ["level", "hash", "at"])
+    texts = texts.groupBy("level", "hash").agg(F.min(F.struct("lang", "phrase", "code", "pointer", "n")).alias("t")).select("level", "hash", "t.*")
+    texts = stage(texts, "phrase-texts")
+    verified = sieve(texts, F.col("hash").bitwiseXOR(F.col("code")))
+    others = stage(_collisions(docs, known, verified, most, task).join(texts.select("level", "hash"), ["level", "hash"], "left_semi"), "phrase-collisions")
+    off = others.groupBy("level", "hash").agg(F.sum("n").alias("off"))
+    counted = texts.join(off, ["level", "hash"], "left").select("lang", "phrase", (F.col("n") - F.coalesce("off", F.lit(0))).alias("n"), "pointer")
+    counted = counted.unionByName(others.select("lang", "phrase", "n", "pointer")).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
+    return stage(counted.where(often), "phrases"), totals
 
 
 def collocations(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = WORDS, least: int = LEAST, top: int = TOP, share: int = SHARE
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = WORDS, least: int = LEAST, top: int = TOP, share: int = SHARE, task: Task = Task()
 ) -> DataFrame:
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score, and a pointer to an occurrence.
 
@@ -223,7 +272,7 @@ def collocations(
     ids as any other. Other columns are not read. An empty table, or one without frequent phrases, gives no rows. A slice
     of texts is some 4 MB, or one longer text.
     """
-    phrases, totals = frequent_phrases(df, id_col, text_col, lang_col, most, least)
+    phrases, totals = frequent_phrases(df, id_col, text_col, lang_col, most, least, task)
     counts = phrases.select("lang", "phrase", "n")
     words = phrases.withColumn("words", F.split("phrase", " ")).where(F.size("words") > 1)
     words = words.select("lang", "phrase", F.col("n").alias("a"), "words", F.size("words").alias("size"))

@@ -81,14 +81,15 @@ def word_places(data: np.ndarray, cut: np.ndarray, inside: np.ndarray) -> tuple[
     return start, end
 
 
-def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit code of each word in lower case: a polynomial of its bytes, from differences of prefix sums."""
+def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
+    """A 64-bit code of each word in lower case: a polynomial of its bytes, from differences of prefix sums. Codes of
+    another ``base`` are independent."""
     codes = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(end, start[at] + BLOCK_BYTES, "right")))
         low, n = int(start[at]), int(end[to - 1] - start[at])
-        up, down = _powers(0, n)
+        up, down = _powers(base, n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((LOWER[data[low : low + n]].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         a, b = start[at:to] - low, end[at:to] - low
@@ -113,18 +114,6 @@ def run_codes(codes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out + np.uint64(size))
 
 
-def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether data[a : a + size] and data[b : b + size] are equal bytes, for each of many."""
-    same = np.ones(len(a), bool)
-    left = np.flatnonzero(size > 0)
-    step = 0
-    while len(left):  # byte by byte, over those that are longer yet and equal so far
-        same[left] = data[a[left] + step] == data[b[left] + step]
-        step += 1
-        left = left[same[left] & (size[left] > step)]
-    return same
-
-
 class Sieve:
     """A Bloom filter of 64-bit hashes: has all that were put in, and few others while it is not full."""
 
@@ -152,10 +141,10 @@ def sieve_of(hashes: DataFrame, column: str, count: int) -> Sieve:
     return Sieve(bits)
 
 
-def summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes and the sums of their counts."""
-    h, n = np.concatenate(hashes), np.concatenate(counts)
+def summed(hashes: list[np.ndarray], counts: list[np.ndarray], least: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, the sums of their counts and the smallest of their third values."""
+    h, n, v = (np.concatenate(x) for x in (hashes, counts, least))
     order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
+    h, n, v = h[order], n[order], v[order]
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.add.reduceat(n, first) if len(first) else n
+    return (h[first], np.add.reduceat(n, first), np.minimum.reduceat(v, first)) if len(first) else (h, n, v)

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quantloom.llm import phrases, word_hash
+from quantloom.llm import phrases
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -71,23 +71,20 @@ def test_against_every_run(spark, seed, least, top, share):
         assert " ".join(re.findall("[^\x20\x09]+", raw)) == r.phrase
 
 
-def test_small_buffers_and_colliding_hashes(spark, monkeypatch):
+@pytest.mark.parametrize("task", [phrases.Task(50, 10), phrases.Task(bits=12), phrases.Task(bits=7)])
+def test_small_buffers_and_colliding_fingerprints(spark, task):
     rows = made(5)
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
-    for name, value in (("HELD", 10), ("PENDING", 50), ("HELD_PHRASES", 5)):
-        monkeypatch.setattr(phrases, name, value)
-    assert result(phrases.collocations(df, least=15)) == plain(rows, least=15)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    assert result(phrases.collocations(df, least=15, task=task)) == plain(rows, least=15)
 
 
-def test_pointers_are_verified_by_text():
+def test_fingerprints_follow_words_not_spaces():
     import pyarrow as pa
 
-    part = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["aa bb aa cc", "aa bb, bb cc"]), pa.array(["en", "de"])], ["doc_id", "text", "lang"])
-    words = phrases.Words(part)
-    words.codes = np.zeros(len(words.codes), np.uint64)  # all words collide
-    everything = word_hash.Sieve(np.full(1024, 2**64 - 1, np.uint64))
-    got = {(size, words.langs[words.lang[p]], words.data[words.start[p] : words.end[p + size - 1]].tobytes()): n for size, at, many in phrases.occurrences(words, everything, everything, everything, 3) for p, n in zip(at.tolist(), many.tolist())}
-    assert got == {(1, "en", b"aa"): 2, (1, "en", b"bb"): 1, (1, "en", b"cc"): 1, (1, "de", b"aa"): 1, (1, "de", b"bb"): 2, (1, "de", b"cc"): 1, (2, "en", b"aa bb"): 1, (2, "en", b"bb aa"): 1, (2, "en", b"aa cc"): 1, (2, "de", b"aa bb"): 1, (2, "de", b"bb cc"): 1, (3, "en", b"aa bb aa"): 1, (3, "en", b"bb aa cc"): 1}
+    part = lambda *t: pa.RecordBatch.from_arrays([pa.array(t), pa.array(["en"] * len(t)), pa.array([1] * len(t))], ["text", "lang", "at"])
+    a, b = phrases.Words(part("One  two\tthree, four", "five six")), phrases.Words(part("x one two three"))
+    assert a.prints(3, np.array([0])) == b.prints(3, np.array([1])) and a.joined.tolist() == [True, True, False, False, True, False]
+    assert a.text(b"one  two\tthree, fourfive six", 3, 0) == b"one two three" and a.where(2, 4) == (1, 0, 8)
 
 
 def test_products_beyond_64_bits(spark):
