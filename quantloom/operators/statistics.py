@@ -249,21 +249,6 @@ def complete_linkage(distance: np.ndarray, cut: float) -> list[int]:
     return out
 
 
-def forest_importance(df: DataFrame, features: list[str], target: str, trees: int = 30, depth: int = 5, sample: int = 10_000, seed: int = 42) -> DataFrame:
-    """(feature, importance) of a random forest on at most ``sample`` rows of the least hashes (FS07).
-
-    Extra-trees have no Spark form; a random forest of the same size stands in, so values differ from theirs.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    rows = df.select("series", "bar_id", F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).dropna()
-    rows = seeded_sample(rows, ["series", "bar_id"], sample, seed)
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
-    model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(data)
-    return df.sparkSession.createDataFrame(list(zip(features, map(float, model.featureImportances.toArray()), strict=True)), "feature string, importance double")
-
-
 def cluster_signals(signals: DataFrame, names: list[str], scores: dict[str, float], cut: float = 0.3) -> DataFrame:
     """(strategy_id, cluster, best) by complete linkage on 1 - |correlation| of signals (EV13). The correlations are one
     wide aggregate; the linkage takes one row a pair of ``names`` (some hundred names). Constant signals correlate 0."""

@@ -12,6 +12,7 @@ from quantloom.operators import labels as L
 from quantloom.operators import signals as S
 from quantloom.operators import simulate as M
 from quantloom.operators import evaluation as V
+from quantloom.operators import extra_trees as T
 from quantloom.operators import statistics as E
 from quantloom.plans.feature_queries import BARS_SQL, lagged, over, r, returns
 from quantloom.plans.registry import ORACLES, query
@@ -512,4 +513,5 @@ def select_horizon_counts(spark, sf_dir):
 
 @query("select_forest_importance")
 def select_forest_importance(spark, sf_dir):
-    return E.forest_importance(_labelled(spark, sf_dir), FEATURES, "y0")
+    """Thirty extra-trees of five levels over all labelled bars (FS07)."""
+    return T.importance(_labelled(spark, sf_dir), FEATURES, "y0")
