@@ -1,8 +1,12 @@
 """The cutting-stock problem behind packing: column generation over a length histogram, in numpy.
 
 Master program: choose how often to use each pattern (a multiset of lengths that fits a sequence) so that every piece
-is covered at the least padded cost. Pricing: a knapsack over the master's prices, solved by dynamic programming for
+is covered by the fewest sequences. Pricing: a knapsack over the master's prices, solved by dynamic programming for
 all fills at once. The size of all of it depends on the sequence length alone, not on the corpus.
+
+Lengths stand in at most CLASSES classes, each counted as its longest; which they are follows from the histogram, so that
+what is lost by rounding up is the least there can be: where no more lengths than that occur, all of them count as they
+are. Every sequence is priced in full: that a fill is a power of two shows in exact lengths only, and few fills are.
 """
 
 from __future__ import annotations
@@ -10,11 +14,42 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Classes of lengths: more of them round less, and make the program larger and more degenerate.
+CLASSES = 96
+
+
 def fill_cost(fill: int, capacity: int) -> int:
     """Padded length of a sequence: its fill if that is a power of two, else the capacity."""
     return fill if fill & (fill - 1) == 0 else capacity
 
 
+def class_edges(histogram: dict[int, int], classes: int = CLASSES) -> list[int]:
+    """The longest length of each class: the cut of the lengths of ``histogram`` into at most so many classes that rounds
+    up the fewest ids in all, by dynamic programming over the last class."""
+    lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), float)
+    if len(lengths) <= classes:
+        return [int(x) for x in lengths]
+    n = np.append(0, np.cumsum([histogram[int(x)] for x in lengths])).astype(float)
+    ids = np.append(0, np.cumsum([histogram[int(x)] * x for x in lengths]))
+    d = len(lengths)
+    # loss[i, j]: ids added if lengths i to j, both included, count as length j
+    loss = np.where(np.arange(d)[:, None] <= np.arange(d), lengths * (n[None, 1:] - n[:-1, None]) - (ids[None, 1:] - ids[:-1, None]), np.inf)
+    least, firsts = loss[0].copy(), []
+    for _ in range(classes - 1):
+        total = np.append(0.0, least)[:-1, None] + loss  # classes before i, then one from i to j
+        firsts.append(total.argmin(axis=0))
+        least = np.minimum(total.min(axis=0), least)
+    edges, j = [], d - 1
+    for first in reversed(firsts):
+        if j < 0:
+            break
+        edges.append(int(lengths[j]))
+        j = int(first[j]) - 1
+    if j >= 0:
+        edges.append(int(lengths[j]))
+    return edges[::-1]
+
+
 def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """best[c]: the highest sum of prices of lengths that add up to exactly c; last[c]: index of one length in it."""
     best = np.full(capacity + 1, -np.inf)
@@ -49,20 +84,16 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
     m = len(lengths)
     times = np.maximum(1, capacity // lengths)
     basis: list[dict[int, int]] = [{i: int(times[i])} for i in range(m)]
-    cost = np.array([fill_cost(int(times[i] * lengths[i]), capacity) for i in range(m)], float)
+    cost = np.ones(m)
     inverse = np.diag(1.0 / times)
     x = inverse @ demand
     jitter = 1 + 1e-9 * np.arange(m)  # breaks ties between rows, so that degenerate pivots cannot cycle
     for _ in range(rounds):
-        prices = cost @ inverse
-        best, last = knapsack(prices, lengths, capacity)
-        fills = np.flatnonzero(np.isfinite(best[1:])) + 1
-        costs = np.where((fills & (fills - 1)) == 0, fills, capacity)
-        gain = best[fills] / costs
-        at = int(np.argmax(gain))
-        if gain[at] <= 1 + gap:  # prices / gain are feasible for the dual: a lower bound
+        best, last = knapsack(cost @ inverse, lengths, capacity)
+        fill = int(np.argmax(best))
+        if best[fill] <= 1 + gap:  # prices / best are feasible for the dual: a lower bound
             break
-        pattern = _pattern(last, lengths, int(fills[at]))
+        pattern = _pattern(last, lengths, fill)
         direction = sum(inverse[:, i] * n for i, n in pattern.items())
         ratio = np.where(direction > 1e-9, np.maximum(x, 0) / np.where(direction > 1e-9, direction, 1) * jitter, np.inf)
         row = int(np.argmin(ratio))
@@ -74,7 +105,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
         inverse -= np.outer(direction, inverse[row])
         x -= direction * x_row
         x[row] = x_row
-        basis[row], cost[row] = pattern, float(costs[at])
+        basis[row] = pattern
     return [(p, float(v)) for p, v in zip(basis, x, strict=True) if v > 1e-9]
 
 

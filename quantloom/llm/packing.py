@@ -1,14 +1,15 @@
 """Operator 7: packing into sequences by cutting-stock column generation.
 
 Every document's ids are cut into full pieces of a sequence's length and one remainder, where they are made: no ids
-are moved. The histogram of piece lengths, in CLASSES classes rounded up, goes to the driver, which solves the
-cutting-stock program and sends back a table of slots. Pieces are ranked within their class, in salted parts, and a
-piece's rank finds its slot. Rounding up costs under a half class a piece; finer classes make the program degenerate.
+are moved. The histogram of piece lengths goes to the driver, which puts lengths into classes, solves the cutting-stock
+program over them and sends back a table of slots. Pieces are ranked within their class, in salted parts, and a piece's
+rank finds its slot.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import arrow_map, stage, texts
-from quantloom.llm.cutting_stock import plan
+from quantloom.llm.cutting_stock import class_edges, plan
 
-CAPACITY, END_ID, CLASSES = 1024, 0, 128
+CAPACITY, END_ID = 1024, 0
 #: Parts in which the pieces of one class are ranked; a part's first rank comes from the counts of those before.
 RANK_PARTS = 256
 #: Words of an age whose ids a worker keeps, and that the library encodes at once.
@@ -119,11 +120,11 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     return arrow_map(texts(df, id_col, text_col), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", rows=256)
 
 
-def slots(histogram: dict[int, int], classes: int = CLASSES) -> list[tuple[int, int, int, int, int, int]]:
+def slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """(class, first rank, end rank, pieces a sequence, first sequence, place) for each class of each pattern."""
     rows, sequence = [], 0
     rank = dict.fromkeys(histogram, 0)
-    for pattern, times in plan(histogram, classes):
+    for pattern, times in plan(histogram, capacity):
         place = 0
         for kind, n in sorted(pattern.items(), reverse=True):
             rows.append((kind, rank[kind], rank[kind] + n * times, n, sequence, place))
@@ -136,22 +137,29 @@ def slots(histogram: dict[int, int], classes: int = CLASSES) -> list[tuple[int,
 
 
 def pack(
-    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, classes: int = CLASSES
+    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text has the end id alone. Repeated rows are packed as often as they come; ties within a class go
-    to the smaller (doc_id, start). An empty table gives no rows. ``classes`` divides ``capacity``. The histogram has at
-    most ``classes`` rows and the slot table a few rows for each (its size does not depend on the corpus), so the one
-    is collected and the other broadcast.
+    to the smaller (doc_id, start). Rows of null ids are packed like others, other columns are not read, and long texts
+    are cut like all. An empty table gives no rows. The histogram has a row for each length up to ``capacity`` and the
+    slot table a few for each class (their sizes don't depend on the corpus), so the one is collected and the other
+    broadcast.
     """
     spark = df.sparkSession
-    kind = F.ceil(F.col("length") / F.lit(capacity // classes)).cast("int")
     part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_PARTS)).cast("int")
-    cut = stage(pieces(df, tokenizer_path, id_col, text_col, capacity).withColumn("kind", kind).withColumn("part", part), "pieces")
-    sizes = stage(cut.groupBy("kind", "part").agg(F.count("*").alias("n")), "sizes")  # classes * RANK_PARTS rows at most
-    histogram = {int(r[0]): int(r[1]) for r in sizes.groupBy("kind").agg(F.sum("n")).collect()}
-    table = spark.createDataFrame(slots(histogram, classes), "kind int, low long, high long, each long, sequence long, place long")
+    cut = stage(pieces(df, tokenizer_path, id_col, text_col, capacity).withColumn("part", part), "pieces")
+    sizes = stage(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "sizes")  # capacity * RANK_PARTS rows at most
+    lengths = {int(r[0]): int(r[1]) for r in sizes.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
+    edges = class_edges(lengths)
+    histogram = dict.fromkeys(edges, 0)
+    for length, n in lengths.items():
+        histogram[edges[bisect_left(edges, length)]] += n
+    longest = edges[-1] if edges else 0
+    kind = F.element_at(F.array(*[F.lit(edges[bisect_left(edges, k)]) for k in range(1, longest + 1)] or [F.lit(0)]), F.col("length").cast("int"))
+    cut, sizes = cut.withColumn("kind", kind), sizes.withColumn("kind", kind).groupBy("kind", "part").agg(F.sum("n").alias("n"))
+    table = spark.createDataFrame(slots(histogram, capacity), "kind int, low long, high long, each long, sequence long, place long")
     before = F.sum("n").over(Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = sizes.select("kind", "part", F.coalesce(before, F.lit(0)).alias("base"))
     order = Window.partitionBy("kind", "part").orderBy("doc_id", "start", "ids_crc32")

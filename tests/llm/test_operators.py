@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip, on tables that hold what may go wrong."""
 
 import hashlib
+import itertools
 import math
 import struct
 import zlib
@@ -47,6 +48,15 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("order", ["rising", "falling", "zigzag"])
+def test_components_of_long_chains(spark, order):
+    n = 10_000
+    names = {"rising": range(n), "falling": range(n - 1, -1, -1), "zigzag": [i // 2 if i % 2 == 0 else n - 1 - i // 2 for i in range(n)]}[order]
+    edges = list(zip(names, names[1:])) + [(n + 5, n + 1)]
+    got = common.components(spark.createDataFrame(edges, "a long, b long")).groupBy("component").count().collect()
+    assert {r.component: r["count"] for r in got} == {0: n, n + 1: 2}
+
+
 def test_media_round_trip(documents, texts_by_row, empty):
     got = by_id(media_chunks.media_features(documents).collect())
     assert sum(map(len, got.values())) == len(texts_by_row)
@@ -263,6 +273,41 @@ def test_ids_are_the_librarys():
     assert np.frombuffer(got[-2], "<u4").tolist() == [64, 220, 50256, 275]
 
 
+MIXES = {
+    "240-262": lambda r: r.integers(240, 263, 20_000), "mean 120": lambda r: np.clip(r.exponential(120, 20_000).astype(int), 1, 1023), "1-255": lambda r: r.integers(1, 256, 20_000), "200-511": lambda r: r.integers(200, 512, 20_000),
+    "1-1024": lambda r: r.integers(1, 1025, 20_000), "500-520": lambda r: r.integers(500, 521, 20_000), "2-29": lambda r: r.integers(2, 30, 20_000), "330-350": lambda r: r.integers(330, 351, 20_000), "900-1023": lambda r: np.append(r.integers(900, 1024, 9000), r.integers(1, 130, 9000)),
+}
+
+
+@pytest.mark.parametrize("mix", MIXES)
+def test_real_padding(mix):
+    """Sequences of real lengths against what any plan needs: the ids over 1,024, and one for each piece of over half."""
+    lengths = MIXES[mix](np.random.default_rng(0))
+    edges = np.array(cutting_stock.class_edges(Counter(lengths.tolist())))
+    kinds = edges[np.searchsorted(edges, lengths)]
+    pools = {int(k): lengths[kinds == k].tolist() for k in edges}
+    made = cutting_stock.plan({k: len(v) for k, v in pools.items()}, 1024)
+    used = [sum(pools[k].pop() for k, n in pattern.items() for _ in range(n)) for pattern, times in made for _ in range(times)]
+    assert not any(pools.values()) and max(used) <= 1024
+    need = max(lengths.sum() / 1024, (lengths > 512).sum())
+    assert sum(cutting_stock.fill_cost(u, 1024) for u in used) <= 1.03 * 1024 * need
+
+
+def brute_classes(histogram, classes):
+    lengths = sorted(histogram)
+    cost = lambda edges: sum(n * (next(e for e in edges if e >= k) - k) for k, n in histogram.items())
+    return min(cost((*c, lengths[-1])) for c in itertools.combinations(lengths[:-1], classes - 1))
+
+
+def test_classes_round_up_the_least():
+    rng = np.random.default_rng(3)
+    for classes in (1, 2, 3, 5):
+        h = {int(k): int(v) for k, v in zip(rng.choice(60, 9, replace=False) + 1, rng.integers(1, 50, 9))}
+        edges = cutting_stock.class_edges(h, classes)
+        assert len(edges) <= classes and sum(n * (min(e for e in edges if e >= k) - k) for k, n in h.items()) == brute_classes(h, classes)
+    assert cutting_stock.class_edges({}) == [] and cutting_stock.class_edges({5: 1, 9: 2, 7: 0}) == [5, 9]
+
+
 def test_cutting_stock():
     rng = np.random.default_rng(0)
     histogram = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 129, 20_000), return_counts=True))}
@@ -273,8 +318,7 @@ def test_cutting_stock():
         for k, n in pattern.items():
             held[k] += n * times
     assert held == histogram
-    used = sum(cutting_stock.fill_cost(sum(k * n for k, n in p.items()), 128) * t for p, t in made)
-    assert sum(k * v for k, v in histogram.items()) / used > 0.99
+    assert sum(k * v for k, v in histogram.items()) / (128 * sum(t for _, t in made)) > 0.99
     assert cutting_stock.plan({}, 128) == []
 
 
