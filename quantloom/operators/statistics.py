@@ -89,7 +89,7 @@ def purged_ranges(sizes: DataFrame, folds: int = 6, tests: int = 2, embargo: flo
     """
     by = [c for c in sizes.columns if c != "n"]
     chosen = [list(c) for c in combinations(range(folds), tests)]
-    splits = F.explode(F.array(*[F.struct(F.lit(i).alias("split"), F.array(*[F.lit(t) for t in c]).alias("tested")) for i, c in enumerate(chosen)]))
+    splits = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("split"), F.array(*[F.lit(t) for t in c]).alias("tested")) for i, c in enumerate(chosen)]))
     base = sizes.withColumns({"_size": F.floor(F.col("n") / folds), "_gap": F.floor(F.col("n") * embargo)}).select("*", splits.alias("s")).select("*", "s.*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
     first = lambda k: k * F.col("_size")
     last = lambda k: F.when(k < folds - 1, (k + 1) * F.col("_size")).otherwise(F.col("n")) - 1

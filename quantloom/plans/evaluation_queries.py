@@ -11,9 +11,11 @@ from quantloom.operators import features as X
 from quantloom.operators import labels as L
 from quantloom.operators import signals as S
 from quantloom.operators import simulate as M
+from quantloom.operators import atlas as AT
 from quantloom.operators import evaluation as V
 from quantloom.operators import extra_trees as T
 from quantloom.operators import statistics as E
+from quantloom.operators.chunks import numbered
 from quantloom.plans.feature_queries import BARS_SQL, lagged, over, r, returns
 from quantloom.plans.registry import ORACLES, query
 from quantloom.plans.signal_queries import _ALL, SIGNALS_SQL, STRATEGIES
@@ -274,6 +276,46 @@ def sim_trades(spark, sf_dir):
     return t.select("series", "strategy_id", "entry_bar", "exit_bar", "side", "reason", "entry_price", F.round("exit_price", 6).alias("exit_price"), rounded("gross").alias("gross"))
 
 
+_PLACES_SQL = "places AS (SELECT series, bar_id, row_number() OVER (PARTITION BY series ORDER BY bar_id) - 1 AS place, CAST(time_start AS TIMESTAMP) AS time, close FROM bars)"
+_ATLAS_SQL = f"""tr AS ({{trades}}), tp AS (SELECT tr.series, strategy_id, side, reason, a.place AS entry_place, b.place AS exit_place FROM tr JOIN places a ON a.series = tr.series AND a.bar_id = tr.entry_bar JOIN places b ON b.series = tr.series AND b.bar_id = tr.exit_bar),
+  late AS (SELECT tp.*, n FROM tp JOIN (SELECT series, count(*) AS n FROM places GROUP BY 1) c ON c.series = tp.series WHERE entry_place >= floor(n * 0.6)),
+  nt AS (SELECT *, row_number() OVER (PARTITION BY series, strategy_id ORDER BY entry_place, exit_place) AS trade FROM late QUALIFY trade <= 50),
+  ar AS (SELECT nt.*, p.place, p.time, p.close FROM nt JOIN places p ON p.series = nt.series AND p.place >= entry_place - 30 AND p.place < exit_place + 30)"""
+
+
+def _atlas(spark, sf_dir):
+    """Trades that begin after the training part, with the bars around them."""
+    bars = numbered(bars_of(spark, sf_dir), ["series"], [F.floor(F.col("bar_id") / 200_000)], ["bar_id"], "place")
+    bars = bars.select("series", "bar_id", "place", F.col("time_start").alias("time"), "close")
+    t = M.trades(_orders(spark, sf_dir), RULES)
+    for end in ("entry", "exit"):
+        t = t.join(bars.select("series", F.col("bar_id").alias(f"{end}_bar"), F.col("place").alias(f"{end}_place")), ["series", f"{end}_bar"])
+    sizes = bars.groupBy("series").agg(F.count("*").alias("n"))
+    late = t.join(sizes, "series").where(F.col("entry_place") >= F.floor(F.col("n") * 0.6)).select("series", "strategy_id", "entry_bar", "exit_bar", "entry_place", "exit_place", "side", "reason")
+    return AT.around(AT.numbered_trades(late), bars)
+
+
+_TRADES_ONLY = "SELECT e.series, e.strategy_id, e.bar_id AS entry_bar, coalesce(x.bar_id, z.bar_id) AS exit_bar, CAST(e.pos AS DOUBLE) AS side, coalesce(x.reason, 'open') AS reason FROM e LEFT JOIN x ON e.series = x.series AND e.strategy_id = x.strategy_id AND e.m = x.m JOIN z ON e.series = z.series AND e.strategy_id = z.strategy_id"
+_ATLAS = f"{_W}{ORDERS_SQL}, {slice_sql('whole', 'acting', SK)}, {sim_sql('sim', 'whole', SK, True)}, {_TRADES_SQL}, {_PLACES_SQL}, {_ATLAS_SQL.format(trades=_TRADES_ONLY)}"
+
+
+@query(
+    "report_trade_atlas",
+    f"""{_ATLAS} SELECT series, strategy_id, trade, side, place, time, close, place - entry_place AS "offset", place BETWEEN entry_place AND exit_place AS active,
+    CASE WHEN place = entry_place THEN 'ENTRY' WHEN place = exit_place THEN upper(reason) END AS mark FROM ar""",
+)
+def report_trade_atlas(spark, sf_dir):
+    """Each late trade with thirty bars before and after it (GA14)."""
+    return _atlas(spark, sf_dir).select("series", "strategy_id", "trade", "side", "place", F.col("time").cast("timestamp_ntz").alias("time"), "close", "offset", "active", "mark")
+
+
+@query("report_atlas_frames", f"{_ATLAS}, fr AS (SELECT series, strategy_id, trade, count(*) AS bars, min(close) AS a, max(close) AS b FROM ar GROUP BY 1, 2, 3) SELECT series, strategy_id, trade, bars, {r('a - CASE WHEN b > a THEN b - a ELSE a * 0.001 END * 0.15', 'bottom')}, {r('b + CASE WHEN b > a THEN b - a ELSE a * 0.001 END * 0.15', 'top')} FROM fr")
+def report_atlas_frames(spark, sf_dir):
+    """The price frame of each late trade's chart (GA14)."""
+    f = AT.frames(_atlas(spark, sf_dir))
+    return f.select("series", "strategy_id", "trade", "bars", rounded("bottom").alias("bottom"), rounded("top").alias("top"))
+
+
 @query("sim_equity", f"{_W}{ORDERS_SQL}, {slice_sql('whole', 'acting', SK)}, {sim_sql('sim', 'whole', SK, True)} SELECT series, strategy_id, bar_id, round(1000.0 + 1000.0 * sum(net_ret) OVER (PARTITION BY series, strategy_id ORDER BY i ROWS UNBOUNDED PRECEDING), 4) AS equity FROM sim")
 def sim_equity(spark, sf_dir):
     return M.equity(_orders(spark, sf_dir), RULES, RULES.account).withColumn("equity", F.round("equity", 4))

@@ -15,6 +15,8 @@ from quantloom.operators.features import log_return
 from quantloom.plans.feature_queries import BARS_SQL, RET_SQL, r
 from quantloom.plans.registry import query
 from quantloom.plans.tape_queries import TICKS_SQL, bars_of
+from quantloom.sources import discovery as D
+from quantloom.sources import logs as LG
 from quantloom.sources import readers as S
 from quantloom.sources.tape import table, ticks
 from quantloom.streaming.live import shared_folder
@@ -86,22 +88,105 @@ def src_mention_files(spark, sf_dir):
     return S.mention_files(spark, path).select(F.col("GlobalEventID").cast("long").alias("k"), F.col("mention_time_utc").cast("timestamp_ntz").alias("seen"), "doc_tone", F.col("Confidence").cast("long").alias("confidence"))
 
 
-@query("src_trade_log", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'ENTRY' ELSE 'EXIT' END AS kind, 's' || o_custkey AS strategy, o_totalprice AS price, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey / 4.0 END AS pnl FROM orders WHERE o_orderkey % 3 <> 0")
-def src_trade_log(spark, sf_dir):
+#: o_orderkey % 8 decides what a planted log line tells; written in the form of the live path.
+_LOG = """SELECT o_orderkey AS k, o_orderdate AS t, CASE o_orderkey % 8 WHEN 0 THEN 'ENTRY' WHEN 1 THEN 'EXIT' WHEN 2 THEN 'EXIT' WHEN 4 THEN 'PNL' WHEN 5 THEN 'EXIT' WHEN 6 THEN 'PNL' END AS kind,
+  CASE WHEN o_orderkey % 16 < 8 THEN 'BUY' ELSE 'SELL' END AS side, 1 + o_orderkey % 3 AS lots, 's' || o_custkey AS strategy, CASE WHEN o_orderkey % 3 = 0 THEN 'SL' ELSE 'Signal Reversal' END AS reason, o_totalprice AS price,
+  CASE WHEN o_orderkey % 48 <> 6 THEN round(o_totalprice / 100 - 900, 2) + 0.0 END AS pnl FROM orders"""
+
+
+def _planted_log(spark, sf_dir):
     o, path = table(spark, sf_dir, "orders"), _place(spark, "log")
-    k = F.col("o_orderkey")
-    price = F.format_string("%.2f", "o_totalprice")
-    line = F.when(k % 3 == 0, "heartbeat").when(k % 2 == 0, F.concat(F.lit("t ENTRY strategy=s"), "o_custkey", F.lit(" price="), price)).otherwise(F.concat(F.lit("t EXIT strategy=s"), "o_custkey", F.lit(" price="), price, F.lit(" pnl="), F.format_string("%.2f", k / 4)))
-    o.select(line.alias("value")).write.text(path)
-    return S.trade_log(spark, path).select("kind", "strategy", "price", "pnl")
+    k, kind = F.col("o_orderkey"), F.col("o_orderkey") % 8
+    price, side = F.format_string("%.4f", "o_totalprice"), F.when(k % 16 < 8, "BUY").otherwise("SELL")
+    entry = F.format_string("VIRTUAL ENTRY: %s %d.00 lots (Risk $600) Strat s%d @ %s | SL:1.0x TP:2.0x ATR", side, 1 + k % 3, F.col("o_custkey"), price)
+    leave = F.format_string("VIRTUAL EXIT: %s @ %s", F.when(k % 3 == 0, "SL").otherwise("Signal Reversal"), price)
+    pnl = F.when(k % 48 == 6, "Trade PnL: $-,.").otherwise(F.format_string("Trade PnL: $%,.2f | Bal: $60000", F.round(F.col("o_totalprice") / 100 - 900, 2)))
+    told = F.when(kind == 0, entry).when(kind.isin(1, 2, 5), leave).when(kind.isin(4, 6), pnl).when(kind == 3, "heartbeat").otherwise("PnL unknown")
+    time = F.when(kind == 7, "no time").otherwise(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))
+    lines = o.select("o_orderkey", F.concat(time, F.lit(",123 - PaperTrade - INFO - "), told).alias("value"))
+    lines.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return path
+
+
+@query("src_trade_log", f"WITH l AS ({_LOG}) SELECT kind, t + INTERVAL 5 HOUR AS time, CASE kind WHEN 'ENTRY' THEN side END AS side, CASE kind WHEN 'ENTRY' THEN CAST(lots AS DOUBLE) END AS lots, CASE kind WHEN 'ENTRY' THEN strategy END AS strategy, CASE kind WHEN 'EXIT' THEN reason END AS reason, CASE WHEN kind <> 'PNL' THEN price END AS price, CASE kind WHEN 'PNL' THEN pnl END AS pnl FROM l WHERE kind IS NOT NULL")
+def src_trade_log(spark, sf_dir):
+    """Events of a live log, whose times are those of a zone five hours behind (SRC18)."""
+    e = LG.trade_events(spark, _planted_log(spark, sf_dir), "Etc/GMT+5").drop("place")
+    return e.withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+@query(
+    "src_closed_trades",
+    f"""WITH l AS ({_LOG}), e AS (SELECT *, lead(k, 1, 1000000000000000000) OVER (ORDER BY k) AS until FROM l WHERE kind = 'ENTRY'),
+    x AS (SELECT e.k, min(l.k) AS first_exit FROM e JOIN l ON l.kind = 'EXIT' AND l.k > e.k AND l.k < e.until GROUP BY 1),
+    p AS (SELECT e.k, min(l.k) AS paid FROM e JOIN x ON e.k = x.k LEFT JOIN l ON l.kind = 'PNL' AND l.k > x.first_exit AND l.k < e.until GROUP BY 1),
+    z AS (SELECT e.k, max(l.k) AS last_exit FROM e JOIN p ON e.k = p.k JOIN l ON l.kind = 'EXIT' AND l.k > e.k AND l.k < least(e.until, coalesce(p.paid, e.until)) GROUP BY 1)
+    SELECT e.t + INTERVAL 5 HOUR AS entry_time, e.side, CAST(e.lots AS DOUBLE) AS lots, e.strategy, e.price AS entry_price, q.t + INTERVAL 5 HOUR AS exit_time, q.price AS exit_price, q.reason, coalesce(r.pnl, 0) AS pnl
+    FROM e JOIN p ON e.k = p.k JOIN z ON e.k = z.k JOIN l q ON q.k = z.last_exit LEFT JOIN l r ON r.k = p.paid""",
+)
+def src_closed_trades(spark, sf_dir):
+    """Trades closed in a live log of several files (SRC18)."""
+    t = LG.closed_trades(LG.trade_events(spark, _planted_log(spark, sf_dir), "Etc/GMT+5"))
+    return t.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("entry_time", "exit_time")})
+
+
+@query("src_last_lines", f"WITH l AS ({_LOG}), n AS (SELECT * FROM l ORDER BY k DESC LIMIT 100) SELECT row_number() OVER (ORDER BY k) AS number, coalesce(kind, 'none') AS kind FROM n")
+def src_last_lines(spark, sf_dir):
+    """The last hundred lines of a log (SRC18), by what they tell; a line without a time counts by its words alone."""
+    n = LG.last_lines(spark, _planted_log(spark, sf_dir))
+    kind = F.when(F.col("line").rlike(LG.ENTRY), "ENTRY").when(F.col("line").rlike(LG.EXIT), "EXIT").when(F.col("line").rlike(r"Trade PnL: \$"), "PNL").otherwise("none")
+    return n.select("number", kind.alias("kind"))
 
 
-@query("src_batches", "SELECT DISTINCT strftime(date_trunc('day', ts), '%Y%m%d%H%M%S') AS batch FROM events WHERE event_id % 50 = 0")
+@query("src_batches", "SELECT DISTINCT strftime(date_trunc('day', ts), '%Y%m%d%H%M%S') AS batch FROM events")
 def src_batches(spark, sf_dir):
+    """Stamps of the files that earlier runs wrote, one folder a day of the tape (SRC19)."""
     path = _place(spark, "batches")
-    table(spark, sf_dir, "events").where("event_id % 50 = 0").select(F.date_format(F.date_trunc("day", F.col("ts").cast("timestamp")), "yyyyMMddHHmmss").alias("b"), "event_id").write.partitionBy("b").csv(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"b=(\d{14})", 1).alias("batch"))
-    return files.distinct()
+    table(spark, sf_dir, "events").select(F.date_format(F.date_trunc("day", F.col("ts").cast("timestamp")), "yyyyMMddHHmmss").alias("b"), "event_id").write.partitionBy("b").csv(path)
+    return S.processed_batches(spark, path)
+
+
+#: Stamps of half days, a third of them seven minutes off the quarter hour; now is three minutes after the newest.
+_STAMPS = "SELECT *, CAST(date_trunc('day', ts) AS TIMESTAMP) + CASE WHEN hour(ts) >= 12 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END + CASE WHEN day(ts) % 3 = 0 THEN INTERVAL 7 MINUTE ELSE INTERVAL 0 MINUTE END AS t FROM events"
+
+
+@query(
+    "src_discovery",
+    f"""WITH s AS ({_STAMPS}), n AS (SELECT max(t) + INTERVAL 3 MINUTE AS now FROM s), g AS (SELECT t, count(*) AS c FROM s GROUP BY 1), w AS (SELECT g.*, now - INTERVAL 5 MINUTE AS cut FROM g, n),
+    b AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, cut - INTERVAL 2 DAY) AS a, minute(t) = 0 AS grid FROM w)
+    SELECT strftime(t, '%Y%m%d%H%M%S') AS stamp, CASE WHEN day(t) % 4 = 1 THEN 'seen' WHEN grid AND t >= a AND t <= cut THEN 'new' WHEN t > cut THEN 'early' WHEN t < cut - INTERVAL 2 DAY THEN 'late' ELSE 'off' END AS state,
+    CASE WHEN day(t) % 4 <> 1 AND grid AND t >= a AND t <= cut THEN c END AS rows FROM b""",
+)
+def src_discovery(spark, sf_dir):
+    """One cycle over landed files, some listed twice: which are taken, and how many rows they bring (SS08)."""
+    e, path, seen = table(spark, sf_dir, "events"), _place(spark, "landed"), _place(spark, "ledger")
+    ts = F.col("ts").cast("timestamp")
+    t = F.date_trunc("day", ts) + F.make_dt_interval(hours=F.when(F.hour(ts) >= 12, 12).otherwise(0), mins=F.when(F.day(ts) % 3 == 0, 7).otherwise(0))
+    rows = e.select("event_id", F.date_format(t, "yyyyMMddHHmmss").alias("stamp")).repartition("stamp")
+    rows.write.partitionBy("stamp").csv(f"{path}/a")
+    rows.where(F.substring("stamp", 9, 2) == "12").write.partitionBy("stamp").csv(f"{path}/b")
+    newest = e.agg(F.date_format(F.max(t) + F.expr("INTERVAL 3 MINUTES"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    D.listed(spark, path).where(F.substring("stamp", 7, 2).cast("int") % 4 == 1).select("stamp").write.parquet(f"{seen}/cycle=0")
+    found = D.states(D.listed(spark, path), D.ledger(spark, seen), newest).where("state <> 'missing'")
+    read = lambda paths: spark.read.schema("event_id long").csv(paths).groupBy(F.regexp_extract(F.input_file_name(), r"stamp=(\d{14})", 1).alias("stamp")).agg(F.count("*").alias("rows"))
+    new = D.take(spark, path, seen, newest, read, 1)
+    new = new if new is not None else spark.createDataFrame([], "stamp string, rows long")
+    return found.select("stamp", "state").join(new, "stamp", "left")
+
+
+@query(
+    "src_news_records",
+    "SELECT 'r' || doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE TIMESTAMP '2024-03-01' + INTERVAL (doc_id % 1000) MINUTE END AS at, source AS name, lang AS places, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE n_chars / 4.0 END AS tone_mean, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(doc_id % 7 AS DOUBLE) END AS tone_polarity, '20240305101500' AS batch_ts FROM documents",
+)
+def src_news_records(spark, sf_dir):
+    """News records of 27 columns (SRC08)."""
+    d, path, k = table(spark, sf_dir, "documents"), _place(spark, "20240305101500"), F.col("doc_id")
+    at = F.date_format(F.lit("2024-03-01").cast("timestamp") + F.make_dt_interval(mins=(k % 1000).cast("int")), "yyyyMMddHHmmss")
+    tone = F.when(k % 9 == 0, "none").otherwise(F.concat_ws(",", F.col("n_chars") / 4, F.lit("1"), F.lit("2"), k % 7, F.lit("3"), F.lit("4"), F.lit("5")))
+    fixed = {0: F.concat(F.lit("r"), k), 1: F.when(k % 5 == 0, "20241399").otherwise(at), 3: F.col("source"), 9: F.col("lang"), 15: tone}
+    _tsv(d.select(*[fixed.get(i, F.lit('"x')).alias(f"c{i}") for i in range(S.NEWS_WIDTH)]), path)
+    n = S.news_records(spark, path)
+    return n.select(F.col("GKGRECORDID").alias("id"), F.col("date_utc").cast("timestamp_ntz").alias("at"), F.col("SourceCommonName").alias("name"), F.col("Locations").alias("places"), "tone_mean", "tone_polarity", "batch_ts")
 
 
 @query("src_utc_times", "SELECT event_id, ts - INTERVAL 1 HOUR AS ts FROM events")

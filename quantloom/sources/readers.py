@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.frames import clean
 from quantloom.functions.parsing import tone_parts
 from quantloom.operators.cleaning import keep_one
+from quantloom.sources.discovery import listed
 
 #: Codes of scheduled events, and the columns of the landed news files.
 EVENT_CODES = {"NFP": 1, "CPI": 2, "FOMC": 3, "ECB": 4}
@@ -95,6 +96,20 @@ def headerless_tsv(spark: SparkSession, path: str, columns: dict[str, int], widt
     return raw.select(*[F.col(f"c{i}").alias(n) for n, i in columns.items()], F.regexp_extract(F.input_file_name(), r"(\d{14})", 1).alias("batch_ts"))
 
 
+#: The 27 columns of a news record that are kept, by position: fixed names of the format.
+NEWS_RECORDS = {"GKGRECORDID": 0, "DATE": 1, "SourceCommonName": 3, "DocumentIdentifier": 4, "Counts": 5, "Themes": 7, "Locations": 9, "V2Tone": 15}
+NEWS_WIDTH = 27
+
+
+def news_records(spark: SparkSession, path: str) -> DataFrame:
+    """News records (SRC08): NEWS_RECORDS columns, date_utc (NULL where malformed), tone_mean and tone_polarity (first and
+    fourth part of the tone; NULL where they are no numbers), batch_ts."""
+    rows = headerless_tsv(spark, path, NEWS_RECORDS, NEWS_WIDTH)
+    tone = F.split("V2Tone", ",")
+    part = lambda k: F.get(tone, F.lit(k)).try_cast("double")
+    return rows.withColumns({"tone_mean": part(0), "tone_polarity": part(3), "date_utc": stamp(F.col("DATE"))})
+
+
 def event_files(spark: SparkSession, path: str) -> DataFrame:
     """Event records (SRC09): EVENTS columns, sql_date and date_added_utc (NULL where malformed), batch_ts."""
     rows = headerless_tsv(spark, path, EVENTS, EVENT_WIDTH)
@@ -186,16 +201,9 @@ def news_measures(rows: DataFrame, by: str, places: str = "LOCATIONS", themes: s
     return rows.groupBy(by).agg(*made)
 
 
-def trade_log(spark: SparkSession, path: str) -> DataFrame:
-    """(line, kind, strategy, price, pnl) of ENTRY, EXIT and PNL lines of a log (SRC18)."""
-    raw = spark.read.text(path).withColumn("kind", F.regexp_extract("value", r"\b(ENTRY|EXIT|PNL)\b", 1)).where("kind <> ''")
-    return raw.select(F.col("value").alias("line"), "kind", F.regexp_extract("value", r"strategy=(\S+)", 1).alias("strategy"), F.regexp_extract("value", r"price=([-0-9.]+)", 1).try_cast("double").alias("price"), F.regexp_extract("value", r"pnl=([-0-9.]+)", 1).try_cast("double").alias("pnl"))
-
-
 def processed_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct 14-digit stamps of the file names under a path (SRC19)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path")
-    return files.select(F.regexp_extract("path", r"(\d{14})", 1).alias("batch")).where("batch <> ''").distinct()
+    """Distinct 14-digit stamps in the paths of the files under a folder (SRC19); only the listing is read."""
+    return listed(spark, path).select(F.col("stamp").alias("batch"))
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], newest: Column) -> DataFrame:

@@ -30,8 +30,6 @@ def test_tape_log_and_upsert(spark, tmp_path):
     nan = float("nan")
     spark.createDataFrame([(1, 10.0, 12.0, None), (1, 10.0, 12.0, None), (2, nan, 12.0, 11.5), (3, None, None, None)], "ts long, pricebid double, priceask double, last_price double").write.parquet(f"{tmp_path}/t")
     assert sorted(r.mid for r in readers.quote_tape(spark, f"{tmp_path}/t", "x").collect()) == [11.0, 11.5]
-    (tmp_path / "log.txt").write_text("x ENTRY strategy=a price=1.5\nnothing\ny EXIT strategy=a price=1.7 pnl=0.2\n")
-    assert [(r.kind, r.strategy, r.pnl) for r in readers.trade_log(spark, f"{tmp_path}/log.txt").collect()] == [("ENTRY", "a", None), ("EXIT", "a", 0.2)]
     old, new = spark.createDataFrame([(1, "a", 1)], "k long, v string, at long"), spark.createDataFrame([(1, "b", 2), (2, "c", 1)], "k long, v string, at long")
     assert sorted(map(tuple, readers.upsert(old, new, ["k"], F.col("at")).collect())) == [(1, "b", 2), (2, "c", 1)]
     readers.write_by_day(spark.sql("select 'x' series, timestamp'2024-01-05 10:00:00' ts, 1 v"), f"{tmp_path}/days")
