@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import stage
 
-#: A line is boilerplate of a host if more than RATIO of the host's pages, and LEAST_PAGES at least, hold it.
-RATIO, LEAST_PAGES = 0.1, 5
+#: A line is boilerplate of a host if more than RATIO of the host's pages hold it, and LEAST_PAGES at least: one page alone
+#: repeats nothing, though each of its lines has the share 1 on a host of one page.
+RATIO, LEAST_PAGES = 0.1, 2
 #: Boilerplate lists are broadcast up to so many bytes; beyond, they are joined by host, hot hosts salted.
 BROADCAST_BYTES = 16 << 20
 #: A host is hot beyond this many pages, and beyond 1/MOST_HOT of all pages; there are at most MOST_HOT such hosts.
@@ -75,7 +76,11 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
 
 
 def dedup_html(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = RATIO) -> DataFrame:
-    """page_id, host, n_lines, n_dropped, kept_text for web pages."""
+    """page_id, host, n_lines, n_dropped, kept_text for web pages: one row for each row of ``df``.
+
+    Null and unreadable URLs are one host, ''; null and empty pages have no lines. Null and repeated ids are rows like any
+    other, long pages are taken whole, and other columns are not read. An empty table gives no rows.
+    """
     pages = df.select(df[id_col].cast("long").alias("page_id"), host_of(df[url_col]).alias("host"), html_lines(df[html_col]).alias("lines"))
     return drop_boilerplate(pages, ratio).select("page_id", "host", "n_lines", "n_dropped", F.array_join("lines", "\n").alias("kept_text"))
 
