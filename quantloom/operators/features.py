@@ -219,10 +219,11 @@ def hilbert_weights(taps: int = 61) -> list[float]:
 
 
 def sine_wave(df: DataFrame, w: int, taps: int = 61) -> DataFrame:
-    """Sine and lead sine of the phase of close less its mean, from a FIR Hilbert transformer (F081)."""
+    """Sine and lead sine of the phase of close less its mean, from a FIR Hilbert transformer (F081); NULL until the delayed
+    value exists, half the taps from the start."""
     one = df.withColumn("_x", F.coalesce(F.col("close") - rolling("avg", "close", w), F.lit(0.0)))
     quadrature = sum((F.coalesce(lag("_x", k), F.lit(0.0)) * F.lit(v) for k, v in enumerate(hilbert_weights(taps)) if v), F.lit(0.0))
-    phase = F.atan2(quadrature, F.coalesce(lag("_x", taps // 2), F.lit(0.0)))
+    phase = F.atan2(quadrature, lag("_x", taps // 2))
     two = one.withColumn("_p", phase)
     return two.withColumns({f"sine_{w}": F.sin("_p"), f"leadsine_{w}": F.sin(F.col("_p") + math.pi / 4)}).drop("_x", "_p")
 

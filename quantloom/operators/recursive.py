@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.frames import ffill, ratio
+from quantloom.functions.frames import clean, ffill, ratio
 
 
 def ewm(x: np.ndarray, alpha: float) -> np.ndarray:
@@ -25,8 +25,12 @@ def ewm(x: np.ndarray, alpha: float) -> np.ndarray:
 
 
 def fisher(high: np.ndarray, low: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fisher transform of the smoothed place of the mid price in its range, and the value before it (F080, WN20)."""
+    """Fisher transform of the smoothed place of the mid price in its range, and the value before it (F080, WN20).
+
+    The first bar has neither, the second follows on zero; a series shorter than the window has none (NaN)."""
     mid = (high + low) / 2
+    if len(mid) < w:
+        return np.full(len(mid), np.nan), np.full(len(mid), np.nan)
     out, v = np.zeros(len(mid)), 0.0
     for i in range(1, len(mid)):
         part = mid[max(0, i - w + 1) : i + 1]
@@ -35,7 +39,8 @@ def fisher(high: np.ndarray, low: np.ndarray, w: int) -> tuple[np.ndarray, np.nd
         v = 0.33 * place + 0.67 * v
         v = math.copysign(0.999, v) if abs(v) > 0.99 else v
         out[i] = math.atanh(v) + 0.5 * out[i - 1]
-    return out, np.append(0.0, out[:-1]) if len(out) else out
+    before = np.append(np.nan, out[:-1])
+    return np.append(np.nan, out[1:]), before
 
 
 def _rs(d: np.ndarray) -> np.ndarray:
@@ -109,7 +114,8 @@ def fisher_transform(df: DataFrame, w: int) -> DataFrame:
     def make(high, low):
         f, s = fisher(high, low, w)
         return {"fisher": f, "fisher_signal": s}
-    return by_series(df, {"high": "high", "low": "low"}, make, "fisher double, fisher_signal double")
+    made = by_series(df, {"high": "high", "low": "low"}, make, "fisher double, fisher_signal double")
+    return made.withColumns({c: clean(c) for c in ("fisher", "fisher_signal")})
 
 
 def news_decay(df: DataFrame, impact: str, hours: tuple[int, ...] = (2, 4, 8), per_hour: int = 4) -> DataFrame:

@@ -182,7 +182,7 @@ _H = [(k, v) for k, v in enumerate(X.hilbert_weights()) if v]
 
 @query(
     "feat_sine_wave",
-    f"""WITH {BARS_SQL}, s AS (SELECT *, coalesce(close - ({over('avg', 'close')}), 0) AS x FROM bars), p AS (SELECT series, bar_id, atan2({' + '.join(f"coalesce({lagged('x', k)}, 0) * {v!r}" for k, v in _H)}, coalesce({lagged('x', 30)}, 0)) AS p FROM s)
+    f"""WITH {BARS_SQL}, s AS (SELECT *, coalesce(close - ({over('avg', 'close')}), 0) AS x FROM bars), p AS (SELECT series, bar_id, atan2({' + '.join(f"coalesce({lagged('x', k)}, 0) * {v!r}" for k, v in _H)}, {lagged('x', 30)}) AS p FROM s)
     SELECT series, bar_id, {r('sin(p)', 'sine_25')}, {r('sin(p + pi() / 4)', 'leadsine_25')} FROM p""",
 )
 def feat_sine_wave(spark, sf_dir):

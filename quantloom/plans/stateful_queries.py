@@ -32,7 +32,7 @@ def rnd(df, **digits):
     s AS (SELECT series, bar_id, i, CAST(0 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS g FROM m WHERE i = 0 UNION ALL
     SELECT series, bar_id, i, v, atanh(v) + 0.5 * before, before FROM (SELECT *, CASE WHEN abs(u) > 0.99 THEN sign(u) * 0.999 ELSE u END AS v FROM (
     SELECT m.series, m.bar_id, m.i, s.f AS before, 0.33 * CASE WHEN hi > lo THEN 2 * (mid - lo) / (hi - lo) - 1 ELSE 0 END + 0.67 * s.v AS u FROM s JOIN m ON s.series = m.series AND m.i = s.i + 1)))
-    SELECT series, bar_id, {r('f', 'fisher', 5)}, {r('g', 'fisher_signal', 5)} FROM s""",
+    SELECT series, bar_id, {r('CASE WHEN i > 0 AND n >= 20 THEN f END', 'fisher', 5)}, {r('CASE WHEN i > 0 AND n >= 20 THEN g END', 'fisher_signal', 5)} FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM s)""",
 )
 def feat_fisher_transform(spark, sf_dir):
     return rnd(R.fisher_transform(bars_of(spark, sf_dir), 20), fisher=5, fisher_signal=5)

@@ -109,7 +109,8 @@ def test_value_area_ties_go_down():
 def test_recursions():
     assert np.allclose(recursive.ewm(np.array([1.0, np.nan, 3.0]), 0.5), [1, 1, (0.25 + 3) / 1.25])
     f, s = recursive.fisher(np.array([1.0, 2, 3]), np.array([1.0, 2, 3]), 2)
-    assert abs(f[1] - math.atanh(0.33)) < 1e-12 and s[2] == f[1]
+    assert abs(f[1] - math.atanh(0.33)) < 1e-12 and s[2] == f[1] and s[1] == 0 and np.isnan(f[0]) and np.isnan(s[0])
+    assert all(np.isnan(x).all() for x in recursive.fisher(np.ones(3), np.ones(3), 4))
     assert recursive.rs_hurst(np.arange(50.0), 30)[-1] == 0.5
 
 
