@@ -11,12 +11,14 @@ from quantloom.functions.frames import rounded
 from quantloom.operators import features as X
 from quantloom.operators import recursive as R
 from quantloom.operators import signals as S
+from quantloom.operators.simulate import Rules
 from quantloom.plans.feature_queries import BARS_SQL, lagged, over, r
 from quantloom.plans.registry import query
 from quantloom.plans.tape_queries import TICKS_SQL, bars_of
 from quantloom.sources.tape import ticks as tape_ticks
 from quantloom.streaming import live as V
 from quantloom.streaming import resume as RS
+from quantloom.streaming import trading as TR
 
 _REC = "WITH RECURSIVE "
 
@@ -215,19 +217,36 @@ def stream_signals(spark, sf_dir):
     return V.run_once(bars, V.shared_folder(spark), each=V.on_window(lambda df: V.first_signal(S.signals(df, LIVE), [s["name"] for s in LIVE])), rocks=True)
 
 
+#: Two strategies with stops of their own; a bar closes at every seventh tick, and its votes and range come from that tick.
+LIVE_RULES = [Rules(sl_long=1.0, sl_short=1.5, tp_long=1.5, tp_short=2.0, cooldown=12, lot=100.0, account=60_000.0), Rules(sl_long=0.8, sl_short=0.8, tp_long=1.0, tp_short=1.0, cooldown=3, lot=100.0, account=60_000.0)]
+_A, _B = LIVE_RULES
+_COMM = lambda p: f"greatest({_A.least_commission}, {p} * abs(size) * {_A.lot} * {_A.commission})"
+
+
 @query(
     "stream_positions",
-    f"""{_REC}{TICKS_SQL}, tk AS (SELECT *, CASE WHEN vol > 90 THEN 1.0 WHEN vol < 5 THEN -1.0 ELSE 0.0 END AS sig, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS i FROM ticks WHERE mid <> 0),
-    st AS (SELECT series, i, CAST(CASE WHEN sig <> 0 THEN sig ELSE 0 END AS DOUBLE) AS side, mid AS entry, ts AS since, CAST(0 AS BIGINT) AS wait, CAST(NULL AS DOUBLE) AS gain, CAST(0 AS DOUBLE) AS was, mid AS entered, ts AS opened, ts AS closed, mid AS exit FROM tk WHERE i = 1 UNION ALL
-    SELECT series, i, CASE WHEN out THEN 0 WHEN side = 0 AND sig <> 0 AND w = 0 THEN sig ELSE side END, CASE WHEN side = 0 AND sig <> 0 AND w = 0 THEN mid ELSE entry END, CASE WHEN side = 0 AND sig <> 0 AND w = 0 THEN ts ELSE since END,
-    CASE WHEN out THEN CASE WHEN g < 0 THEN 10 ELSE 0 END ELSE w END, CASE WHEN out THEN g END, side, entry, since, ts, mid FROM (SELECT *, side <> 0 AND (g <= -0.5 OR g >= 1.0) AS out FROM (
-    SELECT tk.series, tk.i, tk.ts, tk.mid, tk.sig, st.side, st.entry, st.since, greatest(st.wait - 1, 0) AS w, st.side * (tk.mid / st.entry - 1) AS g FROM st JOIN tk ON st.series = tk.series AND tk.i = st.i + 1)))
-    SELECT series, opened, closed, was AS side, entered AS entry, exit, CASE WHEN gain < 0 THEN 'stop' ELSE 'target' END AS reason FROM st WHERE gain IS NOT NULL""",
+    f"""{_REC}{TICKS_SQL}, tk AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS i, seq % 7 = 0 AS bar, CASE WHEN vol > 70 THEN 1 WHEN vol < 20 THEN -1 ELSE 0 END AS v0, CASE WHEN vol BETWEEN 30 AND 50 THEN 1 WHEN vol BETWEEN 50 AND 60 THEN -1 ELSE 0 END AS v1, 2.0 + vol / 10 AS rg,
+      hour(ts) >= 8 AND hour(ts) < 22 AND isodow(ts) <= 5 AS open FROM ticks),
+    z AS (SELECT series, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS size, CAST(0 AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS ea, CAST(0 AS DOUBLE) AS ca, -1 AS st, CAST(NULL AS TIMESTAMP) AS opened, CAST({_A.account} AS DOUBLE) AS bal, 0 AS c0, 0 AS c1, CAST(NULL AS STRUCT(opened TIMESTAMP, closed TIMESTAMP, strategy INT, lots DOUBLE, entry DOUBLE, "exit" DOUBLE, reason VARCHAR, pnl DOUBLE, balance DOUBLE)) AS t FROM ticks GROUP BY series
+    UNION ALL SELECT series, i, CASE WHEN enter THEN want * least(greatest(bal2 * 0.01 / ({_A.lot} * sl2 * greatest(rg, 1e-6)), 1), 4) WHEN gone THEN 0 ELSE size END, CASE WHEN enter THEN mid ELSE entry END, CASE WHEN enter THEN rg WHEN gone THEN 0 ELSE ea END, CASE WHEN bar THEN rg ELSE ca END,
+      CASE WHEN enter THEN pick WHEN gone THEN -1 ELSE st END, CASE WHEN enter THEN ts ELSE opened END, bal2, d0, d1,
+      CASE WHEN gone THEN {{'opened': opened, 'closed': ts, 'strategy': st, 'lots': size, 'entry': entry, 'exit': mid, 'reason': reason, 'pnl': pnl, 'balance': bal2}} END FROM (
+    SELECT *, bar AND open AND want <> 0 AND (size = 0 OR gone OR want * size < 0) AS enter, CASE WHEN pick = 0 THEN CASE WHEN want > 0 THEN {_A.sl_long} ELSE {_A.sl_short} END ELSE {_B.sl_long} END AS sl2, bal + CASE WHEN gone THEN pnl ELSE 0 END AS bal2 FROM (
+    SELECT *, hit <> '' OR (bar AND size <> 0 AND (NOT open OR want * size < 0)) AS gone, CASE WHEN hit <> '' THEN hit WHEN NOT open THEN 'close' ELSE 'reverse' END AS reason, (mid - entry) * size * {_A.lot} - {_COMM('entry')} - {_COMM('mid')} AS pnl FROM (
+    SELECT *, CASE WHEN v0 <> 0 AND d0 = 0 THEN 0 WHEN v1 <> 0 AND d1 = 0 THEN 1 ELSE -1 END AS pick, CASE WHEN v0 <> 0 AND d0 = 0 THEN v0 WHEN v1 <> 0 AND d1 = 0 THEN v1 ELSE 0 END AS want FROM (
+    SELECT *, greatest(CASE WHEN hit = 'SL' AND st = 0 THEN {_A.cooldown} ELSE c0 END - CASE WHEN bar THEN 1 ELSE 0 END, 0) AS d0, greatest(CASE WHEN hit = 'SL' AND st = 1 THEN {_B.cooldown} ELSE c1 END - CASE WHEN bar THEN 1 ELSE 0 END, 0) AS d1 FROM (
+    SELECT *, CASE WHEN size = 0 OR mid <= 0 THEN '' WHEN sign(size) * mid <= sign(size) * entry - ea * stop THEN 'SL' WHEN sign(size) * mid >= sign(size) * entry + ea * goal THEN 'TP' ELSE '' END AS hit FROM (
+    SELECT k.*, z.size, z.entry, z.ea, z.ca, z.st, z.opened, z.bal, z.c0, z.c1, CASE WHEN z.st = 0 THEN CASE WHEN size > 0 THEN {_A.sl_long} ELSE {_A.sl_short} END ELSE {_B.sl_long} END * CASE WHEN ca > 0 AND ca > {_A.tighten_over} * ea THEN {_A.tighten} ELSE 1 END AS stop, CASE WHEN z.st = 0 THEN CASE WHEN size > 0 THEN {_A.tp_long} ELSE {_A.tp_short} END ELSE {_B.tp_long} END AS goal
+    FROM z JOIN tk k ON k.series = z.series AND k.i = z.i + 1)))))))
+    SELECT series, t.opened, t.closed, t.strategy, {r('t.lots', 'lots', 5)}, t.entry, t."exit" AS exit, t.reason, {r('t.pnl', 'pnl', 4)}, {r('t.balance', 'balance', 4)} FROM z WHERE t IS NOT NULL""",
 )
 def stream_positions(spark, sf_dir):
-    ticks = V.tick_stream(spark, f"{sf_dir}/events.parque[t]").where("mid <> 0").withColumn("signal", F.when(F.col("vol") > 90, 1.0).when(F.col("vol") < 5, -1.0).otherwise(0.0))
-    p = V.run_once(V.positions(ticks, 0.5, 1.0, 10), V.shared_folder(spark))
-    return p.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened", "closed")})
+    """Trades of an account on the live path: barriers at ticks, signals at bars, sizes by risk (SS07)."""
+    v, bar = F.col("vol"), F.col("seq") % 7 == 0
+    votes = F.array(F.when(v > 70, 1).when(v < 20, -1).otherwise(0), F.when(v.between(30, 50), 1).when(v.between(50, 60), -1).otherwise(0))
+    ticks = V.tick_stream(spark, f"{sf_dir}/events.parque[t]").where("mid is not null").withColumns({"votes": F.when(bar, votes), "atr": F.when(bar, 2.0 + v / 10)})
+    p = V.run_once(TR.positions(ticks, LIVE_RULES), V.shared_folder(spark))
+    return p.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened", "closed")} | {"lots": rounded("lots", 5), "pnl": rounded("pnl", 4), "balance": rounded("balance", 4)})
 
 
 #: Where the restart queries cut the tape, and when they start again.

@@ -78,27 +78,6 @@ def latest(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("series").agg(F.max_by(F.struct("ts", "mid"), F.struct("ts", "seq")).alias("v")).select("series", "v.ts", "v.mid")
 
 
-def positions(signals: DataFrame, stop: float, target: float, cooldown: int) -> DataFrame:
-    """Positions by tick (SS07): input series, ts, seq, mid, signal; opens on a signal, closes at stop or target (shares
-    of the entry price), then waits ``cooldown`` ticks. One row for each closed trade."""
-    schema = "series string, opened timestamp, closed timestamp, side double, entry double, exit double, reason string"
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        side, entry, since, wait = state.get if state.exists else (0.0, 0.0, None, 0)
-        out = []
-        for t in pd.concat(list(frames)).sort_values(["ts", "seq"]).itertuples():
-            wait = max(0, wait - 1)
-            if side:
-                gain = side * (t.mid / entry - 1)
-                if gain <= -stop or gain >= target:
-                    out.append((key[0], since, t.ts, side, entry, t.mid, "stop" if gain < 0 else "target"))
-                    side, wait = 0.0, cooldown if gain < 0 else 0
-            elif t.signal and not wait:
-                side, entry, since = float(t.signal), t.mid, t.ts
-        state.update((side, entry, since, wait))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-    return signals.groupBy("series").applyInPandasWithState(run, schema, "side double, entry double, since timestamp, wait long", "append", GroupStateTimeout.NoTimeout)
-
-
 def on_window(make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int, str], DataFrame]:
     """A batch step that computes ``make`` on the bars that a batch brings, which are the last ones of each series that
     closed one (``resume.live_bars`` with ``window``), and returns the rows of the newest bar of each series (SS05). It
