@@ -50,3 +50,33 @@ def test_a_chain_is_decided_from_its_best_end(spark):
     edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(11)], "a string, b string")
     assert sorted(r.id for r in A.best_first(nodes, edges).where("admitted").collect()) == [f"n{i:02}" for i in range(0, 12, 2)]
     assert A.best_first(nodes.limit(0), edges).count() == 0 and A.best_first(nodes, edges.limit(0)).where("admitted").count() == 12
+
+
+def test_a_race_drops_stage_by_stage(spark, monkeypatch):
+    """Stages see only those that the ones before left, and each drops for its own reason."""
+    from quantloom.operators import evaluation, race
+
+    figures = {  # train return and ratio, validation return and ratio, least path score, genes
+        "p": (-1.0, -5.0, -1.0, -5.0, 0.2, 4), "loses": (-1.0, 2.0, 1.0, 2.0, 9.0, 1), "weak": (1.0, -0.5, 1.0, 2.0, 9.0, 1), "fades": (1.0, 2.0, -1.0, 2.0, 9.0, 1), "shaky": (1.0, 2.0, 1.0, 2.0, -0.1, 1),
+        "same": (1.0, 2.0, 1.0, 2.0, 0.2, 4), "good": (1.0, 2.0, 1.0, 2.0, 0.9, 2), "best": (1.0, 2.0, 1.0, 2.0, 1.2, 3), "tie": (1.0, 2.0, 1.0, 2.0, 1.2, 3), "q": (0.0, 0.0, 0.0, 0.0, None, 1), "q1": (1.0, 1.0, 1.0, 1.0, 0.0, 0),
+    }
+    asked = []
+
+    def sound(orders, split, rules, annual):
+        names = sorted(r.strategy_id for r in orders.select("strategy_id").distinct().collect())
+        asked.append((split, names))
+        at = 0 if split == "train" else 2
+        return spark.createDataFrame([("x", n, figures[n][at], figures[n][at + 1]) for n in names], "series string, strategy_id string, ret double, sortino double")
+
+    def paths(orders, rules, annual):
+        names = sorted(r.strategy_id for r in orders.select("strategy_id").distinct().collect())
+        asked.append(("paths", names))
+        return spark.createDataFrame([("x", n, figures[n][4]) for n in names], "series string, strategy_id string, cpcv_min double")
+
+    monkeypatch.setattr(race, "_sound", sound)
+    monkeypatch.setattr(evaluation, "path_scores", paths)
+    orders = spark.createDataFrame([("x", n, 1, 0) for n in figures] + [("x", "stranger", 1, 0)], "series string, strategy_id string, bar_id long, signal int")
+    members = spark.createDataFrame([(n, n if n in "pq" else "q" if n == "q1" else "p", figures[n][5]) for n in figures], "strategy_id string, parent string, genes int")
+    got = {r.strategy_id: r.verdict for r in race.race(orders, members, None).collect()}
+    assert got == {"p": "measured", "q": "measured", "loses": "train", "weak": "train", "fades": "val", "shaky": "paths", "same": "parent", "good": "beaten", "best": "chosen", "tie": "beaten", "q1": "chosen"}
+    assert [a for a, _ in asked] == ["train", "val", "paths"] and "p" not in asked[0][1] and "loses" not in asked[1][1] and "fades" not in asked[2][1] and "p" in asked[2][1]
