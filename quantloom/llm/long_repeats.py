@@ -9,8 +9,10 @@
 4. Marks come back to their documents, overlap there, and go.
 
 Of an anchor with more bytes of context than a task should hold, the strings that stand alone are first left out, by
-their hashes, pre-summed in each task; what is left of its contexts goes to the index like any other. Should even that be
-more than a task should hold, the 64-bit hashes decide. Nothing is capped or sampled.
+their hashes, pre-summed in each task; what is left of its contexts goes to the index like any other. Where even that is
+more than a task should hold, the anchor is split: its contexts are winnowed again by longer strings, at last by whole
+ones of LENGTH bytes, and go to shards by those. So every repeated string reaches an index, whatever an anchor brings.
+Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ LENGTH, GRAM = 400, 64
 #: Words of a repeated passage, at least, and bytes of a word's code.
 PASSAGE_WORDS, CODE = 51, 4
 _TOKEN = re.compile(rb"\S+")  # parted by the six ASCII white-space bytes
-#: Bytes of context that a shard should hold, that one anchor may bring to it, and that the repeated parts of one may.
+#: Bytes of context that a shard should hold, that one anchor may bring to it as it is, and that its repeated parts may.
 SHARD_BYTES, ANCHOR_BYTES, PART_BYTES = 4 << 20, 8 << 20, 16 << 20
 #: Texts are winnowed in blocks of so many strings.
 BLOCK = 1 << 19
@@ -192,15 +194,21 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = stage(distinct, "distinct-contexts")
     size = F.sum(F.octet_length("context") + 1)
     hot = stage(distinct.groupBy("hash").agg(size.alias("bytes")).where(F.col("bytes") > ANCHOR_BYTES).select("hash"), "hot-anchors")
-    parts = distinct.select("hash", F.col("name").alias("part"), "context", F.lit(0).cast("long").alias("at"), "n")
-    cuts = None
+    parts = distinct.select("hash", F.col("name").alias("part"), "context", "n")
+    chain: list[DataFrame] = []  # (name, part, at): where the parts of a context, and the parts of parts, begin
     if not hot.isEmpty():
         cuts = stage(_repeated_parts(distinct.join(hot, "hash", "left_semi"), length), "hot-parts")
-        once = cuts.groupBy("hash", "part").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
-        once = stage(once.withColumn("at", F.lit(0).cast("long")), "hot-parts-once")
-        too_many = stage(once.groupBy("hash").agg(size.alias("bytes")).where(F.col("bytes") > PART_BYTES).select("hash"), "hottest-anchors")
-        whole = once.join(too_many, "hash", "left_semi").select("part", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("context") - length).cast("long").alias("last"))).alias("spans"))
-        parts = parts.join(hot, "hash", "left_anti").unionByName(once.join(too_many, "hash", "left_anti"))
+        chain.append(cuts.select("name", "part", "at"))
+        found = stage(cuts.groupBy("hash", "part").agg(F.first("context").alias("context"), F.sum("n").alias("n")), "hot-parts-once")
+        for longer in ((gram + length) // 2, length):
+            large = stage(found.groupBy("hash").agg(size.alias("bytes")).where(F.col("bytes") > PART_BYTES).select("hash"), "large-anchors")
+            if large.isEmpty():
+                break
+            split = stage(_split_parts(found.join(large, "hash", "left_semi"), length, longer), "split-parts")
+            chain.append(split.select("name", "part", "at"))
+            once = split.groupBy("hash", "part").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
+            found = stage(found.join(large, "hash", "left_anti").unionByName(once), "split-parts-once")
+        parts = parts.join(hot, "hash", "left_anti").unionByName(found)
     total = parts.select(size).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -212,17 +220,32 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     shard = F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int")
     marks = parts.select(shard.alias("shard"), "part", "context", "n").groupBy("shard").applyInArrow(index, "part binary, spans array<struct<first: long, last: long>>")
-    if cuts is None:
-        marks = marks.withColumnRenamed("part", "name")
-    else:  # a part's marks count from where it was cut; whole contexts are cut at their start
-        marks = stage(marks.unionByName(whole), "part-marks")
+    for k, links in enumerate(reversed(chain)):  # a part's marks count from where it was cut
+        marks = stage(marks, f"part-marks-{k}")
         moved = F.transform("spans", lambda s: F.struct((s.first + F.col("at")).alias("first"), (s.last + F.col("at")).alias("last")))
-        inner = cuts.select("name", "part", "at").join(marks, "part").select("name", moved.alias("spans")).groupBy("name").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-        marks = marks.join(cuts.select("part").distinct(), "part", "left_anti").withColumnRenamed("part", "name").unionByName(inner)
+        inner = links.join(marks, "part").select("name", moved.alias("spans")).groupBy("name").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        marks = marks.join(links.select("part").distinct(), "part", "left_anti").unionByName(inner.withColumnRenamed("name", "part"))
+    marks = marks.withColumnRenamed("part", "name")
     marks = pieces.select("name", "key", "first").join(marks, "name").select("key", F.explode(F.transform("spans", lambda s: F.struct((s.first + F.col("first")).alias("first"), (s.last + F.col("first")).alias("last")))).alias("span"))
     return rows.select("key", "doc_id", "n_bytes", "sha256"), candidates.select("key", "doc_id", "text"), marks.groupBy("key").agg(F.collect_list("span").alias("spans"))
 
 
+def _split_parts(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(hash, name, part, at, context, n): the contexts of parts (hash, part, context, n), cut by the anchors that strings
+    of ``gram`` bytes give; ``hash`` joins the old and the new anchor. Every string of ``length`` bytes is in one of them."""
+
+    def cut(part: pa.RecordBatch) -> dict:
+        out = []
+        for h, context in zip(part.column("hash").to_pylist(), part.column("context").to_pylist(), strict=True):
+            _, value, first, last = winnow(context, length, gram)
+            mixed = (value ^ np.uint64((h * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))).view(np.int64)
+            out.append([{"hash": v, "at": a, "context": (piece := context[a : b + length]), "part": hashlib.sha256(piece).digest()[:16]} for v, a, b in zip(mixed.tolist(), first.tolist(), last.tolist(), strict=True)])
+        return {"name": part.column("part"), "n": part.column("n"), "cuts": out}
+
+    done = arrow_map(parts, cut, "name binary, n long, cuts array<struct<hash: long, at: long, context: binary, part: binary>>", rows=64)
+    return done.select("name", "n", F.explode("cuts").alias("c")).select("c.hash", "name", "c.part", "c.at", "c.context", "n")
+
+
 def _repeated_parts(contexts_: DataFrame, length: int) -> DataFrame:
     """(hash, name, part, at, context, n): the parts of the contexts of a frequent anchor in which every string may be
     repeated.
@@ -298,7 +321,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of ``df``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept_text.
 
     Each byte covered by a string of ``length`` bytes that also starts anywhere else (another text, the same text, a
-    repeated row) is removed, in all places. kept_text is what stays, in whole characters, where something was removed;
+    repeated row) is removed, in all places. Rows of null ids count like others; other columns are not read; long texts are
+    winnowed whole, in blocks. kept_text is what stays, in whole characters, where something was removed;
     null elsewhere, where the text is as it was. Null and empty texts, and those shorter than ``length``, stay whole; an
     empty table gives no rows.
     """

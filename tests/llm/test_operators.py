@@ -503,6 +503,16 @@ def test_run_index():
         assert index.matching_statistics().tolist() == want and index.text().tolist() == t.tolist() and len(index.heads) <= n
 
 
+def test_texts_longer_than_a_winnowing_block(spark):
+    rng = np.random.default_rng(8)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    shared = letters(900)
+    long = letters((1 << 19) - 300) + shared + letters(700_000)
+    rows = [(1, long), (2, "x" + shared[:600] + "y"), (None, shared[300:]), (3, long[: 1 << 19][-500:]), (3, long[: 1 << 19][-500:])]
+    got = by_id(long_repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(r.n_removed, r.n_spans) for r in got[1]] == [(1100, 1)] and (got[2][0].n_removed, got[None][0].n_removed) == (600, 600) and [r.n_removed for r in got[3]] == [500, 500]
+
+
 def brute_repeats(texts, length):
     data = [t.encode() for _, t in texts]
     seen = Counter(d[j : j + length] for d in data for j in range(len(d) - length + 1))
@@ -516,7 +526,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most, left", [(8 << 20, 8 << 20), (2000, 8 << 20), (2000, 500)])
+@pytest.mark.parametrize("most, left", [(8 << 20, 8 << 20), (2000, 8 << 20), (2000, 500), (0, 0)])
 def test_long_repeats(documents, texts_by_row, empty, monkeypatch, most, left):
     monkeypatch.setattr(long_repeats, "ANCHOR_BYTES", most)
     monkeypatch.setattr(long_repeats, "PART_BYTES", left)
