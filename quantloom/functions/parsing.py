@@ -21,9 +21,13 @@ def event_key(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
 
 
+#: The part of a CSS class that tells the level.
+IMPACTS = {"icon--ff-impact-red": "High", "icon--ff-impact-ora": "Medium", "icon--ff-impact-yel": "Low", "icon--ff-impact-gra": "Holiday"}
+
+
 def impact_level(css: Column) -> Column:
-    """The level that a CSS class ends in (SC05)."""
-    return F.when(css.rlike("-red$"), "High").when(css.rlike("-ora$"), "Medium").when(css.rlike("-yel$"), "Low")
+    """The level that a CSS class holds, the first of IMPACTS that does; Unknown without one (SC05)."""
+    return F.coalesce(*[F.when(css.contains(part), level) for part, level in IMPACTS.items()], F.lit("Unknown"))
 
 
 def week_start(week: Column) -> Column:

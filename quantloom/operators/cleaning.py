@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from quantloom.functions.frames import ratio
 
 
-def choose_price(df: DataFrame, candidates: dict[str, Column]) -> DataFrame:
-    """``mid_price``: the first candidate that has any value in the whole table (OP01)."""
-    counts = df.agg(*[F.count(c).alias(n) for n, c in candidates.items()]).first()
-    name = next((n for n in candidates if counts[n] > 0), None)
-    return df.withColumn("mid_price", candidates[name] if name else F.lit(None).cast("double"))
+def choose_price(df: DataFrame, candidates: dict[str, tuple[Column, list[str]]], by: str = "series") -> DataFrame:
+    """``mid_price`` and ``price_source`` (OP01): for each instrument the first candidate whose columns all have some value
+    there; NULL where none has. ``candidates``: name to (price, the columns it needs)."""
+    filled = lambda c: F.count(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))) > 0
+    source = F.coalesce(*[F.when(reduce(lambda x, y: x & y, map(filled, needs)), F.lit(name)) for name, (_, needs) in candidates.items()])
+    chosen = df.groupBy(by).agg(source.alias("price_source"))
+    price = F.coalesce(*[F.when(F.col("price_source") == name, F.nanvl(c.cast("double"), F.lit(None).cast("double"))) for name, (c, _) in candidates.items()])
+    return df.join(chosen, by).withColumn("mid_price", price)
 
 
 def drop_jumps(ticks: DataFrame, most: float = 0.02, price: str = "mid") -> DataFrame:
@@ -142,11 +145,28 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(rows).alias("r")).select("r.a", "r.b", "r.corr")
 
 
-def kept_names(names: list[str], exclude: tuple[str, ...], patterns: tuple[str, ...]) -> list[str]:
+#: Fixed names of the surveyed purge (OP17): columns that are no features, and parts of the names of noisy ones.
+NO_FEATURES = (
+    "time_start", "time_end", "open", "high", "low", "close", "volume", "net_aggressor_vol", "cum_vol", "vol_proxy", "bar_id", "log_ret",
+    "avg_bid_price", "avg_ask_price", "avg_bid_size", "avg_ask_size", "avg_spread", "ticket_imbalance", "residual_bund", "residual_tnx", "residual_usdchf",
+    "rel_strength_z_6e", "delta_rel_strength_z_6e_25", "delta_rel_strength_z_6e_50", "delta_rel_strength_z_6e_100", "divergence_50_6e",
+    "delta_divergence_50_6e_25", "delta_divergence_50_6e_50", "delta_divergence_50_6e_100", "day_open", "prev_val", "prev_vah", "prev_vpoc",
+    "price_es", "price_zn", "price_bund", "price_6e", "price_gbpusd", "price_usdjpy", "price_tnx", "price_us2y", "price_schatz",
+    "hamiltonian_3200", "lagrangian_3200", "potential_energy_3200",
+)
+NOISE = ("kyle_lambda", "tick_spread", "tick_volatility", "tick_ofi", "pres_imbalance", "avg_spread")
+
+
+def kept_names(names: list[str], exclude: tuple[str, ...] = NO_FEATURES, patterns: tuple[str, ...] = NOISE) -> list[str]:
     """Feature names without excluded ones and those that hold a pattern (OP17)."""
     return [n for n in names if n not in exclude and not any(p in n for p in patterns)]
 
 
+def feature_columns(df: DataFrame, keys: tuple[str, ...] = ("series", "bar_id"), target: str | None = None) -> DataFrame:
+    """``df`` with its keys and features alone (OP17)."""
+    return df.select(*keys, *[c for c in kept_names(df.columns) if c not in keys and c != target])
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Union by name, missing columns as NULL (SET1)."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

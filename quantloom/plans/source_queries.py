@@ -130,6 +130,41 @@ def src_closed_trades(spark, sf_dir):
     return t.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("entry_time", "exit_time")})
 
 
+@query(
+    "parse_impacts",
+    "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'High' WHEN '2-HIGH' THEN 'Medium' WHEN '3-MEDIUM' THEN 'Low' WHEN '4-NOT SPECIFIED' THEN 'Holiday' ELSE 'Unknown' END AS level FROM orders",
+)
+def parse_impacts(spark, sf_dir):
+    """Impact levels from the CSS classes of calendar rows (SC05)."""
+    css = F.create_map(*[F.lit(x) for x in ("1-URGENT", "red", "2-HIGH", "ora", "3-MEDIUM", "yel", "4-NOT SPECIFIED", "gra")])
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("icon icon--ff-impact-"), F.try_element_at(css, "o_orderpriority"), F.lit(" x")).alias("c"))
+    return o.select("o_orderkey", P.impact_level(F.col("c")).alias("level"))
+
+
+@query(
+    "op_choose_price",
+    """WITH e AS (SELECT event_type AS series, event_id, CASE WHEN event_type = 'click' AND event_id % 50 = 0 THEN value END AS mid, CASE WHEN event_type IN ('click', 'view', 'error') THEN value END AS bid, CASE WHEN event_type IN ('view', 'purchase') THEN value + 1 END AS ask, CASE WHEN event_type <> 'signup' THEN value * 2 END AS last FROM events),
+    s AS (SELECT series, CASE WHEN count(mid) > 0 THEN 'mid' WHEN count(bid) > 0 AND count(ask) > 0 THEN 'quote' WHEN count(last) > 0 THEN 'last' END AS source FROM e GROUP BY 1)
+    SELECT e.series, event_id, source AS price_source, CASE source WHEN 'mid' THEN mid WHEN 'quote' THEN (bid + ask) / 2 WHEN 'last' THEN last END AS mid_price FROM e JOIN s ON s.series = e.series""",
+)
+def op_choose_price(spark, sf_dir):
+    """The price of each instrument: its mid, else its quotes, else its trades (OP01)."""
+    v, kind = F.col("value"), F.col("event_type")
+    e = table(spark, sf_dir, "events").select(
+        kind.alias("series"), "event_id", F.when((kind == "click") & (F.col("event_id") % 50 == 0), v).otherwise(F.lit(float("nan"))).alias("mid"), F.when(kind.isin("click", "view", "error"), v).alias("bid"),
+        F.when(kind.isin("view", "purchase"), v + 1).alias("ask"), F.when(kind != "signup", v * 2).alias("last"),
+    )
+    c = C.choose_price(e, {"mid": (F.col("mid"), ["mid"]), "quote": ((F.col("bid") + F.col("ask")) / 2, ["bid", "ask"]), "last": (F.col("last"), ["last"])})
+    return c.select("series", "event_id", "price_source", "mid_price")
+
+
+@query("op_feature_columns", f"WITH {BARS_SQL} SELECT series, bar_id, tick_count, close * 2 AS mom_25 FROM bars")
+def op_feature_columns(spark, sf_dir):
+    """Bars with their features alone: prices, sizes, target and noisy columns go (OP17)."""
+    b = bars_of(spark, sf_dir).withColumns({"mom_25": F.col("close") * 2, "kyle_lambda_50": F.col("close"), "avg_spread_x": F.col("close"), "target_60": F.col("close"), "day_open": F.col("open")})
+    return C.feature_columns(b, target="target_60")
+
+
 @query("src_last_lines", f"WITH l AS ({_LOG}), n AS (SELECT * FROM l ORDER BY k DESC LIMIT 100) SELECT row_number() OVER (ORDER BY k) AS number, coalesce(kind, 'none') AS kind FROM n")
 def src_last_lines(spark, sf_dir):
     """The last hundred lines of a log (SRC18), by what they tell; a line without a time counts by its words alone."""

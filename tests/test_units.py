@@ -120,7 +120,7 @@ def test_parsers_keep_their_golden_values(spark):
     got = {r.t: r.v for r in df.select("t", parsing.parse_value(F.col("t")).alias("v")).collect()}
     assert {k: None if v is None else round(v, 6) for k, v in got.items()} == want
     names = {"Core CPI m/m": "core_cpi_m_m", "NFP": "nfp", "10-y Bond Auction": "10_y_bond_auction"}
-    got = spark.createDataFrame([(k,) for k in names], "t string").select("t", parsing.event_key(F.col("t")).alias("v"), parsing.impact_level(F.lit("icon-red")).alias("i"), parsing.week_start(F.lit("jul14.2025")).alias("w")).collect()
+    got = spark.createDataFrame([(k,) for k in names], "t string").select("t", parsing.event_key(F.col("t")).alias("v"), parsing.impact_level(F.lit("icon icon--ff-impact-red")).alias("i"), parsing.week_start(F.lit("jul14.2025")).alias("w")).collect()
     assert {r.t: r.v for r in got} == names and got[0].i == "High" and got[0].w == dt.date(2025, 7, 14)
 
 
