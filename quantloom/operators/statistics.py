@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -157,16 +158,26 @@ def rank_ic(df: DataFrame, features: list[str], target: str, folds: int = 5, mos
     """
     long = long_features(df, features, target, ["series", "bar_id"])
     if size_of(df) <= most:
-        ranked = long.withColumns({"rx": average_rank("value", "feature"), "ry": average_rank("y", "feature")})
-        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("feature").orderBy("series", "bar_id")) - 1)
+        own = Window.partitionBy("feature")
+        ranked = long.withColumns({"rx": average_rank("value", "feature"), "ry": average_rank("y", "feature"), "size": F.count(F.lit(1)).over(own)})
+        ranked = ranked.withColumn("place", F.row_number().over(own.orderBy("series", "bar_id")) - 1)
     else:
         ranked = average_ranks(average_ranks(long, "value", "feature", "rx"), "y", "feature", "ry")
         ranked = numbered(ranked, ["feature"], [F.col("series"), F.floor(F.col("bar_id") / span)], ["bar_id"], "place")
-    sizes = long.groupBy("feature").agg(F.count("*").alias("size"))
-    ranked = ranked.join(F.broadcast(sizes), "feature")  # one row a feature
-    ranked = ranked.withColumn("fold", F.least(F.floor(F.col("place") / F.greatest(F.floor(F.col("size") / folds), F.lit(1))), F.lit(folds - 1)))
-    by_fold = ranked.groupBy("feature", "fold").agg(_corr("rx", "ry").alias("c")).groupBy("feature").agg((F.abs(F.avg("c")) / (F.stddev_pop("c") + 1e-6)).alias("stability"))
-    return ranked.groupBy("feature").agg(F.count("*").alias("n"), _corr("rx", "ry").alias("ic")).join(by_fold, "feature")
+        ranked = ranked.join(F.broadcast(long.groupBy("feature").agg(F.count("*").alias("size"))), "feature")  # one row a feature
+    fold = F.least(F.floor(F.col("place") / F.greatest(F.floor(F.col("size") / folds), F.lit(1))), F.lit(folds - 1))
+    x, y = (F.col(c) - (F.col("size") + 1) / 2 for c in ("rx", "ry"))  # about their mean, so that sums of products keep their digits
+    sums = {"n": F.count("*").cast("double"), "sx": F.sum(x), "sy": F.sum(y), "xx": F.sum(x * x), "yy": F.sum(y * y), "xy": F.sum(x * y)}
+    by_fold = ranked.groupBy("feature", fold.alias("fold")).agg(*[c.alias(k) for k, c in sums.items()])
+
+    def corr(of: Callable[[str], Column]) -> Column:
+        n = of("n")
+        cov, vx, vy = (of(a) - of(b) * of(c) / n for a, b, c in (("xy", "sx", "sy"), ("xx", "sx", "sx"), ("yy", "sy", "sy")))
+        return F.when((vx > 1e-9) & (vy > 1e-9), cov / F.sqrt(F.nullif(vx * vy, F.lit(0.0))))
+
+    each = by_fold.withColumn("c", corr(F.col))
+    made = each.groupBy("feature").agg(*[F.sum(k).alias(k) for k in sums], (F.abs(F.avg("c")) / (F.stddev_pop("c") + 1e-6)).alias("stability"))
+    return made.select("feature", F.col("n").cast("long").alias("n"), corr(F.col).alias("ic"), "stability")
 
 
 def gates(ic: DataFrame, least_ic: float = 0.005, most_p: float = 0.05, least_stability: float = 0.25) -> DataFrame:

@@ -20,6 +20,7 @@ from quantloom.plans.feature_queries import BARS_SQL, lagged, over, r, returns
 from quantloom.plans.registry import ORACLES, query
 from quantloom.plans.signal_queries import _ALL, SIGNALS_SQL, STRATEGIES
 from quantloom.plans.tape_queries import bars_of
+from quantloom.sources.staging import staged
 
 H = 10
 
@@ -48,8 +49,13 @@ RETURNS_SQL = f"""{SIGNALS_SQL}, act AS (SELECT *, coalesce(lag(signal) OVER (PA
   * coalesce(close / nullif(lag(close) OVER (PARTITION BY series, strategy_id ORDER BY bar_id), 0) - 1, 0) / 100 AS net_ret FROM signals)"""
 
 
+def _bars(spark, sf_dir):
+    """Bars with log returns, written once: signals and what the simulator needs of each bar are both read from them."""
+    return staged(returns(spark, sf_dir), "bars")
+
+
 def _acting(spark, sf_dir):
-    bars = returns(spark, sf_dir).withColumn("ret", F.coalesce(ratio("close", lag("close")) - 1, F.lit(0.0)) / 100)
+    bars = _bars(spark, sf_dir).withColumn("ret", F.coalesce(ratio("close", lag("close")) - 1, F.lit(0.0)) / 100)
     s = S.signals(bars, STRATEGIES).withColumn("signal", S.next_open(by=("series", "strategy_id")))
     return s, bars
 
@@ -201,9 +207,10 @@ def select_best_horizon(spark, sf_dir):
 
 def _raw_orders(spark, sf_dir):
     """Orders of the demonstration strategies; signals act on the bar they come from."""
-    bars = S.with_context(X.log_return(bars_of(spark, sf_dir)), ["atr_base", "hour", "weekday"])
+    made = _bars(spark, sf_dir)
+    bars = S.with_context(made, ["atr_base", "hour", "weekday"])
     bars = bars.withColumn("atr", F.coalesce(lag("atr_base"), F.col("atr_base"))).withColumn("price", F.col("open"))
-    s = S.signals(returns(spark, sf_dir), STRATEGIES)
+    s = S.signals(made, STRATEGIES)
     return s.join(bars.select("series", "bar_id", "price", "high", "low", "close", "atr", "hour", "weekday"), ["series", "bar_id"])
 
 

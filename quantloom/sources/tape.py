@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series, ts, seq, mid, vol): SRC01 with the price chosen, nulls dropped, and a total order (ts, seq) by series."""
     e = table(spark, sf_dir, "events")
-    vol = F.get_json_object("props", "$.k").cast("double")
+    vol = F.from_json("props", "k string")["k"].cast("double")
     return e.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("mid"), vol.alias("vol"), F.col("user_id")).where("mid is not null")
 
 

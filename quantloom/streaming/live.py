@@ -31,7 +31,7 @@ def tick_stream(spark: SparkSession, path: str, files: int = 1, newest_days: int
     days before the newest one are left out."""
     reader = spark.readStream.schema(TICK_SCHEMA).option("maxFilesPerTrigger", files)
     raw = (reader.option("maxFileAge", f"{newest_days}d") if newest_days else reader).parquet(path)
-    return raw.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("mid"), F.get_json_object("props", "$.k").cast("double").alias("vol"))
+    return raw.select(F.col("event_type").alias("series"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("mid"), F.from_json("props", "k string")["k"].cast("double").alias("vol"))
 
 
 def minute_bars(ticks: DataFrame, late: str = "1 minute") -> DataFrame:
