@@ -160,7 +160,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     base_score: sum over tokens (words and one end) of log10((c + 1) / (N + V + 1)). score: log10 of the tree's
     probability of the text's coded bytes. Null texts count as empty ones: the end alone. Words that no training text
     has are scored by their bytes. Repeated rows are learnt from as often as they come and give equal rows. Without any
-    training row every bit has probability a half; an empty table gives no rows.
+    training row every bit has probability a half; an empty table gives no rows. Rows of null ids are learnt from, other
+    columns are not read, long texts are counted and scored whole.
     """
     spark = df.sparkSession
     docs = texts(df, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))

@@ -199,11 +199,12 @@ class Scanner:
             if n >= len(own) * self.threshold / (2 - self.threshold) - 2:
                 hits = [k for k, pair in enumerate(zip(words, [*words[1:], ""])) if pair in own or ("", pair[0]) in own]
                 found += self.windows(words, i, hits)
-        chosen: list[tuple[int, int, int, float]] = []
+        chosen: list[tuple[int, int, int, float]] = []  # in order; they don't overlap, so only the neighbours can be in the way
         for start, end, i, dice, _ in sorted(found, key=lambda f: (-f[4], -f[3], f[0], f[2])):
-            if all(end <= a or b <= start for a, b, _, _ in chosen):
-                chosen.append((start, end, i, dice))
-        return sorted(chosen)
+            k = bisect_left(chosen, (start,))
+            if (k == 0 or chosen[k - 1][1] <= start) and (k == len(chosen) or end <= chosen[k][0]):
+                chosen.insert(k, (start, end, i, dice))
+        return chosen
 
 
 def scan_licences(
@@ -213,7 +214,8 @@ def scan_licences(
     n_matches, licences (distinct, sorted).
 
     Whole texts; null, empty and wordless texts match nothing. Repeated rows give equal rows; an empty table none. Other
-    columns, whatever their names, are left out; rows of a null id are scanned like any other.
+    columns, whatever their names, are left out; rows of a null id are scanned like any other. Of windows that overlap the
+    one of the greatest margin stays; a long text costs its matches times their logarithm.
     """
 
     def make(part: pa.RecordBatch) -> dict:

@@ -40,7 +40,8 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id; a query never finds its own id.
     Fewer candidates than ``k`` give fewer rows; an empty table gives none. A repeated id counts as two candidates only
-    if its vectors differ.
+    if its vectors differ. Null ids, and vectors that are null, zero or hold anything not finite, take no part, nor do
+    vectors of another length than the commonest. Other columns are not read.
     """
     vectors = stage(usable(df, id_col, vec_col).distinct(), "vectors")
     first = Window.partitionBy("v").orderBy("vec_id")  # ranks are limited before the shuffle, so a hot class is no load

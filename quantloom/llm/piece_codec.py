@@ -185,7 +185,7 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     """One row for each row of ``df``: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids as array<int>).
 
     Whole texts; null is taken as empty: begin and end ids only, decoded as the empty text. Equal or repeated rows get
-    equal rows, an empty table none. ``model_path`` must exist on every executor, as an installed package's file does.
+    equal rows, an empty table none. Rows of null ids are encoded like others, other columns not read. ``model_path`` must exist on every executor, as an installed package's file does.
     """
     extra = ", ids array<int>" if keep_ids else ""
 

@@ -364,6 +364,17 @@ def test_licences_inside_lines_and_over_blocks():
     assert names("As said, this work is licensed under the GNU General Public License, version 3. Thus it may be shared.") == ["GPL-3.0"]
 
 
+def test_many_matches_in_one_text():
+    import time
+
+    scanner = licences.Scanner()
+    notice = "Released under the MIT License.\n"
+    began = time.perf_counter()
+    found = scanner.scan("Some words. " + notice * 8000)
+    assert [scanner.names[f[2]] for f in found] == ["MIT"] * 8000 and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    assert time.perf_counter() - began < 30
+
+
 def test_whole_licence_texts():
     scanner = licences.Scanner()
     names = lambda t: [scanner.names[f[2]] for f in scanner.scan(t)]
