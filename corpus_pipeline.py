@@ -40,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    64 bits of SimHash can't tell 0.8 from less without comparing most pairs, so MinHash bands find the candidates.
+    Pairs are chosen by SimHash fingerprints whose reach is wide enough for that, then checked on the shingles.
     """
     groups = shingle_sets.similar_texts(docs.where("doc_id is not null"))
     first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key")).select("key")

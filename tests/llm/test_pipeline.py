@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from quantloom.llm import shingle_sets
 
@@ -133,3 +135,26 @@ def test_all_ids_are_packed(spark, documents):
     for x in rows:
         held[x.sequence_id] += x.length
     assert max(held.values()) <= 1024 and sum(x.length for x in rows) == sum(x.doc_tokens for x in rows if x.start == 0)
+
+
+def test_near_duplicates_are_chosen_by_simhash(spark, monkeypatch):
+    """Sets of similarity 0.8 lie within the reach, unlike ones beyond; the vantage points find close fingerprints; and
+    without a reach nothing is linked."""
+    r = np.random.default_rng(6)
+    bits = lambda a, b: int(np.bitwise_count((shingle_sets.fingerprint(a) ^ shingle_sets.fingerprint(b)).view(np.uint64)).sum())
+    for n in (5, 10, 40, 300, 5000):
+        for _ in range(40):
+            h = r.permutation(np.unique(r.integers(0, 1 << 63, 2 * n + 4, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, 2 * n + 4).astype(np.uint64)))
+            k = n // 5
+            at = int(r.integers(0, k + 1))
+            assert bits(np.append(h[: n - k], h[n - k : n - k + at]), np.append(h[: n - k], h[n - k + at : n])) <= shingle_sets.REACH
+            assert n < 40 or bits(h[:n], h[n : 2 * n]) > shingle_sets.REACH
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:-1])), (2, " ".join(words[:1500])), (3, ""), (4, "one two")], "doc_id long, text string")
+    sets = shingle_sets._points(docs, "doc_id", "text")
+    of = {x.fp: x.doc_id for x in sets.collect()}
+    assert [{of[x.a], of[x.b]} for x in shingle_sets._close(sets).collect()] == [{0, 1}]
+    group = lambda: [x.component_id for x in sorted(shingle_sets.similar_texts(docs).collect(), key=lambda x: x.doc_id)]
+    assert group() == [0, 0, 2, 3, 4]
+    monkeypatch.setattr(shingle_sets, "REACH", -1)
+    assert group() == [0, 1, 2, 3, 4]
