@@ -24,6 +24,8 @@ CAPACITY, END_ID = 1024, 0
 RANK_PARTS = 256
 #: Words of an age whose ids a worker keeps, and that the library encodes at once.
 KEPT_WORDS, WORDS_AT_ONCE = 700_000, 4096
+#: Marks that may end a word, and ends of words whose ids a worker keeps.
+PUNCTUATION, KEPT_TAILS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 65_536
 _LOADED: dict[str, TextIds] = {}
 
 
@@ -32,7 +34,8 @@ class TextIds:
 
     A byte-level pre-tokenizer puts a space only at the front of a piece, and white space joins nothing but white space.
     So a piece always ends between a word and a single space after it, and the ids of a text are those of its
-    space-led words, one after the other: every different word is encoded once by the library. Where that does not hold
+    space-led words, one after the other: every different word is encoded once by the library. ASCII marks at a word's end
+    are pieces of their own after a letter, so they and the word before them are encoded apart. Where that does not hold
     the library encodes the whole text: texts with a space after other white space, texts that hold an added token, and
     all texts if the file has a normalizer, a post-processor or another pre-tokenizer.
     """
@@ -54,6 +57,7 @@ class TextIds:
         self.led = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)], bool)  # ids that begin with a space
         self.words: dict[str, bytes] = {}  # ids of space-led words, in two ages
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}  # ids of marks at the ends of words
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,7 +65,24 @@ class TextIds:
     def _learn(self, words: list[str]) -> None:
         """Ids of new words, encoded in a row and parted where a space begins. An empty word, or one that ends in white
         space, has none: b'' marks that its text must be encoded whole."""
-        plain = [w for w in words if w and not w[-1].isspace()]
+        plain, tailed = [], []
+        for w in words:
+            core = w.rstrip(PUNCTUATION)
+            if core and len(core) < len(w) and core[-1] < "\u0250" and core[-1].isalpha():
+                tailed.append((w, core, w[len(core) :]))
+            elif w and not w[-1].isspace():
+                plain.append(w)
+            else:
+                self.words[w] = b""
+        # no piece reaches from a letter to a mark after it
+        new = dict.fromkeys(plain)
+        for _, core, _ in tailed:
+            if core not in new and core not in self.words:
+                if (x := self.older.get(core)) is None:
+                    new[core] = None
+                else:
+                    self.words[core] = x
+        plain = list(new)
         for at in range(0, len(plain), WORDS_AT_ONCE):
             part = plain[at : at + WORDS_AT_ONCE]
             row = np.frombuffer(self._encoded([" " + " ".join(part)])[0], "<u4")
@@ -70,8 +91,11 @@ class TextIds:
                 raise AssertionError("a word holds a space")
             raw, edges = row.tobytes(), [*(4 * starts).tolist(), 4 * len(row)]
             self.words.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:])), strict=True))
-        if len(plain) < len(words):
-            self.words.update(dict.fromkeys([w for w in words if not w or w[-1].isspace()], b""))
+        tails = list({tail for _, _, tail in tailed} - self.tails.keys())
+        if len(self.tails) + len(tails) > KEPT_TAILS:
+            self.tails, tails = {}, list({tail for _, _, tail in tailed})
+        self.tails.update(zip(tails, self._encoded(tails), strict=True))
+        self.words.update((w, self.words[core] + self.tails[tail]) for w, core, tail in tailed)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -80,11 +104,18 @@ class TextIds:
         cut = [t.split(" ") if self.by_word and not any(a in t for a in self.added) else [""] for t in texts]
         get = self.words.get
         held = [list(map(get, words[1:])) for words in cut]
-        missing = dict.fromkeys(w for words, found in zip(cut, held, strict=True) if None in found for w, x in zip(words[1:], found, strict=True) if x is None)
+        gaps: list[tuple[list, int, str]] = []  # places of words that have no ids yet; the others are looked up once
+        for words, found in zip(cut, held, strict=True):
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                gaps.append((found, at, words[at + 1]))
+        missing = dict.fromkeys(w for _, _, w in gaps)
         again = {w: x for w in missing if (x := self.older.get(w)) is not None}
         self.words.update(again)
         self._learn([w for w in missing if w not in again])
-        held = [list(map(self.words.__getitem__, words[1:])) if None in found else found for words, found in zip(cut, held, strict=True)]
+        for found, at, w in gaps:
+            found[at] = self.words[w]
         whole = [i for i, (words, found) in enumerate(zip(cut, held, strict=True)) if not words[0] or (found and words[0][-1].isspace()) or b"" in found]
         alone = dict(zip(whole, self._encoded([texts[i] for i in whole]), strict=True))
         heads = self._encoded(["" if i in alone else words[0] for i, words in enumerate(cut)])
