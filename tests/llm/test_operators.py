@@ -48,6 +48,18 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_stage_two_tables_a_round(spark, monkeypatch):
+    """Every staged table costs executors files; labels are staged for several rounds at once."""
+    from quantloom.llm import common
+
+    names, plain = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df, name: names.append(name) or plain(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {tuple(x) for x in common.components(edges).collect()} == {(i, 0) for i in range(41)}
+    rounds = names.count("jumps")
+    assert rounds > 1 and names.count("links") == rounds + 1 and names.count("labels") == -(-rounds // common.JUMPS) and len(names) == 2 * rounds + 1 + names.count("labels")
+
+
 @pytest.mark.parametrize("order", ["rising", "falling", "zigzag"])
 def test_components_of_long_chains(spark, order):
     n = 10_000
@@ -273,6 +285,17 @@ def test_ids_are_the_librarys():
     assert np.frombuffer(got[-2], "<u4").tolist() == [64, 220, 50256, 275]
 
 
+def test_marks_at_the_ends_of_words_are_not_new_words(monkeypatch):
+    """A word with marks after it needs no encoding where the word and the marks are known."""
+    ids = packing.TextIds(BYTES)
+    ids.ids(["a word", "a other. other!?"])
+    encoded, plain = [], ids._encoded
+    monkeypatch.setattr(ids, "_encoded", lambda texts: encoded.extend(texts) or plain(texts))
+    texts = ["a word. word!? other", "a don't.", "a dogs' x'", "a é. 日. 1. '."]
+    assert ids.ids(texts[:1]) == plain(texts[:1]) and not any("word" in t for t in encoded)
+    assert ids.ids(texts) == plain(texts)
+
+
 MIXES = {
     "240-262": lambda r: r.integers(240, 263, 20_000), "mean 120": lambda r: np.clip(r.exponential(120, 20_000).astype(int), 1, 1023), "1-255": lambda r: r.integers(1, 256, 20_000), "200-511": lambda r: r.integers(200, 512, 20_000),
     "1-1024": lambda r: r.integers(1, 1025, 20_000), "500-520": lambda r: r.integers(500, 521, 20_000), "2-29": lambda r: r.integers(2, 30, 20_000), "330-350": lambda r: r.integers(330, 351, 20_000), "900-1023": lambda r: np.append(r.integers(900, 1024, 9000), r.integers(1, 130, 9000)),
