@@ -537,6 +537,42 @@ def test_run_index():
         assert index.matching_statistics().tolist() == want and index.text().tolist() == t.tolist() and len(index.heads) <= n
 
 
+def test_an_index_takes_little_memory():
+    """Besides its text, at most 40 bytes a symbol: contexts that are half alike, and text that repeats itself."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 256, 140, dtype=np.uint8).tobytes()
+    for parts in ([common + rng.integers(0, 256, 135, dtype=np.uint8).tobytes() for _ in range(8000)], [b"ab" * 1_000_000]):
+        tracemalloc.start()
+        marks = long_repeats.mark_shard(parts, [1] * len(parts), 204)
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert most < 40 * sum(map(len, parts)) + 16_000_000
+        assert [len(x) for x, _ in marks] == ([0] * 8000 if len(parts) > 1 else [1])
+
+
+def test_blocks_of_suffixes_change_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [np.append(rng.integers(1, 3, 500), 0), np.append(np.tile([1, 2], 300), 0), np.append(np.ones(400, int), 0)]
+    whole = [run_index.RunIndex(t, 3) for t in texts]
+    monkeypatch.setattr(run_index, "BLOCK", 7)
+    for t, want in zip(texts, whole):
+        assert run_index.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        assert run_index.RunIndex(t, 3).matching_statistics().tolist() == want.matching_statistics().tolist()
+
+
+def test_text_that_repeats_itself_sends_each_anchor_once(spark, monkeypatch):
+    """A pair of words a thousand times over has the same anchor and context at many places, which make one row each."""
+    tables, plain = {}, long_repeats.stage
+    monkeypatch.setattr(long_repeats, "stage", lambda df, name: tables.setdefault(name, plain(df, name)))
+    rows = [(i, f"start{i} " + "ab cd " * 1000 + f"end{i}") for i in range(3)]
+    got = by_id(long_repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    for (i, text), want in zip(rows, brute_repeats(rows, 400)):
+        assert (got[i][0].n_bytes, got[i][0].n_removed, got[i][0].n_spans, got[i][0].kept_sha256) == (len(text), *want)
+    assert tables["contexts"].count() < 100 and sum(len(r.hash) for r in tables["anchors"].collect()) < 100
+
+
 def test_texts_longer_than_a_winnowing_block(spark):
     rng = np.random.default_rng(8)
     letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
