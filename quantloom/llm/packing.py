@@ -9,35 +9,43 @@ rank finds its slot.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import arrow_map, stage, texts
 from quantloom.llm.cutting_stock import class_edges, plan
+from quantloom.llm.word_hash import text_slices
 
 CAPACITY, END_ID = 1024, 0
 #: Parts in which the pieces of one class are ranked; a part's first rank comes from the counts of those before.
 RANK_PARTS = 256
-#: Words of an age whose ids a worker keeps, and that the library encodes at once.
-KEPT_WORDS, WORDS_AT_ONCE = 700_000, 4096
-#: Marks that may end a word, and ends of words whose ids a worker keeps.
-PUNCTUATION, KEPT_TAILS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 65_536
+#: Words of an age whose ids a worker keeps, words that the library encodes at once, and bytes of text that are cut at once.
+KEPT_WORDS, WORDS_AT_ONCE, SLICE_BYTES = 150_000, 4096, 1 << 20
+#: Marks that may end a word, the letters that they may follow, and ends of words whose ids a worker keeps.
+PUNCTUATION, LETTER, KEPT_TAILS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$", 65_536
 _LOADED: dict[str, TextIds] = {}
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class TextIds:
     """Ids of whole texts by the tokenizers library's object of a file, as it is.
 
     A byte-level pre-tokenizer puts a space only at the front of a piece, and white space joins nothing but white space.
-    So a piece always ends between a word and a single space after it, and the ids of a text are those of its
-    space-led words, one after the other: every different word is encoded once by the library. ASCII marks at a word's end
-    are pieces of their own after a letter, so they and the word before them are encoded apart. Where that does not hold
-    the library encodes the whole text: texts with a space after other white space, texts that hold an added token, and
-    all texts if the file has a normalizer, a post-processor or another pre-tokenizer.
+    So a piece always ends between a word and a single space or line feed after it, and the ids of a text are those of its
+    words with what leads them, one after the other. Arrow cuts texts into words and numbers the different ones; each
+    is encoded once by the library, and numpy lays out the ids. ASCII marks at a word's end are pieces of their own
+    after a letter, so they and the word before them are encoded apart. Where that does not hold the library encodes
+    the whole text: texts with a space or line feed beside other white space, texts that hold an added token, and all
+    texts if the file has a normalizer, a post-processor or another pre-tokenizer.
     """
 
     def __init__(self, path: str):
@@ -53,73 +61,87 @@ class TextIds:
         front = made.get("pre_tokenizer") or {}
         self.by_word = front.get("type") == "ByteLevel" and front.get("use_regex", True) and not front.get("add_prefix_space", True) and not made.get("normalizer") and not made.get("post_processor")
         self.added = [t["content"] for t in made.get("added_tokens") or []]
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.led = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)], bool)  # ids that begin with a space
-        self.words: dict[str, bytes] = {}  # ids of space-led words, in two ages
+        self.words: dict[str, bytes] = {}  # ids of words led by a space, or by the line feed that they begin with, in two ages
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}  # ids of marks at the ends of words
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words, encoded in a row and parted where a space begins. An empty word, or one that ends in white
-        space, has none: b'' marks that its text must be encoded whole."""
-        plain, tailed = [], []
-        for w in words:
-            core = w.rstrip(PUNCTUATION)
-            if core and len(core) < len(w) and core[-1] < "\u0250" and core[-1].isalpha():
-                tailed.append((w, core, w[len(core) :]))
-            elif w and not w[-1].isspace():
-                plain.append(w)
-            else:
-                self.words[w] = b""
-        # no piece reaches from a letter to a mark after it
-        new = dict.fromkeys(plain)
-        for _, core, _ in tailed:
-            if core not in new and core not in self.words:
-                if (x := self.older.get(core)) is None:
-                    new[core] = None
-                else:
-                    self.words[core] = x
-        plain = list(new)
-        for at in range(0, len(plain), WORDS_AT_ONCE):
-            part = plain[at : at + WORDS_AT_ONCE]
-            row = np.frombuffer(self._encoded([" " + " ".join(part)])[0], "<u4")
-            starts = np.flatnonzero(self.led[row])
-            if len(starts) != len(part):
-                raise AssertionError("a word holds a space")
-            raw, edges = row.tobytes(), [*(4 * starts).tolist(), 4 * len(row)]
-            self.words.update(zip(part, map(raw.__getitem__, map(slice, edges, edges[1:])), strict=True))
-        tails = list({tail for _, _, tail in tailed} - self.tails.keys())
-        if len(self.tails) + len(tails) > KEPT_TAILS:
-            self.tails, tails = {}, list({tail for _, _, tail in tailed})
-        self.tails.update(zip(tails, self._encoded(tails), strict=True))
-        self.words.update((w, self.words[core] + self.tails[tail]) for w, core, tail in tailed)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of different words. An empty word, or one that ends in white space, has none: b'' marks that its text must
+        be encoded whole."""
         if len(self.words) > KEPT_WORDS:
             self.words, self.older = {}, self.words
-        cut = [t.split(" ") if self.by_word and not any(a in t for a in self.added) else [""] for t in texts]
-        get = self.words.get
-        held = [list(map(get, words[1:])) for words in cut]
-        gaps: list[tuple[list, int, str]] = []  # places of words that have no ids yet; the others are looked up once
-        for words, found in zip(cut, held, strict=True):
-            at = -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                gaps.append((found, at, words[at + 1]))
-        missing = dict.fromkeys(w for _, _, w in gaps)
-        again = {w: x for w in missing if (x := self.older.get(w)) is not None}
-        self.words.update(again)
-        self._learn([w for w in missing if w not in again])
-        for found, at, w in gaps:
-            found[at] = self.words[w]
-        whole = [i for i, (words, found) in enumerate(zip(cut, held, strict=True)) if not words[0] or (found and words[0][-1].isspace()) or b"" in found]
-        alone = dict(zip(whole, self._encoded([texts[i] for i in whole]), strict=True))
-        heads = self._encoded(["" if i in alone else words[0] for i, words in enumerate(cut)])
-        return [alone[i] if i in alone else head + b"".join(found) for i, (head, found) in enumerate(zip(heads, held, strict=True))]
+        found = list(map(self.words.get, words))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in gaps:
+            if (x := self.older.get(w := words[i])) is None and w and not w[-1].isspace():
+                new.append(w)
+            else:
+                self.words[w] = x or b""
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
+            self.words.update(zip(part, self._encoded([w if w[0] == "\n" else " " + w for w in part]), strict=True))
+        for i in gaps:
+            found[i] = self.words[words[i]]
+        return found
+
+    def _ids_of_tails(self, tails: list[str]) -> list[bytes]:
+        """Ids of different marks at the ends of words; b'' of none."""
+        new = [x for x in tails if x not in self.tails]
+        if len(self.tails) + len(new) > KEPT_TAILS:
+            self.tails, new = {}, tails
+        self.tails.update(zip(new, self._encoded(new), strict=True))
+        return list(map(self.tails.get, tails))
+
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        whole = np.full(len(column), not self.by_word)
+        for a in self.added:
+            whole |= pc.match_substring(column, a).to_numpy(zero_copy_only=False)
+        if whole.all():
+            return self._encoded(column.to_pylist())
+        cut = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        edges = cut.offsets.to_numpy()
+        numbered = cut.values.dictionary_encode()
+        word = numbered.dictionary
+        core = pc.utf8_rtrim(word, PUNCTUATION)
+        core = pc.if_else(pc.match_substring_regex(core, LETTER), core, word)  # no piece reaches from a letter to a mark after it
+        size = pc.binary_length(core).to_numpy()
+        longer = np.flatnonzero(size < pc.binary_length(word).to_numpy())
+        ended = _strings(word.take(pa.array(longer)))
+        tails, which = np.unique([w.encode()[n:].decode() for w, n in zip(ended, size[longer].tolist(), strict=True)], return_inverse=True)
+        core = core.dictionary_encode()
+        heads = _strings(cut.values.take(pa.array(edges[:-1])))
+        one = np.diff(edges) == 1
+        whole |= [not head or (head[-1].isspace() and not alone) for head, alone in zip(heads, one.tolist(), strict=True)]
+        # a row for each different core and tail, then one for the first word of each text, which nothing leads
+        cores = _strings(core.dictionary)
+        rows = [*self._ids_of(cores), *self._ids_of_tails(tails.tolist()), *self._encoded(heads), b""]
+        tail = np.full(len(word), len(rows) - 1)
+        tail[longer] = which + len(cores)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        code = numbered.indices.to_numpy()
+        both = np.empty((len(code), 2), np.int64)
+        both[:, 0] = core.indices.to_numpy()[code]
+        both[:, 1] = tail[code]
+        both[edges[:-1], 0] = np.arange(len(rows) - 1 - len(heads), len(rows) - 1)
+        both[edges[:-1], 1] = len(rows) - 1
+        many = sizes[both]
+        whole |= np.minimum.reduceat(many[:, 0], edges[:-1]) == 0
+        both, many = both.ravel(), many.ravel()
+        ends = many.cumsum()
+        starts = (sizes.cumsum() - sizes)[both] - (ends - many)
+        laid = np.frombuffer(b"".join(rows), "<u4")[np.repeat(starts, many) + np.arange(ends[-1])].tobytes()
+        at = 4 * np.append(0, ends)[2 * edges]
+        out = [laid[a:b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+        others = np.flatnonzero(whole)
+        for i, x in zip(others.tolist(), self._encoded(column.take(pa.array(others)).to_pylist()), strict=True):
+            out[i] = x
+        return out
 
 
 def load(path: str) -> TextIds:
@@ -135,7 +157,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def make(part: pa.RecordBatch) -> dict:
         out: dict = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
         end = END_ID.to_bytes(4, "little")
-        whole = load(tokenizer_path).ids(part.column("text").to_pylist())
+        whole = [x for texts in text_slices(iter([part]), most=SLICE_BYTES) for x in load(tokenizer_path).ids(texts.column("text"))]
         for doc_id, packed in zip(part.column("doc_id").to_pylist(), whole, strict=True):
             packed += end
             n = len(packed) // 4
@@ -148,7 +170,7 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 out["doc_tokens"].append(n)
         return out
 
-    return arrow_map(texts(df, id_col, text_col), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", rows=256)
+    return arrow_map(texts(df, id_col, text_col), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", rows=1024)
 
 
 def slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

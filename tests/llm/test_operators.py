@@ -296,6 +296,19 @@ def test_marks_at_the_ends_of_words_are_not_new_words(monkeypatch):
     assert ids.ids(texts) == plain(texts)
 
 
+def test_each_different_word_is_encoded_once(monkeypatch):
+    """Also where line feeds join the words, and in whichever order; ages and slices change nothing."""
+    ids = packing.TextIds(BYTES)
+    encoded, plain = [], ids._encoded
+    monkeypatch.setattr(ids, "_encoded", lambda texts: encoded.extend(texts) or plain(texts))
+    texts = ["start one two.\nthree four\ntwo one", "start four\nthree two one\nthree, two", "start\nthree", "", "start", "start ", "\nfive", "start\n\nthree", "start \nthree", "start\n three", "start\r\nthree", "é\n日 本"]
+    assert ids.ids(texts) == plain(texts)
+    words = [x for x in encoded if x.lstrip(" \n") in ("one", "two", "three", "four")]
+    assert sorted(words) == sorted({" one", " two", "\nthree", " four", "\ntwo", " three"})
+    monkeypatch.setattr(packing, "KEPT_WORDS", 2)
+    assert [ids.ids([t]) for t in texts] == [plain([t]) for t in texts] and ids.ids([]) == []
+
+
 MIXES = {
     "240-262": lambda r: r.integers(240, 263, 20_000), "mean 120": lambda r: np.clip(r.exponential(120, 20_000).astype(int), 1, 1023), "1-255": lambda r: r.integers(1, 256, 20_000), "200-511": lambda r: r.integers(200, 512, 20_000),
     "1-1024": lambda r: r.integers(1, 1025, 20_000), "500-520": lambda r: r.integers(500, 521, 20_000), "2-29": lambda r: r.integers(2, 30, 20_000), "330-350": lambda r: r.integers(330, 351, 20_000), "900-1023": lambda r: np.append(r.integers(900, 1024, 9000), r.integers(1, 130, 9000)),
