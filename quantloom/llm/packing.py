@@ -61,6 +61,7 @@ class TextIds:
         front = made.get("pre_tokenizer") or {}
         self.by_word = front.get("type") == "ByteLevel" and front.get("use_regex", True) and not front.get("add_prefix_space", True) and not made.get("normalizer") and not made.get("post_processor")
         self.added = [t["content"] for t in made.get("added_tokens") or []]
+        self.kept = 0  # words of an age, if not KEPT_WORDS
         self.words: dict[str, bytes] = {}  # ids of words led by a space, or by the line feed that they begin with, in two ages
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}  # ids of marks at the ends of words
@@ -71,7 +72,7 @@ class TextIds:
     def _ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of different words. An empty word, or one that ends in white space, has none: b'' marks that its text must
         be encoded whole."""
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > (self.kept or KEPT_WORDS):
             self.words, self.older = {}, self.words
         found = list(map(self.words.get, words))
         gaps = [i for i, x in enumerate(found) if x is None]
@@ -151,13 +152,15 @@ def load(path: str) -> TextIds:
     return _LOADED[path]
 
 
-def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, kept_words: int = 0, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full pieces and a remainder of every document's ids and end id."""
 
     def make(part: pa.RecordBatch) -> dict:
         out: dict = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
         end = END_ID.to_bytes(4, "little")
-        whole = [x for texts in text_slices(iter([part]), most=SLICE_BYTES) for x in load(tokenizer_path).ids(texts.column("text"))]
+        ids = load(tokenizer_path)
+        ids.kept = kept_words
+        whole = [x for texts in text_slices(iter([part]), most=slice_bytes) for x in ids.ids(texts.column("text"))]
         for doc_id, packed in zip(part.column("doc_id").to_pylist(), whole, strict=True):
             packed += end
             n = len(packed) // 4
@@ -190,7 +193,7 @@ def slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
 
 
 def pack(
-    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
+    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, kept_words: int = 0, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -198,11 +201,12 @@ def pack(
     to the smaller (doc_id, start). Rows of null ids are packed like others, other columns are not read, and long texts
     are cut like all. An empty table gives no rows. The histogram has a row for each length up to ``capacity`` and the
     slot table a few for each class (their sizes don't depend on the corpus), so the one is collected and the other
-    broadcast.
+    broadcast. A job whose workers hold little else may keep more words (``kept_words``, about 200 bytes each, in two ages)
+    and cut more text at once (``slice_bytes``): both save time alone.
     """
     spark = df.sparkSession
     part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_PARTS)).cast("int")
-    cut = stage(pieces(df, tokenizer_path, id_col, text_col, capacity).withColumn("part", part), "pieces")
+    cut = stage(pieces(df, tokenizer_path, id_col, text_col, capacity, kept_words, slice_bytes).withColumn("part", part), "pieces")
     sizes = stage(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "sizes")  # capacity * RANK_PARTS rows at most
     lengths = {int(r[0]): int(r[1]) for r in sizes.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
     edges = class_edges(lengths)
