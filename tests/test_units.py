@@ -142,6 +142,14 @@ def test_windows_skip_nulls_and_flat_frames(spark):
     assert all(r.c is None for r in got) and got[2].f == 1.0
 
 
+def test_backward_fill_reads_each_row_once(spark):
+    """No frame that ends with the partition: Spark reads such a one anew for each row, which goes with the square."""
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, 5.0), ("a", 3, None), ("a", 4, 7.0), ("a", 5, None), ("b", 1, None)], "series string, bar_id long, x double")
+    got = df.withColumn("y", frames.bfill("x"))
+    assert {(r.series, r.bar_id): r.y for r in got.collect()} == {("a", 1): 5.0, ("a", 2): 5.0, ("a", 3): 7.0, ("a", 4): 7.0, ("a", 5): None, ("b", 1): None}
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_bars_conserve_volume_and_are_stable_under_appending(spark):
     rows = [("s", dt.datetime(2024, 1, 1, 0, 0, i), i, float(10 + i % 3), float(i % 7)) for i in range(50)]
     schema = "series string, ts timestamp_ntz, seq long, mid double, vol double"
