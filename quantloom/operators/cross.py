@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.frames import bfill, clip, diff, ffill, lag, pct_change, positive_log, ratio, rolling, rolling_beta, rolling_corr, rolling_quantile, rolling_z
+from quantloom.functions.frames import bfill, clip, diff, ffill, ieee_log, ieee_ratio, lag, pct_change, positive_log, ratio, rolling, rolling_beta, rolling_corr, rolling_quantile, rolling_z
 from quantloom.operators.asof import DAY, asof_backward, asof_columns, asof_forward
 
 
@@ -96,10 +98,20 @@ def yield_curves(df: DataFrame, long: str, short: str, other: str, z: int = 400)
     return one.withColumn(f"spread_z_{z}", rolling_z("_spread", z)).drop("_spread", *[f"_{c}" for c in (long, short, other)])
 
 
-def intermarket(df: DataFrame, name: str, w: int = 50) -> DataFrame:
+def log_move(x: str) -> Column:
+    """Logarithmic change from the bar before, NULL where a price is zero (rule N2)."""
+    return positive_log(ratio(x, lag(x)))
+
+
+def ieee_move(x: str) -> Column:
+    """The same by IEEE 754: infinite or NaN at a zero price, so that all statistics of frames that hold it are NaN."""
+    return ieee_log(ieee_ratio(x, lag(x)))
+
+
+def intermarket(df: DataFrame, name: str, w: int = 50, move: Callable[[str], Column] = log_move) -> DataFrame:
     """Correlation, relative strength and divergence with one correlator (F022-F024), and its level scores (F021)."""
     price = f"price_{name}"
-    one = df.withColumns({"_r": positive_log(ratio("close", lag("close"))), "_o": positive_log(ratio(price, lag(price))), "_rs": ratio("close", price)})
+    one = df.withColumns({"_r": move("close"), "_o": move(price), "_rs": ratio("close", price)})
     def unit(x: str) -> Column:
         s = rolling("stddev_samp", x, w)
         return F.when(s == 0, 1.0).otherwise(s)
