@@ -34,3 +34,12 @@ def test_intermarket_has_its_sql_at_a_zero_price(spark, tmp_path):
     prices = [0.0 if i in (150, 151, 190) else 20 + i * 7 % 13 for i in range(360)]
     got, want = both(spark, tape(spark, tmp_path, prices), "feat_intermarket")
     assert any("nan" in r for r in want) and got == want
+
+
+def test_expanding_fill_reads_each_row_once(spark, tmp_path):
+    """As its SQL, and no frame that ends with the partition, which Spark reads anew for each row."""
+    folder = tape(spark, tmp_path, [20 + i * 7 % 13 for i in range(60)])
+    got, want = both(spark, folder, "wn_expanding_fill")
+    assert got == want
+    plan = plans.queries()["wn_expanding_fill"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
