@@ -27,22 +27,23 @@ def _number(df: DataFrame, name: str) -> Column:
 
 
 def _scan(both: DataFrame, by: list[str], columns: list[str], span: int | None, ahead: bool, tie: list[str]) -> DataFrame:
-    """``columns`` of each row: their last (first, ``ahead``) values that are there, at or before (after) the row."""
+    """``columns`` of each row: their last (first, ``ahead``) values that are there, at or before (after) the row.
+
+    Looking ahead is looking back from the end: a frame that reaches to the end is read anew for each row.
+    """
     order = ["__at", "__side", *tie]
-    edge = (Window.unboundedPreceding, 0) if not ahead else (0, Window.unboundedFollowing)
-    pick = F.first if ahead else F.last
+    turned = F.desc if ahead else F.asc
+    w = Window.orderBy(*map(turned, order)).rowsBetween(Window.unboundedPreceding, 0)
     if span is None:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(*edge)
-        return both.withColumns({c: pick(c, ignorenulls=True).over(w) for c in columns})
+        return both.withColumns({c: F.last(c, ignorenulls=True).over(w.partitionBy(*by)) for c in columns})
     ranged = both.withColumn("__range", F.floor(_number(both, "__at") / F.lit(span)).cast("long"))
     keys = [*by, "__range"]
     far = F.min_by if ahead else F.max_by
     edges = ranged.groupBy(*keys).agg(*[far(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns])
-    beyond = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)
-    w = Window.partitionBy(*by).orderBy("__range").rowsBetween(*beyond)
-    carried = edges.select(*keys, *[pick(c, ignorenulls=True).over(w).alias(f"__c_{i}") for i, c in enumerate(columns)])
-    here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*edge)
-    found = ranged.join(carried, keys, "left").withColumns({c: F.coalesce(pick(c, ignorenulls=True).over(here), f"__c_{i}") for i, c in enumerate(columns)})
+    past = Window.partitionBy(*by).orderBy(turned("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select(*keys, *[F.last(c, ignorenulls=True).over(past).alias(f"__c_{i}") for i, c in enumerate(columns)])
+    here = w.partitionBy(*keys)
+    found = ranged.join(carried, keys, "left").withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(here), f"__c_{i}") for i, c in enumerate(columns)})
     return found.drop("__range", *[f"__c_{i}" for i in range(len(columns))])
 
 

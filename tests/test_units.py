@@ -263,6 +263,15 @@ def test_asof_by_ranges_is_the_same(spark):
     assert got[0] == got[1]
 
 
+def test_asof_ahead_reads_each_row_once(spark):
+    left = spark.createDataFrame([(1, 0), (5, 1), (5, 2), (12, 3), (40, 4)], "t long, i long")
+    right = spark.createDataFrame([(5, 1.0), (5, 2.0), (13, None), (30, 3.0)], "u long, v double")
+    for span in (None, 10):
+        got = asof.asof_forward(left, right, "t", "u", [], ["v"], span=span)
+        assert sorted((r.i, r.asof_key, r.v) for r in got.collect()) == [(0, 5, 1.0), (1, 5, 1.0), (2, 5, 1.0), (3, 13, None), (4, None, None)]
+        assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_streams_go_on_where_they_ended(spark, tmp_path):
     row = lambda i: (i, dt.datetime(2024, 1, 1, 0, 0, i), 1, "a", float(10 + i), '{"k": 6}')
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
