@@ -43,3 +43,30 @@ def test_expanding_fill_reads_each_row_once(spark, tmp_path):
     assert got == want
     plan = plans.queries()["wn_expanding_fill"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "unboundedfollowing" not in plan.lower()
+
+
+def test_a_search_makes_its_bars_once(spark, tmp_path, monkeypatch):
+    """Generations read bars from a table, and orders come from one row of a bar, without a join."""
+    from quantloom.operators import search
+    from quantloom.plans.signal_queries import STRATEGIES
+
+    folder, given = tape(spark, tmp_path, [20 + i * 7 % 13 for i in range(90)]), []
+    monkeypatch.setattr(search, "evolve", lambda bars, *a, **b: given.append(bars) or [])
+    plans.queries()["search_evolution"](spark, folder)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan(given[0]) and "Join" not in plan(search.orders(given[0], STRATEGIES))
+    assert search.orders(given[0], STRATEGIES).count() == len(STRATEGIES) * given[0].count()
+    assert {"series", "bar_id", "strategy_id", "signal", "price", "atr", "hour", "weekday"} <= set(search.orders(given[0], STRATEGIES).columns)
+
+
+def test_a_trade_entered_at_a_price_of_zero_is_a_trade():
+    """It keeps its own exit, and no later trade takes the exit of one before it."""
+    import numpy as np
+
+    from quantloom.operators.simulate import Rules, play
+
+    rules = Rules(spread=0, commission=0, least_commission=0, slippage=0, lot=1, account=1, horizon=2, sl_long=0, sl_short=0, tp_long=0, tp_short=0)
+    price = np.array([5.0, 0.0, 4.0, 6.0, 7.0, 8.0, 9.0, 9.0])
+    x = [np.array([0, 1, 0, 0, 0, 1, 0, 0.0]), price, price, price, np.ones(8), np.full(8, 10.0), np.ones(8)]
+    trades = play(*x, rules, True)[1]
+    assert [(t["entry"], t["exit"], t["entry_price"]) for t in trades] == [(1, 3, 0.0), (5, 7, 8.0)]
